@@ -187,7 +187,7 @@ def fill_slots(pairs: DataFrame, gold: str = "gold", pred: str = "pred", cap: in
 def literal_usage(log: DataFrame, sql: str = "sql") -> DataFrame:
     """(table, column, value) of comparisons and BETWEEN bounds, with frequencies.
 
-    A ``T1.``-style alias counts as no table; columns are upper-cased; quotes are removed.
+    In comparisons a ``T1.``-style alias counts as no table.  Columns are upper-cased, quotes removed.
     """
     name = r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)"
     value = r"('[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)"
@@ -199,9 +199,13 @@ def literal_usage(log: DataFrame, sql: str = "sql") -> DataFrame:
         cols = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (*groups, value_group)]
         return F.arrays_zip(*[c.alias(n) for c, n in zip(cols, ("t", "c", "v"))])
 
-    found = F.concat(hits(compared, (1, 2), 3), hits(ranged, (1, 2), 3), hits(ranged, (1, 2), 4))
+    unaliased = F.transform(
+        hits(compared, (1, 2), 3),
+        lambda h: h.withField("t", F.when(h["t"].rlike(r"^[tT]\d$"), F.lit("")).otherwise(h["t"])),
+    )
+    found = F.concat(unaliased, hits(ranged, (1, 2), 3), hits(ranged, (1, 2), 4))
     each = log.select(F.explode(found).alias("h")).select(
-        F.when(~F.col("h.t").rlike(r"^(|[tT]\d)$"), F.lower("h.t")).alias("table"),
+        F.when(F.col("h.t") != "", F.lower("h.t")).alias("table"),
         F.upper("h.c").alias("column"),
         F.regexp_replace("h.v", r"^['\"`]|['\"`]$", "").alias("value"),
     )

@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = [
     "compare_queries",
     "metric_queries",
+    "mining_queries",
 ]
 
 

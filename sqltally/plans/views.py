@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqltally.functions.cells import canonical_cell
 from sqltally.functions.ordering import with_rank
-from pyspark.sql import types as T
+from sqltally.functions.skew import salted_join
+from sqltally.operators import rollout
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -114,3 +116,164 @@ two AS (
   FROM pr LEFT JOIN agg p ON p.question_id = pr.question_id AND p.cand_id = pr.cand_id
   LEFT JOIN agg g ON g.question_id = pr.question_id AND g.cand_id = pr.gold_id)
 """
+
+
+# --- responses: documents wrapped in answer tags, one of six shapes per document ----------------
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    kind = F.col("doc_id") % 6
+    sql = F.concat(
+        F.lit("```sql\nSELECT "),
+        F.col("n_chars").cast("string"),
+        F.lit(" /* all\n of it */ FROM t -- end\nWHERE a > = 1\n```"),
+    )
+    think = F.concat(F.lit("<think> "), F.col("text"), F.lit(" </think>"))
+    answer = F.concat(F.lit("<answer>\nHere:\n"), sql, F.lit("\n</answer>"))
+    plain = F.lit("<answer>nothing</answer>")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("User: x\nAssistant: "), think, answer))
+        .when(kind == 1, F.concat(F.lit("<|im_start|>assistant\n"), think, plain))
+        .when(kind == 2, F.concat(think, answer))
+        .when(kind == 3, F.concat(F.lit("Assistant: "), think, answer, plain))
+        .when(kind == 4, F.concat(F.lit("Assistant: "), answer, think))
+        .otherwise(F.concat(F.lit("<|im_start|>assistant\n"), think, F.lit("\n"), answer))
+    )
+    return d.select(F.col("doc_id").alias("response_id"), "source", "lang", text.alias("response"))
+
+
+RESPONSES = r"""
+resp0 AS (
+  SELECT doc_id, source, lang, n_chars,
+         '<think> ' || text || ' </think>' AS think,
+         e'<answer>\nHere:\n```sql\nSELECT ' || n_chars || e' /* all\n of it */ FROM t -- end\nWHERE a > = 1\n```\n</answer>' AS answer,
+         '<answer>nothing</answer>' AS plain FROM documents),
+resp AS (
+  SELECT doc_id AS response_id, source, lang,
+    CASE doc_id % 6 WHEN 0 THEN e'User: x\nAssistant: ' || think || answer
+      WHEN 1 THEN e'<|im_start|>assistant\n' || think || plain
+      WHEN 2 THEN think || answer
+      WHEN 3 THEN 'Assistant: ' || think || answer || plain
+      WHEN 4 THEN 'Assistant: ' || answer || think
+      ELSE e'<|im_start|>assistant\n' || think || e'\n' || answer END AS response
+  FROM resp0),
+body AS (
+  SELECT *, CASE WHEN position('Assistant:' IN response) > 0 THEN substr(response, position('Assistant:' IN response) + 10)
+                 WHEN position('<|im_start|>assistant' IN response) > 0 THEN substr(response, position('<|im_start|>assistant' IN response) + 21)
+            END AS body FROM resp),
+found AS (
+  SELECT *, trim(regexp_extract_all(body, '(?s)<answer>(.*?)</answer>', 1)[-1], e' \n\t\r') AS answer,
+         trim(regexp_extract_all(body, '(?s)<think>(.*?)</think>', 1)[-1], e' \n\t\r') AS think FROM body),
+audit AS (
+  SELECT *, trim(regexp_extract_all(answer, '(?s)```sql(.*?)```', 1)[-1], e' \n\t\r') AS sql,
+    len(regexp_extract_all(body, '<think>')) = 1 AND len(regexp_extract_all(body, '</think>')) = 1
+    AND len(regexp_extract_all(body, '<answer>')) = 1 AND len(regexp_extract_all(body, '</answer>')) = 1 AS once,
+    position('<think>' IN body) <= position('</think>' IN body) AND position('</think>' IN body) <= position('<answer>' IN body)
+    AND position('<answer>' IN body) <= position('</answer>' IN body) AS in_order
+  FROM found),
+audited AS (
+  SELECT *, CASE WHEN body IS NULL THEN 'no header' WHEN NOT once THEN 'tag count' WHEN NOT in_order THEN 'tag order'
+                 WHEN coalesce(sql, '') = '' THEN 'no sql' END AS reason FROM audit)
+"""
+
+# --- a SQL log written from orders ---------------------------------------------------------------
+
+
+def sql_log(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 6
+    cust, price = F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")
+    prio, state = F.col("o_orderpriority"), F.col("o_orderstatus")
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    sql = (
+        F.when(
+            k == 0,
+            text(
+                "SELECT DISTINCT o_custkey FROM orders WHERE orders.o_orderpriority = '",
+                prio, "' AND o_totalprice > ", price,
+            ),
+        )
+        .when(
+            k == 1,
+            text(
+                "SELECT count(*) FROM orders WHERE o_orderstatus = '", state,
+                "' GROUP BY o_custkey HAVING count(*) > 2 ORDER BY o_custkey DESC LIMIT 5",
+            ),
+        )
+        .when(k == 2, text("SELECT T1.o_orderkey FROM orders AS T1 WHERE T1.o_custkey between ", cust, " and 99999"))
+        .when(
+            k == 3,
+            text(
+                "select O_ORDERKEY from orders where O_ORDERSTATUS like '", state,
+                "' or o_custkey in (", cust, ", 2)",
+            ),
+        )
+        .when(
+            k == 4,
+            F.lit("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE T2.l_quantity < 5"),
+        )
+        .otherwise(text("SELECT  'Distinct  Value' , o_custkey FROM orders WHERE NOT o_custkey = ", cust))
+    )
+    return o.select("o_orderkey", sql.alias("sql"))
+
+
+SQL_LOG = """
+lg AS (
+  SELECT o_orderkey, o_orderkey % 6 AS k, o_custkey, o_orderpriority AS prio, o_orderstatus AS state, CAST(o_totalprice AS VARCHAR) AS price,
+    CASE o_orderkey % 6
+      WHEN 0 THEN 'SELECT DISTINCT o_custkey FROM orders WHERE orders.o_orderpriority = ''' || o_orderpriority || ''' AND o_totalprice > ' || o_totalprice
+      WHEN 1 THEN 'SELECT count(*) FROM orders WHERE o_orderstatus = ''' || o_orderstatus || ''' GROUP BY o_custkey HAVING count(*) > 2 ORDER BY o_custkey DESC LIMIT 5'
+      WHEN 2 THEN 'SELECT T1.o_orderkey FROM orders AS T1 WHERE T1.o_custkey between ' || o_custkey || ' and 99999'
+      WHEN 3 THEN 'select O_ORDERKEY from orders where O_ORDERSTATUS like ''' || o_orderstatus || ''' or o_custkey in (' || o_custkey || ', 2)'
+      WHEN 4 THEN 'SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE T2.l_quantity < 5'
+      ELSE 'SELECT  ''Distinct  Value'' , o_custkey FROM orders WHERE NOT o_custkey = ' || o_custkey END AS sql
+  FROM orders)
+"""
+
+# --- tokens: sequence = order, group = customer, step = order year ------------------------------
+
+
+def tokens(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
+    """``tokens`` rows from lineitem; ``mask`` is 1 up to and including the first returned line."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", *order, "l_discount", "l_tax", "l_returnflag"
+    )
+    ranked = with_rank(li, order, ["l_orderkey"], "t").withColumnRenamed("l_orderkey", "seq_id")
+    masked = rollout.eos_mask(ranked.withColumn("eos", F.col("l_returnflag") == "R"), "eos")
+    out = masked.select(
+        "seq_id",
+        "t",
+        "mask",
+        (-F.col("l_discount")).alias("logp"),
+        (-F.col("l_tax")).alias("old_logp"),
+        (-(F.col("l_discount") + F.col("l_tax")) / 2).alias("ref_logp"),
+        (F.col("l_quantity") / 50).alias("value"),
+        (F.col("l_extendedprice") / 100000).alias("score"),
+    )
+    if not grouped:
+        return out
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq_id"),
+        F.col("o_custkey").alias("group_id"),
+        F.year("o_orderdate").alias("step"),
+    )
+    return salted_join(out, o, ["seq_id"], spread=["t"])
+
+
+TOKENS = """
+tok0 AS (
+  SELECT l_orderkey AS seq_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS BIGINT) AS t,
+         -l_discount AS logp, -l_tax AS old_logp, -(l_discount + l_tax) / 2 AS ref_logp,
+         l_quantity / 50 AS value, l_extendedprice / 100000 AS score, l_returnflag = 'R' AS eos
+  FROM lineitem),
+tok1 AS (
+  SELECT *, CAST(CASE WHEN t <= coalesce(min(CASE WHEN eos THEN t END) OVER (PARTITION BY seq_id), 999999999) THEN 1 ELSE 0 END AS INTEGER) AS mask FROM tok0),
+tok AS (
+  SELECT k.*, o_custkey AS group_id, CAST(year(o_orderdate) AS INTEGER) AS step
+  FROM tok1 k JOIN orders ON o_orderkey = seq_id)
+"""
