@@ -107,10 +107,13 @@ def drop_distinct(sql: Column) -> Column:
 
 
 def template_of(sql: Column, slot: str = "value") -> Column:
-    """Lower-case text with literals replaced by ``slot``, white space squeezed."""
-    plain = F.regexp_replace(drop_distinct(sql), r"[;\t]", "")
-    masked = F.regexp_replace(F.regexp_replace(plain, STRING_LITERAL, slot), NUMBER_LITERAL, slot)
-    return squeeze(F.lower(masked))
+    """Lower-case text without DISTINCT, literals replaced by ``slot``, white space squeezed.
+
+    Quoted text is masked first, so the later steps cannot touch it.
+    """
+    masked = F.regexp_replace(sql, STRING_LITERAL, slot)
+    plain = F.regexp_replace(masked, r"(?i)\bdistinct\b|[;\t]", "")
+    return squeeze(F.lower(F.regexp_replace(plain, NUMBER_LITERAL, slot)))
 
 
 def literals_of(sql: Column) -> Column:
@@ -122,16 +125,20 @@ def literals_of(sql: Column) -> Column:
 
 def query_templates(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Queries grouped by template: count, slots and number of distinct literals."""
-    cut = log.select(template_of(F.col(sql)).alias("template"), literals_of(F.col(sql)).alias("lits"))
-    sizes = cut.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("lits")).alias("slots"))
-    distinct = (
-        cut.select("template", F.explode("lits").alias("lit"))
-        .distinct()
-        .groupBy("template")
-        .agg(F.count(F.lit(1)).alias("n_literals"))
+    each = log.select(
+        template_of(F.col(sql)).alias("template"),
+        F.posexplode_outer(literals_of(F.col(sql))).alias("ix", "lit"),
     )
-    return sizes.join(distinct, "template", "left").select(
-        "template", "n", "slots", F.coalesce("n_literals", F.lit(0)).alias("n_literals")
+    # one pass: equal literals of a template are combined before the shuffle
+    return (
+        each.groupBy("template", "lit")
+        .agg(F.count_if(F.coalesce("ix", F.lit(0)) == 0).alias("n"), F.max("ix").alias("last"))
+        .groupBy("template")
+        .agg(
+            F.sum("n").alias("n"),
+            F.coalesce(F.max("last") + 1, F.lit(0)).alias("slots"),
+            F.count("lit").alias("n_literals"),
+        )
     )
 
 
@@ -212,30 +219,18 @@ def literal_usage(log: DataFrame, sql: str = "sql") -> DataFrame:
     return each.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: keyword -> pattern, tested outside quotes (fixed values)
-KEYWORDS = {
-    "where": r"\bwhere\b",
-    "group": r"\bgroup\s+by\b",
-    "having": r"\bhaving\b",
-    "order": r"\border\s+by\b",
-    "asc": r"\basc\b",
-    "desc": r"\bdesc\b",
-    "limit": r"\blimit\b",
-    "except": r"\bexcept\b",
-    "union": r"\bunion\b",
-    "intersect": r"\bintersect\b",
-    "or": r"\bor\b",
-    "not": r"\bnot\b",
-    "in": r"\bin\b",
-    "like": r"\blike\b",
-}
+#: keywords of the profile; group and order count only before "by" (fixed values)
+KEYWORDS = (
+    r"\b(where|group(?=\s+by\b)|having|order(?=\s+by\b)|asc|desc|limit|except|union|intersect"
+    r"|or|not|in|like)\b"
+)
 
 
 def query_keywords(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """``log`` with the array ``keywords`` of its query."""
+    """``log`` with the sorted distinct ``keywords`` of its query, found outside quotes."""
     bare = F.lower(F.regexp_replace(F.col(sql), STRING_LITERAL, " "))
-    flags = [F.when(bare.rlike(p), F.lit(k)) for k, p in KEYWORDS.items()]
-    return log.withColumn("keywords", F.array_compact(F.array(*flags)))
+    found = F.regexp_extract_all(bare, F.lit(KEYWORDS), F.lit(1))
+    return log.withColumn("keywords", F.array_sort(F.array_distinct(found)))
 
 
 def keyword_profile(log: DataFrame, sql: str = "sql") -> tuple[DataFrame, DataFrame]:

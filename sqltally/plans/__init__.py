@@ -6,6 +6,8 @@ MODULES = [
     "compare_queries",
     "metric_queries",
     "mining_queries",
+    "rollout_queries",
+    "batch_queries",
 ]
 
 

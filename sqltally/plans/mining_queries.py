@@ -240,7 +240,7 @@ def numeric_rewards(spark, sf):
 @query(
     "rw3_numeric_rewards_flexible",
     "WITH " + NUMERIC + r""", a AS (
-  SELECT source, truth, list_filter(regexp_extract_all(response, '-?[0-9.,]+'), x -> x <> '.') AS u,
+  SELECT source, truth, [x for x in regexp_extract_all(response, '-?[0-9.,]+') if x <> '.'] AS u,
          regexp_extract_all(response, '-?[0-9.,]+') AS every FROM num),
 b AS (SELECT source, truth, coalesce(u[-1], every[1]) AS answer FROM a)
 SELECT source, round(CAST(sum(CASE WHEN answer IS NULL THEN 0 WHEN answer = truth THEN 1.0 ELSE 0.25 END) AS DOUBLE), 4) AS total FROM b GROUP BY 1""",

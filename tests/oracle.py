@@ -37,6 +37,6 @@ def compare(df, con, sql):
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}", len(got)
     if got != want:
-        a, b = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
-        return f"rows spark={len(got)} duck={len(want)}\n  spark only {a[:3]}\n  duck only  {b[:3]}", len(got)
+        a, b = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+        return f"rows spark={len(got)} duck={len(want)}\n  spark only {len(a)} {a[:3]}\n  duck only  {len(b)} {b[:3]}", len(got)
     return "", len(got)
