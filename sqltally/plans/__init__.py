@@ -8,6 +8,8 @@ MODULES = [
     "mining_queries",
     "rollout_queries",
     "batch_queries",
+    "catalog_queries",
+    "prep_queries",
 ]
 
 

@@ -126,7 +126,7 @@ def fold_unfold(spark, sf):
 
 RANKED = """r AS (
   SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rk,
-         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place,
          count(*) OVER (PARTITION BY source) AS n, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents),
 g AS (SELECT *, CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END AS grp FROM r)"""
 
@@ -139,7 +139,7 @@ def balanced_groups(spark, sf):
 
 @query(
     "bt11_balance_report",
-    f"""WITH {RANKED}, bf AS (SELECT source, at // (n // 5) AS p, sum(n_chars) AS s FROM g GROUP BY 1, 2),
+    f"""WITH {RANKED}, bf AS (SELECT source, place // (n // 5) AS p, sum(n_chars) AS s FROM g GROUP BY 1, 2),
 af AS (SELECT source, grp, sum(n_chars) AS s FROM g GROUP BY 1, 2),
 b1 AS (SELECT source, min(s) AS mn, max(s) AS mx FROM bf GROUP BY 1), a1 AS (SELECT source, min(s) AS mn, max(s) AS mx, sum(s) / 5 AS mean FROM af GROUP BY 1)
 SELECT source, CAST(b1.mn AS BIGINT) AS min, CAST(b1.mx AS BIGINT) AS max, CAST(b1.mx - b1.mn AS BIGINT) AS minmax_diff,
@@ -203,8 +203,8 @@ def read_tagged(spark, sf):
     path = scratch_path(spark, "tagged")
     key = F.col("o_orderkey")
     db = F.concat(F.lit("db"), (key % 6 % 3).cast("string"))
-    quoted = F.substring(F.to_json(F.array(F.concat("sql", F.lit(io.TAG), db))), 2, 1_000_000)
-    text = F.when(key % 10 == 9, F.lit("0")).otherwise(F.expr("substring(q, 1, length(q) - 1)"))
+    quoted = F.regexp_replace(F.to_json(F.array(F.concat("sql", F.lit(io.TAG), db))), r"^\[|\]$", "")
+    text = F.when(key % 10 == 9, F.lit("0")).otherwise(F.col("q"))
     line = F.concat(F.lit('    "'), key.cast("string"), F.lit('": '), text, F.lit(","))
     sql_log(spark, sf).withColumn("q", quoted).select(line.alias("value")).write.text(path)
     return io.read_tagged_predictions(spark, path)
