@@ -141,14 +141,14 @@ def words_of(text: Column) -> Column:
 
 def word_ngrams(df: DataFrame, key: str, col: str, max_n: int = 8) -> DataFrame:
     """``(key, rank, ngram)``: n-grams of length 1..max_n and the whole text, first seen first."""
-    sized = df.select(key, F.col(col).alias("_text"), words_of(F.col(col)).alias("_w"))
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_w") - (n - 1))
-        made = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
-        return F.when(F.size("_w") >= n, made).otherwise(F.array().cast("array<string>"))
-
-    every = F.concat(*[grams(n) for n in range(1, max_n + 1)], F.array("_text"))
+    # tokens one blank apart; each match eats one blank and captures the n tokens after it
+    spaced = F.concat(F.lit(" "), F.array_join(words_of(F.col(col)), " "))
+    sized = df.select(key, F.col(col).alias("_text"), spaced.alias("_spaced"))
+    grams = [
+        F.regexp_extract_all("_spaced", F.lit(rf" (?=(\S+(?: \S+){{{n - 1}}}(?!\S)))"), F.lit(1))
+        for n in range(1, max_n + 1)
+    ]
+    every = F.concat(*grams, F.array("_text"))
     return sized.select(key, F.posexplode(F.array_distinct(every)).alias("rank", "ngram"))
 
 
@@ -235,11 +235,9 @@ def _gram_size(room: Column) -> Column:
     return size
 
 
-def _gram_list(text: Column, size: Column) -> Column:
-    """Distinct substrings of length ``size``."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    made = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
-    return F.when(F.length(text) >= size, made).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of length ``size``: a zero-width match per position, linear in the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _block_pairs(questions: DataFrame, values: DataFrame, every: Column | None = None) -> DataFrame:
@@ -249,15 +247,20 @@ def _block_pairs(questions: DataFrame, values: DataFrame, every: Column | None =
     only join key, so common grams never meet.  Values flagged by ``every`` have no such core:
     any one of their grams may be the shared one, so all are used.
     """
-    # every gram size that occurs, one pass over the text per size
+    # gram sizes in use (four at most)
     sizes = [r["q"] for r in values.select("q").distinct().where("q IS NOT NULL").collect()]
-    core_grams = values.select("value_id", "q", F.explode(_gram_list(F.col("core"), F.col("q"))).alias("gram"))
-    wanted = core_grams.select("gram").distinct()
-    text = F.lower("question")
-    found = reduce(
+    if not sizes:
+        return questions.sparkSession.createDataFrame([], "question_id long, value_id long")
+    core_grams = reduce(
         DataFrame.unionByName,
-        [questions.select("question_id", F.explode(_gram_list(text, F.lit(q))).alias("gram")) for q in sizes],
-    ).join(wanted, "gram", "left_semi")
+        [
+            values.where(F.col("q") == q).select("value_id", F.explode(_grams(F.col("core"), q)).alias("gram"))
+            for q in sizes
+        ],
+    )
+    wanted = core_grams.select("gram").distinct()
+    grams = F.concat(*[_grams(F.col("low_q"), q) for q in sizes])
+    found = questions.select("question_id", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi")
     common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     counted = core_grams.join(common, "gram", "left")
     pick = F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram")))
@@ -288,6 +291,15 @@ def _longest_shared(value: Column, text: Column, least: Column) -> Column:
     )
 
 
+def _pinned(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Column ``name`` computed once per row; NULL drops the row.
+
+    A generator is not merged with the projections above it, so an expensive search is neither
+    repeated in every use nor copied into filters.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(expr))).alias(name))
+
+
 def match_values(
     questions: DataFrame, values: DataFrame, min_share: float = 0.85, k: int = 20
 ) -> DataFrame:
@@ -307,14 +319,20 @@ def match_values(
         .withColumn("core", F.substring("low", n - F.col("need") + 1, 2 * F.col("need") - n))
         .withColumn("q", _gram_size(F.length("core")))
     )
-    pairs = _block_pairs(questions, cored)
-    size = _longest_shared(F.col("low"), F.lower("question"), F.col("need"))
+    # lower case once, below the joins, so that the search loops do not repeat it; one shuffle of
+    # the texts serves the gram index and the final check
+    asked = questions.repartition("question_id").select(
+        "question_id", F.lower("question").alias("low_q")
+    )
+    pairs = _block_pairs(asked, cored)
+    size = _longest_shared(F.col("low"), F.col("low_q"), F.col("need"))
     scored = (
-        pairs.join(cored.select("value_id", "column", "value", "low", "need"), "value_id")
-        .join(questions, "question_id")
-        .withColumn("_size", size)
-        .where("_size > 0")
-        .withColumn("score", F.col("_size") / F.length("low"))
+        pairs.join(cored.select("value_id", "column", "value", "low", "need", "core"), "value_id")
+        .join(asked, "question_id")
+        .where(F.contains("low_q", F.col("core")))
+    )
+    scored = _pinned(scored, "_size", F.nullif(size, F.lit(0))).withColumn(
+        "score", F.col("_size") / F.length("low")
     )
     w = Window.partitionBy("question_id").orderBy(
         F.desc("score"), F.desc(F.length("value")), F.desc("value_id")
@@ -448,15 +466,17 @@ def fuzzy_link(
     cored = sized.withColumn(
         "core", F.when(has_core, F.substring("low", n - F.col("need") + 1, mid)).otherwise(F.col("low"))
     ).withColumn("q", F.when(has_core, _gram_size(mid)).otherwise(_gram_size(F.col("need"))))
-    asked = questions.withColumn("question", F.trim("question"))
+    spread = questions.repartition("question_id")
+    asked = spread.select("question_id", F.trim("question").alias("question")).withColumn(
+        "low_q", F.lower("question")
+    )
     pairs = _block_pairs(asked, cored, every=~has_core)
-    text = F.lower("question")
+    text = F.col("low_q")
     found = (
         pairs.join(cored.select("value_id", "column", "value", "low", "need"), "value_id")
         .join(asked, "question_id")
-        .withColumn("size", _longest_shared(F.col("low"), text, F.col("need")))
-        .where("size > 0")
     )
+    found = _pinned(found, "size", F.nullif(_longest_shared(F.col("low"), text, F.col("need")), F.lit(0)))
     # earliest block in the question, then in the value
     spots = F.transform(
         F.sequence(F.lit(1), n - F.col("size") + 1),
@@ -465,7 +485,7 @@ def fuzzy_link(
         ),
     )
     best = F.array_min(F.filter(spots, lambda p: p["at"] > 0))
-    placed = found.withColumn("best", best).withColumns(
+    placed = _pinned(found, "best", best).withColumns(
         {
             "from": F.greatest(F.col("best.at") - 2, F.lit(1)),
             "block": F.substring(F.trim("value"), F.col("best.s"), F.col("size")),
@@ -503,9 +523,11 @@ def lookup_values(tokens: DataFrame, cat_values: DataFrame, mode: str = "prefix"
     wanted = tokens.select(F.lower("token").alias("token")).where("token != ''").distinct()
     if mode == "prefix":
         longest = wanted.agg(F.max(F.length("token"))).scalar()
-        ends = F.sequence(F.lit(1), F.least(F.length("low"), longest))
-        keyed = distinct.where(longest.isNotNull()).select(
-            "column", F.explode(F.transform(ends, lambda i: F.substring("low", F.lit(1), i))).alias("token")
+        reach = F.least(F.length("low"), longest)
+        keyed = (
+            distinct.where(longest.isNotNull())
+            .select("column", "low", F.explode(F.sequence(F.lit(1), reach)).alias("i"))
+            .select("column", F.substring("low", F.lit(1), F.col("i")).alias("token"))
         )
     else:
         keyed = distinct.select("column", F.col("low").alias("token"))

@@ -133,8 +133,8 @@ g AS (
   SELECT item_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS ngram
   FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([1,2,3,4,5,6,7,8]) AS n FROM w))
   UNION ALL SELECT item_id, 9, 1, text FROM w),
-f AS (SELECT item_id, ngram, min(n * 1000000 + i) AS at FROM g GROUP BY 1, 2)
-SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY at) - 1 AS INTEGER) AS rank, ngram FROM f""",
+f AS (SELECT item_id, ngram, min(n * 1000000 + i) AS spot FROM g GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY spot) - 1 AS INTEGER) AS rank, ngram FROM f""",
 )
 def word_ngrams(spark, sf):
     return prep.word_ngrams(table(spark, sf, "benchmark"), "item_id", "text")
@@ -258,7 +258,7 @@ def lookup_exact(spark, sf):
 @query(
     "dp11_dedupe_queries",
     f"""WITH {SQL_LOG}, n AS (
-  SELECT o_orderkey AS ordinal, sql, CASE k WHEN 5 THEN 'select ''Distinct  Value'', o_custkey from orders where not o_custkey = ' || o_custkey
+  SELECT o_orderkey AS ordinal, sql, CASE k WHEN 5 THEN 'select ''Distinct Value'', o_custkey from orders where not o_custkey = ' || o_custkey
     WHEN 0 THEN 'select distinct o_custkey from orders where orders.o_orderpriority = ''' || prio || ''' and o_totalprice > ' || price
     WHEN 1 THEN 'select count(*) from orders where o_orderstatus = ''' || state || ''' group by o_custkey having count(*) > 2 order by o_custkey desc limit 5'
     WHEN 3 THEN 'select o_orderkey from orders where o_orderstatus like ''' || state || ''' or o_custkey in (' || o_custkey || ', 2)'
@@ -372,8 +372,8 @@ def trainable_tokens(spark, sf):
 @query(
     "dp19_preference_pairs",
     f"""WITH {TURNS}, j AS (
-  SELECT conv_id, turn, [(p || r || [1])[1:128], (p || list_reverse(r) || [1])[1:128]] AS both, least(np + nr + 1, 128) AS m FROM tn),
-k AS (SELECT conv_id, turn, m, both[1] || [0 FOR z IN range(0, 128 - m)] AS ch, both[2] || [0 FOR z IN range(0, 128 - m)] AS rj FROM j)
+  SELECT conv_id, turn, [(p || r || [1])[1:128], (p || list_reverse(r) || [1])[1:128]] AS two, least(np + nr + 1, 128) AS m FROM tn),
+k AS (SELECT conv_id, turn, m, two[1] || [0 FOR z IN range(0, 128 - m)] AS ch, two[2] || [0 FOR z IN range(0, 128 - m)] AS rj FROM j)
 SELECT conv_id, turn, {_dot_sql('ch')} AS chosen_sum, {_dot_sql('rj')} AS rejected_sum, CAST(m AS INTEGER) AS mask_sum FROM k""",
 )
 def preference_pairs(spark, sf):
