@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqltally.functions.lineage import cut_lineage
+from sqltally.functions.once import pinned
 
 #: Spark type -> declared SQL type name
 DECLARED = {
@@ -412,29 +413,31 @@ def training_columns(
     )
     # the catalog of a database as one array: every question reads it in place
     schema = cols.groupBy("db_id").agg(F.collect_list(F.struct("column_id", "low", "is_key")).alias("cols"))
-    sql = F.lower("sql")
-    tagged = questions.join(schema, "db_id").select(
-        "question_id",
-        F.transform(
+    joined = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(schema, "db_id")
+    tagged = pinned(
+        joined,
+        _cols=F.transform(
             "cols",
             lambda c: F.struct(
-                (~(c["is_key"] | F.contains(sql, c["low"]))).alias("spare"),
+                (~(c["is_key"] | F.contains("_sql", c["low"]))).alias("spare"),
                 F.xxhash64(F.lit(seed), "question_id", c["column_id"]).alias("h"),
                 c["column_id"].alias("column_id"),
             ),
-        ).alias("cols"),
+        ),
     )
-    needed = F.filter("cols", lambda c: ~c["spare"])
-    spare = F.array_sort(F.filter("cols", lambda c: c["spare"]))
-    share = (F.pmod(F.xxhash64(F.lit(seed), "question_id"), F.lit(10)) + 1) / 10
-    room = F.greatest(F.lit(0), F.lit(cap) - F.size("needed"))
-    count = F.least(F.floor(share * F.size("spare")).cast("int"), room)
-    chosen = tagged.select("question_id", needed.alias("needed"), spare.alias("spare")).select(
-        "question_id", F.concat("needed", F.slice("spare", F.lit(1), count)).alias("cols")
+    # needed columns sort before spare ones, spare ones by their hash: the answer is a prefix
+    sorted_cols = pinned(
+        tagged.select("question_id", "_cols"),
+        _sorted=F.array_sort("_cols"),
+        _needed=F.size(F.filter("_cols", lambda c: ~c["spare"])),
     )
-    return chosen.select("question_id", F.explode("cols").alias("c")).select(
-        "question_id", "c.column_id", (~F.col("c.spare")).alias("needed")
+    share = (F.pmod(F.xxhash64(F.lit(seed), "question_id"), F.lit(10)) + 1) / 10
+    room = F.greatest(F.lit(0), F.lit(cap) - F.col("_needed"))
+    extra = F.least(F.floor(share * (F.size("_sorted") - F.col("_needed"))).cast("int"), room)
+    chosen = sorted_cols.select(
+        "question_id", F.explode(F.slice("_sorted", F.lit(1), F.col("_needed") + extra)).alias("c")
     )
+    return chosen.select("question_id", "c.column_id", (~F.col("c.spare")).alias("needed"))
 
 
 # fixed values: layout of the two schema-text styles

@@ -292,44 +292,80 @@ def exact_match(overlaps: DataFrame, tables: DataFrame | None = None) -> tuple[D
     return partial, exact
 
 
-#: components of one query, in report order (fixed values)
-COMPONENTS = (
-    "select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "group", "order",
-    "and/or", "IUEN", "keywords",
-)
-
-
 def component_scores(components: DataFrame, questions: DataFrame) -> DataFrame:
-    """Label/pred/hit per question for every component but the set operations."""
+    """Label/pred/hit per question for every component but the set operations.
+
+    Three passes instead of one per component: item counts, counts without aggregate, and ordered
+    lists.  All end grouped by question, so joining them needs no further shuffle.
+    """
+    clause = F.col("clause")
+    part = components.where(clause.isin("select", "where", "group", "connective", "keyword"))
+    bare = F.when(
+        (clause == "group") & F.contains("item", F.lit(".")), F.split_part("item", F.lit("."), F.lit(2))
+    ).otherwise(F.col("item"))
+    is_set = clause.isin("connective", "keyword")
+
+    def counted(df: DataFrame, item: Column) -> DataFrame:
+        p, g = F.count_if(F.col("side") == "pred"), F.count_if(F.col("side") == "gold")
+        # connectives and keywords are sets: an item counts once per side
+        once = lambda n: F.when(is_set, F.least(n, F.lit(1))).otherwise(n)
+        return df.groupBy("question_id", "clause", item.alias("item")).agg(once(p).alias("p"), once(g).alias("g"))
+
+    def totals(df: DataFrame, clauses: Sequence[str], tag: str) -> DataFrame:
+        aggs = []
+        for c in clauses:
+            here = F.col("clause") == c
+            aggs += [
+                F.sum(F.when(here, F.col("g")).otherwise(0)).alias(f"{c}{tag}_label"),
+                F.sum(F.when(here, F.col("p")).otherwise(0)).alias(f"{c}{tag}_pred"),
+                F.sum(F.when(here, F.least("p", "g")).otherwise(0)).alias(f"{c}{tag}_hit"),
+            ]
+        return df.groupBy("question_id").agg(*aggs)
+
+    strict = totals(counted(part, bare), ("select", "where", "group", "connective", "keyword"), "")
+    loose_part = components.where(clause.isin("select", "where"))
+    loose = totals(counted(loose_part, F.col("item_no_agg")), ("select", "where"), "_loose")
+    lists = _lists(components, ["group", "having", "order", "limit"])
+    wide = (
+        questions.select("question_id")
+        .join(strict, "question_id", "left")
+        .join(loose, "question_id", "left")
+        .join(lists, "question_id", "left")
+    )
+    counts = [c for c in wide.columns if c.endswith(("_n", "_label", "_pred", "_hit")) and not c[-1].isdigit()]
+    wide = wide.na.fill(0, counts)
 
-    def part(name: str, df: DataFrame, hit: str = "hit") -> DataFrame:
-        return df.select(
-            "question_id", F.lit(name).alias("component"), F.col("label_n").cast("long").alias("label_n"),
-            F.col("pred_n").cast("long").alias("pred_n"), F.col(hit).cast("long").alias("hit"),
+    def row(name: str, label: Column, pred: Column, hit: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("component"), label.cast("long").alias("label_n"),
+            pred.cast("long").alias("pred_n"), hit.cast("long").alias("hit"),
         )
 
-    sel, cond = component_overlap(components, "select"), component_overlap(components, "where")
-    found = part("select", sel)
-    for name, df, hit in (
-        ("select(no AGG)", sel, "hit_loose"),
-        ("where", cond, "hit"),
-        ("where(no OP)", cond, "hit_loose"),
-        ("group(no Having)", group_overlap(components), "hit"),
-        ("group", clause_equal(components, "having"), "hit"),
-        ("order", clause_equal(components, "order"), "hit"),
-        ("and/or", connective_match(components), "hit"),
-        ("keywords", keyword_match(components), "hit"),
-    ):
-        found = found.unionByName(part(name, df, hit))
-    names = [c for c in COMPONENTS if c != "IUEN"]
-    grid = questions.select(
-        "question_id", F.explode(F.array(*[F.lit(c) for c in names])).alias("component")
-    )
-    # a component absent on both sides scores 0 of 0, except and/or: two empty sets count as 1 of 1
-    empty = F.when(F.col("component") == "and/or", 1).otherwise(0).cast("long")
-    return grid.join(found, ["question_id", "component"], "left").select(
-        "question_id", "component", *[F.coalesce(c, empty).alias(c) for c in ("label_n", "pred_n", "hit")]
-    )
+    def triple(name: str, c: str) -> Column:
+        return row(name, F.col(f"{c}_label"), F.col(f"{c}_pred"), F.col(f"{c}_hit"))
+
+    having = (F.col("group_pred_n") > 0) & (F.col("group_gold_n") > 0) & _same_list("group") & _same_list("having")
+    limited = (F.col("limit_pred_n") > 0) == (F.col("limit_gold_n") > 0)
+    order = (F.col("order_gold_n") > 0) & _same_list("order") & limited
+    # equal connective sets count as one of one, empty sets included
+    links = F.col("connective_label"), F.col("connective_pred"), F.col("connective_hit")
+    same_links = (links[0] == links[2]) & (links[1] == links[2])
+    one = F.lit(1)
+    rows = [
+        triple("select", "select"), triple("select(no AGG)", "select_loose"),
+        triple("where", "where"), triple("where(no OP)", "where_loose"),
+        triple("group(no Having)", "group"),
+        row("group", F.col("group_gold_n") > 0, F.col("group_pred_n") > 0, having),
+        row("order", F.col("order_gold_n") > 0, F.col("order_pred_n") > 0, order),
+        row(
+            "and/or",
+            F.when(same_links, one).otherwise(links[1]),
+            F.when(same_links, one).otherwise(links[0]),
+            same_links,
+        ),
+        triple("keywords", "keyword"),
+    ]
+    return wide.select("question_id", F.inline(F.array(*rows)))
 
 
 def nested_match(components: DataFrame, scopes: Sequence[str] = ("intersect", "except", "union")) -> DataFrame:

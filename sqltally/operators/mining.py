@@ -196,25 +196,33 @@ def literal_usage(log: DataFrame, sql: str = "sql") -> DataFrame:
 
     In comparisons a ``T1.``-style alias counts as no table.  Columns are upper-cased, quotes removed.
     """
-    name = r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)"
-    value = r"('[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)"
-    text = F.col(sql)
-    compared = rf"{name}\s*(?:<=|>=|<>|!=|=|<|>|(?i:\blike\b))\s*{value}"
-    ranged = rf"(?i){name}\s+between\s+([^\s;]+)\s+and\s+([^\s;]+)"
-
-    def hits(pattern: str, groups: tuple[int, ...], value_group: int) -> Column:
-        cols = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (*groups, value_group)]
-        return F.arrays_zip(*[c.alias(n) for c, n in zip(cols, ("t", "c", "v"))])
-
-    unaliased = F.transform(
-        hits(compared, (1, 2), 3),
-        lambda h: h.withField("t", F.when(h["t"].rlike(r"^[tT]\d$"), F.lit("")).otherwise(h["t"])),
-    )
-    found = F.concat(unaliased, hits(ranged, (1, 2), 3), hits(ranged, (1, 2), 4))
-    each = log.select(F.explode(found).alias("h")).select(
-        F.when(F.col("h.t") != "", F.lower("h.t")).alias("table"),
-        F.upper("h.c").alias("column"),
-        F.regexp_replace("h.v", r"^['\"`]|['\"`]$", "").alias("value"),
+    # matches start at a name's first character only; the parts are cut out of the short match
+    name = r"(?<![\w.])(?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*"
+    value = r"(?:'[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)"
+    compared = rf"({name}\s*(?:<=|>=|<>|!=|=|<|>|(?i:\blike\b))\s*{value})"
+    ranged = rf"(?i)({name}\s+between\s+[^\s;]+\s+and\s+[^\s;]+)"
+    hits = [F.regexp_extract_all(F.col(sql), F.lit(p), F.lit(1)) for p in (compared, ranged)]
+    found = log.select(
+        F.explode(
+            F.concat(
+                F.transform(hits[0], lambda h: F.struct(F.lit(False).alias("ranged"), h.alias("h"))),
+                F.transform(hits[1], lambda h: F.struct(F.lit(True).alias("ranged"), h.alias("h"))),
+            )
+        ).alias("m")
+    ).select("m.ranged", "m.h")
+    column = F.regexp_extract("h", r"^[\w.]+", 0)
+    bounds = F.split(F.regexp_replace("h", r"(?i)^\S+\s+between\s+", ""), r"(?i)\s+and\s+")
+    right = F.array(F.regexp_replace("h", r"(?i)^[\w.]+\s*(?:[<>=!]+|like)\s*", ""))
+    dotted = F.contains("name", F.lit("."))
+    table = F.when(dotted, F.lower(F.element_at(F.split("name", r"\."), 1)))
+    each = (
+        found.select("ranged", column.alias("name"), F.explode(F.when(F.col("ranged"), bounds).otherwise(right)).alias("v"))
+        .select(
+            # an alias such as T1 names no table in a comparison
+            F.when(F.col("ranged") | ~table.rlike(r"^t\d$"), table).alias("table"),
+            F.upper(F.element_at(F.split("name", r"\."), -1)).alias("column"),
+            F.regexp_replace("v", r"^['\"`]|['\"`]$", "").alias("value"),
+        )
     )
     return each.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 

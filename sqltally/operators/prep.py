@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqltally.functions.once import pinned
 from sqltally.functions.text import outside_quotes
 
 # --- splits and records -------------------------------------------------------------------------
@@ -291,15 +292,6 @@ def _longest_shared(value: Column, text: Column, least: Column) -> Column:
     )
 
 
-def _pinned(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    """Column ``name`` computed once per row; NULL drops the row.
-
-    A generator is not merged with the projections above it, so an expensive search is neither
-    repeated in every use nor copied into filters.
-    """
-    return df.select("*", F.explode(F.array_compact(F.array(expr))).alias(name))
-
-
 def match_values(
     questions: DataFrame, values: DataFrame, min_share: float = 0.85, k: int = 20
 ) -> DataFrame:
@@ -331,7 +323,7 @@ def match_values(
         .join(asked, "question_id")
         .where(F.contains("low_q", F.col("core")))
     )
-    scored = _pinned(scored, "_size", F.nullif(size, F.lit(0))).withColumn(
+    scored = pinned(scored, _size=size).where("_size > 0").withColumn(
         "score", F.col("_size") / F.length("low")
     )
     w = Window.partitionBy("question_id").orderBy(
@@ -476,7 +468,7 @@ def fuzzy_link(
         pairs.join(cored.select("value_id", "column", "value", "low", "need"), "value_id")
         .join(asked, "question_id")
     )
-    found = _pinned(found, "size", F.nullif(_longest_shared(F.col("low"), text, F.col("need")), F.lit(0)))
+    found = pinned(found, size=_longest_shared(F.col("low"), text, F.col("need"))).where("size > 0")
     # earliest block in the question, then in the value
     spots = F.transform(
         F.sequence(F.lit(1), n - F.col("size") + 1),
@@ -485,7 +477,7 @@ def fuzzy_link(
         ),
     )
     best = F.array_min(F.filter(spots, lambda p: p["at"] > 0))
-    placed = _pinned(found, "best", best).withColumns(
+    placed = pinned(found, best=best).withColumns(
         {
             "from": F.greatest(F.col("best.at") - 2, F.lit(1)),
             "block": F.substring(F.trim("value"), F.col("best.s"), F.col("size")),
@@ -556,12 +548,18 @@ def _cut(ids: Column, length: int, truncation: str) -> Column:
     return F.when(n > length, short).otherwise(ids)
 
 
+def _ones(mask: str) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda a, m: a + m)
+
+
 def with_position_ids(df: DataFrame, mask: str = "mask", name: str = "position_ids") -> DataFrame:
     """Positions ``max(cumsum(mask) - 1, 0)`` of a mask that is one run of ones."""
-    ones = F.aggregate(mask, F.lit(0), lambda a, m: a + m)
-    before = F.greatest(F.array_position(mask, 1) - 1, F.lit(0)).cast("int")
-    at = F.transform(mask, lambda m, i: F.greatest(F.least(i - before, ones - 1), F.lit(0)))
-    return df.withColumn(name, at)
+    first = F.greatest(F.array_position(mask, 1) - 1, F.lit(0)).cast("int")
+    at = F.transform(
+        mask,
+        lambda m, i: F.greatest(F.least(i - F.col("_first"), F.col("_valid") - 1), F.lit(0)),
+    )
+    return pinned(df, _valid=_ones(mask), _first=first).withColumn(name, at).drop("_valid", "_first")
 
 
 def training_sequences(
@@ -576,27 +574,29 @@ def training_sequences(
 
     ``n_tokens`` keeps the original length for the report.
     """
-    n = F.size("ids")
-    cut = df.withColumn("n_tokens", n).withColumn("ids", _cut(F.col("ids"), length, truncation))
-    ones, pads = _filled(1, F.size("ids")), _filled(0, F.lit(length) - F.size("ids"))
-    fill = _filled(pad_id, F.lit(length) - F.size("ids"))
+    raw = pinned(df.withColumnRenamed("ids", "_raw"), n_tokens=F.size("_raw"))
+    cut = pinned(raw, _kept=_cut(F.col("_raw"), length, truncation)).drop("_raw")
+    room = F.lit(length) - F.size("_kept")
+    ones, pads, fill = _filled(1, F.size("_kept")), _filled(0, room), _filled(pad_id, room)
     if side == "left":
-        mask, ids = F.concat(pads, ones), F.concat(fill, "ids")
+        mask, ids = F.concat(pads, ones), F.concat(fill, "_kept")
     else:
-        mask, ids = F.concat(ones, pads), F.concat("ids", fill)
-    out = with_position_ids(cut.withColumn("mask", mask).withColumn("ids", ids))
+        mask, ids = F.concat(ones, pads), F.concat("_kept", fill)
+    out = with_position_ids(pinned(cut, mask=mask, ids=ids).drop("_kept"))
     if eos_id is not None:
-        end = F.array_position("ids", eos_id)
+        out = pinned(out, _end=F.array_position("ids", eos_id))
         out = out.withColumn(
-            "eos_mask", F.transform("ids", lambda _, i: ((end == 0) | (i < end)).cast("int"))
-        )
+            "eos_mask",
+            F.transform("ids", lambda _, i: ((F.col("_end") == 0) | (i < F.col("_end"))).cast("int")),
+        ).drop("_end")
     return out
 
 
 def remove_padding(df: DataFrame, ids: str = "ids", mask: str = "mask") -> DataFrame:
     """Undo left padding."""
-    ones = F.aggregate(mask, F.lit(0), lambda a, m: a + m)
-    return df.withColumn(ids, F.slice(ids, F.size(ids) - ones + 1, ones))
+    valid = pinned(df, _valid=_ones(mask))
+    start = F.size(ids) - F.col("_valid") + 1
+    return valid.withColumn(ids, F.slice(ids, start, F.col("_valid"))).drop("_valid")
 
 
 def sequence_report(sequences: DataFrame, length: int, source: str = "source") -> DataFrame:

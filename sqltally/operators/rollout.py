@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqltally.functions.once import pinned
 from sqltally.functions.ordering import running_sum
 from sqltally.functions.skew import salted_join
 
@@ -247,17 +248,23 @@ def value_loss(tokens: DataFrame, clip: float, by: tuple[str, ...] = ()) -> Data
 
 def with_logprob_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
     """Label log-probability and entropy of each logit vector (max-shifted log-sum-exp)."""
-    x = F.transform(F.col(logits), lambda v: v.cast("double"))
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    dot = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top) * v)
-    lse = F.log(total) + top
-    return df.withColumns(
+    vectors = pinned(df, _x=F.transform(F.col(logits), lambda v: v.cast("double")))
+    shifted = pinned(vectors, _top=F.array_max("_x"))
+    # one walk over the vector: sum of exp(v - top) and of exp(v - top) * v
+
+    def add(acc: Column, v: Column) -> Column:
+        e = F.exp(v - F.col("_top"))
+        return F.struct((acc["s"] + e).alias("s"), (acc["d"] + e * v).alias("d"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"))
+    summed = pinned(shifted, _sum=F.aggregate("_x", start, add))
+    lse = F.log(F.col("_sum.s")) + F.col("_top")
+    return summed.withColumns(
         {
-            "logprob": F.element_at(x, F.col(label).cast("int") + 1) - lse,
-            "entropy": lse - dot / total,
+            "logprob": F.element_at("_x", F.col(label).cast("int") + 1) - lse,
+            "entropy": lse - F.col("_sum.d") / F.col("_sum.s"),
         }
-    )
+    ).drop("_x", "_top", "_sum")
 
 
 def logprob_entropy(df: DataFrame, logits: str, label: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

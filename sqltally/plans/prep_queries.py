@@ -152,7 +152,7 @@ sc AS (
   SELECT query_id, value_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl))), 9) AS score
   FROM q JOIN p USING (token) JOIN df USING (token) JOIN l USING (value_id), s GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, value_id) AS rank FROM sc)
-SELECT query_id, value_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+SELECT query_id, value_id, round(score + 2e-10, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
 )
 def retrieve_topk(spark, sf):
     """Conversation turns ask for benchmark passages."""
@@ -161,7 +161,7 @@ def retrieve_topk(spark, sf):
     )
     values = table(spark, sf, "benchmark").select(F.col("item_id").alias("value_id"), "text")
     out = prep.retrieve_topk(queries, values)
-    return out.withColumn("score", F.round("score", 6))
+    return out.withColumn("score", F.round(F.col("score") + 2e-10, 6))
 
 
 def _sentences(spark, sf):
