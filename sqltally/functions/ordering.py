@@ -52,15 +52,17 @@ def with_rank(
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "ordinal",
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Add a dense 0-based ``name`` by ascending ``order`` within ``by`` (whole table if empty).
 
     ``order`` must identify a row within its group.  Groups that are not heavy are numbered by a
-    plain window; heavy groups, and the whole table, by value ranges.
+    plain window; heavy groups, and the whole table, by value ranges.  ``heavy`` passes on the
+    result of an earlier ``heavy_hashes`` for ``by``.
     """
     by, order = list(by), list(order)
     if by:
-        heavy = heavy_hashes(df, by)
+        heavy = heavy_hashes(df, by) if heavy is None else heavy
         if not heavy:
             w = Window.partitionBy(*by).orderBy(*order)
             return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))

@@ -46,14 +46,16 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = (),
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Equi-join ``big`` with ``small``; rows of heavy keys are spread by the ``spread`` columns.
 
     Only ``small`` rows of heavy keys are replicated.  ``how`` is ``inner``, ``left``,
-    ``left_semi`` or ``left_anti``: ``big`` is the row-preserving side.
+    ``left_semi`` or ``left_anti``: ``big`` is the row-preserving side.  ``heavy`` passes on the
+    result of an earlier ``heavy_hashes`` for the same keys.
     """
     keys = list(keys)
-    heavy = heavy_hashes(big, keys)
+    heavy = heavy_hashes(big, keys) if heavy is None else heavy
     if not heavy:
         return big.join(small, keys, how)
     is_heavy = key_hash(keys).isin(heavy)

@@ -20,14 +20,19 @@ STRING_LITERAL = r"'[^']*'|\"[^\"]*\""
 NUMBER_LITERAL = r"(?<![\w.])-?\d+(?:\.\d+)?(?![\w.])"
 
 
-def clean_sql(sql: Column) -> Column:
-    """Comments, tabs and newlines removed, split operators and current-year calls repaired."""
+def clean_sql(sql: Column, plug_value: bool = False) -> Column:
+    """Comments, tabs and newlines removed, split operators and current-year calls repaired.
+
+    ``plug_value`` turns the placeholder text ``value`` into ``1``.
+    """
     out = F.regexp_replace(sql, r"(?s)/\*.*?\*/", "")
     out = F.regexp_replace(out, r"(?m)--.*$", "")
     out = strip(F.regexp_replace(out, r"[\n\t]", " "))
     for broken, whole in (("> =", ">="), ("< =", "<="), ("! =", "!=")):
         out = F.replace(out, F.lit(broken), F.lit(whole))
     out = F.regexp_replace(out, r"(?i)year\s*\(\s*curdate\s*\(\s*\)\s*\)\s*", "2020")
+    if plug_value:
+        out = F.replace(out, F.lit("value"), F.lit("1"))
     return F.when(out == "", ERROR_SQL).otherwise(out)
 
 
@@ -37,14 +42,14 @@ def extract_sql(response: Column, blank: str = "") -> Column:
     return F.when(found == "", blank).otherwise(found)
 
 
-def mine_candidates(responses: DataFrame, blank: str = "") -> DataFrame:
+def mine_candidates(responses: DataFrame, blank: str = "", plug_value: bool = False) -> DataFrame:
     """One row per distinct candidate of a question, with its sample count and first index.
 
     ``responses(question_id, responses ARRAY<STRING>)``; ``blank='SELECT'`` is the list variant.
     """
     each = responses.select("question_id", F.posexplode("responses").alias("ix", "response"))
     return (
-        each.select("question_id", "ix", clean_sql(extract_sql(F.col("response"), blank)).alias("sql"))
+        each.select("question_id", "ix", clean_sql(extract_sql(F.col("response"), blank), plug_value).alias("sql"))
         .groupBy("question_id", "sql")
         .agg(F.count(F.lit(1)).alias("n_samples"), F.min("ix").alias("cand_id"))
     )

@@ -14,17 +14,26 @@ from pyspark.sql import functions as F
 
 from sqltally.functions.once import pinned
 from sqltally.functions.ordering import running_sum
-from sqltally.functions.skew import salted_join
+from sqltally.functions.skew import heavy_hashes, salted_join
 
 #: positions per block of a scan
 BLOCK = 65536
 
 
-def eos_mask(tokens: DataFrame, eos: str) -> DataFrame:
-    """``mask`` = 1 up to and including the first position where ``eos`` holds."""
+def eos_mask(tokens: DataFrame, eos: str, heavy: list[int] | None = None) -> DataFrame:
+    """``mask`` = 1 up to and including the first position where ``eos`` holds.
+
+    A running count of earlier ends per sequence; if a sequence is heavy, its first end is
+    aggregated and joined back instead.
+    """
+    heavy = heavy_hashes(tokens, ["seq_id"]) if heavy is None else heavy
+    if not heavy:
+        before = Window.partitionBy("seq_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+        ended = F.coalesce(F.max(F.col(eos)).over(before), F.lit(False))
+        return tokens.withColumn("mask", (~ended).cast("int"))
     first = tokens.where(F.col(eos)).groupBy("seq_id").agg(F.min("t").alias("_first"))
     return (
-        salted_join(tokens, first, ["seq_id"], "left", spread=["t"])
+        salted_join(tokens, first, ["seq_id"], "left", spread=["t"], heavy=heavy)
         .withColumn("mask", F.coalesce((F.col("t") <= F.col("_first")).cast("int"), F.lit(1)))
         .drop("_first")
     )
@@ -283,51 +292,70 @@ def batch_metrics(tokens: DataFrame, use_critic: bool = True) -> DataFrame:
     """Long ``metrics(step, name, value)`` of scores, rewards, advantages, returns and lengths.
 
     ``tokens`` carry ``step, score, reward, adv, ret, value, mask`` and per-row ``prompt_len``.
-    Maximum lengths are those seen in the step.
+    Maximum lengths are those seen in the step.  One pass over the tokens: sequences and the whole
+    step are two grouping sets of the same aggregate.
     """
-    seqs = tokens.groupBy("step", "seq_id").agg(
+    valid = lambda x: F.when(F.col("mask") == 1, x)
+    token_parts = {}
+    columns = [("critic/advantages", "adv"), ("critic/returns", "ret")]
+    if use_critic:
+        columns.append(("critic/values", "value"))
+    for title, c in columns:
+        for kind, fn in (("mean", F.avg), ("max", F.max), ("min", F.min)):
+            token_parts[f"{title}/{kind}"] = fn(valid(F.col(c))).cast("double")
+    if use_critic:
+        error = F.var_samp(valid(F.col("ret") - F.col("value")))
+        token_parts["critic/vf_explained_var"] = 1 - error / (F.var_samp(valid(F.col("ret"))) + 1e-5)
+    grouped = tokens.groupingSets([["step", "seq_id"], ["step"]], "step", "seq_id").agg(
+        (F.grouping("seq_id") == 1).alias("whole"),
         F.sum("score").alias("score"),
         F.sum("reward").alias("reward"),
-        F.sum("mask").alias("response_length"),
+        F.sum("mask").alias("rl"),
         F.count(F.lit(1)).alias("width"),
-        F.max("prompt_len").alias("prompt_length"),
+        F.max("prompt_len").alias("pl"),
+        F.struct(*[v.alias(k) for k, v in token_parts.items()]).alias("tok"),
     )
-    seq_aggs, tok_aggs = [], []
-    for title, col in (
-        ("critic/score", "score"), ("critic/rewards", "reward"),
-        ("response_length", "response_length"), ("prompt_length", "prompt_length"),
-    ):
-        for fn in (F.avg, F.max, F.min):
-            short = {"avg": "mean"}.get(fn.__name__, fn.__name__)
-            seq_aggs.append(fn(col).cast("double").alias(f"{title}/{short}"))
-    per_step = seqs.groupBy("step").agg(F.max("width").alias("w"), F.max("prompt_length").alias("p"))
-    clips = (
-        salted_join(seqs, per_step, ["step"], spread=["seq_id"])
-        .groupBy("step")
-        .agg(
-            F.avg((F.col("response_length") == F.col("w")).cast("double")).alias("response_length/clip_ratio"),
-            F.avg((F.col("prompt_length") == F.col("p")).cast("double")).alias("prompt_length/clip_ratio"),
-        )
+    # one row per step and pair of lengths: few rows, whatever the number of sequences
+    shapes = grouped.groupBy("step", "whole", "rl", "pl").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("width").alias("width"),
+        F.max(F.when(F.col("whole"), F.col("tok"))).alias("tok"),
+        *[fn(c).alias(f"{c}_{fn.__name__}") for c in ("score", "reward") for fn in (F.sum, F.max, F.min)],
     )
-    pairs = [("critic/advantages", "adv"), ("critic/returns", "ret")]
-    if use_critic:
-        pairs.append(("critic/values", "value"))
-    for title, col in pairs:
-        for fn in (F.avg, F.max, F.min):
-            short = {"avg": "mean"}.get(fn.__name__, fn.__name__)
-            tok_aggs.append(fn(col).cast("double").alias(f"{title}/{short}"))
-    if use_critic:
-        tok_aggs.append(
-            (1 - F.var_samp(F.col("ret") - F.col("value")) / (F.var_samp("ret") + 1e-5)).alias(
-                "critic/vf_explained_var"
-            )
-        )
-    wide = (
-        seqs.groupBy("step").agg(*seq_aggs)
-        .join(tokens.where("mask = 1").groupBy("step").agg(*tok_aggs), "step")
-        .join(clips, "step")
+    in_step = Window.partitionBy("step")
+    seq = lambda x: F.when(~F.col("whole"), x)
+    limited = shapes.withColumns(
+        {"max_rl": F.max(seq(F.col("width"))).over(in_step), "max_pl": F.max(seq(F.col("pl"))).over(in_step)}
+    )
+    n = F.sum(seq(F.col("n")))
+
+    def spread(title: str, c: str) -> list[Column]:
+        parts = {
+            "mean": F.sum(seq(F.col(f"{c}_sum"))) / n,
+            "max": F.max(seq(F.col(f"{c}_max"))),
+            "min": F.min(seq(F.col(f"{c}_min"))),
+        }
+        return [v.cast("double").alias(f"{title}/{k}") for k, v in parts.items()]
+
+    def lengths(title: str, c: str) -> list[Column]:
+        parts = {
+            "mean": F.sum(seq(F.col(c) * F.col("n"))) / n,
+            "max": F.max(seq(F.col(c))),
+            "min": F.min(seq(F.col(c))),
+            "clip_ratio": F.sum(seq(F.when(F.col(c) == F.col(f"max_{c}"), F.col("n")).otherwise(0))) / n,
+        }
+        return [v.cast("double").alias(f"{title}/{k}") for k, v in parts.items()]
+
+    wide = limited.groupBy("step").agg(
+        *spread("critic/score", "score"),
+        *spread("critic/rewards", "reward"),
+        *lengths("response_length", "rl"),
+        *lengths("prompt_length", "pl"),
+        F.max("tok").alias("tok"),
+    )
+    return to_long(
+        wide.select("*", *[F.col("tok").getField(k).alias(k) for k in token_parts]).drop("tok")
     )
-    return to_long(wide)
 
 
 def to_long(wide: DataFrame, step: str = "step") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sqltally.functions.cells import canonical_cell
 from sqltally.functions.ordering import with_rank
-from sqltally.functions.skew import salted_join
+from sqltally.functions.skew import heavy_hashes, salted_join
 from sqltally.operators import rollout
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -243,8 +243,10 @@ def tokens(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", *order, "l_discount", "l_tax", "l_returnflag"
     )
-    ranked = with_rank(li, order, ["l_orderkey"], "t").withColumnRenamed("l_orderkey", "seq_id")
-    masked = rollout.eos_mask(ranked.withColumn("eos", F.col("l_returnflag") == "R"), "eos")
+    # looked up once on the plain scan; the hash of a key does not depend on its column name
+    heavy = heavy_hashes(li, ["l_orderkey"])
+    ranked = with_rank(li, order, ["l_orderkey"], "t", heavy).withColumnRenamed("l_orderkey", "seq_id")
+    masked = rollout.eos_mask(ranked.withColumn("eos", F.col("l_returnflag") == "R"), "eos", heavy)
     out = masked.select(
         "seq_id",
         "t",
@@ -262,7 +264,7 @@ def tokens(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
         F.col("o_custkey").alias("group_id"),
         F.year("o_orderdate").alias("step"),
     )
-    return salted_join(out, o, ["seq_id"], spread=["t"])
+    return salted_join(out, o, ["seq_id"], spread=["t"], heavy=heavy)
 
 
 TOKENS = """

@@ -156,3 +156,12 @@ def test_batches_round_trip_and_checks(spark):
     assert batching.unpad(batching.pad_to(df, 5)).count() == 12 and batching.pad_to(df, 5).count() == 15
     runs = batching.minibatches(df, 5, 2, seed=1).groupBy("epoch", "batch").count().collect()
     assert sorted((r.epoch, r.batch, r["count"]) for r in runs) == [(0, 0, 5), (0, 1, 5), (1, 0, 5), (1, 1, 5)]
+
+
+def test_candidates_from_responses(spark):
+    one, none = "x ```sql\nSELECT a\n``` y ```sql\nSELECT value -- c\n```", "no block"
+    df = spark.createDataFrame([(0, [one, none, one])], "question_id long, responses array<string>")
+    got = {r.sql: (r.n_samples, r.cand_id) for r in mining.mine_candidates(df).collect()}
+    assert got == {"SELECT value": (2, 0), "Error SQL": (1, 1)}
+    got = {r.sql for r in mining.mine_candidates(df, blank="SELECT", plug_value=True).collect()}
+    assert got == {"SELECT 1", "SELECT"}
