@@ -313,13 +313,13 @@ def batch_metrics(tokens: DataFrame, use_critic: bool = True) -> DataFrame:
         F.sum("mask").alias("rl"),
         F.count(F.lit(1)).alias("width"),
         F.max("prompt_len").alias("pl"),
-        F.struct(*[v.alias(k) for k, v in token_parts.items()]).alias("tok"),
+        *[v.alias(f"_tok{i}") for i, v in enumerate(token_parts.values())],
     )
     # one row per step and pair of lengths: few rows, whatever the number of sequences
     shapes = grouped.groupBy("step", "whole", "rl", "pl").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("width").alias("width"),
-        F.max(F.when(F.col("whole"), F.col("tok"))).alias("tok"),
+        *[F.max(F.when(F.col("whole"), F.col(f"_tok{i}"))).alias(f"_tok{i}") for i in range(len(token_parts))],
         *[fn(c).alias(f"{c}_{fn.__name__}") for c in ("score", "reward") for fn in (F.sum, F.max, F.min)],
     )
     in_step = Window.partitionBy("step")
@@ -351,11 +351,9 @@ def batch_metrics(tokens: DataFrame, use_critic: bool = True) -> DataFrame:
         *spread("critic/rewards", "reward"),
         *lengths("response_length", "rl"),
         *lengths("prompt_length", "pl"),
-        F.max("tok").alias("tok"),
-    )
-    return to_long(
-        wide.select("*", *[F.col("tok").getField(k).alias(k) for k in token_parts]).drop("tok")
+        *[F.max(f"_tok{i}").alias(k) for i, k in enumerate(token_parts)],
     )
+    return to_long(wide)
 
 
 def to_long(wide: DataFrame, step: str = "step") -> DataFrame:
