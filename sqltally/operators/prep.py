@@ -225,13 +225,15 @@ def retrieve_topk(
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: block lengths used to index text, longest usable one per value
-GRAMS = (1, 2, 4, 8)
+#: gram lengths used to index text: for values with a core, and for short values without one
+CORE_GRAMS = (1, 2, 4, 8, 16)
+SHORT_GRAMS = tuple(range(1, 9))
 
 
-def _gram_size(room: Column) -> Column:
+def _gram_size(room: Column, sizes: Sequence[int] = CORE_GRAMS) -> Column:
+    """The largest of ``sizes`` that fits."""
     size = F.lit(None).cast("int")
-    for g in GRAMS:
+    for g in sizes:
         size = F.when(room >= g, g).otherwise(size)
     return size
 
@@ -241,40 +243,30 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _block_pairs(questions: DataFrame, values: DataFrame, every: Column | None = None) -> DataFrame:
+def _block_pairs(asked: DataFrame, values: DataFrame, every: Column | None = None) -> DataFrame:
     """Candidate (question_id, value_id) pairs by a shared gram of the value's ``core``.
 
-    A match must contain the whole core, hence each of its grams; the rarest one is used as the
-    only join key, so common grams never meet.  Values flagged by ``every`` have no such core:
-    any one of their grams may be the shared one, so all are used.
+    A match must contain the whole core, hence each of its grams; one of them (the smallest by
+    hash) is the value's only join key.  Values flagged by ``every`` have no such core: any one of
+    their grams may be the shared one, so all are keys.  The texts are read once.
     """
-    # gram sizes in use (four at most)
+    grams = F.lit(None).cast("array<string>")
+    for g in sorted({*CORE_GRAMS, *SHORT_GRAMS}):
+        grams = F.when(F.col("q") == g, _grams(F.col("core"), g)).otherwise(grams)
+    listed = pinned(values.where("q IS NOT NULL"), _all=grams)
+    least = F.array_min(F.transform("_all", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    chosen = F.array(least["g"])
+    if every is not None:
+        chosen = F.when(every, F.col("_all")).otherwise(chosen)
+    keys = listed.select("value_id", F.explode(chosen).alias("gram"))
+    # gram sizes in use (nine at most)
     sizes = [r["q"] for r in values.select("q").distinct().where("q IS NOT NULL").collect()]
     if not sizes:
-        return questions.sparkSession.createDataFrame([], "question_id long, value_id long")
-    core_grams = reduce(
-        DataFrame.unionByName,
-        [
-            values.where(F.col("q") == q).select("value_id", F.explode(_grams(F.col("core"), q)).alias("gram"))
-            for q in sizes
-        ],
+        return asked.sparkSession.createDataFrame([], "question_id long, value_id long")
+    found = asked.select(
+        "question_id", F.explode(F.concat(*[_grams(F.col("low_q"), q) for q in sizes])).alias("gram")
     )
-    wanted = core_grams.select("gram").distinct()
-    grams = F.concat(*[_grams(F.col("low_q"), q) for q in sizes])
-    found = questions.select("question_id", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi")
-    common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    counted = core_grams.join(common, "gram", "left")
-    pick = F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram")))
-    if every is None:
-        keys = counted.groupBy("value_id").agg(pick.alias("gram"))
-    else:
-        loose = values.select("value_id", every.alias("_all"))
-        tagged = counted.join(loose, "value_id")
-        keys = (
-            tagged.where(~F.col("_all")).groupBy("value_id").agg(pick.alias("gram"))
-            .unionByName(tagged.where("_all").select("value_id", "gram"))
-        )
-    return keys.join(found, "gram").select("question_id", "value_id").distinct()
+    return found.join(keys, "gram").select("question_id", "value_id").distinct()
 
 
 def _longest_shared(value: Column, text: Column, least: Column) -> Column:
@@ -457,7 +449,7 @@ def fuzzy_link(
     has_core = mid >= 4
     cored = sized.withColumn(
         "core", F.when(has_core, F.substring("low", n - F.col("need") + 1, mid)).otherwise(F.col("low"))
-    ).withColumn("q", F.when(has_core, _gram_size(mid)).otherwise(_gram_size(F.col("need"))))
+    ).withColumn("q", F.when(has_core, _gram_size(mid)).otherwise(_gram_size(F.col("need"), SHORT_GRAMS)))
     spread = questions.repartition("question_id")
     asked = spread.select("question_id", F.trim("question").alias("question")).withColumn(
         "low_q", F.lower("question")
@@ -465,8 +457,9 @@ def fuzzy_link(
     pairs = _block_pairs(asked, cored, every=~has_core)
     text = F.col("low_q")
     found = (
-        pairs.join(cored.select("value_id", "column", "value", "low", "need"), "value_id")
+        pairs.join(cored.select("value_id", "column", "value", "low", "need", "core"), "value_id")
         .join(asked, "question_id")
+        .where(~has_core | F.contains("low_q", F.col("core")))
     )
     found = pinned(found, size=_longest_shared(F.col("low"), text, F.col("need"))).where("size > 0")
     # earliest block in the question, then in the value
