@@ -34,12 +34,14 @@ def _range_index(key: Column, points: list[Column]) -> Column:
 
 
 def _split_points(df: DataFrame, cols: Sequence[str], n: int) -> list[Column]:
-    """``n - 1`` split points from a bottom-k hash sample (size fixed at 32 rows per range)."""
+    """Up to ``n - 1`` split points from a bottom-k hash sample of at most 128 rows per range."""
     types = [df.schema[c].dataType for c in cols]
     sample = (
-        df.select(*cols).orderBy(F.xxhash64(*[F.col(c) for c in cols])).limit(32 * n).collect()
+        df.select(*cols).orderBy(F.xxhash64(*[F.col(c) for c in cols])).limit(128 * n).collect()
     )
     rows = sorted((tuple(r) for r in sample), key=lambda r: [(v is not None, v) for v in r])
+    # a small table needs few ranges; a large one fills the sample and gets all of them
+    n = min(n, max(1, len(rows) // 64))
     step = max(1, len(rows) // n)
     picked = list(dict.fromkeys(rows[step::step]))[: n - 1]
     return [

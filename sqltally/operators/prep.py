@@ -106,12 +106,12 @@ def training_records(
     )
 
 
-#: field names of the known question sources: column path or None for an empty text (fixed values)
+#: field names of the known question layouts: column path, or None for an empty text (fixed values)
 SOURCE_FIELDS = {
-    "bird": {"question": "question", "sql": "SQL", "knowledge": "evidence"},
-    "spider": {"question": "question", "sql": "query", "knowledge": None},
-    "spider-syn": {"question": "SpiderSynQuestion", "sql": "query", "knowledge": None},
-    "synsql": {"question": "question", "sql": "sql", "knowledge": "external_knowledge"},
+    "evidence": {"question": "question", "sql": "SQL", "knowledge": "evidence"},
+    "plain": {"question": "question", "sql": "query", "knowledge": None},
+    "synonym": {"question": "SpiderSynQuestion", "sql": "query", "knowledge": None},
+    "synthetic": {"question": "question", "sql": "sql", "knowledge": "external_knowledge"},
 }
 
 
