@@ -251,12 +251,13 @@ def keyword_profile(log: DataFrame, sql: str = "sql") -> tuple[DataFrame, DataFr
     tagged = query_keywords(log, sql).select("keywords")
     # equal keyword sets are counted first: at most 2^14 rows go on
     sets = tagged.groupBy("keywords").agg(F.count(F.lit(1)).alias("m"))
-    total = sets.select(F.sum("m")).scalar()
+    # the total rides along with those few rows, so the log is read once
+    counted = sets.withColumn("total", F.sum("m").over(Window.partitionBy(F.lit(0))))
     share = (
-        sets.select(F.explode("keywords").alias("keyword"), "m")
+        counted.select(F.explode("keywords").alias("keyword"), "m", "total")
         .groupBy("keyword")
-        .agg(F.sum("m").alias("n"))
-        .withColumn("share", F.col("n") / total)
+        .agg(F.sum("m").alias("n"), F.max("total").alias("total"))
+        .select("keyword", "n", (F.col("n") / F.col("total")).alias("share"))
     )
     pairs = (
         sets.select("m", F.explode("keywords").alias("a"), "keywords")
