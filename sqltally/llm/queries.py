@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltally.llm import langid, packing, quality, simhash, token_counts, toxicity
+from sqltally.llm import decontaminate, fingerprints, html_extract, langid, line_dedup, packing, quality, simhash, token_counts, toxicity
 from sqltally.llm.common import held_out, table
 
 QUERIES = {}
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_later_copies(table(spark, sf_dir, "documents"), min_words=50)
+    return found.select("doc_id", "removed_lines", "removed_runs", "text")
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
@@ -34,6 +40,28 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "languages")
 
 
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text("fingerprint").alias("fingerprint"), fingerprints.as_text("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -6,12 +6,16 @@ pairs whose population counts differ by more than the radius are never formed.
 inside a bucket of equal bit blocks: two words that differ in at most ``radius`` of 64 bits agree
 on at least ``blocks - radius`` of their blocks, so no link is lost and no tile meets all others.
 Links leave a tile pair as a spanning forest, and components grow by star contraction.
+
+A wide radius also joins unrelated texts by chance.  With ``agreement`` a link needs, besides, that
+this share of a small min-hash sketch of the shingles agrees; the tiles carry the sketches along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,50 +28,68 @@ from sqltally.llm.common import cut_lineage, raw_text, text_key
 SEED = 42
 #: Shingles whose bits are counted at once.
 BIT_CHUNK = 1 << 16
+#: Bytes of a sketch.
+SKETCH = 32
 
 
-def simhash64(data: bytes, width: int = 4) -> int:
-    """Unsigned SimHash of UTF-8 ``data``: A-Z lowered, ASCII white space separates words."""
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of every word shingle of UTF-8 ``data``: A-Z lowered, ASCII white space separates words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: len(words) - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
     hashed = xxhash.xxh64_intdigest
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def simhash64(hashes: np.ndarray) -> int:
+    """Unsigned number whose bits are set in over half of the hashes; zero for none."""
     counts = np.zeros(64, np.int64)
-    for a in range(0, len(starts), BIT_CHUNK):
-        hashes = [hashed(joined[s:e], SEED) for s, e in zip(starts[a : a + BIT_CHUNK], stops[a : a + BIT_CHUNK])]
-        octets = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), BIT_CHUNK):
+        octets = hashes[at : at + BIT_CHUNK].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (counts * 2 > len(starts)).astype(np.uint8)
+    bits = (counts * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, text_key, fp BIGINT) for every row; a null or wordless text has fingerprint zero."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte of the smallest hash in each of SKETCH classes of hashes; 0 marks an empty class."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes % np.uint64(SKETCH)).astype(np.int64), hashes // np.uint64(SKETCH))
+    empty = least == np.iinfo(np.uint64).max
+    return np.where(empty, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, sketched: bool = False) -> DataFrame:
+    """(doc_id, text_key, fp BIGINT, sketch BINARY) for every row; null and wordless texts have fingerprint zero."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [simhash64(x, width) for x in b.column(2).to_pylist()]
+            fps, sketches = [], []
+            for raw in b.column(2):
+                found = shingle_hashes(raw.as_py(), width)
+                fps.append(simhash64(found))
+                sketches.append(sketch(found).tobytes() if sketched else None)
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["doc_id", "text_key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(sketches, pa.binary())], ["doc_id", "text_key", "fp", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), raw_text(text).alias("raw"))
-    return rows.mapInArrow(hashed, f"doc_id {kind}, text_key bigint, fp bigint")
+    return rows.mapInArrow(hashed, f"doc_id {kind}, text_key bigint, fp bigint, sketch binary")
+
+
+def _block_count(distinct: int, radius: int) -> int:
+    """Number of blocks with the least work: rows per bucket key, and pairs compared at a thousandth of a row."""
 
+    def work(blocks: int) -> float:
+        return comb(blocks, blocks - radius) * (1 + distinct / 2 ** (64 * (blocks - radius) // blocks) / 1000)
 
-def _block_count(distinct: int, radius: int, tile: int) -> int:
-    """Fewest blocks whose buckets hold about ``tile`` fingerprints."""
-    blocks = radius + 1
-    while blocks < 64 and 2 ** (64 * (blocks - radius) // blocks) * tile < distinct:
-        blocks += 1
-    return blocks
+    return min(range(radius + 1, min(63, radius + 6) + 1), key=work)
 
 
 def _bucket_keys(fp: Column, blocks: int, radius: int) -> Column:
@@ -103,33 +125,49 @@ def _forest(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tupl
     return edges
 
 
-def _compare(radius: int):
+def _agree(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Whether sketches agree in at least ``share`` of the classes that either of them fills."""
+    filled = ((a != 0) | (b != 0)).sum(1)
+    return ((a == b) & (a != 0)).sum(1) >= share * np.maximum(filled, 1)
+
+
+def _compare(radius: int, agreement: float | None):
+    def cells(tile: pa.ListScalar) -> tuple[np.ndarray, np.ndarray | None]:
+        fps = tile.values.field("fp").to_numpy().view(np.uint64)
+        if agreement is None:
+            return fps, None
+        return fps, np.frombuffer(b"".join(tile.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: set[tuple[int, int]] = set()
             for left, right in zip(b.column("left"), b.column("right")):
-                x = left.values.to_numpy().view(np.uint64)
-                y = right.values.to_numpy().view(np.uint64) if right.is_valid else x
+                x, x_sketch = cells(left)
+                y, y_sketch = cells(right) if right.is_valid else (x, x_sketch)
                 near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
                 if not right.is_valid:
                     np.fill_diagonal(near, False)
+                if agreement is not None and near.any():
+                    i, j = np.nonzero(near)
+                    near[i, j] = _agree(x_sketch[i], y_sketch[j], agreement)
                 if near.any():
-                    found += _forest(near, x.view(np.int64), y.view(np.int64))
-            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+                    found.update(_forest(near, x.view(np.int64), y.view(np.int64)))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return links
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 1024) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = 4, agreement: float | None = None, tile: int = 1024) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints joined by chains of links.
 
-    ``distinct`` has one row per fingerprint, column ``fp``.  A bucket of at most ``tile`` rows is
-    one tile; a larger one is cut by population count, and each count into equal shares, so that
-    every tile stays small and tile pairs further apart than ``radius`` counts are skipped.
+    ``distinct`` has one row per fingerprint, columns ``fp`` and ``sketch``.  A bucket of at most
+    ``tile`` rows is one tile; a larger one is cut by population count, and each count into equal
+    shares, so that every tile stays small and tile pairs further apart than ``radius`` counts are
+    skipped.
     """
-    blocks = _block_count(distinct.count(), radius, tile)
-    keyed = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(_bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
+    blocks = _block_count(distinct.count(), radius)
+    keyed = distinct.select("fp", "sketch", F.bit_count("fp").alias("ones"), F.explode(_bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
     by_ones = keyed.groupBy("key", "ones").agg(F.count(F.lit(1)).alias("n"))
     sized = by_ones.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("counts"))
     shares = F.ceil(F.element_at("counts", F.col("ones")) / F.lit(tile))
@@ -139,19 +177,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = 1024) ->
         .withColumn("band", F.when(cut, F.col("ones")).otherwise(F.lit(-1)))
         .withColumn("share", F.when(cut, F.pmod(F.xxhash64("fp"), shares)).otherwise(F.lit(0)))
     )
-    tiles = placed.groupBy("key", "band", "share").agg(F.collect_list("fp").alias("fps"))
-    tiles = cut_lineage(tiles.repartition(F.col("key"), F.col("band"), F.col("share")))
-    alone = tiles.where(F.size("fps") > 1).select(F.col("fps").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
+    place = ["key", "band", "share"]
+    tiles = cut_lineage(placed.groupBy(*place).agg(F.collect_list(F.struct("fp", "sketch")).alias("left")))
+    alone = tiles.where(F.size("left") > 1).select("left", F.lit(None).cast(tiles.schema["left"].dataType).alias("right"))
     large = tiles.where("band >= 0")
-    other = large.select("key", F.col("band").alias("band2"), F.col("share").alias("share2"), F.col("fps").alias("right"))
+    other = large.select("key", F.col("band").alias("band2"), F.col("share").alias("share2"), F.col("left").alias("right"))
     ahead = (F.col("band2") > F.col("band")) | ((F.col("band2") == F.col("band")) & (F.col("share2") > F.col("share")))
-    paired = (
-        large.withColumnRenamed("fps", "left")
-        .join(other, "key")
-        .where(ahead & (F.col("band2") - F.col("band") <= radius))
-        .select("left", "right")
-    )
-    return alone.unionByName(paired).mapInArrow(_compare(radius), "a bigint, b bigint").distinct()
+    paired = large.join(other, "key").where(ahead & (F.col("band2") - F.col("band") <= radius)).select("left", "right")
+    return alone.unionByName(paired).mapInArrow(_compare(radius, agreement), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,16 +225,19 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, agreement: float | None = None
+) -> DataFrame:
     """(doc_id, text_key, fp, component_id), one row per input row.
 
     ``component_id`` is the smallest id reachable over links; equal fingerprints are linked.
     Null ids keep their rows and never name a component that has another id.  Rows of equal id
     count as separate documents.  An empty table gives an empty result.
     """
-    marked = cut_lineage(fingerprints(docs, doc_id, text, width))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(fingerprint_links(distinct, radius))
+    marked = cut_lineage(fingerprints(docs, doc_id, text, width, agreement is not None))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch")).alias("first")
+    distinct = cut_lineage(marked.groupBy("fp").agg(one).select("fp", F.col("first.doc_id").alias("low"), F.col("first.sketch").alias("sketch")))
+    roots = components(fingerprint_links(distinct, radius, agreement))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
@@ -212,9 +248,14 @@ def fp_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of ``docs`` with one row per component: smallest id, then smallest text key, then one of equal rows."""
-    found = near_duplicates(docs, doc_id, text, width, radius)
+def keep_first(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 10, agreement: float | None = 0.7
+) -> DataFrame:
+    """Rows of ``docs`` with one row per component: smallest id, then smallest text key, then one of equal rows.
+
+    By default texts of about 0.8 shared shingles meet: their fingerprints differ in some ten bits.
+    """
+    found = near_duplicates(docs, doc_id, text, width, radius, agreement)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))

@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sqltally.llm.common import cut_lineage, raw_text, text_key
 
@@ -113,8 +114,8 @@ def with_features(rows: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
             found = [features(raw.as_py(), lexicon) for raw in b.column("raw")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found, pa.list_(pa.float64()))], [*kept, "features"])
 
-    layout = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(made, f"{layout}, features array<double>")
+    layout = StructType([*[rows.schema[c] for c in kept], StructField("features", ArrayType(DoubleType()))])
+    return rows.mapInArrow(made, layout)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, doc_id: str, text: str, most: int) -> DataFrame:
@@ -150,14 +151,23 @@ class Model:
     def _margin(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("margin", vector_to_array("probability")[1])
 
-    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, text_key, score) for every row; a null text counts as empty."""
-        rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), raw_text(text).alias("raw"))
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """Replace the column ``raw`` by ``score``; the other columns stay."""
+        kept = [c for c in rows.columns if c != "raw"]
         if self.trees is None:
-            return rows.select("doc_id", "text_key", F.lit(float(self.rate)).alias("score"))
+            return rows.select(*kept, F.lit(float(self.rate)).alias("score"))
         made = with_features(rows, self.lexicon).withColumn("vector", array_to_vector("features"))
         found = self.curve.transform(self._margin(made))
-        return found.select("doc_id", "text_key", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("score"))
+        return found.select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("score"))
+
+    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, score) for every row; a null text counts as empty."""
+        return self._scored(docs.select(F.col(doc_id).alias("doc_id"), raw_text(text).alias("raw")))
+
+    def keep(self, docs: DataFrame, limit: float, text: str = "text") -> DataFrame:
+        """Rows of ``docs`` that score under ``limit``; whole rows pass the scorer, so nothing is joined."""
+        whole = docs.select(F.struct(*docs.columns).alias("row"), raw_text(text).alias("raw"))
+        return self._scored(whole).where(F.col("score") < limit).select("row.*")
 
 
 def train(
