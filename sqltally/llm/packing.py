@@ -9,6 +9,8 @@ packed independently, so each shard leaves at most about one sequence part-fille
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,11 +31,25 @@ REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 
 
+#: Characters whose case, composition and class do not depend on neighbours or Unicode versions.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_LETTER = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Chunks(dict):
     """Ids (as little-endian bytes) of text between spaces and line ends.
 
     The vocabulary's splitting drops white space and never lets a piece cross it, so a text's ids
-    are those of its chunks in order.
+    are those of its chunks in order.  Chunks of plain characters are cut into the vocabulary's
+    pieces here and only the merges are left to the tokenizer; all others go through it whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -41,10 +57,23 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges(spelled)]
+        found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-        found = np.array(ids, "<u4").tobytes()
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk and len(chunk) <= LONGEST_REMEMBERED:
+            known = self.pieces
+            found = b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(chunk.lower())])
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= LONGEST_REMEMBERED:
             self[chunk] = found
         return found
@@ -52,6 +81,8 @@ class Chunks(dict):
     def ids(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
