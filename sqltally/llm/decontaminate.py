@@ -95,8 +95,11 @@ def _slots(tokens: list[str], codes: np.ndarray, at: int, width: int) -> list[di
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, width: int, literals: int, least: int) -> DataFrame:
-    """(item_id, size, width, offset, hash, slots, words) of every item with at least ``least`` tokens."""
-    names = ["item_id", "size", "width", "offset", "hash", "slots", "words"]
+    """(item_id, size, width, offset, hash, slots, words, rich) of every item with at least ``least`` tokens.
+
+    A rich item has ``least`` different words besides its values.
+    """
+    names = ["item_id", "size", "width", "offset", "hash", "slots", "words", "rich"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,14 +111,15 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, width: int, lite
                 codes = Codes().template(tokens)
                 span = min(width, len(tokens))
                 words = sorted({t.lower() for t in tokens})
-                for at, h in zip(*(x.tolist() for x in window_hashes(codes, span, min(literals, span)))):
-                    rows.append((item, len(tokens), span, at, h, _slots(tokens, codes, at, span), words if at == 0 else []))
-            kinds = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(SLOT), pa.list_(pa.string())]
+                rich = len(set(codes[codes > UNIT].tolist())) >= least
+                for n, (at, h) in enumerate(zip(*(x.tolist() for x in window_hashes(codes, span, min(literals, span))))):
+                    rows.append((item, len(tokens), span, at, h, _slots(tokens, codes, at, span), words if n == 0 else [], rich))
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(SLOT), pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     kind = benchmark.schema[item_id].dataType.simpleString()
     rows = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(made, f"item_id {kind}, size int, width int, offset bigint, hash bigint, slots array<struct<kind:int,place:int,value:string>>, words array<string>")
+    return rows.mapInArrow(made, f"item_id {kind}, size int, width int, offset bigint, hash bigint, slots array<struct<kind:int,place:int,value:string>>, words array<string>, rich boolean")
 
 
 def _document_hits(docs: DataFrame, doc_id: str, text: str, words: frozenset[str], hashes: dict[int, np.ndarray], literals: int) -> DataFrame:
@@ -161,7 +165,8 @@ def contaminated(
     """(doc_id, text_key, item_id, position, coverage, reworded): items found in documents.
 
     A pair is reported at its best diagonal if at least ``coverage`` of the item's tokens lie in
-    matching windows there and its slots are consistent; ``reworded`` tells whether a value differs.
+    matching windows there and its slots are consistent; ``reworded`` tells whether a value differs,
+    which counts only for items with ``least`` different words besides their values.
     Items with fewer than ``least`` tokens are not searched; null texts count as empty.  The
     benchmark is searched in blocks of about ``block_tokens`` tokens, each against all documents.
     """
@@ -179,14 +184,14 @@ def contaminated(
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = _document_hits(docs.limit(0), doc_id, text, frozenset(), {}, literals)
-    items = windows.select("item_id", "size", F.col("width").alias("width"), "offset", "hash", F.col("slots").alias("item_slots")).distinct()
+    items = windows.select("item_id", "size", "rich", F.col("width").alias("width"), "offset", "hash", F.col("slots").alias("item_slots")).distinct()
     pairs = hits.distinct().join(items, ["hash", "width"]).withColumn("diagonal", F.col("position") - F.col("offset"))
     # slots of one window pair stand at equal places
     slot = F.transform(
         F.arrays_zip("item_slots", "slots"),
         lambda s: F.struct(s["item_slots"]["kind"].alias("kind"), s["item_slots"]["value"].alias("item"), s["slots"]["value"].alias("doc")),
     )
-    group = ["doc_id", "text_key", "item_id", "size", "diagonal"]
+    group = ["doc_id", "text_key", "item_id", "size", "rich", "diagonal"]
     joined = pairs.groupBy(*group).agg(
         F.array_sort(F.collect_set(F.struct("offset", "width"))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"),
@@ -198,6 +203,7 @@ def contaminated(
         joined.withColumn("coverage", covered / F.col("size"))
         .where((F.col("coverage") >= coverage) & (one_way == F.size("slots")) & (other_way == F.size("slots")))
         .withColumn("reworded", F.exists("slots", lambda s: s["item"] != s["doc"]))
+        .where(F.col("rich") | ~F.col("reworded"))
         .withColumn("position", F.col("diagonal"))
     )
     best = Window.partitionBy("doc_id", "text_key", "item_id").orderBy(F.desc("coverage"), "position")

@@ -139,7 +139,8 @@ def bag_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, do
             bags = [encoded(raw.as_py()).astype(np.float32).tobytes() for raw in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary())], ["label", "bag"])
 
-    sample = rows.join(known, "_id").dropDuplicates(["_key"]).select("label", "raw")
+    mean = F.round(F.avg("label")).cast("int").alias("label")
+    sample = rows.join(known, "_id").groupBy("_key").agg(mean, F.first("raw").alias("raw")).select("label", "raw")
     return sample.mapInArrow(made, "label int, bag binary")
 
 
@@ -150,7 +151,7 @@ def train(
 
     The model is None where the sample has fewer than two labels.
     """
-    rows = bag_sample(docs, labels, learn, label, doc_id, text, most).collect()
+    rows = sorted(bag_sample(docs, labels, learn, label, doc_id, text, most).collect())
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
     y = np.array([r["label"] for r in rows], np.float64)
     rate = float(y.mean()) if len(y) else 0.0

@@ -129,7 +129,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     rows = docs.where(learn).select(F.col(doc_id).alias("_id"), raw_text(text).alias("raw"), text_key(text).alias("_key"))
     part = F.pmod(F.xxhash64(F.lit(7), "_key"), F.lit(4))
-    return rows.join(known, "_id").dropDuplicates(["_key"]).select("label", "raw", part.alias("part"))
+    mean = F.round(F.avg("label")).cast("int").alias("label")
+    return rows.join(known, "_id").groupBy("_key").agg(mean, F.first("raw").alias("raw")).select("label", "raw", part.alias("part"))
 
 
 class Model:
@@ -165,7 +166,12 @@ class Model:
         return self._scored(docs.select(F.col(doc_id).alias("doc_id"), raw_text(text).alias("raw")))
 
     def keep(self, docs: DataFrame, limit: float, text: str = "text") -> DataFrame:
-        """Rows of ``docs`` that score under ``limit``; whole rows pass the scorer, so nothing is joined."""
+        """Rows of ``docs`` that score under ``limit``, all of them where nothing could be learned.
+
+        Whole rows pass the scorer, so nothing is joined.
+        """
+        if self.trees is None:
+            return docs
         whole = docs.select(F.struct(*docs.columns).alias("row"), raw_text(text).alias("raw"))
         return self._scored(whole).where(F.col("score") < limit).select("row.*")
 
