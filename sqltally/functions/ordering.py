@@ -1,9 +1,9 @@
 """Distributed ordinals and scans: no window ever holds an unbounded partition.
 
 ``with_rank`` numbers rows within a group (or the whole table) without one task sorting the
-group: rows are cut into value ranges at sampled split points, numbered within each range, and
-shifted by the row counts of the earlier ranges.  Split points are literals, so a recomputed
-task always produces the same ordinals.
+group: rows are sorted by value ranges, numbered within each range, and shifted by the row counts
+of the earlier ranges.  The sorted rows are checkpointed, so a recomputed task reads the same
+ranges.
 """
 
 from __future__ import annotations
@@ -13,40 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.skew import heavy_hashes, key_hash
 
+#: Rows of one value range; the number of ranges follows from the number of rows.
+RANGE_ROWS = 1_000_000
 
-def _range_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(512, partitions))
 
-
-def _range_index(key: Column, points: list[Column]) -> Column:
-    """Number of split points <= key, as a balanced CASE tree (log2(n) comparisons per row)."""
-
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= points[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
-
-    return between(0, len(points))
-
-
-def _split_points(df: DataFrame, cols: Sequence[str], n: int) -> list[Column]:
-    """Up to ``n - 1`` split points from a bottom-k hash sample of at most 128 rows per range."""
-    types = [df.schema[c].dataType for c in cols]
-    sample = (
-        df.select(*cols).orderBy(F.xxhash64(*[F.col(c) for c in cols])).limit(128 * n).collect()
-    )
-    rows = sorted((tuple(r) for r in sample), key=lambda r: [(v is not None, v) for v in r])
-    # a small table needs few ranges; a large one fills the sample and gets all of them
-    n = min(n, max(1, len(rows) // 64))
-    step = max(1, len(rows) // n)
-    picked = list(dict.fromkeys(rows[step::step]))[: n - 1]
-    return [
-        F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, types, cols)]) for r in picked
-    ]
+def _numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the 0-based place of every row of ``df`` by ascending ``order`` (nulls first)."""
+    rows = int(df.sparkSession.conf.get("sqltally.range.rows", str(RANGE_ROWS)))
+    ranges = max(1, -(-df.count() // rows))
+    # a row's id holds its range above bit 33 and its place in the range below
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_id", 33))
+    # one small row per range
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return placed.join(before, "_range").withColumn(name, place).drop("_id", "_range", "_before")
 
 
 def with_rank(
@@ -59,74 +46,48 @@ def with_rank(
     """Add a dense 0-based ``name`` by ascending ``order`` within ``by`` (whole table if empty).
 
     ``order`` must identify a row within its group.  Groups that are not heavy are numbered by a
-    plain window; heavy groups, and the whole table, by value ranges.  ``heavy`` passes on the
-    result of an earlier ``heavy_hashes`` for ``by``.
+    plain window; heavy groups, and the whole table, by value ranges: a row's place among all heavy
+    rows, less the first place of its group.  ``heavy`` passes on the result of an earlier
+    ``heavy_hashes`` for ``by``.
     """
     by, order = list(by), list(order)
-    if by:
-        heavy = heavy_hashes(df, by) if heavy is None else heavy
-        if not heavy:
-            w = Window.partitionBy(*by).orderBy(*order)
-            return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-        ranged = df.where(key_hash(by).isin(heavy))
-    else:
-        heavy, ranged = [], df
-    points = _split_points(ranged, by + order, _range_count(df))
-    index = _range_index(F.struct(*[F.col(c) for c in by + order]), points) + 1
-    if by:
-        index = F.when(key_hash(by).isin(heavy), index).otherwise(F.lit(0))
-    cut = df.withColumn("_range", index)
-    group = [*by, "_range"]
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
-    # at most (heavy keys + ranges) rows: both are bounded by 512
-    offsets = (
-        cut.where("_range > 0")
-        .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .drop("_n")
-    )
-    within = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return (
-        cut.withColumn("_within", within)
-        .join(F.broadcast(offsets), group, "left")
-        .withColumn(name, (F.col("_within") + F.coalesce("_before", F.lit(0))).cast("long"))
-        .drop("_within", "_before", "_range")
-    )
+    if not by:
+        return _numbered(df, order, name)
+    heavy = heavy_hashes(df, by) if heavy is None else heavy
+    w = Window.partitionBy(*by).orderBy(*order)
+    if not heavy:
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    is_heavy = F.coalesce(key_hash(by).isin(heavy), F.lit(False))
+    light = df.where(~is_heavy).withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    ranged = _numbered(df.where(is_heavy), [*by, *order], "_place")
+    first = ranged.groupBy(*by).agg(F.min("_place").alias("_first"))
+    keys = first.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    # one row per heavy key
+    shifted = ranged.join(keys, same).withColumn(name, F.col("_place") - F.col("_first"))
+    return light.unionByName(shifted.select(*df.columns, name))
 
 
 def running_sum(
-    df: DataFrame, value: Column, index: str, name: str, by: Sequence[str] = (), block: int = 4096
+    df: DataFrame, value: Column, index: str, name: str, by: Sequence[str] = (), block: int = 4096, levels: int = 3
 ) -> DataFrame:
     """Inclusive running sum of ``value`` by the integer column ``index`` (unique within ``by``).
 
-    Two levels: inside blocks of ``block`` index values, then over the block totals, so no window
-    partition is larger than ``block`` rows or the number of blocks.
+    Inside blocks of ``block`` index values first, then over the block totals in the same way; the
+    last of ``levels`` levels sums what is left, one row per ``block ** levels`` index values.
     """
     by = list(by)
+    if levels == 0:
+        upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy(index)
+        return df.withColumn(name, F.sum(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     cut = df.withColumn("_v", value).withColumn("_blk", F.floor(F.col(index) / block))
     inner = Window.partitionBy(*by, "_blk").orderBy(index)
-    outer = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_blk")
-    before = (
-        cut.groupBy(*by, "_blk")
-        .agg(F.sum("_v").alias("_total"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_total").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-            ),
-        )
-        .drop("_total")
-    )
+    totals = cut.groupBy(*by, "_blk").agg(F.sum("_v").alias("_total"))
+    totals = totals.select(*by, F.col("_blk").alias("_at"), "_total")
+    before = running_sum(totals, F.col("_total"), "_at", "_upto", by, block, levels - 1)
+    before = before.select(*by, F.col("_at").alias("_blk"), (F.col("_upto") - F.col("_total")).alias("_before"))
     return (
-        cut.withColumn(
-            "_in", F.sum("_v").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-        )
+        cut.withColumn("_in", F.sum("_v").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
         .join(before, [*by, "_blk"])
         .withColumn(name, F.col("_in") + F.col("_before"))
         .drop("_in", "_before", "_blk", "_v")

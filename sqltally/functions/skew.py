@@ -1,8 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Heavy keys are found with a mergeable sketch (``approx_top_k``), so detection is one
-map-side pass that shuffles a single small sketch per task.  Results never depend on the
-sketch: it only decides which keys are salted.
+A key is heavy from a fixed number of rows on, whatever the size of the table.  Keys are counted
+exactly, combined in each task before the shuffle; only the hashes of heavy keys are listed, at most
+one per ``heavy_floor`` rows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key needs this many rows before it is worth salting.
+#: A key with this many rows is salted.
 HEAVY_FLOOR = 1_000_000
-#: ... and at least this share of the table, so at most 1 / HEAVY_SHARE keys qualify.
-HEAVY_SHARE = 1 / 512
 #: Tasks a heavy key is spread over.
 SALTS = 128
 
@@ -30,14 +28,9 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def heavy_hashes(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys that hold at least HEAVY_SHARE of ``df`` (at most 512 values)."""
-    row = (
-        df.select(key_hash(keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr("approx_top_k(h, 512, 20000)").alias("top"))
-        .first()
-    )
-    limit = max(heavy_floor(df), row["n"] * HEAVY_SHARE)
-    return [item["item"] for item in row["top"] or [] if item["count"] >= limit]
+    """Hashes of the keys with at least ``heavy_floor`` rows."""
+    counted = df.groupBy(key_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["h"] for r in counted.where(F.col("n") >= heavy_floor(df)).select("h").collect()]
 
 
 def salted_join(

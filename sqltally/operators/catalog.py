@@ -8,6 +8,7 @@ their size is the number of columns, not of rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -184,17 +185,34 @@ BOOLEAN_PAIRS = (
     ("cancelled", "completed"), ("l", "r"), ("left", "right"),
 )
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: A year from 1500 to 2099.
 YEAR = r"^(1[5-9]\d{2}|20\d{2})$"
-_DAY = r"(\d{4}[-_/]\d{1,2}[-_/]\d{1,2}|\d{1,2}[-_/]\d{1,2}[-_/](\d{4}|\d{2}))"
-_CLOCK = r"\d{1,2}(:\d{2}){1,2}(\.\d+)?"
-_MONTH = (
-    r"(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?"
-    r"|oct(ober)?|nov(ember)?|dec(ember)?)"
-)
-_NTH = r"\d{1,2}(st|nd|rd|th)?"
-DATE = (
-    rf"(?i)^({_DAY}(\s{_CLOCK})?|{_CLOCK}|({_NTH}[,\s-])?{_MONTH}[\s,-]({_NTH}[\s,]{{1,3}})?(\d{{4}}|\d{{2}}))$"
+#: What stands for a part of a date, and the forms of dates that are recognised.
+DATE_PARTS = {
+    "year": r"\d{4}",
+    "short": r"\d{4}|\d{2}",
+    "day": r"\d{1,2}",
+    "nth": r"\d{1,2}(?:st|nd|rd|th)?",
+    "month": "|".join(
+        f"{name[:3]}(?:{name[3:]})?" if name not in ("may", "september") else {"may": "may", "september": "sept?(?:ember)?"}[name]
+        for name in "january february march april may june july august september october november december".split()
+    ),
+    "clock": r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?",
+    "cut": "[-_/]",
+    "gap": r"[\s,-]",
+    "comma": r",?\s",
+}
+DATE_FORMS = (
+    "<year><cut><day><cut><day>",
+    "<day><cut><day><cut><short>",
+    "<year><cut><day><cut><day> <clock>",
+    "<day><cut><day><cut><short> <clock>",
+    "<clock>",
+    "<month><gap><short>",
+    "<nth><gap><month><gap><short>",
+    "<month><gap><nth><comma><short>",
 )
+DATE = "(?i)^(" + "|".join(re.sub("<([a-z]+)>", lambda m: f"(?:{DATE_PARTS[m[1]]})", form) for form in DATE_FORMS) + ")$"
 
 
 def infer_content_type(values: DataFrame) -> DataFrame:
@@ -259,7 +277,7 @@ def resolve_foreign_keys(fk_names: DataFrame, cat_columns: DataFrame) -> DataFra
     )
 
 
-def key_equivalence(cat_keys: DataFrame, max_rounds: int = 100) -> DataFrame:
+def key_equivalence(cat_keys: DataFrame) -> DataFrame:
     """Connected keys map to the smallest column id of their component.
 
     Rounds of minimum-label exchange with a jump to the label's own label, so long chains close in
@@ -272,7 +290,7 @@ def key_equivalence(cat_keys: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
     labels = fk.select("db_id", F.explode(F.array("a", "b")).alias("column_id")).distinct()
     labels = cut_lineage(labels.withColumn("root_id", F.col("column_id")))
-    for _ in range(max_rounds):
+    while True:
         # map-side minimum first: a hub column's edges combine before the shuffle
         seen = (
             edges.join(labels.withColumnRenamed("column_id", "b"), ["db_id", "b"])
@@ -291,7 +309,6 @@ def key_equivalence(cat_keys: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = step.select("db_id", "column_id", "root_id")
         if step.where("old <> root_id").isEmpty():
             return labels
-    raise RuntimeError("key groups did not settle")
 
 
 # --- schema text --------------------------------------------------------------------------------

@@ -24,14 +24,19 @@ from sqltally.functions.ordering import with_rank
 KEYS = ("question_id",)
 
 
+def explicit_nulls(cells: str = "cells") -> Column:
+    """Cells with a token in place of NULL, which hashing would skip; no canonical cell has its form."""
+    return F.transform(cells, lambda c: F.coalesce(c, F.lit("null")))
+
+
 def signature(*cols: Column) -> Column:
-    """Order-free signature of a bag of rows: row count and sums of two 64-bit hashes.
+    """Order-free signature of a bag of rows without nulls: row count and sums of two 64-bit hashes.
 
-    Each hash is summed in three parts of at most 22 bits, so a long sum holds 2^41 rows.
+    The salt is hashed first, so that the two hashes are independent.  Each hash is summed in three parts of at most 22 bits, so a long sum holds 2^41 rows.
     """
     sums = []
     for salt in (0, 1):
-        h = F.xxhash64(*cols, F.lit(salt))
+        h = F.xxhash64(F.lit(salt), *cols)
         for i, part in enumerate(
             (
                 h.bitwiseAND(F.lit(0x3FFFFF)),
@@ -123,6 +128,7 @@ def permuted_equal(
     """
     keys = list(keys)
     pair = [*keys, "cand_id", "gold_id"]
+    results = results.withColumn("cells", explicit_nulls())
     at = [F.col("row_ix")] if ordered else []
     cells = F.col("cells")
     shape = results.groupBy(*keys, "cand_id").agg(
@@ -307,12 +313,14 @@ def run_pairs(
     timeout: float | None = 30.0,
     parallelism: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run ``(question_id, cand_id, sql)`` on the registered views; rows go to ``path``.
+    """Run ``(question_id, cand_id, sql)`` on the registered views; rows go to a new folder in ``path``.
 
-    Each statement is wrapped as a sub-query, so only queries run and nothing is changed.  A
+    Only rows of statements that succeeded in this run are read back.  Each statement is wrapped as a sub-query, so only queries run and nothing is changed.  A
     statement past ``timeout`` is interrupted by its tag.  Returns ``candidates, results``.
     """
 
+    path = f"{path.rstrip('/')}/run-{uuid.uuid4().hex}"
+
     def run(item: tuple[int, int, str]) -> tuple[int, int, str, int]:
         question_id, cand_id, text = item
         tag = f"pair-{uuid.uuid4().hex}"
@@ -345,6 +353,7 @@ def run_pairs(
     candidates = spark.createDataFrame(
         outcome, "question_id long, cand_id int, sql string, valid int"
     )
-    rows = spark.read.schema(empty).parquet(f"{path}/*")
+    written = [f"{path}/{q}-{c}" for q, c, _, valid in outcome if valid]
+    rows = spark.read.schema(empty).parquet(f"{path}/none", *written)
     ranked = with_rank(rows, ["row_pos"], ["question_id", "cand_id"], "row_ix").drop("row_pos")
     return candidates, ranked

@@ -90,15 +90,18 @@ def efficiency_score(
 
 
 def hardness(components: DataFrame) -> DataFrame:
-    """easy / medium / hard / extra per question from clause counts.
+    """easy / medium / hard / extra per question from clause counts of its main query.
 
-    Clauses counted in ``components``: ``where``, ``group``, ``order``, ``limit``, ``table``,
+    Every scope besides ``main`` is one nested query.  Clauses counted in ``components``: ``where``, ``group``, ``order``, ``limit``, ``table``,
     ``select``; ``connective`` items (``or``), ``op`` items (``like``), ``nested`` and ``agg``
     (one row per aggregated unit).
     """
 
+    scoped = "scope" in components.columns
+    scope = F.coalesce(F.col("scope"), F.lit("main")) if scoped else F.lit("main")
+
     def n(clause: str, item: str | None = None) -> Column:
-        hit = F.col("clause") == clause
+        hit = (F.col("clause") == clause) & (scope == "main")
         if item is not None:
             hit = hit & (F.col("item") == item)
         return F.count_if(hit)
@@ -109,8 +112,10 @@ def hardness(components: DataFrame) -> DataFrame:
     def many(name: str) -> Column:
         return (F.col(name) > 1).cast("int")
 
+    # fixed values: the limits of the four levels
     counts = components.groupBy("question_id").agg(
         *[n(c).alias(f"n_{c}") for c in ("where", "group", "order", "limit", "table", "select", "nested", "agg")],
+        F.count_distinct(F.when(scope != "main", scope)).alias("n_scopes"),
         n("connective", "or").alias("n_or"),
         n("op", "like").alias("n_like"),
     )
@@ -134,7 +139,7 @@ def hardness(components: DataFrame) -> DataFrame:
         .otherwise("extra")
     )
     return counts.select(
-        "question_id", clauses.alias("clauses"), F.col("n_nested").alias("nested"), others.alias("others")
+        "question_id", clauses.alias("clauses"), F.greatest("n_nested", "n_scopes").alias("nested"), others.alias("others")
     ).withColumn("level", level)
 
 
@@ -189,7 +194,7 @@ def _lists(components: DataFrame, clauses: Sequence[str]) -> DataFrame:
                 F.sum(
                     F.when(
                         (F.col("clause") == c) & (F.col("side") == s),
-                        F.xxhash64("pos", "item", F.lit(salt)).cast("decimal(38,0)"),
+                        F.xxhash64(F.lit(salt), "pos", F.coalesce("item", F.lit("\u0000"))).cast("decimal(38,0)"),
                     )
                 ).alias(f"{c}_{s}_{salt}")
                 for c in clauses
@@ -281,7 +286,7 @@ def exact_match(overlaps: DataFrame, tables: DataFrame | None = None) -> tuple[D
     )
     exact = partial.groupBy("question_id").agg(F.min("f1").alias("exact"))
     if tables is not None:
-        same = _multiset_hits(tables, "item").select(
+        same = _multiset_hits(main_scope(tables), "item").select(
             "question_id",
             ((F.col("label_n") == 0) | ((F.col("hit") == F.col("label_n")) & (F.col("pred_n") == F.col("label_n")))).alias("same"),
         )
@@ -292,7 +297,29 @@ def exact_match(overlaps: DataFrame, tables: DataFrame | None = None) -> tuple[D
     return partial, exact
 
 
+def main_scope(components: DataFrame) -> DataFrame:
+    """Components of the main query; a table without ``scope`` has no other."""
+    if "scope" not in components.columns:
+        return components
+    return components.where(F.coalesce(F.col("scope"), F.lit("main")) == "main")
+
+
 def component_scores(components: DataFrame, questions: DataFrame) -> DataFrame:
+    """Label/pred/hit per question for every component of the main query, set operations included.
+
+    Components of nested scopes count as set operations (``IUEN``) and nowhere else.
+    """
+    flat = _flat_scores(main_scope(components), questions)
+    zero = F.lit(0).cast("long")
+    if "scope" not in components.columns:
+        none = questions.select("question_id", F.lit("IUEN").alias("component"), zero.alias("label_n"), zero.alias("pred_n"), zero.alias("hit"))
+        return flat.unionByName(none)
+    nested = questions.select("question_id").join(nested_match(components), "question_id", "left")
+    counted = [F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in ("label_n", "pred_n", "hit")]
+    return flat.unionByName(nested.select("question_id", F.lit("IUEN").alias("component"), *counted))
+
+
+def _flat_scores(components: DataFrame, questions: DataFrame) -> DataFrame:
     """Label/pred/hit per question for every component but the set operations.
 
     Three passes instead of one per component: item counts, counts without aggregate, and ordered
@@ -382,7 +409,7 @@ def nested_match(components: DataFrame, scopes: Sequence[str] = ("intersect", "e
     keyed = nested.select(
         ids.alias("question_id"), "side", "clause", "pos", "item", "item_no_agg"
     )
-    scored = component_scores(keyed, keyed.select("question_id").distinct())
+    scored = _flat_scores(keyed, keyed.select("question_id").distinct())
     _, exact = exact_match(scored, keyed.where(F.col("clause") == "table"))
     exact = exact.select("question_id.question_id", "question_id.scope", "exact")
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqltally.functions.once import pinned
 from sqltally.functions.text import last_match, occurrences, outside_quotes, squeeze, strip
 
 # fixed values: response markers, tags and the text of an empty prediction
@@ -15,6 +16,9 @@ MARKERS = ("Assistant:", "<|im_start|>assistant")
 TAGS = ("<think>", "</think>", "<answer>", "</answer>")
 ERROR_SQL = "Error SQL"
 
+#: Slot fills of a question made by one row.
+FILL_STRETCH = 65_536
+
 # a quoted literal, and a number standing alone (not part of a word, an alias or a name)
 STRING_LITERAL = r"'[^']*'|\"[^\"]*\""
 NUMBER_LITERAL = r"(?<![\w.])-?\d+(?:\.\d+)?(?![\w.])"
@@ -147,11 +151,12 @@ def query_templates(log: DataFrame, sql: str = "sql") -> DataFrame:
     )
 
 
-def fill_slots(pairs: DataFrame, gold: str = "gold", pred: str = "pred", cap: int | None = None) -> DataFrame:
+def fill_slots(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Every way to put the gold literals into the prediction's slots: values ^ slots rows.
 
-    Fill ``i`` reads its values from the base-``values`` digits of ``i``, so no self-join is
-    needed.  ``cap`` turns a question with more fills into an error instead of a partial answer.
+    Fill ``i`` reads its values from the base-``values`` digits of ``i`` in integer arithmetic.  The
+    fills of a question are made in stretches, so that no row holds more than FILL_STRETCH of them;
+    more than 2^63 fills are an overflow error.
     """
     slot = "\u0001"
     plain = F.regexp_replace(F.col(pred), STRING_LITERAL, slot)
@@ -161,33 +166,26 @@ def fill_slots(pairs: DataFrame, gold: str = "gold", pred: str = "pred", cap: in
         F.split(masked, slot, -1).alias("parts"),
         F.array_sort(F.array_distinct(literals_of(F.col(gold)))).alias("values"),
     ).withColumn("slots", F.size("parts") - 1)
-    total = F.pow(F.size("values").cast("double"), F.col("slots").cast("double")).cast("long")
-    base = base.withColumn("n_fills", total)
-    if cap is not None:
-        base = base.withColumn(
-            "n_fills",
-            F.when(
-                F.col("n_fills") > cap, F.raise_error(F.lit("more slot fills than the cap")).cast("long")
-            ).otherwise(F.col("n_fills")),
-        )
-    fills = base.where("n_fills > 0").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_fills") - 1)).alias("fill_id")
-    )
+    # weights[k] = values ^ k, the last one is the number of fills
     nv = F.size("values").cast("long")
+    powers = F.aggregate(
+        F.slice("parts", F.lit(2), F.greatest(F.col("slots"), F.lit(0))),
+        F.array(F.lit(1).cast("long")),
+        lambda seen, _: F.concat(seen, F.array(F.element_at(seen, -1) * nv)),
+    )
+    base = pinned(base, weights=powers).withColumn("n_fills", F.element_at("weights", -1)).where("n_fills > 0")
+    last = F.call_function("div", F.col("n_fills") - 1, F.lit(FILL_STRETCH))
+    some = base.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    some = some.withColumn("_from", F.col("_from") * FILL_STRETCH)
+    upto = F.least(F.col("_from") + FILL_STRETCH, F.col("n_fills")) - 1
+    fills = some.withColumn("fill_id", F.explode(F.sequence("_from", upto)))
     # slot s (from the left) takes the digit of weight values^(slots-1-s)
     digit = F.transform(
-        F.slice("parts", 2, F.greatest(F.col("slots"), F.lit(0))),
+        F.slice("parts", F.lit(2), F.greatest(F.col("slots"), F.lit(0))),
         lambda part, s: F.concat(
             F.element_at(
                 "values",
-                (
-                    F.floor(
-                        F.col("fill_id")
-                        / F.pow(nv.cast("double"), (F.col("slots") - 1 - s).cast("double"))
-                    )
-                    % nv
-                    + 1
-                ).cast("int"),
+                (F.call_function("div", F.col("fill_id"), F.element_at("weights", F.col("slots") - s)) % nv + 1).cast("int"),
             ),
             part,
         ),

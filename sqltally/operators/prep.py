@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqltally.functions.once import pinned
 from sqltally.functions.text import outside_quotes
@@ -367,64 +368,50 @@ def indel_similarity(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def _span(text: str, at: int, size: int, opens: bool, closes: bool) -> str | None:
-    """Word-bounded source span around a block of the context, or None."""
-    if at - 1 < 0 and opens or text[at] in SEPARATORS:
-        start = at
-    elif at >= 1 and text[at - 1] in SEPARATORS:
-        start = at - 1
-    else:
-        return None
-    end = None
-    for i in range(at + size - 1, at + size + 3):
-        if i >= len(text):
-            end = i - 1 if closes else None
-            break
-        if text[i] in SEPARATORS:
-            end = i
-            break
-    return None if end is None else text[start : end + 1].strip(SEPARATORS)
-
-
-def _is_number(text: str) -> bool:
-    try:
-        float(text.replace(",", ""))
-    except ValueError:
-        return False
-    return True
-
-
-def link_score(value: str, block: str, span: str | None, theta: float) -> float:
-    """Similarity of a value and its source span, 0 when a filter rejects the pair."""
-    if span is None or len(span) < 2:
-        return 0.0
-    low, part, src = value.lower().strip(), block.lower().strip(), span.lower().strip()
-    if not part or _is_number(part) or part == "id":
-        return 0.0
-    if {low, part, src} & STOP_WORDS:
-        return 0.0
-    if src.endswith(part + "'s"):
-        score = 1.0
-    else:
-        firsts = [t.lstrip(SEPARATORS)[:1] for t in (low, src)]
-        score = indel_similarity(low, src) if firsts[0] == firsts[1] else 0.0
-    if score < 1 and ({low, part, src} & COMMON_WORDS or value.isupper()):
-        return 0.0
-    return score if score >= theta else 0.0
-
-
-def _scorer(theta: float):
-    @F.pandas_udf("double")
-    def score(
-        value: pd.Series, block: pd.Series, context: pd.Series, at: pd.Series, opens: pd.Series, closes: pd.Series
-    ) -> pd.Series:
-        rows = zip(value, block, context, at, opens, closes)
-        return pd.Series(
-            [link_score(v, m, _span(c, int(i), len(m), o, z), theta) for v, m, c, i, o, z in rows],
-            dtype="float64",
-        )
+_BOUND = "['\"()`,.?! ]"
+#: Characters a span may reach beyond its block.
+BEYOND = 3
+
+
+def word_span(text: Column, at: Column, size: Column) -> Column:
+    """Word-bounded span around the block of ``size`` characters at ``at`` (from 1), else NULL.
+
+    The block begins the text, begins with a separator, or follows one; the span ends before the
+    first separator from the block's last character on, or with the text, at most BEYOND characters
+    after the block.  Separators around it are cut off.
+    """
+    first, before = F.substr(text, at, F.lit(1)), F.substr(text, F.greatest(at - 1, F.lit(1)), F.lit(1))
+    begins = (at == 1) | first.rlike(_BOUND) | before.rlike(_BOUND)
+    tail = F.substr(text, at + size - 1, F.lit(BEYOND + 1))
+    stop = F.regexp_instr(tail, F.lit(_BOUND))
+    more = F.when(stop > 0, stop - 1).when(F.length(tail) <= BEYOND, F.length(tail))
+    return F.when(begins, F.btrim(F.substr(text, at, size - 1 + more), F.lit(SEPARATORS)))
 
-    return score
+
+def link_allowed(value: Column, block: Column, span: Column) -> Column:
+    """Whether a value may link through this block and span at all."""
+    low, part, src = (F.lower(F.trim(c)) for c in (value, block, span))
+    number = F.replace(part, F.lit(","), F.lit("")).try_cast("double").isNotNull()
+    stops = reduce(Column.__or__, [c.isin(*sorted(STOP_WORDS)) for c in (low, part, src)])
+    return span.isNotNull() & (F.length(span) >= 2) & (part != "") & ~number & (part != "id") & ~stops
+
+
+def link_score(value: Column, block: Column, span: Column) -> Column:
+    """Similarity of value and span; 0 if their first letters differ, or a near match is not enough.
+
+    Common words and values in capitals link by equality only.
+    """
+    low, part, src = (F.lower(F.trim(c)) for c in (value, block, span))
+    head = [F.substr(F.ltrim(c, F.lit(SEPARATORS)), F.lit(1), F.lit(1)) for c in (low, src)]
+    score = F.when(head[0] == head[1], _similarity(low, src)).otherwise(0.0)
+    common = reduce(Column.__or__, [c.isin(*sorted(COMMON_WORDS)) for c in (low, part, src)])
+    capitals = (value == F.upper(value)) & (value != F.lower(value))
+    return F.when((score < 1) & (common | capitals), 0.0).otherwise(score)
+
+
+@F.pandas_udf(T.DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel_similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
 def fuzzy_link(
@@ -433,10 +420,13 @@ def fuzzy_link(
     """Values whose longest common block with the question grows into a similar word span.
 
     A span is at most three characters longer than its block, so a similarity of ``theta`` needs a
-    block of about ``theta / (2 - theta)`` of the value; that bound gives the blocking gram.  A
-    possessive hit ("block's") needs a block of the same length.  Text search stays in Spark;
-    only the value, the block and a few characters around it reach the Arrow function.
+    block of about ``theta / (2 - theta)`` of the value; that bound gives the blocking gram.  Above
+    0.8 a value of two or more characters cannot reach ``theta`` through a single shared one, so no
+    hit is lost; lower ``theta`` are refused.  Only the similarity of value and span is computed in
+    an Arrow function.
     """
+    if theta <= 0.8:
+        raise ValueError("theta must be above 0.8")
     n = F.length("low")
     share = theta / (2 - theta)
     need = F.greatest(
@@ -470,22 +460,10 @@ def fuzzy_link(
         ),
     )
     best = F.array_min(F.filter(spots, lambda p: p["at"] > 0))
-    placed = pinned(found, best=best).withColumns(
-        {
-            "from": F.greatest(F.col("best.at") - 2, F.lit(1)),
-            "block": F.substring(F.trim("value"), F.col("best.s"), F.col("size")),
-        }
-    )
-    placed = placed.select(
-        "question_id", "column", "value_id", "value", "block", "size",
-        F.substring("question", F.col("from"), F.col("size") + 6).alias("context"),
-        (F.col("best.at") - F.col("from")).alias("at"),
-        (F.col("from") == 1).alias("opens"),
-        (F.col("from") + F.col("size") + 6 > F.length("question")).alias("closes"),
-    )
-    scored = placed.withColumn(
-        "score", _scorer(theta)("value", "block", "context", "at", "opens", "closes")
-    ).where("score > 0")
+    placed = pinned(found, best=best).withColumn("block", F.substring(F.trim("value"), F.col("best.s"), F.col("size")))
+    placed = pinned(placed, span=word_span(F.col("question"), F.col("best.at"), F.col("size")))
+    allowed = placed.where(link_allowed(F.col("value"), F.col("block"), F.col("span")))
+    scored = allowed.withColumn("score", link_score(F.col("value"), F.col("block"), F.col("span"))).where(F.col("score") >= theta)
     # name columns take exact matches only; one value per block text
     scored = scored.where(~(F.contains("column", F.lit("name")) & (F.col("score") < 1)))
     one = Window.partitionBy("question_id", "column", "block").orderBy(F.desc("score"), "value_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sqltally.functions.once import pinned
 from sqltally.functions.ordering import running_sum
-from sqltally.functions.skew import heavy_hashes, salted_join
+from sqltally.functions.skew import salted_join
 
 #: positions per block of a scan
 BLOCK = 65536
@@ -23,14 +23,8 @@ BLOCK = 65536
 def eos_mask(tokens: DataFrame, eos: str, heavy: list[int] | None = None) -> DataFrame:
     """``mask`` = 1 up to and including the first position where ``eos`` holds.
 
-    A running count of earlier ends per sequence; if a sequence is heavy, its first end is
-    aggregated and joined back instead.
+    The first end of a sequence is aggregated and joined back; heavy sequences are spread.
     """
-    heavy = heavy_hashes(tokens, ["seq_id"]) if heavy is None else heavy
-    if not heavy:
-        before = Window.partitionBy("seq_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-        ended = F.coalesce(F.max(F.col(eos)).over(before), F.lit(False))
-        return tokens.withColumn("mask", (~ended).cast("int"))
     first = tokens.where(F.col(eos)).groupBy("seq_id").agg(F.min("t").alias("_first"))
     return (
         salted_join(tokens, first, ["seq_id"], "left", spread=["t"], heavy=heavy)
@@ -126,9 +120,6 @@ def reverse_scan(tokens: DataFrame, x: Column, rate: float, name: str, block: in
     )
     weight = F.pow(F.lit(rate), F.col("_off").cast("double"))
     local = cut.withColumn(name, F.sum(F.col("_x") * weight).over(w) / weight)
-    longest = tokens.agg(F.max("t")).first()[0]
-    if longest is None or longest < size:
-        return local.drop("_x", "_blk", "_off")
     several = tokens.where(F.col("t") >= size).select("seq_id").distinct()
     heads = (
         local.where("_off = 0")
@@ -215,11 +206,18 @@ def penalized_rewards(
 def adaptive_coef(steps: DataFrame, init: float, target: float, horizon: float) -> DataFrame:
     """Coefficient after each step: multiplied by ``1 + clip(kl/target - 1, +-0.2) * n / horizon``.
 
-    ``steps(step, kl, n)``.  The running product is a blocked running sum of logarithms.
+    ``steps(step, kl, n)``.  The running product is kept as three blocked running sums: logarithms
+    of the factors' sizes, negative factors, and zero factors.
     """
     error = F.least(F.lit(0.2), F.greatest(F.lit(-0.2), F.col("kl") / target - 1))
-    summed = running_sum(steps, F.log1p(error * F.col("n") / horizon), "step", "_log")
-    return summed.select("step", "kl", "n", (F.exp("_log") * init).alias("coef"))
+    steps = steps.withColumn("_m", 1 + error * F.col("n") / horizon)
+    size = F.when(F.col("_m") == 0, 0.0).otherwise(F.log(F.abs("_m")))
+    summed = running_sum(steps, size, "step", "_log")
+    summed = running_sum(summed, (F.col("_m") < 0).cast("int"), "step", "_negative")
+    summed = running_sum(summed, (F.col("_m") == 0).cast("int"), "step", "_zero")
+    sign = F.when(F.col("_negative") % 2 == 1, -1.0).otherwise(1.0)
+    coef = F.when(F.col("_zero") > 0, 0.0).otherwise(sign * F.exp("_log") * init)
+    return summed.select("step", "kl", "n", coef.alias("coef"))
 
 
 def _masked_avg(x: Column) -> Column:

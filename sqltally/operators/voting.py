@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqltally.operators.compare import bag_equal, set_equal, signature
+from sqltally.operators.compare import bag_equal, explicit_nulls, set_equal, signature
 
 ERROR_SQL = "Error SQL"
 
@@ -25,7 +25,7 @@ def mark_invalid(candidates: DataFrame) -> DataFrame:
 def result_signatures(results: DataFrame, bag: bool = False) -> DataFrame:
     """One order-free signature per candidate; ``bag`` keeps duplicate rows apart."""
     ids = ["question_id", "cand_id"]
-    rows = results.select(*ids, "cells")
+    rows = results.select(*ids, explicit_nulls().alias("cells"))
     if not bag:
         rows = rows.dropDuplicates()
     return rows.groupBy(*ids).agg(signature(F.col("cells")).alias("sig"))

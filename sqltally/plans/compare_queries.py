@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqltally.functions.lineage import shared_folder
 from sqltally.operators import compare, metrics, voting
 from sqltally.plans import views
 from sqltally.plans.registry import query
@@ -119,9 +118,8 @@ PAIR_SQL = [
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (system temp only if unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(base or tempfile.mkdtemp(prefix="sqltally-"), f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

@@ -81,7 +81,8 @@ def efficiency_score(spark, sf):
 CLAUSES = ["select", "where", "group", "having", "order", "limit", "connective", "keyword", "table", "nested", "agg", "op"]
 
 
-def components(spark, sf, scopes=False):
+def components(spark, sf, scopes=False, mixed=False):
+    """``scopes``: set operations only; ``mixed``: a third of the lines of every fifth order in one of them."""
     li = table(spark, sf, "lineitem")
     n = F.element_at(
         F.array(*[F.lit(c) for c in CLAUSES]), (F.col("l_partkey") % 12 + 1).cast("int")
@@ -95,6 +96,9 @@ def components(spark, sf, scopes=False):
     scope = F.element_at(
         F.array(*[F.lit(s) for s in ("intersect", "except", "union")]), (F.col("l_suppkey") % 3 + 1).cast("int")
     )
+    if mixed:
+        scope = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_suppkey") % 3 == 1), "union").otherwise("main")
+        scopes = True
     # question = a run of lines of one order; the line number places items within a clause
     return li.select(
         F.col("l_orderkey").alias("question_id"),
@@ -109,7 +113,8 @@ def components(spark, sf, scopes=False):
 
 COMPONENTS = """comp AS (
   SELECT l_orderkey AS question_id, CASE WHEN l_linenumber % 2 = 1 THEN 'gold' ELSE 'pred' END AS side,
-         ['intersect','except','union'][l_suppkey % 3 + 1] AS scope, cl AS clause, l_linenumber AS pos,
+         ['intersect','except','union'][l_suppkey % 3 + 1] AS scope,
+         CASE WHEN l_orderkey % 5 = 0 AND l_suppkey % 3 = 1 THEN 'union' ELSE 'main' END AS mixed, cl AS clause, l_linenumber AS pos,
          CASE cl WHEN 'connective' THEN CASE WHEN l_suppkey % 2 = 0 THEN 'or' ELSE 'and' END
                  WHEN 'op' THEN CASE WHEN l_suppkey % 2 = 0 THEN 'like' ELSE '=' END
                  WHEN 'group' THEN 't' || (l_suppkey % 2) || '.' || l_linestatus
@@ -131,14 +136,14 @@ CAST_N = "CAST(label_n AS BIGINT) AS label_n, CAST(pred_n AS BIGINT) AS pred_n,
     "mt5_hardness",
     f"""WITH {COMPONENTS}, n AS (
   SELECT question_id,
-         count(*) FILTER (clause = 'where') AS w, count(*) FILTER (clause = 'group') AS gr,
-         count(*) FILTER (clause = 'order') AS o, count(*) FILTER (clause = 'limit') AS l,
-         count(*) FILTER (clause = 'table') AS t, count(*) FILTER (clause = 'select') AS s,
-         count(*) FILTER (clause = 'nested') AS ne, count(*) FILTER (clause = 'agg') AS a,
-         count(*) FILTER (clause = 'connective' AND item = 'or') AS orr,
-         count(*) FILTER (clause = 'op' AND item = 'like') AS lk
+         count(*) FILTER (mixed = 'main' AND clause = 'where') AS w, count(*) FILTER (mixed = 'main' AND clause = 'group') AS gr,
+         count(*) FILTER (mixed = 'main' AND clause = 'order') AS o, count(*) FILTER (mixed = 'main' AND clause = 'limit') AS l,
+         count(*) FILTER (mixed = 'main' AND clause = 'table') AS t, count(*) FILTER (mixed = 'main' AND clause = 'select') AS s,
+         count(*) FILTER (mixed = 'main' AND clause = 'nested') AS ne, count(DISTINCT mixed) FILTER (mixed <> 'main') AS sc, count(*) FILTER (mixed = 'main' AND clause = 'agg') AS a,
+         count(*) FILTER (mixed = 'main' AND clause = 'connective' AND item = 'or') AS orr,
+         count(*) FILTER (mixed = 'main' AND clause = 'op' AND item = 'like') AS lk
   FROM comp GROUP BY 1),
-c AS (SELECT question_id, ne AS n2,
+c AS (SELECT question_id, greatest(ne, sc) AS n2,
         CAST(w > 0 AS INT) + CAST(gr > 0 AS INT) + CAST(o > 0 AS INT) + CAST(l > 0 AS INT)
         + greatest(t - 1, 0) + orr + lk AS c1,
         CAST(a > 1 AS INT) + CAST(s > 1 AS INT) + CAST(w > 1 AS INT) + CAST(gr > 1 AS INT) AS c3 FROM n)
@@ -150,7 +155,7 @@ SELECT question_id, CASE
 FROM c""",
 )
 def hardness(spark, sf):
-    return metrics.hardness(components(spark, sf)).select("question_id", "level")
+    return metrics.hardness(components(spark, sf, mixed=True)).select("question_id", "level")
 
 
 @query(
@@ -286,9 +291,12 @@ def nested_match(spark, sf):
     return metrics.nested_match(nested_components(spark, sf))
 
 
-SCORES = f"""
-q AS (SELECT DISTINCT question_id FROM comp),
-lists AS (
+def _flat_sql(source: str, tag: str, last: str = "") -> str:
+    """Nine components of the queries in ``source``, as relations ending in ``tag``."""
+    hits = lambda clause, item: _hits(clause, item).replace("FROM comp", f"FROM {source}")
+    return f"""
+q{tag} AS (SELECT DISTINCT question_id FROM {source}),
+lists{tag} AS (
   SELECT question_id,
          list((pos, item) ORDER BY pos, item) FILTER (clause = 'order' AND side = 'pred') AS op,
          list((pos, item) ORDER BY pos, item) FILTER (clause = 'order' AND side = 'gold') AS og,
@@ -298,43 +306,63 @@ lists AS (
          list((pos, item) ORDER BY pos, item) FILTER (clause = 'having' AND side = 'gold') AS hg,
          count(*) FILTER (clause = 'limit' AND side = 'pred') AS lp,
          count(*) FILTER (clause = 'limit' AND side = 'gold') AS lg
-  FROM comp GROUP BY 1),
-raw AS (
-  SELECT question_id, 'select' AS component, label_n, pred_n, hit FROM {_hits('select', 'item')}
-  UNION ALL SELECT question_id, 'select(no AGG)', label_n, pred_n, hit FROM {_hits('select', 'item_no_agg')}
-  UNION ALL SELECT question_id, 'where', label_n, pred_n, hit FROM {_hits('where', 'item')}
-  UNION ALL SELECT question_id, 'where(no OP)', label_n, pred_n, hit FROM {_hits('where', 'item_no_agg')}
-  UNION ALL SELECT question_id, 'group(no Having)', label_n, pred_n, hit FROM {_hits('group', "split_part(item, '.', 2)")}
+  FROM {source} GROUP BY 1),
+raw{tag} AS (
+  SELECT question_id, 'select' AS component, label_n, pred_n, hit FROM {hits('select', 'item')}
+  UNION ALL SELECT question_id, 'select(no AGG)', label_n, pred_n, hit FROM {hits('select', 'item_no_agg')}
+  UNION ALL SELECT question_id, 'where', label_n, pred_n, hit FROM {hits('where', 'item')}
+  UNION ALL SELECT question_id, 'where(no OP)', label_n, pred_n, hit FROM {hits('where', 'item_no_agg')}
+  UNION ALL SELECT question_id, 'group(no Having)', label_n, pred_n, hit FROM {hits('group', "split_part(item, '.', 2)")}
   UNION ALL SELECT question_id, 'group', CAST(gg IS NOT NULL AS INT), CAST(gp IS NOT NULL AS INT),
-    CAST(gg IS NOT NULL AND gg IS NOT DISTINCT FROM gp AND hg IS NOT DISTINCT FROM hp AS INT) FROM lists
+    CAST(gg IS NOT NULL AND gg IS NOT DISTINCT FROM gp AND hg IS NOT DISTINCT FROM hp AS INT) FROM lists{tag}
   UNION ALL SELECT question_id, 'order', CAST(og IS NOT NULL AS INT), CAST(op IS NOT NULL AS INT),
-    CAST(og IS NOT NULL AND og IS NOT DISTINCT FROM op AND ((lp > 0) = (lg > 0)) AS INT) FROM lists
+    CAST(og IS NOT NULL AND og IS NOT DISTINCT FROM op AND ((lp > 0) = (lg > 0)) AS INT) FROM lists{tag}
   UNION ALL SELECT question_id, 'and/or',
     CASE WHEN p IS NOT DISTINCT FROM g THEN 1 ELSE coalesce(len(p), 0) END,
     CASE WHEN p IS NOT DISTINCT FROM g THEN 1 ELSE coalesce(len(g), 0) END, CAST(p IS NOT DISTINCT FROM g AS INT)
     FROM (SELECT question_id, list(DISTINCT item ORDER BY item) FILTER (side = 'pred') AS p,
                  list(DISTINCT item ORDER BY item) FILTER (side = 'gold') AS g
-          FROM comp WHERE clause = 'connective' GROUP BY 1)
+          FROM {source} WHERE clause = 'connective' GROUP BY 1)
   UNION ALL SELECT question_id, 'keywords', sum(g), sum(p), sum(least(p, g)) FROM (
     SELECT question_id, item, count(DISTINCT item) FILTER (side = 'pred') AS p, count(DISTINCT item) FILTER (side = 'gold') AS g
-    FROM comp WHERE clause = 'keyword' GROUP BY 1, 2) GROUP BY 1),
-grid AS (
-  SELECT question_id, component FROM q CROSS JOIN (SELECT unnest(['select','select(no AGG)','where','where(no OP)',
+    FROM {source} WHERE clause = 'keyword' GROUP BY 1, 2) GROUP BY 1),
+grid{tag} AS (
+  SELECT question_id, component FROM q{tag} CROSS JOIN (SELECT unnest(['select','select(no AGG)','where','where(no OP)',
     'group(no Having)','group','order','and/or','keywords']) AS component)),
-overlap AS (
+overlap{tag} AS (
   SELECT g.question_id, g.component,
          coalesce(label_n, CASE WHEN g.component = 'and/or' THEN 1 ELSE 0 END) AS label_n,
          coalesce(pred_n, CASE WHEN g.component = 'and/or' THEN 1 ELSE 0 END) AS pred_n,
          coalesce(hit, CASE WHEN g.component = 'and/or' THEN 1 ELSE 0 END) AS hit
-  FROM grid g LEFT JOIN raw r ON r.question_id = g.question_id AND r.component = g.component),
-part AS (
+  FROM grid{tag} g LEFT JOIN raw{tag} r ON r.question_id = g.question_id AND r.component = g.component),
+part{tag} AS (
   SELECT question_id, component, label_n, pred_n,
-         CASE WHEN label_n = pred_n AND hit = pred_n THEN 1 ELSE 0 END AS f1 FROM overlap)
+         CASE WHEN label_n = pred_n AND hit = pred_n THEN 1 ELSE 0 END AS f1 FROM overlap{tag}{last})
+"""
+
+
+#: Main query and nested queries are scored alike; a nested query is known by question and scope.
+SCORES = f"""main AS (SELECT * FROM comp WHERE mixed = 'main'),
+inner_ AS (SELECT * REPLACE (question_id * 10 + 1 AS question_id) FROM comp WHERE mixed <> 'main'),
+{_flat_sql('inner_', '_in')},
+tables_in AS (
+  SELECT question_id, list(item ORDER BY item) FILTER (side = 'gold') AS g, list(item ORDER BY item) FILTER (side = 'pred') AS p
+  FROM inner_ WHERE clause = 'table' GROUP BY 1),
+sides AS (SELECT question_id, max(CAST(side = 'gold' AS INT)) AS g, max(CAST(side = 'pred' AS INT)) AS p FROM inner_ GROUP BY 1),
+iuen AS (
+  SELECT s.question_id // 10 AS question_id, 'IUEN' AS component, s.g AS label_n, s.p AS pred_n,
+         CASE WHEN s.g = 1 AND s.p = 1 AND e.f = 1 AND (t.g IS NULL OR t.g IS NOT DISTINCT FROM t.p) THEN 1 ELSE 0 END AS hit
+  FROM sides s JOIN (SELECT question_id, min(f1) AS f FROM part_in GROUP BY 1) e USING (question_id)
+  LEFT JOIN tables_in t USING (question_id)),
+{_flat_sql('main', '', """
+  UNION ALL SELECT q.question_id, 'IUEN', coalesce(label_n, 0), coalesce(pred_n, 0),
+         CASE WHEN coalesce(label_n, 0) = coalesce(pred_n, 0) AND coalesce(hit, 0) = coalesce(pred_n, 0) THEN 1 ELSE 0 END
+  FROM (SELECT DISTINCT question_id FROM comp) q LEFT JOIN iuen USING (question_id)""").replace("q AS (SELECT DISTINCT question_id FROM main)", "q AS (SELECT DISTINCT question_id FROM comp)")}
 """
 
 
 def _scores(spark, sf):
-    comp = components(spark, sf)
+    comp = components(spark, sf, mixed=True)
     questions = comp.select("question_id").distinct()
     return comp, metrics.component_scores(comp, questions)
 
@@ -343,7 +371,7 @@ def _scores(spark, sf):
     "mt12_exact_match",
     f"""WITH {COMPONENTS}, {SCORES}, tab AS (
   SELECT question_id, list(item ORDER BY item) FILTER (side = 'gold') AS g, list(item ORDER BY item) FILTER (side = 'pred') AS p
-  FROM comp WHERE clause = 'table' GROUP BY 1)
+  FROM main WHERE clause = 'table' GROUP BY 1)
 SELECT e.question_id, CAST(CASE WHEN tab.g IS NULL OR tab.g IS NOT DISTINCT FROM tab.p THEN e.f ELSE 0 END AS INTEGER) AS exact
 FROM (SELECT question_id, min(f1) AS f FROM part GROUP BY 1) e LEFT JOIN tab USING (question_id)""",
 )

@@ -108,7 +108,7 @@ def fill_slots(spark, sf):
         ).alias("gold"),
         F.lit("SELECT a FROM t WHERE q > 1.5 AND p = 'x y' LIMIT ALL").alias("pred"),
     )
-    return mining.fill_slots(pairs, cap=10_000)
+    return mining.fill_slots(pairs)
 
 
 @query(

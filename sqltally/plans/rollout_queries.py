@@ -114,13 +114,15 @@ def batch_kl(spark, sf):
 
 @query(
     "rl8_adaptive_coef",
-    f"""WITH {STEP_KL}, m AS (SELECT step, 1 + least(0.2, greatest(-0.2, abs(kl) / 0.002 - 1)) * n / 10000 AS mult FROM stp)
-SELECT step, round(0.2 * exp(sum(ln(mult)) OVER (ORDER BY step)), 8) AS coef FROM m""",
+    f"""WITH {STEP_KL}, m AS (SELECT step, 1 + least(0.2, greatest(-0.2, abs(kl) / 0.002 - 1)) * CASE WHEN step % 2 = 0 THEN 100000 ELSE n END / 10000 AS mult FROM stp)
+SELECT step, round(0.2 * product(mult) OVER (ORDER BY step), 8) AS coef FROM m""",
 )
 def adaptive_coef(spark, sf):
+    """Every second step counts ten horizons of tokens, so that factors turn negative."""
     _, metrics = rollout.penalized_rewards(views.tokens(spark, sf, True), BETA, "kl", ("step",))
     steps = metrics.select("step", F.abs("kl").alias("kl"), F.col("n_seqs").alias("n"))
-    out = rollout.adaptive_coef(steps, init=0.2, target=0.002, horizon=10000)
+    scaled = steps.withColumn("n", F.when(F.col("step") % 2 == 0, F.lit(100000)).otherwise(F.col("n")))
+    out = rollout.adaptive_coef(scaled, init=0.2, target=0.002, horizon=10000)
     return out.select("step", F.round("coef", 8).alias("coef"))
 
 

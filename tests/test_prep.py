@@ -34,16 +34,28 @@ def test_match_values_equals_brute_force(spark):
 
 
 def linked(question, value, theta=0.85):
-    """Plain restatement: longest common block, word-bounded span, filters, similarity."""
-    q, low = question.strip().lower(), value.strip().lower()
-    m = difflib.SequenceMatcher(None, q, low, autojunk=False).find_longest_match()
+    """Plain restatement without any bound on the block: longest block, span, rejections, similarity."""
+    text, low = question.strip(), value.strip().lower()
+    m = difflib.SequenceMatcher(None, text.lower(), low, autojunk=False).find_longest_match()
     if not m.size:
         return 0.0
-    need = max(1, -int(-(theta / (2 - theta) * len(low)) // 1) - 3, min(2, len(low)))
-    if m.size < need:
+    bound = set(prep.SEPARATORS)
+    if m.a and text[m.a] not in bound and text[m.a - 1] not in bound:
         return 0.0
-    block = value.strip()[m.b : m.b + m.size]
-    return prep.link_score(value, block, prep._span(question.strip(), m.a, m.size, True, True), theta)
+    last = m.a + m.size - 1
+    near = next((i for i in range(last, min(last + 4, len(text))) if text[i] in bound), None)
+    if near is None and last + 4 <= len(text):
+        return 0.0
+    span = text[m.a : near].strip(prep.SEPARATORS)
+    part, src = value.strip()[m.b : m.b + m.size].lower().strip(), span.lower()
+    words = {low, part, src}
+    if len(span) < 2 or part in ("", "id") or part.replace(",", "").isdigit() or words & prep.STOP_WORDS:
+        return 0.0
+    same = low.lstrip(prep.SEPARATORS)[:1] == src[:1]
+    score = prep.indel_similarity(low, src) if same else 0.0
+    if score < 1 and (words & prep.COMMON_WORDS or value.isupper()):
+        return 0.0
+    return score if score >= theta else 0.0
 
 
 def test_fuzzy_link_equals_brute_force(spark):
@@ -51,9 +63,12 @@ def test_fuzzy_link_equals_brute_force(spark):
     stored = sorted({t.strip() for t in texts(4, 40, 1, 3)} | {"cat", "RED RING", "yes", "small rings"})
     questions = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
     values = spark.createDataFrame([(i, f"c{i}", v) for i, v in enumerate(stored)], "value_id long, column string, value string")
-    got = {(r.question_id, r.value_id): r.score for r in prep.fuzzy_link(questions, values).collect()}
-    want = {(q, i): s for q, t in enumerate(asked) for i, v in enumerate(stored) if (s := linked(t, v)) > 0}
-    assert got == pytest.approx(want) and any(s < 1 for s in want.values())
+    for theta in (0.85, 0.81):
+        got = {(r.question_id, r.value_id): r.score for r in prep.fuzzy_link(questions, values, theta).collect()}
+        want = {(q, i): s for q, t in enumerate(asked) for i, v in enumerate(stored) if (s := linked(t, v, theta)) > 0}
+        assert got == pytest.approx(want) and any(s < 1 for s in want.values())
+    with pytest.raises(ValueError, match="theta"):
+        prep.fuzzy_link(questions, values, 0.6)
 
 
 def test_indel_similarity():
