@@ -117,15 +117,17 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     as likeness of hashes.  Null texts count as empty; a single document is its own next.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(text).alias("key"))
-    marked = with_fingerprint(rows, "text", "fingerprint", k, window)
-    marked = marked.withColumn("hashes", F.array_distinct(F.col("fingerprint.hash")))
+    # only texts are shuffled; fingerprinting the next text again costs less than moving its grams
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    pairs = with_next(marked, ["text", "hashes"], "doc_id", "key")
+    pairs = with_next(rows, ["text"], "doc_id", "key")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
-    again = with_fingerprint(pinned(pairs, n_chars=n.cast("bigint"), edited=edited).drop("text", "next_text"), "edited", "edited_fingerprint", k, window)
-    again = again.withColumn("edited_hashes", F.array_distinct(F.col("edited_fingerprint.hash")))
-    return again.select(
+    marked = pinned(pairs, n_chars=n.cast("bigint"), edited=edited)
+    for text, name in (("text", "fingerprint"), ("next_text", "next_fingerprint")):
+        marked = with_fingerprint(marked, text, name, k, window).drop(text)
+    marked = with_fingerprint(marked, "edited", "edited_fingerprint", k, window)
+    hashes = [F.array_distinct(F.col(f"{c}fingerprint.hash")).alias(f"{c}hashes") for c in ("", "edited_", "next_")]
+    return marked.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", *hashes).select(
         "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
         likeness("hashes", "edited_hashes").alias("near_edited"), likeness("hashes", "next_hashes").alias("near_next"),
     )
