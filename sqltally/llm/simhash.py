@@ -28,6 +28,8 @@ from sqltally.llm.common import cut_lineage, raw_text, text_key
 SEED = 42
 #: Shingles whose bits are counted at once.
 BIT_CHUNK = 1 << 16
+#: Compared pairs that cost as much as one row of a bucket, which is shuffled twice and checkpointed.
+COMPARED = 4000
 #: Bytes of a sketch.
 SKETCH = 32
 
@@ -84,10 +86,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def _block_count(distinct: int, radius: int) -> int:
-    """Number of blocks with the least work: rows per bucket key, and pairs compared at a thousandth of a row."""
+    """Number of blocks with the least work: rows per bucket key, and pairs compared at a part of COMPARED of a row."""
 
     def work(blocks: int) -> float:
-        return comb(blocks, blocks - radius) * (1 + distinct / 2 ** (64 * (blocks - radius) // blocks) / 1000)
+        return comb(blocks, blocks - radius) * (1 + distinct / 2 ** (64 * (blocks - radius) // blocks) / COMPARED)
 
     return min(range(radius + 1, min(63, radius + 6) + 1), key=work)
 
@@ -162,12 +164,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, agreement: float | N
     """Edges (a, b) that connect exactly the fingerprints joined by chains of links.
 
     ``distinct`` has one row per fingerprint, columns ``fp`` and ``sketch``.  A bucket of at most
-    ``tile`` rows is one tile; a larger one is cut by population count, and each count into equal
-    shares, so that every tile stays small and tile pairs further apart than ``radius`` counts are
-    skipped.
+    ``tile`` rows is one tile; a larger one is cut into bands of neighbouring population counts, and
+    each band into equal shares, so that every tile stays small and pairs of tiles whose counts
+    differ by more than ``radius`` are skipped.
     """
+    span = radius // 2 + 1
     blocks = _block_count(distinct.count(), radius)
-    keyed = distinct.select("fp", "sketch", F.bit_count("fp").alias("ones"), F.explode(_bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
+    keyed = distinct.select("fp", "sketch", F.floor(F.bit_count("fp") / span).cast("int").alias("ones"), F.explode(_bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
     by_ones = keyed.groupBy("key", "ones").agg(F.count(F.lit(1)).alias("n"))
     sized = by_ones.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("counts"))
     shares = F.ceil(F.element_at("counts", F.col("ones")) / F.lit(tile))
@@ -183,7 +186,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, agreement: float | N
     large = tiles.where("band >= 0")
     other = large.select("key", F.col("band").alias("band2"), F.col("share").alias("share2"), F.col("left").alias("right"))
     ahead = (F.col("band2") > F.col("band")) | ((F.col("band2") == F.col("band")) & (F.col("share2") > F.col("share")))
-    paired = large.join(other, "key").where(ahead & (F.col("band2") - F.col("band") <= radius)).select("left", "right")
+    paired = large.join(other, "key").where(ahead & ((F.col("band2") - F.col("band")) * span - (span - 1) <= radius)).select("left", "right")
     return alone.unionByName(paired).mapInArrow(_compare(radius, agreement), "a bigint, b bigint").distinct()
 
 
