@@ -35,6 +35,12 @@ TYPE_RULES = (
 )
 
 
+#: Values longer than this are counted by digest.
+DIGEST_OVER = 64
+#: Hash classes, and first characters of a value, that bound the smallest values of a column.
+LOW_CLASSES, HEAD_CHARS = 64, 64
+
+
 def build_catalog(
     spark: SparkSession, tables: Mapping[str, DataFrame], db_id: str = "db"
 ) -> tuple[DataFrame, DataFrame]:
@@ -88,11 +94,8 @@ def column_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_values(tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
-    """``(table_name, column_name, value, n)`` over all plain columns, values as text.
-
-    One scan per table; equal values are combined before the shuffle.
-    """
+def _long(tables: Mapping[str, DataFrame], columns: Sequence[str] | None) -> DataFrame:
+    """``(column_name, value, table_name)``: every plain cell as text, one scan per table."""
     parts = []
     for name, df in tables.items():
         cols = [c for c in _atomic(df) if columns is None or c in columns]
@@ -101,10 +104,47 @@ def distinct_values(tables: Mapping[str, DataFrame], columns: Sequence[str] | No
                 [], [F.col(f"`{c}`") for c in cols], "column_name", "value"
             )
             parts.append(long.withColumn("table_name", F.lit(name)))
-    long = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def distinct_values(
+    tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None, digests: bool = False
+) -> DataFrame:
+    """``(table_name, column_name, value, n)`` over all plain columns, values as text.
+
+    One scan per table; equal values are combined before the shuffle.  With ``digests`` the SHA-256
+    stands for a value of more than DIGEST_OVER characters, for uses that only count.
+    """
+    long = _long(tables, columns)
+    if digests:
+        short = F.when(F.length("value") > DIGEST_OVER, F.sha2("value", 256)).otherwise(F.col("value"))
+        long = long.withColumn("value", short)
     return long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lowest_values(tables: Mapping[str, DataFrame], n: int, blanks: bool = False) -> DataFrame:
+    """Distinct ``(table_name, column_name, value)`` with at least the ``n`` smallest values of every column.
+
+    Values fall into LOW_CLASSES classes by the hash of their first characters.  The ``n``-th
+    smallest of the classes' least beginnings has ``n`` values at or below it, so no larger
+    beginning can be among the first ``n``; only values up to it are made distinct.  A column that
+    fills fewer classes keeps all its values.  NULL and blank values are left out unless ``blanks``.
+    """
+    long = _long(tables, None)
+    if not blanks:
+        long = long.where("value <> ''")
+    head = F.substring("value", 1, HEAD_CHARS)
+    in_class = F.pmod(F.xxhash64(head), F.lit(LOW_CLASSES)).alias("class")
+    least = long.where("value IS NOT NULL").groupBy("table_name", "column_name", in_class).agg(F.min(head).alias("least"))
+    bounds = least.groupBy("table_name", "column_name").agg(
+        F.get(F.array_sort(F.collect_list("least")), F.lit(n - 1)).alias("bound")
+    )
+    # one row per column of the catalog
+    bounded = long.join(F.broadcast(bounds), ["table_name", "column_name"], "left")
+    kept = F.col("value").isNull() | F.col("bound").isNull() | (head <= F.col("bound"))
+    return bounded.where(kept).select("table_name", "column_name", "value").distinct()
+
+
 def _ranked(values: DataFrame) -> DataFrame:
     # only the first ranks are kept, so each task passes on a few rows per column
     w = Window.partitionBy("table_name", "column_name").orderBy(F.asc_nulls_first("value"))

@@ -17,6 +17,13 @@ SCHEMAS = {
     "part": {"p_partkey": "bigint", "p_name": "varchar", "p_brand": "varchar", "p_type": "varchar", "p_size": "integer", "p_retailprice": "double"},
     "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "varchar", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "varchar"},
     "events": {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "varchar", "value": "double", "props": "varchar"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "integer", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "varchar", "l_linestatus": "varchar", "l_shipdate": "timestamp"},
+    "documents": {"doc_id": "bigint", "text": "varchar", "lang": "varchar", "source": "varchar", "n_chars": "bigint"},
+    "labels": {"doc_id": "bigint", "quality": "integer", "toxic": "integer"},
+    "benchmark": {"item_id": "bigint", "text": "varchar"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "varchar", "text": "varchar"},
+    "pages": {"page_id": "bigint", "url": "varchar", "html": "varchar"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "integer"},
 }
 #: foreign keys by name
 FKS = [
@@ -24,6 +31,10 @@ FKS = [
     ("customer", "c_nationkey", "nation", "n_nationkey"),
     ("supplier", "s_nationkey", "nation", "n_nationkey"),
     ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
 ]
 RESERVED = ["VALUE"]  # the only reserved word among the column names above
 
@@ -45,20 +56,27 @@ def _meta_rows() -> str:
 VALUES = "vals AS (" + "\n  UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}"
     for t, cols in SCHEMAS.items()
-    for c in cols
+    for c, kind in cols.items()
+    if not kind.startswith("array")
 ) + f"""),
+cells AS (SELECT * FROM vals UNION ALL SELECT 'embeddings', 'embedding', CASE WHEN embedding IS NOT NULL THEN '[]' END FROM embeddings),
 meta AS (SELECT * FROM (VALUES {_meta_rows()}) AS m(column_id, table_id, table_name, column_name, declared)),
 dv AS (SELECT table_name, column_name, value, count(*) AS n FROM vals GROUP BY 1, 2, 3)"""
 
-KIND = """CASE WHEN declared IN ('varchar') THEN 'text' WHEN declared IN ('integer','bigint','double') THEN 'number'
+KIND = """CASE WHEN declared IN ('varchar') THEN 'text' WHEN declared IN ('integer','bigint','double','array<float>') THEN 'number'
   WHEN declared = 'timestamp' THEN 'time' ELSE 'others' END"""
+MISSING = ", ".join(f"'{v}'" for v in catalog.MISSING)
+PAIRS = ", ".join(f"'{a} {b}'" for a, b in catalog.BOOLEAN_PAIRS)
+#: example text of a value in a DDL comment
+QUOTED = """CASE WHEN contains(value, '''') AND NOT contains(value, '"') THEN '"' || value || '"'
+    ELSE '''' || replace(value, '''', '\\''') || '''' END"""
 
 
 @query(
     "cat1_build_catalog",
     f"""WITH {VALUES}
 SELECT column_id, m.table_name, m.column_name, replace(lower(m.column_name), '_', ' ') AS display, count(v.value) AS n_values
-FROM meta m JOIN vals v ON v.table_name = m.table_name AND v.column_name = m.column_name GROUP BY 1, 2, 3, 4""",
+FROM meta m JOIN cells v ON v.table_name = m.table_name AND v.column_name = m.column_name GROUP BY 1, 2, 3, 4""",
 )
 def build_catalog(spark, sf):
     tables = _tables(spark, sf)
@@ -73,7 +91,7 @@ def build_catalog(spark, sf):
     "cat2_normalize_types",
     f"""WITH {VALUES}
 SELECT {KIND} AS kind, count(DISTINCT column_id) AS n_columns, count(v.value) AS n_values
-FROM meta m JOIN vals v ON v.table_name = m.table_name AND v.column_name = m.column_name GROUP BY 1""",
+FROM meta m JOIN cells v ON v.table_name = m.table_name AND v.column_name = m.column_name GROUP BY 1""",
 )
 def normalize_types(spark, sf):
     tables = _tables(spark, sf)
@@ -89,22 +107,18 @@ def normalize_types(spark, sf):
 @query(
     "cat3_infer_content_type",
     f"""WITH {VALUES}, s AS (
-  SELECT table_name, column_name, count(value) AS n,
+  SELECT table_name, column_name, count(value) AS n, min(lower(value)) AS lo, max(lower(value)) AS hi,
     count(*) FILTER (regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) AS nums,
     count(*) FILTER (regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9:.]+')) AS dates
-  FROM dv GROUP BY 1, 2)
+  FROM (SELECT table_name, column_name, CASE WHEN value NOT IN ({MISSING}) THEN value END AS value FROM dv) GROUP BY 1, 2)
 SELECT table_name, column_name, n AS n_distinct,
-  CASE WHEN n - nums - dates > CASE WHEN n > 7 THEN 1 ELSE 0 END THEN 'text' WHEN n < 2 THEN 'unknown' WHEN dates > nums THEN 'date' ELSE 'number' END AS kind
+  CASE WHEN n = 2 AND lo || ' ' || hi IN ({PAIRS}) THEN 'boolean' WHEN n - nums - dates > CASE WHEN n > 7 THEN 1 ELSE 0 END THEN 'text' WHEN n < 2 THEN 'unknown' WHEN dates > nums THEN 'date' ELSE 'number' END AS kind
 FROM s""",
 )
 def infer_content_type(spark, sf):
     return catalog.infer_content_type(catalog.distinct_values(_tables(spark, sf)))
 
 
-def _profile(spark, sf):
-    return catalog.distinct_values(_tables(spark, sf))
-
-
 @query(
     "cat4_sample_values",
     f"""WITH {VALUES}, r AS (
@@ -112,7 +126,7 @@ def _profile(spark, sf):
 SELECT table_name, column_name, CAST(rank AS INTEGER) AS rank, substr(value, 1, 40) AS value FROM r WHERE rank <= 6""",
 )
 def sample_values(spark, sf):
-    return catalog.sample_values(_profile(spark, sf), 6)
+    return catalog.sample_values(catalog.lowest_values(_tables(spark, sf), 6), 6)
 
 
 @query(
@@ -122,7 +136,7 @@ def sample_values(spark, sf):
 SELECT table_name, column_name, CAST(rank AS INTEGER) AS rank, value FROM r WHERE rank <= 5 AND (value IS NULL OR value <> '')""",
 )
 def first_values(spark, sf):
-    return catalog.first_values(_profile(spark, sf), 5)
+    return catalog.first_values(catalog.lowest_values(_tables(spark, sf), 5, blanks=True), 5)
 
 
 @query("cat6_picklist", "SELECT DISTINCT o_custkey AS value FROM orders")
@@ -136,7 +150,7 @@ def picklist(spark, sf):
   CAST(count(value) <> coalesce(sum(CASE WHEN value IS NOT NULL THEN n END), 0) AS INTEGER) AS has_dups FROM dv GROUP BY 1, 2""",
 )
 def duplicate_columns(spark, sf):
-    out = catalog.duplicate_columns(_profile(spark, sf))
+    out = catalog.duplicate_columns(catalog.distinct_values(_tables(spark, sf), digests=True))
     return out.withColumn("has_dups", F.col("has_dups").cast("int"))
 
 
@@ -174,9 +188,10 @@ def _keys(spark, sf):
     """Primary keys found in the data (a ``...key`` column without duplicates), declared foreign keys."""
     tables = _tables(spark, sf)
     _, columns = catalog.build_catalog(spark, tables)
+    named = [c for cols in SCHEMAS.values() for c in cols if c.endswith(("key", "_id"))]
     found = (
-        catalog.duplicate_columns(catalog.distinct_values(tables))
-        .where(~F.col("has_dups") & F.col("column_name").rlike("(key|_id)$"))
+        catalog.duplicate_columns(catalog.distinct_values(tables, named))
+        .where(~F.col("has_dups"))
         .join(columns, ["table_name", "column_name"])
         .select("db_id", F.lit("pk").alias("kind"), "column_id", F.lit(None).cast("int").alias("ref_column_id"))
     )
@@ -247,7 +262,7 @@ EXAMPLES = f"""ex0 AS (
   SELECT table_name, column_name, substr(value, 1, 40) AS value, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank
   FROM dv WHERE value IS NOT NULL AND value <> ''),
 ex AS (
-  SELECT m.column_id, string_agg(CASE WHEN {KIND} = 'number' THEN value ELSE '''' || value || '''' END, ', ' ORDER BY rank) AS examples
+  SELECT m.column_id, string_agg(CASE WHEN {KIND} = 'number' THEN value ELSE {QUOTED} END, ', ' ORDER BY rank) AS examples
   FROM (SELECT table_name, column_name, value, min(rank) AS rank FROM ex0 WHERE rank <= 3 GROUP BY 1, 2, 3) e JOIN meta m USING (table_name, column_name) GROUP BY 1)"""
 
 
@@ -268,7 +283,7 @@ FROM bodies JOIN t USING (table_id)""",
 def render_ddl(spark, sf):
     tables, columns, keys = _keys(spark, sf)
     cat_tables, _ = catalog.build_catalog(spark, tables)
-    values = catalog.sample_values(catalog.distinct_values(tables), 3)
+    values = catalog.sample_values(catalog.lowest_values(tables, 3), 3)
     return catalog.render_ddl(cat_tables, columns, keys, values, RESERVED)
 
 
@@ -300,7 +315,7 @@ UNION ALL SELECT 'verbose', 'db', 'Database: db. ' || string_agg('Table: ' || ta
 def serialize_schema(spark, sf):
     tables = _tables(spark, sf)
     _, columns = catalog.build_catalog(spark, tables)
-    matches = catalog.sample_values(catalog.distinct_values(tables), 2).join(
+    matches = catalog.sample_values(catalog.lowest_values(tables, 2), 2).join(
         columns.select("db_id", "column_id", "table_name", "column_name"), ["table_name", "column_name"]
     )
     both = [
