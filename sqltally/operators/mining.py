@@ -134,9 +134,9 @@ def literals_of(sql: Column) -> Column:
 
 def query_templates(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Queries grouped by template: count, slots and number of distinct literals."""
-    each = log.select(
-        template_of(F.col(sql)).alias("template"),
-        F.posexplode_outer(literals_of(F.col(sql))).alias("ix", "lit"),
+    # the template is made once per query, before its literals become rows
+    each = pinned(log.select(sql), template=template_of(F.col(sql))).select(
+        "template", F.posexplode_outer(literals_of(F.col(sql))).alias("ix", "lit")
     )
     # one pass: equal literals of a template are combined before the shuffle
     return (

@@ -478,20 +478,16 @@ def fuzzy_link(
 def lookup_values(tokens: DataFrame, cat_values: DataFrame, mode: str = "prefix") -> DataFrame:
     """Columns holding a value that starts with (or equals) a token, with the number of values.
 
-    Values are trimmed and compared without case.  Prefixes are counted per column before the
-    join, so it is an equality join with one row per (column, prefix).
+    Values are trimmed and compared without case.  Prefixes of the lengths that tokens have are
+    counted per column before the join, so it is an equality join with one row per (column, prefix).
     """
     low = F.lower(F.trim("value"))
     distinct = cat_values.select("column", low.alias("low")).where("low != ''").distinct()
     wanted = tokens.select(F.lower("token").alias("token")).where("token != ''").distinct()
     if mode == "prefix":
-        longest = wanted.agg(F.max(F.length("token"))).scalar()
-        reach = F.least(F.length("low"), longest)
-        keyed = (
-            distinct.where(longest.isNotNull())
-            .select("column", "low", F.explode(F.sequence(F.lit(1), reach)).alias("i"))
-            .select("column", F.substring("low", F.lit(1), F.col("i")).alias("token"))
-        )
+        lengths = wanted.agg(F.collect_set(F.length("token"))).scalar()
+        each = distinct.select("column", "low", F.explode(lengths).alias("i")).where(F.length("low") >= F.col("i"))
+        keyed = each.select("column", F.substring("low", F.lit(1), F.col("i")).alias("token"))
     else:
         keyed = distinct.select("column", F.col("low").alias("token"))
     counted = keyed.groupBy("column", "token").agg(F.count(F.lit(1)).alias("n_values"))

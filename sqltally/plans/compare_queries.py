@@ -190,6 +190,15 @@ def vote_fallback(spark, sf):
     return voting.vote_fallback(views.candidates(spark, sf), policy="error")
 
 
+@query(
+    "vt4_vote",
+    _vote_sql("as_set") + """SELECT question_id, sql, votes FROM best WHERE rn = 1
+UNION ALL SELECT question_id, 'Error SQL', CAST(0 AS BIGINT) FROM cand GROUP BY question_id HAVING max(valid) = 0""",
+)
+def vote(spark, sf):
+    return voting.vote(views.candidates(spark, sf), views.results(spark, sf, False), policy="error")
+
+
 @query(
     "vt5_pass_at_k",
     f"""WITH {views.EVENTS}, best AS (

@@ -207,6 +207,24 @@ def match_values(spark, sf):
     return out.select("question_id", "column", "value_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    "dp8_matches_by_column",
+    f"""WITH {SENTENCES}, v AS (
+  SELECT *, lower(value) AS low, length(value) AS n, CAST(floor(0.85 * length(value)) AS BIGINT) + 1 AS need FROM s),
+pairs AS (
+  SELECT doc_id AS question_id, lower(text) AS q, v.* FROM documents JOIN v ON contains(lower(text), substr(low, n - need + 1, 2 * need - n))),
+m AS (
+  SELECT question_id, value_id, "column", value, n, list_max([size FOR size IN range(need, n + 1)
+    IF list_bool_or([contains(q, substr(low, st, size)) FOR st IN range(1, n - size + 2)])]) AS best FROM pairs),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY best / n DESC, n DESC, value_id DESC) AS rank FROM m WHERE best IS NOT NULL)
+SELECT question_id, "column", string_agg(value, chr(10) ORDER BY rank) AS "values" FROM r WHERE rank <= 20 GROUP BY 1, 2""",
+)
+def matches_by_column(spark, sf):
+    out = prep.matches_by_column(prep.match_values(_doc_questions(spark, sf), _sentences(spark, sf)))
+    return out.withColumn("values", F.array_join("values", "\n"))
+
+
 @query("dp9_fuzzy_link")
 def fuzzy_link(spark, sf):
     return prep.fuzzy_link(_doc_questions(spark, sf), _sentences(spark, sf))
@@ -323,6 +341,18 @@ def training_sequences(spark, sf):
     )
 
 
+@query(
+    "dp13_remove_padding",
+    f"""WITH t AS (SELECT doc_id, {IDS} AS ids, len({IDS}) AS n FROM documents),
+c AS (SELECT doc_id, CASE WHEN n > 256 THEN ids[n - 255:n] ELSE ids END AS kept FROM t)
+SELECT doc_id, CAST(len(kept) AS INTEGER) AS n_ids, {_dot_sql('kept')} AS ids_sum FROM c""",
+)
+def remove_padding(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", _ids(F.col("text")).alias("ids"))
+    bare = prep.remove_padding(prep.training_sequences(docs, 256, "left", "left"))
+    return bare.select("doc_id", F.size("ids").alias("n_ids"), _dot(F.col("ids")).alias("ids_sum"))
+
+
 @query(
     "dp13_sequence_report",
     f"""WITH t AS (SELECT source, len({IDS}) AS n FROM documents)

@@ -146,6 +146,23 @@ def test_content_types(spark):
     assert kinds == {"birth_year": "year", "flag": "boolean", "answer": "boolean", "day": "date", "note": "text", "amount": "number"}
 
 
+@pytest.mark.parametrize("classes, head", [(64, 64), (3, 1), (5, 2)])
+def test_lowest_values_hold_the_first_ones(spark, monkeypatch, classes, head):
+    monkeypatch.setattr(catalog, "LOW_CLASSES", classes)
+    monkeypatch.setattr(catalog, "HEAD_CHARS", head)
+    rng = random.Random(7)
+    cells = [(rng.choice([None, "", "b", "é" * 70]), "".join(rng.choices("abé ", k=rng.randint(1, 6))), None) for _ in range(400)]
+    tables = {"t": spark.createDataFrame(cells, "few string, many string, none string"), "e": spark.createDataFrame([], "x string")}
+    for blanks, pick in ((False, catalog.sample_values), (True, catalog.first_values)):
+        for n in (1, 3, 6):
+            low = catalog.lowest_values(tables, n, blanks)
+            known = (v.where("value IS NOT NULL") for v in (low, catalog.distinct_values(tables)))
+            got, want = (sorted((r.column_name, r["rank"], r.value) for r in pick(v, n).collect()) for v in known)
+            assert got == want and got
+            nulls = low.where("value IS NULL").select("column_name").collect()
+            assert {r.column_name for r in nulls} == ({"few", "none"} if blanks else set())
+
+
 def test_audit_reasons(spark):
     good = "Assistant: <think>t</think><answer>```sql\nSELECT 1\n```</answer>"
     cases = {
