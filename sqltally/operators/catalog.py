@@ -94,7 +94,7 @@ def column_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _long(tables: Mapping[str, DataFrame], columns: Sequence[str] | None) -> DataFrame:
+def long_values(tables: Mapping[str, DataFrame], columns: Sequence[str] | None) -> DataFrame:
     """``(column_name, value, table_name)``: every plain cell as text, one scan per table."""
     parts = []
     for name, df in tables.items():
@@ -115,7 +115,7 @@ def distinct_values(
     One scan per table; equal values are combined before the shuffle.  With ``digests`` the SHA-256
     stands for a value of more than DIGEST_OVER characters, for uses that only count.
     """
-    long = _long(tables, columns)
+    long = long_values(tables, columns)
     if digests:
         short = F.when(F.length("value") > DIGEST_OVER, F.sha2("value", 256)).otherwise(F.col("value"))
         long = long.withColumn("value", short)
@@ -130,7 +130,7 @@ def lowest_values(tables: Mapping[str, DataFrame], n: int, blanks: bool = False)
     beginning can be among the first ``n``; only values up to it are made distinct.  A column that
     fills fewer classes keeps all its values.  NULL and blank values are left out unless ``blanks``.
     """
-    long = _long(tables, None)
+    long = long_values(tables, None)
     if not blanks:
         long = long.where("value <> ''")
     head = F.substring("value", 1, HEAD_CHARS)

@@ -113,6 +113,29 @@ def quick_reject(
     return same.withColumnRenamed("equal", "possible")
 
 
+def _column_colors(results: DataFrame, keys: Sequence[str], ordered: bool, rounds: int = 2) -> DataFrame:
+    """(keys, cand_id, j, color, content) per column; columns that may stand for each other share a colour.
+
+    For ordered rows the colour is the content.  Else a row is coloured by the bag of its cells and
+    a column by the bag of its cells next to their rows' colours; further rounds colour the rows by
+    their cells next to the columns' colours.  No colour depends on the order of rows or columns.
+    """
+    one = [*keys, "cand_id"]
+    row = F.xxhash64(F.array_sort("cells"))
+    for n in range(1 if ordered else rounds):
+        if n:
+            listed = F.array_sort(F.collect_list(F.struct("j", F.xxhash64("color").alias("h"))))
+            hues = columns.groupBy(*one).agg(F.transform(listed, lambda c: c["h"]).alias("_hues"))
+            results = results.join(hues, one)
+            row = F.xxhash64(F.array_sort(F.transform("cells", lambda c, j: F.xxhash64(F.get("_hues", j), c))))
+        cells = results.select(*one, "row_ix", row.alias("_row"), F.posexplode("cells").alias("j", "cell"))
+        content = signature(F.col("row_ix"), F.col("cell"))
+        color = content if ordered else signature(F.col("_row"), F.col("cell"))
+        columns = cells.groupBy(*one, "j").agg(color.alias("color"), content.alias("content"))
+        results = results.drop("_hues")
+    return columns
+
+
 def permuted_equal(
     results: DataFrame,
     pairs: DataFrame,
@@ -122,9 +145,12 @@ def permuted_equal(
 ) -> DataFrame:
     """Equal under some permutation of the candidate's columns (bag or ordered rows).
 
-    Permutations grow one column at a time.  A prefix survives only if the bag of row prefixes
-    has the gold signature, and identical candidate columns are used in one order only, so no
-    limit on the number of columns is needed.  ``verify`` re-checks survivors on the rows.
+    Columns meet by colour: their content for ordered rows, else what ``_column_colors`` finds.
+    Where a result's equal colours are identical columns only, one permutation is left, found in a
+    fixed number of passes.  For the other pairs permutations grow one column at a time inside the
+    colours: a prefix survives only if the bag of row prefixes has the gold signature, and
+    identical candidate columns are used in one order only, so no limit on the number of columns
+    is needed.  ``verify`` re-checks survivors on the rows.
     """
     keys = list(keys)
     pair = [*keys, "cand_id", "gold_id"]
@@ -150,32 +176,42 @@ def permuted_equal(
         )
         .toDF(*pair, "width", "both_empty", "open")
     )
-    widths = [
-        r["width"] for r in shaped.where("open").select("width").distinct().orderBy("width").collect()
-    ]
-    # per column: bag signature, and the leftmost column with the very same content
-    columns = (
-        results.select(*keys, "cand_id", "row_ix", F.posexplode("cells").alias("j", "cell"))
-        .groupBy(*keys, "cand_id", "j")
-        .agg(
-            signature(F.col("cell"), *at).alias("sig"),
-            signature(F.col("row_ix"), F.col("cell")).alias("content"),
-        )
-    )
+    # per column: colour, and the leftmost column with the very same content
+    columns = _column_colors(results, keys, ordered)
     twins = Window.partitionBy(*keys, "cand_id", "content")
     columns = columns.withColumn("cls", F.min("j").over(twins)).withColumn(
         "rank", F.row_number().over(twins.orderBy("j")) - 1
     )
-    parts = []
+    gold_cols = columns.select(
+        *keys, F.col("cand_id").alias("gold_id"), F.col("j").alias("i"), "color", F.col("rank").alias("gold_rank")
+    )
+    clear = columns.groupBy(*keys, "cand_id").agg(
+        (F.size(F.collect_set("color")) == F.size(F.collect_set("content"))).alias("clear")
+    )
+    todo = (
+        shaped.where("open")
+        .join(clear, [*keys, "cand_id"])
+        .join(clear.withColumnRenamed("cand_id", "gold_id").withColumnRenamed("clear", "gold_clear"), [*keys, "gold_id"])
+        .select(*pair, "width", (F.col("clear") & F.col("gold_clear")).alias("clear"))
+    )
+    parts = [
+        todo.where("clear")
+        .join(columns.select(*keys, "cand_id", "j", "color", "rank"), [*keys, "cand_id"])
+        .join(gold_cols.withColumnRenamed("gold_rank", "rank"), [*keys, "gold_id", "color", "rank"])
+        .groupBy(*pair, "width")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c"))
+        .where(F.size("c") == F.col("width"))
+        .select(*pair, F.transform("c", lambda c: c["j"]).alias("perm"))
+    ]
+    # equal contents are equal colours where rows are ordered, so no pair is left over there
+    left = todo.where("NOT clear")
+    widths = [] if ordered else [r["width"] for r in left.select("width").distinct().orderBy("width").collect()]
     for width in widths:
-        todo = shaped.where(F.col("open") & (F.col("width") == width)).select(*pair)
-        gold_cols = columns.select(
-            *keys, F.col("cand_id").alias("gold_id"), F.col("j").alias("i"), "sig"
-        )
         # options[i] = candidate columns that may stand in for gold column i (at most width^2 cells)
         options = (
-            todo.join(columns.select(*keys, "cand_id", "j", "sig", "cls", "rank"), [*keys, "cand_id"])
-            .join(gold_cols, [*keys, "gold_id", "sig"])
+            left.where(F.col("width") == width).select(*pair)
+            .join(columns.select(*keys, "cand_id", "j", "color", "cls", "rank"), [*keys, "cand_id"])
+            .join(gold_cols, [*keys, "gold_id", "color"])
             .groupBy(*pair, "i")
             .agg(F.collect_list(F.struct("j", "cls", "rank")).alias("js"))
             .groupBy(*pair)
@@ -200,7 +236,7 @@ def permuted_equal(
                 continue
             gold_prefix = (
                 results.groupBy(*keys, F.col("cand_id").alias("gold_id"))
-                .agg(signature(F.slice("cells", 1, i + 1), *at).alias("want"))
+                .agg(signature(F.slice("cells", 1, i + 1)).alias("want"))
             )
             picked = F.transform("perm", lambda j: F.element_at("cells", j + 1))
             state = (
@@ -210,15 +246,13 @@ def permuted_equal(
                 .agg(
                     F.any_value("options").alias("options"),
                     F.any_value("used").alias("used"),
-                    signature(picked, *at).alias("have"),
+                    signature(picked).alias("have"),
                 )
                 .join(gold_prefix, [*keys, "gold_id"])
                 .where("have = want")
                 .select(*pair, "options", "perm", "used")
             )
         parts.append(state.select(*pair, "perm"))
-    if not parts:
-        return shaped.select(*pair, F.col("both_empty").alias("equal"))
     found = reduce(DataFrame.unionByName, parts)
     if verify:
         # compare the permuted candidate rows with the gold rows, one identity per permutation

@@ -480,16 +480,20 @@ def lookup_values(tokens: DataFrame, cat_values: DataFrame, mode: str = "prefix"
 
     Values are trimmed and compared without case.  Prefixes of the lengths that tokens have are
     counted per column before the join, so it is an equality join with one row per (column, prefix).
+    Long values are shuffled as a digest and a beginning as long as the longest token.
     """
     low = F.lower(F.trim("value"))
-    distinct = cat_values.select("column", low.alias("low")).where("low != ''").distinct()
+    values = cat_values.select("column", low.alias("low")).where("low != ''")
     wanted = tokens.select(F.lower("token").alias("token")).where("token != ''").distinct()
+    size = F.length("token")
+    asked = wanted.agg(F.struct(F.collect_set(size).alias("sizes"), F.max(size).alias("longest"))).scalar()
     if mode == "prefix":
-        lengths = wanted.agg(F.collect_set(F.length("token"))).scalar()
-        each = distinct.select("column", "low", F.explode(lengths).alias("i")).where(F.length("low") >= F.col("i"))
-        keyed = each.select("column", F.substring("low", F.lit(1), F.col("i")).alias("token"))
+        head = F.substring("low", F.lit(1), asked.getField("longest"))
+        distinct = values.select("column", head.alias("head"), F.sha2("low", 256).alias("digest")).distinct()
+        each = distinct.select("column", "head", F.explode(asked.getField("sizes")).alias("i")).where(F.length("head") >= F.col("i"))
+        keyed = each.select("column", F.substring("head", F.lit(1), F.col("i")).alias("token"))
     else:
-        keyed = distinct.select("column", F.col("low").alias("token"))
+        keyed = values.where(F.length("low") <= asked.getField("longest")).distinct().withColumnRenamed("low", "token")
     counted = keyed.groupBy("column", "token").agg(F.count(F.lit(1)).alias("n_values"))
     return counted.join(wanted, "token").select("token", "column", "n_values")
 

@@ -104,6 +104,27 @@ def minibatches(spark, sf):
     return batching.minibatches(_batch(spark, sf).select("ordinal", "doc_id"), 64, 3, seed=42)
 
 
+@query(
+    "bt8_batch_sizes",
+    """WITH n AS (SELECT count(*) // 64 AS n_full FROM documents)
+SELECT epoch, CAST(unnest(range(0, n_full)) AS BIGINT) AS batch, CAST(64 AS BIGINT) AS n FROM n, (SELECT unnest([0, 1, 2]) AS epoch)""",
+)
+def batch_sizes(spark, sf):
+    """Rows of every mini-batch: full batches only."""
+    return minibatches(spark, sf).groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "bt8_epoch_rows",
+    """WITH n AS (SELECT count(*) // 64 * 64 AS n FROM documents)
+SELECT epoch, CAST(n AS BIGINT) AS n_rows, CAST(n AS BIGINT) AS n_docs FROM n, (SELECT unnest([0, 1, 2]) AS epoch) WHERE n > 0""",
+)
+def epoch_rows(spark, sf):
+    """Rows and different documents of every epoch: none is dealt twice."""
+    per = minibatches(spark, sf).groupBy("epoch", "ordinal").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("epoch").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_docs"))
+
+
 @query(
     "bt9_collate",
     f"""WITH {BATCH} SELECT ordinal // 16 AS batch, string_agg(doc_id, ',' ORDER BY ordinal) AS ids,

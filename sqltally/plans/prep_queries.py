@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sqltally.functions.ordering import with_rank
 from sqltally.operators import catalog, prep
+from sqltally.plans.catalog_queries import SCHEMAS
 from sqltally.plans.registry import query
 from sqltally.plans.views import SQL_LOG, sql_log, table
 
@@ -230,18 +231,19 @@ def fuzzy_link(spark, sf):
     return prep.fuzzy_link(_doc_questions(spark, sf), _sentences(spark, sf))
 
 
+#: every text column of the provided tables
+TEXT_COLUMNS = [(t, c) for t, columns in SCHEMAS.items() for c, kind in columns.items() if kind == "varchar"]
+
+
 def _column_values(spark, sf):
-    tables = {n: table(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "part", "orders")}
-    text = ["r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderpriority"]
-    return catalog.distinct_values(tables, text).select(F.col("column_name").alias("column"), "value")
+    tables = {n: table(spark, sf, n) for n in dict(TEXT_COLUMNS)}
+    long = catalog.long_values(tables, [c for _, c in TEXT_COLUMNS])
+    return long.select(F.concat_ws(".", "table_name", "column_name").alias("column"), "value")
 
 
-LOOKUP = """cv AS (
-  SELECT DISTINCT 'r_name' AS "column", lower(trim(r_name)) AS low FROM region UNION SELECT 'n_name', lower(trim(n_name)) FROM nation
-  UNION SELECT 'c_name', lower(trim(c_name)) FROM customer UNION SELECT 'c_mktsegment', lower(trim(c_mktsegment)) FROM customer
-  UNION SELECT 's_name', lower(trim(s_name)) FROM supplier UNION SELECT 'p_name', lower(trim(p_name)) FROM part
-  UNION SELECT 'p_brand', lower(trim(p_brand)) FROM part UNION SELECT 'p_type', lower(trim(p_type)) FROM part
-  UNION SELECT 'o_orderpriority', lower(trim(o_orderpriority)) FROM orders),
+LOOKUP = "cv AS (" + "\n  UNION ".join(
+    f"""SELECT '{t}.{c}' AS "column", lower(trim({c})) AS low FROM {t}""" for t, c in TEXT_COLUMNS
+) + """),
 tk AS (
   SELECT DISTINCT lower(token) AS token FROM (
     SELECT unnest(regexp_extract_all(p_name || ' ' || p_type || ' ' || p_brand, '\\w+')) AS token FROM part
@@ -259,7 +261,9 @@ def _lookup_tokens(spark, sf):
 
 @query(
     "dp10_lookup_prefix",
-    f"""WITH {LOOKUP} SELECT token, "column", count(*) AS n_values FROM tk JOIN cv ON starts_with(low, token) GROUP BY 1, 2""",
+    f"""WITH {LOOKUP}, heads AS (
+  SELECT "column", substr(low, 1, n) AS head FROM cv JOIN (SELECT DISTINCT length(token) AS n FROM tk) ON length(low) >= n)
+SELECT token, "column", count(*) AS n_values FROM tk JOIN heads ON head = token GROUP BY 1, 2""",
 )
 def lookup_prefix(spark, sf):
     return prep.lookup_values(_lookup_tokens(spark, sf), _column_values(spark, sf), "prefix")

@@ -65,6 +65,35 @@ def test_identical_columns_need_no_cap(spark):
     assert verdicts(compare.permuted_equal(res, pairs)) == {0: True}
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+def test_many_flag_columns_in_fixed_passes(spark, ordered, monkeypatch):
+    """Columns of equal bags but different content; the row check finds one changed cell pair."""
+    rng = random.Random(3)
+    columns = [rng.sample([0, 1] * 20, 40) for _ in range(24)]
+    gold = list(zip(*columns))
+    mixed = list(zip(*rng.sample(columns, 24)))
+    torn = [list(c) for c in columns]
+    a, b = torn[0].index(0), torn[0].index(1)
+    torn[0][a], torn[0][b] = 1, 0
+    results = {(0, 0): gold, (0, 1): mixed, (1, 0): gold, (1, 1): list(zip(*rng.sample(torn, 24)))}
+    res, pairs = tables(spark, results, [(0, 1, 0), (1, 1, 0)])
+    signatures = []
+    whole = compare.signature
+    monkeypatch.setattr(compare, "signature", lambda *c: signatures.append(c) or whole(*c))
+    assert verdicts(compare.permuted_equal(res, pairs, ordered)) == {0: True, 1: False}
+    assert len(signatures) < 8
+
+
+def test_symmetric_results_grow_by_column(spark):
+    """Unit rows look alike from every column, so colours alone decide nothing."""
+    unit = [tuple(int(i == j) for j in range(5)) for i in range(5)]
+    ring = [tuple(int(j in (i, (i + 1) % 6)) for j in range(6)) for i in range(6)]
+    two = [tuple(int(j in (i, i // 3 * 3 + (i + 1) % 3)) for j in range(6)) for i in range(6)]
+    results = {(0, 0): unit, (0, 1): unit[::-1], (1, 0): ring, (1, 1): two, (2, 0): two, (2, 1): [r[::-1] for r in two]}
+    res, pairs = tables(spark, results, [(q, 1, 0) for q in range(3)])
+    assert verdicts(compare.permuted_equal(res, pairs)) == {0: True, 1: False, 2: True}
+
+
 def test_set_bag_ordered(spark):
     results = {
         (0, 0): [("a",), ("b",)], (0, 1): [("b",), ("a",)],
