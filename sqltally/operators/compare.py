@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqltally.functions.cells import canonical_row
+from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.ordering import with_rank
 
 KEYS = ("question_id",)
@@ -182,30 +183,28 @@ def permuted_equal(
     columns = columns.withColumn("cls", F.min("j").over(twins)).withColumn(
         "rank", F.row_number().over(twins.orderBy("j")) - 1
     )
+    whole = Window.partitionBy(*keys, "cand_id")
+    clear = F.size(F.collect_set("color").over(whole)) == F.size(F.collect_set("content").over(whole))
+    columns = columns.withColumn("clear", clear)
     gold_cols = columns.select(
-        *keys, F.col("cand_id").alias("gold_id"), F.col("j").alias("i"), "color", F.col("rank").alias("gold_rank")
+        *keys, F.col("cand_id").alias("gold_id"), F.col("j").alias("i"), "color",
+        F.col("rank").alias("gold_rank"), F.col("clear").alias("gold_clear"),
     )
-    clear = columns.groupBy(*keys, "cand_id").agg(
-        (F.size(F.collect_set("color")) == F.size(F.collect_set("content"))).alias("clear")
-    )
-    todo = (
-        shaped.where("open")
-        .join(clear, [*keys, "cand_id"])
-        .join(clear.withColumnRenamed("cand_id", "gold_id").withColumnRenamed("clear", "gold_clear"), [*keys, "gold_id"])
-        .select(*pair, "width", (F.col("clear") & F.col("gold_clear")).alias("clear"))
-    )
-    parts = [
-        todo.where("clear")
-        .join(columns.select(*keys, "cand_id", "j", "color", "rank"), [*keys, "cand_id"])
+    # equal results have equal colours and equal groups of identical columns in each; the pairs are
+    # kept once worked out, for they are asked for several times below
+    todo = cut_lineage(
+        shaped.where("open").select(*pair, "width")
+        .join(columns.select(*keys, "cand_id", "j", "color", "rank", "clear"), [*keys, "cand_id"])
         .join(gold_cols.withColumnRenamed("gold_rank", "rank"), [*keys, "gold_id", "color", "rank"])
-        .groupBy(*pair, "width")
+        .where(F.col("clear") == F.col("gold_clear"))
+        .groupBy(*pair, "width", "clear")
         .agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c"))
-        .where(F.size("c") == F.col("width"))
-        .select(*pair, F.transform("c", lambda c: c["j"]).alias("perm"))
-    ]
-    # equal contents are equal colours where rows are ordered, so no pair is left over there
+        .where(F.when(F.col("clear"), F.size("c") == F.col("width")).otherwise(F.size("c") >= F.col("width")))
+        .select(*pair, "width", "clear", F.when(F.col("clear"), F.transform("c", lambda c: c["j"])).alias("perm"))
+    )
+    parts = [todo.where("clear").select(*pair, "perm")]
     left = todo.where("NOT clear")
-    widths = [] if ordered else [r["width"] for r in left.select("width").distinct().orderBy("width").collect()]
+    widths = [r["width"] for r in left.select("width").distinct().orderBy("width").collect()]
     for width in widths:
         # options[i] = candidate columns that may stand in for gold column i (at most width^2 cells)
         options = (
