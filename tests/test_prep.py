@@ -197,3 +197,15 @@ def test_candidates_from_responses(spark):
     assert got == {"SELECT value": (2, 0), "Error SQL": (1, 1)}
     got = {r.sql for r in mining.mine_candidates(df, blank="SELECT", plug_value=True).collect()}
     assert got == {"SELECT 1", "SELECT"}
+
+
+def test_lookup_counts_distinct_whole_values(spark):
+    """Values that differ only behind the longest token stay apart; blanks, NULL and no tokens find nothing."""
+    long = "ab" * 400
+    values = [("c", v) for v in ("Abc", " abc ", "abd", long, long, long + "x", None, "")] + [("d", "abc")]
+    cells = spark.createDataFrame(values, "column string, value string")
+    tokens = spark.createDataFrame([("AB",), ("abc",), ("abc",), ("zz",), ("",), (None,)], "token string")
+    found = {m: {(r.token, r.column): r.n_values for r in prep.lookup_values(tokens, cells, m).collect()} for m in ("prefix", "exact")}
+    assert found["prefix"] == {("ab", "c"): 4, ("ab", "d"): 1, ("abc", "c"): 1, ("abc", "d"): 1}
+    assert found["exact"] == {("abc", "c"): 1, ("abc", "d"): 1}
+    assert all(prep.lookup_values(tokens.where("false"), cells, m).count() == 0 for m in ("prefix", "exact"))
