@@ -9,13 +9,18 @@ Links leave a tile pair as a spanning forest, and components grow by star contra
 
 A wide radius also joins unrelated texts by chance.  With ``agreement`` a link needs, besides, that
 this share of a small min-hash sketch of the shingles agrees; the tiles carry the sketches along.
+
+``near_copies`` needs no fingerprint distance: it links texts by the exact Jaccard similarity of
+their shingle sets.  Sets that reach ``share`` have a shingle in common among the first few of any
+fixed order of shingles (prefix filter), so only sets that meet there are compared.  Parity maps of
+the sets bound their difference from below and discard most of those pairs without the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,10 @@ BIT_CHUNK = 1 << 16
 COMPARED = 4000
 #: Bytes of a sketch.
 SKETCH = 32
+#: Texts that tell which shingles are common, and how many of those the order of shingles puts last.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 300_000
+#: Bits of the longest parity map.
+PARITY_BITS = 4096
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -251,14 +260,206 @@ def fp_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 10, agreement: float | None = 0.7
-) -> DataFrame:
-    """Rows of ``docs`` with one row per component: smallest id, then smallest text key, then one of equal rows.
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """Sorted different shingle hashes."""
+    return np.unique(shingle_hashes(data, width))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit per class of hashes: whether the class has an odd number of them; about a class per hash."""
+    size = min(PARITY_BITS, max(64, 1 << (max(1, len(hashes)) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(maps: list[bytes], length: int) -> np.ndarray:
+    """Parity maps of at least ``length`` bytes with their classes joined down to that many bytes."""
+    out = np.zeros((len(maps), length), np.uint8)
+    for n, m in enumerate(maps):
+        out[n] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, length), axis=0)
+    return out
+
+
+def _may_reach(sizes: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs of sets (places ``left`` and ``right``) can have that Jaccard similarity: never false for one that has.
+
+    The sets differ in at least as many hashes as their parity maps in bits.
+    """
+    lengths = np.array([len(m) for m in maps], np.int64)
+    shorter = np.minimum(lengths[left], lengths[right])
+    most = (sizes[left] + sizes[right]) * (1 - share) / (1 + share) + 1e-6
+    fits = np.minimum(sizes[left], sizes[right]) >= share * np.maximum(sizes[left], sizes[right]) - 1e-6
+    for length in np.unique(shorter[fits]).tolist():
+        at = np.flatnonzero(fits & (shorter == length))
+        used, place = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+        folded = _folded([maps[k] for k in used.tolist()], length)
+        for k in range(0, len(at), BIT_CHUNK):
+            some = at[k : k + BIT_CHUNK]
+            x, y = place[k : k + len(some)], place[len(at) + k : len(at) + k + len(some)]
+            fits[some] = np.bitwise_count(folded[x] ^ folded[y]).sum(1, dtype=np.int64) <= most[some]
+    return fits
+
+
+def _shingle_order(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that several of some texts have, and in how many; any choice is a valid order."""
+    every = max(1, docs.count() // ORDER_TEXTS)
+    some = docs.select(text_key(text).alias("k"), raw_text(text).alias("raw")).where(F.pmod("k", F.lit(every)) == 0).dropDuplicates(["k"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(raw.as_py(), width) for raw in b.column(1)]
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    common = some.mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = common.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas()
+    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def _shingled(docs: DataFrame, doc_id: str, text: str, width: int, share: float) -> DataFrame:
+    """(doc_id, text_key, fp, size, parity, prefix) of every row; ``fp`` tells shingle sets apart."""
+    common, counts = _shingle_order(docs, text, width)
+
+    def prefix(found: np.ndarray) -> np.ndarray:
+        length = len(found) - ceil(share * len(found) - 1e-9) + 1 if len(found) else 0
+        if not len(common):
+            return found[:length]
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        return found[np.lexsort((found, np.where(common[at] == found, counts[at], 0)))[:length]]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = [[], [], [], []]
+            for raw in b.column(2):
+                found = shingle_set(raw.as_py(), width)
+                values = (xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63), len(found), parity(found), prefix(found).view(np.int64))
+                for cell, value in zip(cells, values):
+                    cell.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cells, kinds)]], ["doc_id", "text_key", "fp", "size", "parity", "prefix"]
+            )
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), raw_text(text).alias("raw"))
+    return rows.mapInArrow(made, f"doc_id {kind}, text_key bigint, fp bigint, size bigint, parity binary, prefix array<bigint>")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) that their parity maps leave possible."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            sizes = np.concatenate([b.column(k).to_numpy() for k in (2, 4)])
+            maps = b.column(3).to_pylist() + b.column(5).to_pylist()
+            ok = _may_reach(sizes, maps, np.arange(n), np.arange(n, 2 * n), share)
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    x, y = (nodes.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "size_a", "parity_a", "size_b", "parity_b")
+    return both.mapInArrow(kept, "a bigint, b bigint")
+
+
+def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, width: int, share: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have a Jaccard similarity of ``share`` at least; sets are made of the texts again."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(raw.as_py(), width).tobytes() for raw in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["fp", "hashes"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(same >= share * (len(x) + len(y) - same) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text_key"), "fp")
+    texts = docs.select(text_key(text).alias("text_key"), raw_text(text).alias("raw")).join(wanted, "text_key")
+    sets = cut_lineage(texts.select("fp", "raw").dropDuplicates(["fp"]).mapInArrow(shingled, "fp bigint, hashes binary"))
+    x, y = (sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a bigint, b bigint")
+
+
+def _across(shared: DataFrame, nodes: DataFrame, share: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of different roots that meet at a token and whose sizes and parity maps leave them possible.
+
+    A token of more than ``tile`` sets is cut into bands of sizes, and those into equal shares.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs: set[tuple[int, int]] = set()
+            for left, right in zip(b.column("left"), b.column("right")):
+                parts = [left.values] + ([right.values] if right.is_valid else [])
+                fps, roots, sizes = (np.concatenate([p.field(c).to_numpy() for p in parts]) for c in ("fp", "root", "size"))
+                maps = [m for p in parts for m in p.field("parity").to_pylist()]
+                n = len(left.values)
+                differ = roots[:n, None] != (roots[None, n:] if right.is_valid else roots[None, :])
+                i, j = np.nonzero(differ if right.is_valid else np.triu(differ))
+                j = j + n if right.is_valid else j
+                ok = _may_reach(sizes, maps, i, j, share)
+                x, y = fps[i[ok]], fps[j[ok]]
+                pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+            cells = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0]), pa.array(cells[:, 1])], ["a", "b"])
+
+    met = shared.join(nodes.select("fp", "size", "parity", "root"), "fp")
+    several = met.groupBy("token").agg(F.count(F.lit(1)).alias("total"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "total")
+    level = F.floor(F.log("size") / F.lit(float(np.log(1 / share)))).cast("int")
+    cut = F.col("total") > tile
+    shares = F.ceil(F.col("total") / F.lit(tile))
+    placed = (
+        met.join(several, "token")
+        .withColumn("band", F.when(cut, level).otherwise(F.lit(-1)))
+        .withColumn("part", F.when(cut, F.pmod(F.xxhash64("fp"), shares)).otherwise(F.lit(0)))
+    )
+    tiles = cut_lineage(placed.groupBy("token", "band", "part").agg(F.collect_list(F.struct("fp", "root", "size", "parity")).alias("left")))
+    alone = tiles.where(F.size("left") > 1).select("left", F.lit(None).cast(tiles.schema["left"].dataType).alias("right"))
+    large = tiles.where("band >= 0")
+    other = large.select("token", F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("left").alias("right"))
+    ahead = ((F.col("band2") == F.col("band")) & (F.col("part2") > F.col("part"))) | (F.col("band2") - F.col("band")).between(1, 2)
+    paired = large.join(other, "token").where(ahead).select("left", "right")
+    return alone.unionByName(paired).mapInArrow(found, "a bigint, b bigint").distinct()
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8, tile: int = 256) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) as ``near_duplicates``, linked by exact Jaccard similarity.
 
-    By default texts of about 0.8 shared shingles meet: their fingerprints differ in some ten bits.
+    Texts are linked when their sets of ``width``-word shingles have a similarity of ``share`` at
+    least.  Every set is first compared with the least one it meets at a token; after that only sets
+    that are not yet joined are compared, so a large group of near copies costs little more than its rows.
     """
-    found = near_duplicates(docs, doc_id, text, width, radius, agreement)
+    marked = cut_lineage(_shingled(docs, doc_id, text, width, share))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low")
+    named = marked.groupBy("fp").agg(one, *[F.first(c).alias(c) for c in ("size", "parity", "prefix")])
+    nodes = cut_lineage(named.select("fp", F.col("low.doc_id").alias("low"), F.col("low.text_key").alias("text_key"), "size", "parity", "prefix"))
+    at_token = Window.partitionBy("token")
+    keyed = nodes.select("fp", F.explode("prefix").alias("token"))
+    counted = keyed.withColumn("n", F.count(F.lit(1)).over(at_token)).withColumn("least", F.min("fp").over(at_token))
+    shared = cut_lineage(counted.where("n > 1").select("token", "fp", "least"))
+    nodes = nodes.drop("prefix")
+    stars = shared.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    links = cut_lineage(_exact(cut_lineage(_possible(stars, nodes, share)), nodes, docs, text, width, share))
+    first = components(links)
+    rooted = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = cut_lineage(rooted)
+    more = _exact(cut_lineage(_across(shared, rooted, share, tile)), nodes, docs, text, width, share)
+    roots = components(links.unionByName(more))
+    last = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = last.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(last.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` with one row per component of ``near_copies``: smallest id, then smallest text key, then one of equal rows."""
+    found = near_copies(docs, doc_id, text, width, share)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))

@@ -167,6 +167,32 @@ def test_keep_first_needs_agreeing_sketches(spark):
     assert sorted(r.doc_id for r in kept) == [0, 2, 3, 4]
 
 
+@pytest.mark.parametrize("tile", [256, 3])
+def test_near_copies_equal_all_pairs(spark, tile):
+    rng = random.Random(11)
+    texts = ["", " \n", None, "one", "One", "a b c d e", "a b c d e f"]
+    passage = prose(rng, 30, 100_000)
+    for words, most in ((60, 4), (150, 8), (400, 14), (400, 20), (30, 1)):
+        base = prose(rng, words, 100_000)
+        texts += [prose(rng, words, 100_000) + " " + passage, base]
+        for _ in range(14):
+            edited = base.split()
+            for _ in range(rng.randint(0, most)):
+                edited[rng.randrange(len(edited))] = f"x{rng.random()}"
+            texts.append(" ".join(edited))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    near = [alike(sets[a], sets[b]) for a in range(len(sets)) for b in range(a)]
+    assert sum(0.7 <= s < 0.8 for s in near) > 10 and sum(0.8 <= s < 0.95 for s in near) > 10
+    want = grouped([0] * len(sets), 0, lambda a, b: alike(sets[a], sets[b]) >= 0.8)
+    assert sorted(r.doc_id for r in simhash.keep_first(documents(spark, texts)).collect()) == sorted(set(want))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts), tile=tile).collect()}
+    assert [got[d] for d in range(len(texts))] == want
+
+
 def test_packing_pieces_and_bins(spark):
     rng = random.Random(3)
     odd = ["It's <|endoftext|> DON'T İstanbul ΑΣ á ẞ 漢字 x\x1cy 12,345.6 ½ ſ Ÿ naïve×÷ '''s 'S", "", None, " \n ", "ab" * 900]
