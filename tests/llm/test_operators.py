@@ -394,6 +394,14 @@ def test_decontamination_finds_reworded_items(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(documents(spark, texts), bench).collect()) == [2, 4, 6, 7, 8, 9]
 
 
+def test_decontamination_finds_short_and_dense_items(spark):
+    items = ["What is 7*8?", "Compute 12 + 35 * 7 - 4", "What is 15% of 80?", "Who?", "???", "Anna Bob Carl Dora Emil Fritz Gerd 1 2 3", " "]
+    texts = [f"some words before, {t.lower()} and after it" for t in items] + ["what is 7+8?", "What is 25% of 80?", "nothing here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.reworded) for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
+    assert got == {(n, n): (1.0, False) for n in range(6)}
+
+
 def test_oracle_free_queries_are_registered():
     from sqltally.llm.queries import QUERIES
 
