@@ -90,7 +90,9 @@ class Template:
             counted = unit & np.concatenate([[False], codes[:-1] == NUMBER])
             codes = np.where(counted, UNIT, np.abs(codes))
         self.plain = codes
-        self.starts = np.arange(len(codes))
+        # names in a row, and numbers with their units, are one placeholder
+        kind = np.where(codes == NAME, 1, np.where((codes == NUMBER) | (codes == UNIT), 2, 0))
+        self.starts = np.flatnonzero(np.concatenate([[True], (kind[1:] == 0) | (kind[1:] != kind[:-1])])) if len(codes) else np.zeros(0, np.int64)
         self.codes = np.minimum.reduceat(codes, self.starts) if len(codes) else codes
         self.ends = np.append(self.starts[1:], len(codes))
 
@@ -302,7 +304,7 @@ def contaminated(
     coverage: float = 0.5,
     least: int = 5,
     block_tokens: int = BLOCK_TOKENS,
-    shift: int = 0,
+    shift: int = 8,
 ) -> DataFrame:
     """(doc_id, text_key, item_id, position, coverage, reworded): items found in documents.
 

@@ -402,6 +402,19 @@ def test_decontamination_finds_short_and_dense_items(spark):
     assert got == {(n, n): (1.0, False) for n in range(6)}
 
 
+def test_decontamination_over_shifted_diagonals(spark):
+    items = ["Mary has 3 baskets of ripe pears and sells 2 of them to Paul before the market closes, so how many baskets does Mary take home?"]
+    texts = [
+        "Mary Ann has 3 1/2 baskets of ripe pears and sells 2 of them to Peter Paul before the market closes, so how many baskets does Mary Ann take home?",
+        "Mary has 3 baskets of ripe pears and very quickly sells 2 of them to Paul before the market nearby finally closes, so how many baskets does Mary take home?",
+        "Mary Ann has 3 1/2 baskets of ripe pears and sells 2 of them to Peter Paul before the market closes, so how many baskets does Lisa take home?",
+        "take home the market closes, so how many pears and sells 2 of them to",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.reworded for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
+    assert got == {0: True, 1: False}
+
+
 def test_oracle_free_queries_are_registered():
     from sqltally.llm.queries import QUERIES
 
