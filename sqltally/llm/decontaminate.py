@@ -70,7 +70,7 @@ class Codes:
         if len(self.places) >= REMEMBERED:
             self.places, self.pairs = {}, []
         places = self.places
-        for t in {*tokens} - places.keys():
+        for t in [t for t in {*tokens} if t not in places]:
             places[t] = len(self.pairs)
             self.pairs.append(self._code(t))
         at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
