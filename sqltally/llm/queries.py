@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltally.llm import decontaminate, fingerprints, html_extract, langid, line_dedup, packing, quality, simhash, token_counts, toxicity
+from sqltally.llm import decontaminate, fingerprints, html_extract, langid, line_dedup, packing, periodic_runs, pieces, quality, repair
+from sqltally.llm import simhash, token_counts, toxicity
 from sqltally.llm.common import held_out, table
 
 QUERIES = {}
@@ -89,3 +90,36 @@ def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rate = quality.train(docs, table(spark, sf_dir, "labels"), ~out, "quality")
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return quality.score(docs, model, rate).select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"), "passages")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs, exponent=4, shortest=6)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    # runs come by start, then period, so the first of equals stays
+    longer = lambda a, b: b.length * a.period > a.length * b.period
+    top = F.aggregate("runs", F.get("runs", 0), lambda a, b: F.when(longer(a, b), b).otherwise(a))
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees",
+    )
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.with_damage(table(spark, sf_dir, "conversations"))
+    return repair.repair(damaged, present=F.col("present"))
