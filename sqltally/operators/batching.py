@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqltally.functions.differencing import best_split, difference, split
 from sqltally.functions.ordering import with_rank
 from sqltally.functions.skew import salted_join
 
@@ -141,21 +144,120 @@ def _serpentine(rank: Column, k: Column) -> Column:
     return F.when(lap % 2 == 0, place).otherwise(k - 1 - place)
 
 
+#: Rows of one length range that are differenced in one task, and ranges whose states are.
+RANGE_ROWS, RANGES = 32_768, 1024
+#: Groups told apart by one state; batches with more groups of free size are cut into shards first.
+SHARD_GROUPS = 64
+
+
+def _split_ranges(lengths: pd.Series, k: pd.Series, first: pd.Series, whole: pd.Series, equal: pd.Series, strict: pd.Series) -> pd.DataFrame:
+    """Groups and sums of each range of lengths; ``whole`` ranges are a batch of their own."""
+    out = []
+    for values, n, at, alone, same, both in zip(lengths, k, first, whole, equal, strict):
+        values = np.asarray(values, np.int64)
+        out.append((best_split(values, n, same, both), None, None) if alone else split(values, n, same, at))
+    return pd.DataFrame(out, columns=["slots", "sums", "dealt"])
+
+
+def _merge_states(states: pd.Series) -> pd.DataFrame:
+    """One state out of several, and the group that each of their entries comes to."""
+    out = []
+    for group in states:
+        slots, sums = difference([np.asarray(s["sums"], np.int64) for s in group])
+        out.append(([s.tolist() for s in slots], sums, np.sum([s["dealt"] for s in group], axis=0)))
+    return pd.DataFrame(out, columns=["slots", "sums", "dealt"])
+
+
+def _merged(states: DataFrame, by: Sequence[str], part: str) -> DataFrame:
+    """Merge the states of each group of ``by``; one row per ``part`` with the merged sums and its ``slots``."""
+    merge = F.pandas_udf(_merge_states, "slots array<array<bigint>>, sums array<bigint>, dealt array<bigint>")
+    listed = F.array_sort(F.collect_list(F.struct(part, "sums", "dealt")))
+    found = states.groupBy(*by).agg(listed.alias("_states")).withColumn("_m", merge("_states"))
+    each = F.arrays_zip(F.col(f"_states.{part}").alias(part), F.col("_m.slots").alias("slots"))
+    return found.select(*by, F.col("_m.sums").alias("sums"), F.col("_m.dealt").alias("dealt"), F.inline(each))
+
+
+def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, ranges: int) -> DataFrame:
+    """``_group`` for rows (*by, _rank, _len, _k, _n, _strict): rank by falling length, groups and rows of the batch.
+
+    Ranges of ``rows`` rows are differenced on their own, then the states of up to ``ranges`` ranges, then
+    those of the batch.
+    """
+    by, k = list(by), F.col("_k")
+    span = k * F.greatest(F.floor(F.lit(rows) / k), F.lit(1))
+    cut = ranked.withColumn("_range", F.floor(F.col("_rank") / span)).withColumn("_at", (F.col("_rank") % span).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", "_len")))
+    once = [F.first(c).alias(c) for c in ("_k", "_n", "_strict")]
+    blocks = cut.groupBy(*by, "_range").agg(listed.alias("_rows"), F.first(span).alias("_span"), *once)
+    alone = F.col("_n") <= F.col("_span")
+    split_up = F.pandas_udf(_split_ranges, "slots array<bigint>, sums array<bigint>, dealt array<bigint>")
+    found = split_up(F.col("_rows._len"), k, F.col("_range") * F.col("_span"), alone, F.lit(equal), F.col("_strict"))
+    blocks = blocks.withColumn("_s", found)
+    done = blocks.where(alone).select(*by, "_range", F.col("_s.slots").alias("_slots"))
+    # ranges of larger batches are read twice; one more exchange lets Spark run them once
+    several = blocks.where(~alone).select(*by, "_range", "_strict", "_s.*").repartition(*by, "_range")
+    first = several.withColumn("_part", F.floor(F.col("_range") / ranges))
+    strict = several.groupBy(*by).agg(F.first("_strict").alias("_strict"))
+    first = _merged(first.select(*by, "_part", "_range", "sums", "dealt"), [*by, "_part"], "_range")
+    parts = first.groupBy(*by, "_part").agg(F.first("sums").alias("sums"), F.first("dealt").alias("dealt"))
+    last = _merged(parts, by, "_part").join(strict, by)
+    most, least = (lambda c: F.array_max(c)), (lambda c: F.array_min(c))
+    ends = (most("sums") <= most("dealt")) & (least("sums") >= least("dealt"))
+    keep = F.when(F.col("_strict"), ends).otherwise(most("sums") - least("sums") <= most("dealt") - least("dealt"))
+    last = last.select(*by, "_part", F.col("slots").alias("_top"), keep.alias("_keep"))
+    path = first.select(*by, "_part", "_range", F.col("slots").alias("_middle")).join(last, [*by, "_part"])
+    path = several.select(*by, "_range", F.col("slots").alias("_low")).join(path, [*by, "_range"])
+    through = F.transform("_low", lambda s: F.get("_top", F.get("_middle", s.cast("int")).cast("int")))
+    path = path.select(*by, "_range", F.when(F.col("_keep"), through).alias("_slots"))
+    joined = cut.join(done.unionByName(path), [*by, "_range"])
+    group = F.coalesce(F.get("_slots", F.col("_at")), _serpentine(F.col("_rank"), k))
+    return joined.withColumn("_group", group).drop("_range", "_at", "_slots")
+
+
+def _grouped(df: DataFrame, batch: str, length: str, k: Column, key: str, equal: bool, rows: int, ranges: int) -> DataFrame:
+    """``df`` with ``_group``; ``k`` is an expression over ``_n``, ``_total`` and ``_longest`` of the batch."""
+    rows_of = df.withColumn("_len", F.coalesce(F.col(length).cast("long"), F.lit(0))).withColumn("_batch", F.struct(batch))
+    sizes = rows_of.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_total"), F.max("_len").alias("_longest"))
+    sizes = sizes.select("_batch", "_n", F.greatest(k, F.lit(1)).cast("long").alias("_all"))
+    ranked = with_rank(rows_of.withColumn("_neg", -F.col("_len")), ["_neg", key], [batch], "_place")
+    joined = salted_join(ranked, sizes, ["_batch"], spread=[key])
+    groups, place = F.col("_all"), F.col("_place")
+    lap, seat = F.floor(place / groups), _serpentine(place, groups)
+    if equal:
+        laid = joined.withColumns({"_shard": F.lit(0), "_k": groups, "_rank": place, "_strict": F.lit(False)})
+    else:
+        # neighbouring groups of the dealing make a shard; ranks, rows and groups are counted within it
+        joined = joined.withColumn("_shard", F.floor(seat / SHARD_GROUPS))
+        low = F.col("_shard") * SHARD_GROUPS
+        own = F.least(F.lit(SHARD_GROUPS), groups - low)
+        at = F.when(lap % 2 == 0, seat - low).otherwise(low + own - 1 - seat)
+        left, full = F.col("_n") % groups, F.floor(F.col("_n") / groups)
+        over = F.when(full % 2 == 0, left - low).otherwise(low + own - groups + left)
+        laid = joined.withColumns({
+            "_k": own, "_rank": lap * own + at, "_strict": groups > SHARD_GROUPS,
+            "_n": full * own + F.least(F.greatest(over, F.lit(0)), own),
+        })
+    found = _differenced(laid, ["_batch", "_shard"], equal, rows, ranges)
+    found = found.withColumn("_group", F.col("_group") + F.col("_shard") * SHARD_GROUPS)
+    return found.select(*df.columns, "_group")
+
+
 def balanced_groups(
-    df: DataFrame, batch: str, length: str, k: int, key: str = "ordinal", equal_size: bool = True
+    df: DataFrame, batch: str, length: str, k: int, key: str = "ordinal", equal_size: bool = True, range_rows: int = RANGE_ROWS, ranges: int = RANGES
 ) -> DataFrame:
-    """Assign the rows of each batch to ``k`` groups of similar total length.
+    """Assign the rows of each batch to ``k`` groups of similar total length by largest differencing.
 
-    Longest first, dealt back and forth over the groups, so groups have equal counts; with
-    ``equal_size`` a batch whose size does not divide is an error.
+    With ``equal_size`` groups have equal counts, and a batch whose size does not divide is an error;
+    without it counts are free.  No batch gets a larger spread than by dealing its rows, longest first, back
+    and forth, and a batch of a handful of rows gets the least spread there is.  Lengths are whole
+    numbers of zero or more, null counts as zero; ``key`` tells the rows of a batch apart.  Ranges of
+    ``range_rows`` lengths are split in one task each, and so are the states of ``ranges`` ranges.
     """
-    ranked = with_rank(df.withColumn("_neg", -F.col(length)), ["_neg", key], [batch], "_rank")
-    group = _serpentine(F.col("_rank"), F.lit(k))
+    groups = F.lit(k).cast("long")
     if equal_size:
-        sizes = df.groupBy(batch).agg((F.count(F.lit(1)) % k != 0).alias("_bad"))
-        ranked = salted_join(ranked, sizes, [batch], spread=[key])
-        group = _checked(group, F.col("_bad"), "batch does not divide into equal groups")
-    return ranked.withColumn("group", group).drop("_neg", "_rank", "_bad")
+        groups = _checked(groups, F.col("_n") % k != 0, "batch does not divide into equal groups")
+    out = _grouped(df, batch, length, groups, key, equal_size, range_rows, ranges)
+    return out.withColumnRenamed("_group", "group")
 
 
 def balance_report(grouped: DataFrame, batch: str, length: str, k: int, order: str) -> DataFrame:
@@ -179,17 +281,12 @@ def balance_report(grouped: DataFrame, batch: str, length: str, k: int, order: s
 
 
 def micro_batches(
-    df: DataFrame, batch: str, length: str, max_tokens: int, key: str = "ordinal"
+    df: DataFrame, batch: str, length: str, max_tokens: int, key: str = "ordinal", range_rows: int = RANGE_ROWS, ranges: int = RANGES
 ) -> DataFrame:
-    """``micro``: ceil(total / max_tokens) balanced groups per batch, sizes free."""
-    ranked = with_rank(df.withColumn("_neg", -F.col(length)), ["_neg", key], [batch], "_rank")
-    totals = df.groupBy(batch).agg(
-        F.ceil(F.sum(length) / max_tokens).alias("_k"), F.max(length).alias("_longest")
-    )
-    joined = salted_join(ranked, totals, [batch], spread=[key])
-    micro = _checked(
-        _serpentine(F.col("_rank"), F.col("_k")),
-        F.col("_longest") > max_tokens,
-        "a sequence is longer than the token budget",
-    )
-    return joined.withColumn("micro", micro).drop("_neg", "_rank", "_k", "_longest")
+    """``micro``: ceil(total / max_tokens) groups per batch of similar total length, counts free.
+
+    Split as by ``balanced_groups``; batches of more than ``SHARD_GROUPS`` groups are dealt to shards of that
+    many groups first.  A sequence longer than the budget is an error.
+    """
+    groups = _checked(F.ceil(F.col("_total") / max_tokens), F.col("_longest") > max_tokens, "a sequence is longer than the token budget")
+    return _grouped(df, batch, length, groups, key, False, range_rows, ranges).withColumnRenamed("_group", "micro")

@@ -377,10 +377,7 @@ def example_list(cat_values: DataFrame, cat_columns: DataFrame, limit: int = 6)
     first = cat_values.groupBy("table_name", "column_name", "value").agg(F.min("rank").alias("rank"))
     w = Window.partitionBy("table_name", "column_name").orderBy("rank")
     kept = first.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= limit)
-    value = F.col("value")
-    shown = F.when(F.col("kind") == "number", value).when(
-        F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"')), F.concat(F.lit('"'), value, F.lit('"'))
-    ).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    shown = F.when(F.col("kind") == "number", F.col("value")).otherwise(_quoted_value(F.col("value")))
     return (
         kept.join(kinds, ["table_name", "column_name"])
         .groupBy("db_id", "column_id")
@@ -456,47 +453,185 @@ def render_ddl(
     return tables.groupBy("db_id").agg(_joined(F.struct("i", "text"), "\n\n").alias("ddl"))
 
 
-def training_columns(
-    questions: DataFrame, cat_columns: DataFrame, cat_keys: DataFrame, seed: int, cap: int = 225
-) -> DataFrame:
-    """Columns shown for a training question: keys, columns named in its SQL, and a random share.
+def _draw(seed: int, *parts: Column | str) -> Column:
+    """Seeded hash text; its order is the random order of whatever ``parts`` names."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]).cast("binary"))
 
-    The share is one of 10 %..100 % by a seeded hash of the question; the total stays within
-    ``cap`` unless the needed columns alone exceed it.  Rows: ``question_id, column_id, needed``.
-    """
+
+def _below(draw: Column, n: int) -> Column:
+    """0 to ``n - 1`` from the first digits of a hash text."""
+    return F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") % n
+
+
+def _schema_arrays(cat_columns: DataFrame, cat_keys: DataFrame) -> DataFrame:
+    """``(db_id, cols)``: the columns of a database with lower-case names and key flags, as one array."""
     keys = key_columns(cat_keys).withColumn("is_key", F.lit(True))
     cols = cat_columns.join(keys, ["db_id", "column_id"], "left").select(
         "db_id", "column_id", F.lower("column_name").alias("low"), F.coalesce("is_key", F.lit(False)).alias("is_key")
     )
-    # the catalog of a database as one array: every question reads it in place
-    schema = cols.groupBy("db_id").agg(F.collect_list(F.struct("column_id", "low", "is_key")).alias("cols"))
-    joined = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(schema, "db_id")
+    return cols.groupBy("db_id").agg(F.collect_list(F.struct("column_id", "low", "is_key")).alias("cols"))
+
+
+def _choose_columns(joined: DataFrame, seed: int, cap: int) -> DataFrame:
+    """``joined`` with ``_chosen``, an array of (spare, h, column_id): the columns shown for its question."""
+    question = F.col("question_id").cast("string")
     tagged = pinned(
         joined,
-        _cols=F.transform(
+        _all=F.transform(
             "cols",
             lambda c: F.struct(
                 (~(c["is_key"] | F.contains("_sql", c["low"]))).alias("spare"),
-                F.xxhash64(F.lit(seed), "question_id", c["column_id"]).alias("h"),
+                _draw(seed, question, F.lit("column"), c["column_id"].cast("string")).alias("h"),
                 c["column_id"].alias("column_id"),
             ),
         ),
     )
     # needed columns sort before spare ones, spare ones by their hash: the answer is a prefix
-    sorted_cols = pinned(
-        tagged.select("question_id", "_cols"),
-        _sorted=F.array_sort("_cols"),
-        _needed=F.size(F.filter("_cols", lambda c: ~c["spare"])),
-    )
-    share = (F.pmod(F.xxhash64(F.lit(seed), "question_id"), F.lit(10)) + 1) / 10
+    counted = pinned(tagged, _sorted=F.array_sort("_all"), _needed=F.size(F.filter("_all", lambda c: ~c["spare"])))
+    share = _below(_draw(seed, question, F.lit("share")), 10) + 1
     room = F.greatest(F.lit(0), F.lit(cap) - F.col("_needed"))
-    extra = F.least(F.floor(share * (F.size("_sorted") - F.col("_needed"))).cast("int"), room)
-    chosen = sorted_cols.select(
-        "question_id", F.explode(F.slice("_sorted", F.lit(1), F.col("_needed") + extra)).alias("c")
-    )
+    extra = F.least(F.floor(share * (F.size("_sorted") - F.col("_needed")) / 10).cast("int"), room)
+    return pinned(counted, _chosen=F.slice("_sorted", F.lit(1), F.col("_needed") + extra)).drop("_all", "_sorted", "_needed")
+
+
+def training_columns(
+    questions: DataFrame, cat_columns: DataFrame, cat_keys: DataFrame, seed: int, cap: int = 225
+) -> DataFrame:
+    """Columns shown for a training question: keys, columns named in its SQL, and a random share.
+
+    The share is one of 10 %..100 % by a seeded hash of the question; the total stays within
+    ``cap`` unless the needed columns alone exceed it.  Rows: ``question_id, column_id, needed``.
+    """
+    # the catalog of a database as one array: every question reads it in place
+    schema = _schema_arrays(cat_columns, cat_keys)
+    joined = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(schema, "db_id")
+    chosen = _choose_columns(joined, seed, cap).select("question_id", F.explode("_chosen").alias("c"))
     return chosen.select("question_id", "c.column_id", (~F.col("c.spare")).alias("needed"))
 
 
+def _quoted_value(value: Column) -> Column:
+    """A text value as it stands in an example list."""
+    double = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(single)
+
+
+def _schema_tree(
+    cat_tables: DataFrame, cat_columns: DataFrame, cat_keys: DataFrame, cat_values: DataFrame, reserved: Sequence[str], comment: str
+) -> DataFrame:
+    """``(db_id, tables)``: per database one nested array of tables, their columns and foreign keys, ready to be written."""
+    ident = lambda c: quoted_identifier(F.col(c), reserved)
+    plain = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    low = lambda c: F.lower(c).alias(c)
+    values = cat_values.groupBy("table_name", "column_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("samples")
+    )
+    said, name = F.lower(comment), F.lower("column_name")
+    silent = (
+        (name == said) | (name == F.replace(said, F.lit(" "), F.lit("_")))
+        | (name == F.replace(said, F.lit(" "), F.lit(""))) | (F.trim(said) == "")
+    )
+    pk = cat_keys.where("kind = 'pk'").select("db_id", "column_id", F.lit(True).alias("pk")).distinct()
+    named = cat_columns.select("db_id", "column_id", "table_id", "table_name", "column_name")
+    ref = named.select("db_id", F.col("column_id").alias("ref_column_id"), F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"))
+    line = F.concat(
+        F.lit("    CONSTRAINT fk_"), plain("table_name"), F.lit("_"), plain("column_name"), F.lit(" FOREIGN KEY ("), ident("column_name"),
+        F.lit(") REFERENCES "), ident("ref_table"), F.lit(" ("), ident("ref_column"), F.lit("),"),
+    )
+    fk = cat_keys.where("kind = 'fk'").select("db_id", "column_id", "ref_column_id").distinct().join(named, ["db_id", "column_id"]).join(ref, ["db_id", "ref_column_id"])
+    fk = fk.groupBy("db_id", "column_id").agg(F.array_sort(F.collect_set(line)).alias("fks"))
+    kinds = normalize_types(cat_columns.where("table_id >= 0"))
+    cols = (
+        kinds.withColumns({"_t": low("table_name"), "_c": low("column_name")})
+        .join(values.select(F.col("table_name").alias("_t"), F.col("column_name").alias("_c"), "samples"), ["_t", "_c"], "left")
+        .join(pk, ["db_id", "column_id"], "left").join(fk, ["db_id", "column_id"], "left")
+    )
+    none = F.array().cast("array<string>")
+    column = F.struct(
+        "column_id", ident("column_name").alias("ident"), F.concat(F.lit("    "), ident("column_name"), F.lit(" "), "declared_type", F.lit(",")).alias("head"),
+        F.coalesce(comment, F.lit("")).alias("comment"), F.coalesce(silent, F.lit(True)).alias("silent"), (F.col("kind") == "number").alias("number"),
+        F.coalesce("samples", none).alias("samples"), F.coalesce("pk", F.lit(False)).alias("pk"), F.coalesce("fks", none).alias("fks"),
+    )
+    tables = cols.groupBy("db_id", "table_id").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    tables = tables.join(cat_tables.select("db_id", "table_id", ident("table_name").alias("ident")), ["db_id", "table_id"])
+    return tables.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("table_id", "ident", "columns"))).alias("tables"))
+
+
+def question_schemas(
+    questions: DataFrame,
+    cat_tables: DataFrame,
+    cat_columns: DataFrame,
+    cat_keys: DataFrame,
+    cat_values: DataFrame,
+    reserved: Sequence[str],
+    matches: DataFrame | None = None,
+    training: bool = True,
+    seed: int = 42,
+    cap: int = 225,
+    limit: int = 6,
+    comment: str = "display",
+    hide_comments: bool = False,
+) -> DataFrame:
+    """``(question_id, db_id, ddl)``: CREATE TABLE text of a question's database as the question needs it.
+
+    For ``training`` a question (with its ``sql``) gets the columns of ``training_columns`` and its tables in
+    seeded order; otherwise it gets all of them in order.  Tables without a column are left out.  Up to
+    ``limit`` different examples stand beside a column, those of ``matches(question_id, column_id, rank,
+    value)`` before the sampled ones.  With ``hide_comments`` each table draws a share of 0 %..100 % per
+    question, and that share of its columns shows the comment; else it shows unless it repeats the name.
+
+    The catalog is one nested value per database and is written out in place, so a question's row carries
+    its own text and the columns chosen for it, never a row per catalog column.  Every draw is an md5 of seed,
+    question and item.
+    """
+    tree = _schema_tree(cat_tables, cat_columns, cat_keys, cat_values, reserved, comment)
+    if training:
+        tree = tree.join(_schema_arrays(cat_columns, cat_keys), "db_id")
+        asked = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(tree, "db_id")
+        asked = _choose_columns(asked, seed, cap)
+        asked = pinned(asked, _shown=F.transform("_chosen", lambda c: c["column_id"])).drop("_chosen", "cols", "_sql")
+    else:
+        asked = questions.select("question_id", "db_id").join(tree, "db_id").withColumn("_shown", F.lit(None).cast("array<int>"))
+    if matches is not None:
+        per_column = matches.groupBy("question_id", "column_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda m: m["value"]).alias("values")
+        )
+        found = per_column.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("column_id", "values"))).alias("_found"))
+        asked = asked.join(found, "question_id", "left")
+    else:
+        asked = asked.withColumn("_found", F.lit(None).cast("map<int, array<string>>"))
+    question = F.col("question_id").cast("string")
+    none = F.array().cast("array<string>")
+
+    def written(c: Column, share: Column) -> Column:
+        """The line of a column."""
+        values = F.slice(F.array_distinct(F.concat(F.coalesce(F.try_element_at("_found", c["column_id"]), none), c["samples"])), 1, limit)
+        shown = F.transform(values, lambda v: F.when(c["number"], v).otherwise(_quoted_value(v)))
+        example = F.concat(F.lit("example: ["), F.array_join(shown, ", "), F.lit("]"))
+        some = F.size(values) > 0
+        if hide_comments:
+            silent = _below(_draw(seed, question, F.lit("comment"), c["column_id"].cast("string")), 1000) >= share * 100
+        else:
+            silent = c["silent"]
+        quiet = F.when(some, F.concat(F.lit(" -- "), example)).otherwise("")
+        return F.concat(c["head"], F.when(silent, quiet).otherwise(F.concat(F.lit(" -- "), c["comment"], F.when(some, F.concat(F.lit(", "), example)).otherwise(""))))
+
+    def table_text(t: Column) -> Column:
+        share = _below(_draw(seed, question, F.lit("share of"), t["table_id"].cast("string")), 11)
+        cols = F.filter(t["columns"], lambda c: F.coalesce(F.array_contains("_shown", c["column_id"]), F.lit(True)))
+        keyed = F.transform(F.filter(cols, lambda c: c["pk"]), lambda c: c["ident"])
+        pk = F.when(F.size(keyed) > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join(keyed, ", "), F.lit("),")))).otherwise(none)
+        lines = F.concat(F.transform(cols, lambda c: written(c, share)), pk, F.flatten(F.transform(cols, lambda c: c["fks"])))
+        body = F.regexp_replace(F.array_join(lines, "\n"), ",$", "")
+        text = F.concat(F.lit("CREATE TABLE "), t["ident"], F.lit(" (\n"), body, F.lit("\n);"))
+        order = _draw(seed, question, F.lit("table"), t["table_id"].cast("string")) if training else F.lit("")
+        return F.struct(order.alias("order"), t["table_id"].alias("table_id"), F.when(F.size(cols) > 0, text).alias("text"))
+
+    made = pinned(asked, _tables=F.transform("tables", table_text))
+    texts = F.transform(F.array_sort("_tables"), lambda t: t["text"])
+    return made.select("question_id", "db_id", F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n").alias("ddl"))
+
+
 # fixed values: layout of the two schema-text styles
 STYLES = {
     "verbose": {"db": "Database: {}. ", "table": ("Table: ", ". Columns: "), "table_sep": ". ", "sep": ", ", "values": (" (", ")")},

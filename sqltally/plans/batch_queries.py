@@ -148,23 +148,76 @@ def fold_unfold(spark, sf):
 RANKED = """r AS (
   SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rk,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place,
-         count(*) OVER (PARTITION BY source) AS n, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents),
-g AS (SELECT *, CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END AS grp FROM r)"""
+         count(*) OVER (PARTITION BY source) AS n, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents)"""
+
+
+def _differencing(k: str, states: str) -> str:
+    """Group totals by largest differencing, one merge of the two states of largest spread per step.
+
+    ``states`` has (source, id, sums, k): the first states of each source, sums in falling order.  The
+    totals when dealing back and forth are taken where their spread is smaller.
+    """
+    return f"""WITH RECURSIVE {RANKED}, kr AS (SELECT *, {k} AS k FROM r), first_states AS ({states}),
+ld AS (
+  SELECT source, k, list({{'a': sums[k] - sums[1], 'b': -sums[1], 'id': id, 'sums': sums}}) AS st, count(*) AS made FROM first_states GROUP BY source, k
+  UNION ALL
+  SELECT source, k, list_append(st[3:], {{'a': m[k] - m[1], 'b': -m[1], 'id': made, 'sums': m}}), made + 1
+  FROM (SELECT source, k, st, made, list_reverse_sort([st[1].sums[i] + st[2].sums[k + 1 - i] for i in range(1, k + 1)]) AS m
+        FROM (SELECT source, k, list_sort(st) AS st, made FROM ld WHERE len(st) > 1))),
+ends AS (SELECT source, st[1].sums AS sums FROM ld WHERE len(st) = 1),
+dl AS (SELECT source, k, CASE WHEN (rk // k) % 2 = 0 THEN rk % k ELSE k - 1 - rk % k END AS grp, sum(n_chars) AS s FROM kr GROUP BY 1, 2, 3),
+dealt AS (SELECT source, list_reverse_sort(list(s)) AS sums FROM dl GROUP BY source),
+best AS (SELECT source, CASE WHEN e.sums[1] - e.sums[-1] <= d.sums[1] - d.sums[-1] THEN e.sums ELSE d.sums END AS sums, d.sums[1] - d.sums[-1] AS dealt_spread
+         FROM ends e JOIN dealt d USING (source))"""
+
+
+EQUAL_STATES = _differencing("5", "SELECT source, rk // 5 AS id, list_reverse_sort(list(n_chars)) AS sums, k FROM kr GROUP BY source, rk // 5, k")
+FREE_STATES = _differencing(
+    "CAST(ceil(total / 200000) AS BIGINT)",
+    "SELECT source, rk AS id, [CASE WHEN i = 1 THEN n_chars ELSE 0 END for i in range(1, k + 1)] AS sums, k FROM kr",
+)
+
+
+def _group_totals(grouped, group: str):
+    """Totals of the groups of each source, largest first."""
+    totals = grouped.groupBy("source", group).agg(F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"))
+    listed = totals.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("total"))).alias("sums"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    each = listed.select("source", "n", "most", F.posexplode("sums").alias("place", "total"))
+    return each.select("source", F.col("place").cast("long").alias("place"), "total", "n", "most")
 
 
-@query("bt10_balanced_groups", f'WITH {RANKED} SELECT doc_id, source, n_chars, grp AS "group" FROM g')
+@query(
+    "bt10_balanced_groups",
+    f"""{EQUAL_STATES}, c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT source, CAST(i - 1 AS BIGINT) AS place, CAST(sums[i] AS BIGINT) AS total, n, n // 5 AS most FROM (SELECT *, unnest(range(1, 6)) AS i FROM best) JOIN c USING (source)""",
+)
 def balanced_groups(spark, sf):
+    """Group totals of each source; every group has a fifth of the rows."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return _group_totals(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id"), "group")
+
+
+@query(
+    "bt10_dealt_and_differenced",
+    f"""{EQUAL_STATES} SELECT source, CAST(sums[1] - sums[-1] AS BIGINT) AS spread, CAST(dealt_spread AS BIGINT) AS dealt_spread FROM best""",
+)
+def dealt_and_differenced(spark, sf):
+    """Spread of the differenced groups beside that of rows dealt back and forth."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id")
+    ranked = with_rank(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id").withColumn("neg", -F.col("n_chars")), ["neg", "doc_id"], ["source"], "rk")
+    lap, at = F.floor(F.col("rk") / 5), F.col("rk") % 5
+    dealt = ranked.withColumn("dealt", F.when(lap % 2 == 0, at).otherwise(4 - at))
+    totals = dealt.groupBy("source", "group", "dealt").agg(F.sum("n_chars").alias("s"))
+    spread = lambda by, name: totals.groupBy("source", by).agg(F.sum("s").alias("s")).groupBy("source").agg((F.max("s") - F.min("s")).alias(name))
+    return spread("group", "spread").join(spread("dealt", "dealt_spread"), "source")
 
 
 @query(
     "bt11_balance_report",
-    f"""WITH {RANKED}, bf AS (SELECT source, place // (n // 5) AS p, sum(n_chars) AS s FROM g GROUP BY 1, 2),
-af AS (SELECT source, grp, sum(n_chars) AS s FROM g GROUP BY 1, 2),
-b1 AS (SELECT source, min(s) AS mn, max(s) AS mx FROM bf GROUP BY 1), a1 AS (SELECT source, min(s) AS mn, max(s) AS mx, sum(s) / 5 AS mean FROM af GROUP BY 1)
-SELECT source, CAST(b1.mn AS BIGINT) AS min, CAST(b1.mx AS BIGINT) AS max, CAST(b1.mx - b1.mn AS BIGINT) AS minmax_diff,
-       CAST(a1.mn AS BIGINT) AS balanced_min, CAST(a1.mx AS BIGINT) AS balanced_max, CAST(a1.mean AS DOUBLE) AS mean FROM b1 JOIN a1 USING (source)""",
+    f"""{EQUAL_STATES}, bf AS (SELECT source, place // (n // 5) AS p, sum(n_chars) AS s FROM r GROUP BY 1, 2),
+b1 AS (SELECT source, min(s) AS mn, max(s) AS mx, sum(s) / 5 AS mean FROM bf GROUP BY 1)
+SELECT source, CAST(mn AS BIGINT) AS min, CAST(mx AS BIGINT) AS max, CAST(mx - mn AS BIGINT) AS minmax_diff,
+       CAST(sums[-1] AS BIGINT) AS balanced_min, CAST(sums[1] AS BIGINT) AS balanced_max, CAST(mean AS DOUBLE) AS mean FROM b1 JOIN best USING (source)""",
 )
 def balance_report(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
@@ -174,12 +227,13 @@ def balance_report(spark, sf):
 
 @query(
     "bt12_micro_batches",
-    f"""WITH {RANKED}, k AS (SELECT *, CAST(ceil(total / 200000) AS BIGINT) AS k FROM r)
-SELECT doc_id, source, CASE WHEN (rk // k) % 2 = 0 THEN rk % k ELSE k - 1 - rk % k END AS micro FROM k""",
+    f"""{FREE_STATES}, c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT source, CAST(i - 1 AS BIGINT) AS place, CAST(sums[i] AS BIGINT) AS total, n FROM (SELECT *, unnest(range(1, len(sums) + 1)) AS i FROM best) JOIN c USING (source)""",
 )
 def micro_batches(spark, sf):
+    """Totals of the micro-batches of each source; their number follows from the budget."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return batching.micro_batches(d, "source", "n_chars", 200_000, key="doc_id").drop("n_chars")
+    return _group_totals(batching.micro_batches(d, "source", "n_chars", 200_000, key="doc_id"), "micro").drop("most")
 
 
 # --- sources and sinks ----------------------------------------------------------------------------

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sqltally.operators import catalog
+from sqltally.operators import catalog, prep
 from sqltally.plans.registry import query
-from sqltally.plans.views import sql_log, table
+from sqltally.plans.views import SQL_LOG, sql_log, table
 
 #: column -> type name of every provided table, in column order
 SCHEMAS = {
@@ -184,9 +184,9 @@ def column_contained(spark, sf):
     return out
 
 
-def _keys(spark, sf):
+def _keys(spark, sf, names=tuple(SCHEMAS)):
     """Primary keys found in the data (a ``...key`` column without duplicates), declared foreign keys."""
-    tables = _tables(spark, sf)
+    tables = _tables(spark, sf, names)
     _, columns = catalog.build_catalog(spark, tables)
     named = [c for cols in SCHEMAS.values() for c in cols if c.endswith(("key", "_id"))]
     found = (
@@ -196,7 +196,7 @@ def _keys(spark, sf):
         .select("db_id", F.lit("pk").alias("kind"), "column_id", F.lit(None).cast("int").alias("ref_column_id"))
     )
     names = spark.createDataFrame(
-        [("db", *r) for r in FKS], "db_id string, table string, column string, ref_table string, ref_column string"
+        [("db", *r) for r in FKS if r[0] in tables], "db_id string, table string, column string, ref_table string, ref_column string"
     )
     return tables, columns, found.unionByName(catalog.resolve_foreign_keys(names, columns))
 
@@ -287,7 +287,31 @@ def render_ddl(spark, sf):
     return catalog.render_ddl(cat_tables, columns, keys, values, RESERVED)
 
 
-@query("cat13_training_columns")
+def _drawn(*parts: str) -> str:
+    """The seeded hash text of a question's item."""
+    return "md5('42|' || " + " || '|' || ".join(parts) + ")"
+
+
+def _number(draw: str, n: int) -> str:
+    return f"CAST('0x' || substr({draw}, 1, 8) AS BIGINT) % {n}"
+
+
+#: columns of each question: needed ones, and spare ones by the order of their hashes
+CHOSEN = f"""allc AS (SELECT column_id, table_id, lower(column_name) AS low FROM meta UNION ALL SELECT 0, -1, '*'),
+kc AS (SELECT column_id FROM pk UNION SELECT column_id FROM fk UNION SELECT ref_column_id FROM fk),
+qc AS (
+  SELECT o_orderkey AS q, column_id, table_id, contains(lower(sql), low) OR column_id IN (SELECT column_id FROM kc) AS needed,
+    {_drawn("o_orderkey", "'column'", "column_id")} AS h, {_number(_drawn("o_orderkey", "'share'"), 10)} + 1 AS share FROM lg CROSS JOIN allc),
+qs AS (
+  SELECT *, count(*) FILTER (needed) OVER (PARTITION BY q) AS nn, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY NOT needed, h) AS r FROM qc),
+ch AS (SELECT q, column_id, table_id, needed FROM qs WHERE r <= nn + least(share * (n - nn) // 10, greatest(0, 225 - nn)))"""
+
+
+@query(
+    "cat13_training_columns",
+    f"""WITH {KEYS}, {SQL_LOG}, {CHOSEN}
+SELECT q AS question_id, count(*) AS n_columns, count(*) FILTER (needed) AS n_needed, string_agg(column_id, ',' ORDER BY column_id) AS columns FROM ch GROUP BY 1""",
+)
 def training_columns(spark, sf):
     """Every query of the log against the catalog; needed and sampled columns per question."""
     _, columns, keys = _keys(spark, sf)
@@ -295,11 +319,83 @@ def training_columns(spark, sf):
         F.col("o_orderkey").alias("question_id"), F.lit("db").alias("db_id"), "sql"
     )
     shown = catalog.training_columns(questions, columns, keys, seed=42)
+    listed = F.array_join(F.array_sort(F.collect_list("column_id")).cast("array<string>"), ",")
     return shown.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n_columns"), F.count_if("needed").alias("n_needed")
+        F.count(F.lit(1)).alias("n_columns"), F.count_if("needed").alias("n_needed"), listed.alias("columns")
     )
 
 
+#: tables of the schema texts of questions; their column ids are those of the whole catalog
+STAR = tuple(SCHEMAS)[:8]
+STAR_META = "(SELECT * FROM meta WHERE table_id < 8)"
+
+
+def _question_text(shown: str, order: str, chosen: str) -> str:
+    """DDL per question: ``chosen`` columns, comments where ``shown``, tables by ``order``."""
+    return f"""ex0 AS (
+  SELECT table_name, column_name, substr(value, 1, 40) AS value, row_number() OVER (PARTITION BY table_name, column_name ORDER BY value) AS rank
+  FROM dv WHERE value IS NOT NULL AND value <> ''),
+ex AS (SELECT column_id, list(value ORDER BY rank) AS vs FROM (SELECT table_name, column_name, value, min(rank) AS rank FROM ex0 WHERE rank <= 3 GROUP BY 1, 2, 3) JOIN meta USING (table_name, column_name) GROUP BY 1),
+mt AS (SELECT o_orderkey AS q, column_id, prio FROM lg JOIN meta ON column_name = 'o_orderpriority' WHERE k = 0),
+ql AS (
+  SELECT c.q, m.*, CASE WHEN prio IS NULL THEN coalesce(vs, []) ELSE list_prepend(prio, list_filter(coalesce(vs, []), lambda x: x <> prio)) END AS vals
+  FROM {chosen} c JOIN {STAR_META} m ON m.column_id = c.column_id LEFT JOIN ex ON ex.column_id = c.column_id LEFT JOIN mt ON mt.q = c.q AND mt.column_id = c.column_id),
+qv AS (
+  SELECT *, CASE WHEN column_name = 'value' THEN '`value`' ELSE column_name END AS ident,
+    'example: [' || array_to_string(list_transform(vals, lambda value: CASE WHEN {KIND} = 'number' THEN value ELSE {QUOTED} END), ', ') || ']' AS examples FROM ql),
+parts AS (
+  SELECT q, table_id, 0 AS section, column_id AS i, '    ' || ident || ' ' || declared || ',' || CASE WHEN {shown} THEN ' -- ' || replace(lower(column_name), '_', ' ')
+    || CASE WHEN len(vals) > 0 THEN ', ' || examples ELSE '' END WHEN len(vals) > 0 THEN ' -- ' || examples ELSE '' END AS text FROM qv
+  UNION ALL SELECT q, table_id, 1, 0, '    PRIMARY KEY (' || string_agg(ident, ', ' ORDER BY column_id) || '),' FROM qv WHERE column_id IN (SELECT column_id FROM pk) GROUP BY q, table_id
+  UNION ALL SELECT q, a.table_id, 2, a.column_id, '    CONSTRAINT fk_' || a.table_name || '_' || a.column_name || ' FOREIGN KEY (' || a.column_name || ') REFERENCES ' || b.table_name || ' (' || b.column_name || '),'
+    FROM fk JOIN qv a ON a.column_id = fk.column_id JOIN meta b ON b.column_id = fk.ref_column_id),
+bodies AS (SELECT q, table_id, regexp_replace(string_agg(text, chr(10) ORDER BY section, i), ',$', '') AS body FROM parts GROUP BY 1, 2),
+t AS (SELECT DISTINCT table_id, table_name FROM meta),
+texts AS (
+  SELECT q, string_agg('CREATE TABLE ' || table_name || ' (' || chr(10) || body || chr(10) || ');', chr(10) || chr(10) ORDER BY {order}, table_id) AS ddl FROM bodies JOIN t USING (table_id) GROUP BY 1)
+SELECT q AS question_id, md5(ddl) AS ddl_md5, length(ddl) AS n_chars FROM texts"""
+
+
+def _question_schemas(spark, sf, **how):
+    """Schema texts for the queries of the log; priorities that stand in a query are its matched values."""
+    tables, columns, keys = _keys(spark, sf, STAR)
+    cat_tables, _ = catalog.build_catalog(spark, tables)
+    questions = sql_log(spark, sf).select(F.col("o_orderkey").alias("question_id"), F.lit("db").alias("db_id"), "sql")
+    stored = catalog.picklist(table(spark, sf, "orders"), "o_orderpriority")
+    stored = stored.select(F.xxhash64("value").alias("value_id"), F.lit("o_orderpriority").alias("column"), "value")
+    found = prep.match_values(questions.withColumnRenamed("sql", "question"), stored)
+    matches = found.join(columns.select("column_id", F.col("column_name").alias("column")), "column").select("question_id", "column_id", "rank", "value")
+    values = catalog.sample_values(catalog.lowest_values(tables, 3), 3)
+    out = catalog.question_schemas(questions, cat_tables, columns, keys, values, RESERVED, matches, **how)
+    return out.select("question_id", F.md5(F.col("ddl").cast("binary")).alias("ddl_md5"), F.length("ddl").cast("long").alias("n_chars"))
+
+
+STAR_KEYS = KEYS.replace(" FROM meta m JOIN (", f" FROM {STAR_META} m JOIN (")
+
+
+@query(
+    "cat13_question_schemas",
+    f"""WITH {STAR_KEYS}, {SQL_LOG}, {CHOSEN.replace("FROM meta UNION", f"FROM {STAR_META} UNION")}, """
+    + _question_text(
+        f"{_number(_drawn('q', chr(39) + 'comment' + chr(39), 'column_id'), 1000)} < {_number(_drawn('q', chr(39) + 'share of' + chr(39), 'table_id'), 11)} * 100",
+        _drawn("q", "'table'", "table_id"),
+        "ch",
+    ),
+)
+def question_schemas(spark, sf):
+    """Training texts: chosen columns, matched values first, tables in seeded order, a share of the comments."""
+    return _question_schemas(spark, sf, training=True, hide_comments=True)
+
+
+@query(
+    "cat12_question_ddl",
+    f"WITH {STAR_KEYS}, {SQL_LOG}, everything AS (SELECT o_orderkey AS q, column_id FROM lg CROSS JOIN {STAR_META}), " + _question_text("false", "table_id", "everything"),
+)
+def question_ddl(spark, sf):
+    """Texts for inference: all columns and tables in order, matched values first."""
+    return _question_schemas(spark, sf, training=False)
+
+
 @query(
     "cat14_serialize_schema",
     f"""WITH {VALUES}, r AS (

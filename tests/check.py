@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,6 +21,8 @@ spark = (
     .getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")
+if not spark.conf.get("spark.checkpoint.dir", None):
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
 con = duck(sf)
 oracles = entry.oracle_sql()
 bad = 0
