@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts remembered by a worker, and the longest remembered part; others are encoded again.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
+#: Parts of up to so many characters keep their agenda as a flat list, longer ones as a heap.
+FLAT = 24
 #: Bytes of text encoded, and compared with the library, at a time.
 TOGETHER = 1 << 20
 
@@ -62,13 +64,21 @@ class Vocabulary(dict):
         self.end = self.library.eos_id()
         self.unknown = self.library.unk_id()
         self.unknown_text = proto.trainer_spec.unk_surface
-        self.merges = {p.piece: (-p.score, n) for n, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
+        self.known = {p.piece: n for n, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
+        places = {score: n for n, score in enumerate(sorted({p.score for p in proto.pieces}, reverse=True))}
+        self.merges = {p.piece: places[p.score] for p in proto.pieces if p.type == kind.NORMAL and len(p.piece) > 1}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.bytes = {int(p.piece[3:-1], 16): n for n, p in enumerate(proto.pieces) if p.type == kind.BYTE}
         self.byte_of = {n: b for b, n in self.bytes.items()}
+        self.high = frozenset(n for n, b in self.byte_of.items() if b > 127)
         self.texts = [p.piece.replace(SPACE, " ") if p.type == kind.NORMAL else "" for p in proto.pieces]
+        for n, b in self.byte_of.items():
+            self.texts[n] = chr(b) if b < 128 else ""  # a byte below 128 is a character by itself
         self.texts[self.unknown] = self.unknown_text
         self.decimal = [str(n) for n in range(len(self.texts))]
-        self.parts = re.compile(self._cuts([p for p in self.merges if len(p) > 1]))
+        self.parts = re.compile(self._cuts(list(self.merges)))
+        #: texts can be cut by splitting them at blanks and line ends
+        self.simple = self.parts.pattern == f"{SPACE}+[^{SPACE}\n\t]*|[^{SPACE}\n\t]+|[\n\t]"
 
     @staticmethod
     def _cuts(longer: list[str]) -> str:
@@ -80,26 +90,44 @@ class Vocabulary(dict):
         return f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        found = tuple(self._agenda(part))
+        found = self.before.get(part)
+        if found is None:
+            symbols = self._flat(part) if len(part) <= FLAT else self._heap(part)
+            found = tuple(map(self.known.get, symbols))
+            if None in found:
+                found = tuple(chain.from_iterable(map(self._ids, symbols)))
         if len(part) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED:  # parts not met since the last time are forgotten
+                self.before = dict(self)
                 self.clear()
             self[part] = found
         return found
 
-    def _agenda(self, part: str) -> Iterator[int]:
-        merges = self.merges
-        whole = merges.get(part) if len(part) == 1 else None
-        if whole:
-            return iter((whole[1],))
-        symbol: list[str] = list(part)
-        size = len(symbol)
+    def _flat(self, part: str) -> list[str]:
+        """Symbols of a short part; the agenda has one place per pair, the first of the best is next."""
+        never = len(self.texts) + 1
+        place = self.merges.get
+        symbols = list(part)
+        agenda = [place(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            joined = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = place(joined + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = place(symbols[i - 1] + joined, never)
+        return symbols
+
+    def _heap(self, part: str) -> list[str]:
+        """Symbols of a part of any length."""
+        merges, symbol, size = self.merges, list(part), len(part)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        agenda = []
-        for i in range(size - 1):
-            joined = part[i : i + 2]
-            if joined in merges:
-                agenda.append((merges[joined][0], i, i + 1, joined))
+        pairs = ((i, part[i : i + 2]) for i in range(size - 1))
+        agenda = [(merges[joined], i, i + 1, joined) for i, joined in pairs if joined in merges]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, joined = heapq.heappop(agenda)
@@ -112,31 +140,36 @@ class Vocabulary(dict):
                 before[k] = i
                 new = joined + symbol[k]
                 if new in merges:
-                    heapq.heappush(agenda, (merges[new][0], i, k, new))
+                    heapq.heappush(agenda, (merges[new], i, k, new))
             h = before[i]
             if h >= 0:
                 new = symbol[h] + joined
                 if new in merges:
-                    heapq.heappush(agenda, (merges[new][0], h, i, new))
-        return chain.from_iterable(self._ids(s) for s in symbol if s)
+                    heapq.heappush(agenda, (merges[new], h, i, new))
+        return [s for s in symbol if s]
 
     def _ids(self, symbol: str) -> tuple[int, ...]:
-        if symbol in self.merges:
-            return (self.merges[symbol][1],)
+        if symbol in self.known:
+            return (self.known[symbol],)
         if self.bytes:
             return tuple(self.bytes[b] for b in symbol.encode())
         return (self.unknown,)
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` and the end id."""
-        marked = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-        ids = list(chain.from_iterable(map(self.__getitem__, self.parts.findall(marked))))
+        start = SPACE if self.prefix and text else ""
+        if self.simple and "  " not in text and SPACE not in text and text[:1] != " ":
+            # every blank begins a part and a line end is one; what lies between them may be empty
+            cut = (start + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")
+        else:
+            cut = self.parts.findall(start + text.replace(" ", SPACE))
+        ids = list(chain.from_iterable(map(self.__getitem__, cut)))
         ids.append(self.end)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: control ids have none, byte pieces in a row are read as UTF-8."""
-        if self.byte_of.keys().isdisjoint(ids):
+        if self.high.isdisjoint(ids):
             text = "".join(map(self.texts.__getitem__, ids))
         else:
             made, octets = [], bytearray()
