@@ -13,13 +13,13 @@ import threading
 import uuid
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqltally.functions.canonical import canonical_order, every_order
 from sqltally.functions.cells import canonical_row
-from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.ordering import with_rank
 
 KEYS = ("question_id",)
@@ -114,27 +114,100 @@ def quick_reject(
     return same.withColumnRenamed("equal", "possible")
 
 
-def _column_colors(results: DataFrame, keys: Sequence[str], ordered: bool, rounds: int = 2) -> DataFrame:
+def _column_colors(results: DataFrame, keys: Sequence[str], ordered: bool) -> DataFrame:
     """(keys, cand_id, j, color, content) per column; columns that may stand for each other share a colour.
 
     For ordered rows the colour is the content.  Else a row is coloured by the bag of its cells and
-    a column by the bag of its cells next to their rows' colours; further rounds colour the rows by
-    their cells next to the columns' colours.  No colour depends on the order of rows or columns.
+    a column by the bag of its cells next to their rows' colours.  No colour depends on the order of
+    rows or columns.
     """
     one = [*keys, "cand_id"]
     row = F.xxhash64(F.array_sort("cells"))
-    for n in range(1 if ordered else rounds):
-        if n:
-            listed = F.array_sort(F.collect_list(F.struct("j", F.xxhash64("color").alias("h"))))
-            hues = columns.groupBy(*one).agg(F.transform(listed, lambda c: c["h"]).alias("_hues"))
-            results = results.join(hues, one)
-            row = F.xxhash64(F.array_sort(F.transform("cells", lambda c, j: F.xxhash64(F.get("_hues", j), c))))
-        cells = results.select(*one, "row_ix", row.alias("_row"), F.posexplode("cells").alias("j", "cell"))
-        content = signature(F.col("row_ix"), F.col("cell"))
-        color = content if ordered else signature(F.col("_row"), F.col("cell"))
-        columns = cells.groupBy(*one, "j").agg(color.alias("color"), content.alias("content"))
-        results = results.drop("_hues")
-    return columns
+    cells = results.select(*one, "row_ix", row.alias("_row"), F.posexplode("cells").alias("j", "cell"))
+    content = signature(F.col("row_ix"), F.col("cell"))
+    if ordered:
+        return cells.groupBy(*one, "j").agg(content.alias("color")).withColumn("content", F.col("color"))
+    return cells.groupBy(*one, "j").agg(signature(F.col("_row"), F.col("cell")).alias("color"), content.alias("content"))
+
+
+def _matrix_orders(widths: pd.Series, entries: pd.Series) -> pd.DataFrame:
+    """Canonical order of each matrix and what its automorphisms make of it."""
+    out = []
+    for width, cells in zip(widths, entries):
+        matrix = [[0] * width for _ in range(width)]
+        for c in cells:
+            matrix[c["i"]][c["j"]] = c["h"]
+        order, group = canonical_order(matrix)
+        out.append((order, [[a[j] for j in order] for a in group]))
+    return pd.DataFrame(out, columns=["first", "others"])
+
+
+def _all_orders(first: pd.Series, others: pd.Series) -> pd.Series:
+    """All orders that the automorphisms behind ``others`` generate."""
+    out = []
+    for order, made in zip(first, others):
+        order = list(order)
+        group = [[dict(zip(order, other))[j] for j in range(len(order))] for other in made]
+        out.append([list(o) for o in every_order(order, group)])
+    return pd.Series(out)
+
+
+def _pair_hash(row: Column, a: Column, b: Column) -> Column:
+    """Colour of two columns: the bag of their cells side by side, next to their rows' colours."""
+    return F.xxhash64(signature(row, a, b))
+
+
+def _symmetric_orders(results: DataFrame, keys: Sequence[str], unclear: DataFrame) -> DataFrame:
+    """``(keys, cand_id, perm)`` for results whose columns the colours do not tell apart.
+
+    A matrix of pair colours per result has one canonical order; others with the same matrix differ by
+    its automorphisms.  If the rows do not change under their generators, as nearly always, the
+    order is settled; else the order of least row signature among all of them is taken.
+    """
+    one = [*keys, "cand_id"]
+    rows = results.join(unclear.select(*one), one, "left_semi")
+    row = F.xxhash64(F.array_sort("cells")).alias("_row")
+    left = rows.select(*one, "cells", row, F.posexplode("cells").alias("i", "a"))
+    both = left.select(*one, "_row", "i", "a", F.posexplode("cells").alias("j", "b"))
+    entries = both.groupBy(*one, "i", "j").agg(_pair_hash(F.col("_row"), F.col("a"), F.col("b")).alias("h"))
+    matrices = entries.groupBy(*one).agg((F.max("i") + 1).alias("_width"), F.collect_list(F.struct("i", "j", "h")).alias("_entries"))
+    orders = F.pandas_udf(_matrix_orders, "first array<int>, others array<array<int>>")
+    # asked twice below; the exchange lets Spark run the search once
+    found = matrices.select(*one, orders("_width", "_entries").alias("_o")).repartition(*one)
+
+    def signed(perms: DataFrame) -> DataFrame:
+        """Signature of the rows under each order."""
+        each = rows.select(*one, "row_ix", "cells").join(perms, one)
+        picked = F.transform("perm", lambda j: F.get("cells", j))
+        return each.groupBy(*one, "perm").agg(signature(picked).alias("sig"))
+
+    tried = found.select(*one, F.explode(F.concat(F.array("_o.first"), F.col("_o.others"))).alias("perm"))
+    settled = signed(tried).groupBy(*one).agg(F.min_by("perm", F.struct("sig", "perm")).alias("perm"), (F.count_distinct("sig") == 1).alias("_same"))
+    closure = F.pandas_udf(_all_orders, "array<array<int>>")
+    rest = found.join(settled.where(~F.col("_same")).select(*one), one, "left_semi")
+    rest = signed(rest.select(*one, F.explode(closure("_o.first", "_o.others")).alias("perm")))
+    return settled.where("_same").select(*one, "perm").unionByName(
+        rest.groupBy(*one).agg(F.min_by("perm", F.struct("sig", "perm")).alias("perm"))
+    )
+
+
+def canonical_results(results: DataFrame, ordered: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Results with the cells of each in its canonical column order: equal up to columns becomes equal.
+
+    Columns are sorted by colour.  Columns of one colour are identical in most results, where any order
+    will do; the others go through ``_symmetric_orders``.  The number of passes does not depend on the columns.
+    """
+    one = [*keys, "cand_id"]
+    results = results.select(*one, "row_ix", explicit_nulls().alias("cells"))
+    columns = _column_colors(results, keys, ordered)
+    listed = columns.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("color", "j", "content"))).alias("_c"))
+    kinds = lambda field: F.size(F.array_distinct(F.transform("_c", lambda c: c[field])))
+    orders = listed.select(*one, F.transform("_c", lambda c: c["j"]).alias("perm"), (kinds("color") == kinds("content")).alias("_clear"))
+    if not ordered:
+        symmetric = _symmetric_orders(results, keys, orders.where(~F.col("_clear")))
+        orders = orders.where("_clear").select(*one, "perm").unionByName(symmetric)
+    laid = results.join(orders.select(*one, "perm"), one)
+    return laid.select(*one, "row_ix", F.transform("perm", lambda j: F.get("cells", j)).alias("cells"))
 
 
 def permuted_equal(
@@ -146,140 +219,22 @@ def permuted_equal(
 ) -> DataFrame:
     """Equal under some permutation of the candidate's columns (bag or ordered rows).
 
-    Columns meet by colour: their content for ordered rows, else what ``_column_colors`` finds.
-    Where a result's equal colours are identical columns only, one permutation is left, found in a
-    fixed number of passes.  For the other pairs permutations grow one column at a time inside the
-    colours: a prefix survives only if the bag of row prefixes has the gold signature, and
-    identical candidate columns are used in one order only, so no limit on the number of columns
-    is needed.  ``verify`` re-checks survivors on the rows.
+    Every result is brought into its canonical column order and signed once; pairs are decided by one
+    join on the signatures.  ``verify`` compares the rows of pairs with equal signatures.
     """
     keys = list(keys)
     pair = [*keys, "cand_id", "gold_id"]
-    results = results.withColumn("cells", explicit_nulls())
+    canonical = canonical_results(results, ordered, keys)
     at = [F.col("row_ix")] if ordered else []
-    cells = F.col("cells")
-    shape = results.groupBy(*keys, "cand_id").agg(
-        F.max(F.size("cells")).alias("width"), signature(F.array_sort(cells), *at).alias("sig")
-    )
-    p, g = shape.alias("p"), shape.withColumnRenamed("cand_id", "gold_id").alias("g")
-    shaped = (
-        pairs.select(*pair)
-        .join(p, [*keys, "cand_id"], "left")
-        .join(g, [*keys, "gold_id"], "left")
-        .select(
-            *pair,
-            F.col("p.width").alias("width"),
-            F.col("p.sig").isNull() & F.col("g.sig").isNull(),
-            F.coalesce(
-                (F.col("p.width") == F.col("g.width")) & (F.col("p.sig") == F.col("g.sig")),
-                F.lit(False),
-            ).alias("open"),
-        )
-        .toDF(*pair, "width", "both_empty", "open")
-    )
-    # per column: colour, and the leftmost column with the very same content
-    columns = _column_colors(results, keys, ordered)
-    twins = Window.partitionBy(*keys, "cand_id", "content")
-    columns = columns.withColumn("cls", F.min("j").over(twins)).withColumn(
-        "rank", F.row_number().over(twins.orderBy("j")) - 1
-    )
-    whole = Window.partitionBy(*keys, "cand_id")
-    clear = F.size(F.collect_set("color").over(whole)) == F.size(F.collect_set("content").over(whole))
-    columns = columns.withColumn("clear", clear)
-    gold_cols = columns.select(
-        *keys, F.col("cand_id").alias("gold_id"), F.col("j").alias("i"), "color",
-        F.col("rank").alias("gold_rank"), F.col("clear").alias("gold_clear"),
-    )
-    # equal results have equal colours and equal groups of identical columns in each; the pairs are
-    # kept once worked out, for they are asked for several times below
-    todo = cut_lineage(
-        shaped.where("open").select(*pair, "width")
-        .join(columns.select(*keys, "cand_id", "j", "color", "rank", "clear"), [*keys, "cand_id"])
-        .join(gold_cols.withColumnRenamed("gold_rank", "rank"), [*keys, "gold_id", "color", "rank"])
-        .where(F.col("clear") == F.col("gold_clear"))
-        .groupBy(*pair, "width", "clear")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("c"))
-        .where(F.when(F.col("clear"), F.size("c") == F.col("width")).otherwise(F.size("c") >= F.col("width")))
-        .select(*pair, "width", "clear", F.when(F.col("clear"), F.transform("c", lambda c: c["j"])).alias("perm"))
-    )
-    parts = [todo.where("clear").select(*pair, "perm")]
-    left = todo.where("NOT clear")
-    widths = [r["width"] for r in left.select("width").distinct().orderBy("width").collect()]
-    for width in widths:
-        # options[i] = candidate columns that may stand in for gold column i (at most width^2 cells)
-        options = (
-            left.where(F.col("width") == width).select(*pair)
-            .join(columns.select(*keys, "cand_id", "j", "color", "cls", "rank"), [*keys, "cand_id"])
-            .join(gold_cols, [*keys, "gold_id", "color"])
-            .groupBy(*pair, "i")
-            .agg(F.collect_list(F.struct("j", "cls", "rank")).alias("js"))
-            .groupBy(*pair)
-            .agg(F.map_from_entries(F.collect_list(F.struct("i", "js"))).alias("options"))
-        )
-        state = options.withColumn("perm", F.array().cast("array<int>")).withColumn(
-            "used", F.array().cast("array<int>")
-        )
-        for i in range(width):
-            fits = F.filter(
-                F.coalesce(F.try_element_at("options", F.lit(i)), F.array()),
-                lambda o: ~F.array_contains("perm", o["j"])
-                & (F.size(F.filter("used", lambda c: c == o["cls"])) == o["rank"]),
-            )
-            state = state.withColumn("o", F.explode(fits)).select(
-                *pair,
-                "options",
-                F.concat("perm", F.array("o.j")).alias("perm"),
-                F.concat("used", F.array("o.cls")).alias("used"),
-            )
-            if i == 0:
-                continue
-            gold_prefix = (
-                results.groupBy(*keys, F.col("cand_id").alias("gold_id"))
-                .agg(signature(F.slice("cells", 1, i + 1)).alias("want"))
-            )
-            picked = F.transform("perm", lambda j: F.element_at("cells", j + 1))
-            state = (
-                results.select(*keys, "cand_id", "row_ix", "cells")
-                .join(state, [*keys, "cand_id"])
-                .groupBy(*pair, "perm")
-                .agg(
-                    F.any_value("options").alias("options"),
-                    F.any_value("used").alias("used"),
-                    signature(picked).alias("have"),
-                )
-                .join(gold_prefix, [*keys, "gold_id"])
-                .where("have = want")
-                .select(*pair, "options", "perm", "used")
-            )
-        parts.append(state.select(*pair, "perm"))
-    found = reduce(DataFrame.unionByName, parts)
-    if verify:
-        # compare the permuted candidate rows with the gold rows, one identity per permutation
-        tag = F.array_join(F.transform("perm", lambda j: j.cast("string")), ",")
-        ids = found.select(*pair, "perm", tag.alias("fill"))
-        rows = results.select(*keys, "cand_id", "row_ix", "cells")
-        pred = rows.join(ids, [*keys, "cand_id"]).select(
-            *pair, "fill", "row_ix",
-            F.transform("perm", lambda j: F.element_at("cells", j + 1)).alias("cells"),
-            F.lit(1).alias("side"),
-        )
-        gold = (
-            rows.withColumnRenamed("cand_id", "gold_id")
-            .join(ids.select(*pair, "fill"), [*keys, "gold_id"])
-            .select(*pair, "fill", "row_ix", "cells", F.lit(-1).alias("side"))
-        )
-        found = (
-            pred.unionByName(gold)
-            .groupBy(*pair, "fill", "cells", *(["row_ix"] if ordered else []))
-            .agg(F.sum("side").alias("surplus"))
-            .groupBy(*pair, "fill")
-            .agg(F.bool_and(F.col("surplus") == 0).alias("same"))
-            .where("same")
-        )
-    found = found.select(*pair).distinct().withColumn("found", F.lit(True))
-    return (
-        shaped.join(found, pair, "left")
-        .select(*pair, (F.col("both_empty") | F.coalesce("found", F.lit(False))).alias("equal"))
+    signed = canonical.groupBy(*keys, "cand_id").agg(signature(F.col("cells"), *at).alias("_p"))
+    gold = signed.select(*keys, F.col("cand_id").alias("gold_id"), F.col("_p").alias("_g"))
+    decided = pairs.select(*pair).join(signed, [*keys, "cand_id"], "left").join(gold, [*keys, "gold_id"], "left")
+    decided = decided.select(*pair, F.col("_p").eqNullSafe(F.col("_g")).alias("equal"), F.col("_p").isNotNull().alias("_some"))
+    if not verify:
+        return decided.select(*pair, "equal")
+    compared = (ordered_equal if ordered else bag_equal)(canonical, decided.where("equal AND _some"), keys)
+    return decided.select(*pair, "equal").join(compared.withColumnRenamed("equal", "_rows"), pair, "left").select(
+        *pair, (F.col("equal") & F.coalesce("_rows", F.lit(True))).alias("equal")
     )
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sqltally.functions.canonical import canonical_order, every_order
 from sqltally.functions.cells import canonical_row
 from sqltally.operators import compare, voting
 
@@ -94,6 +95,65 @@ def test_symmetric_results_grow_by_column(spark):
     assert verdicts(compare.permuted_equal(res, pairs)) == {0: True, 1: False, 2: True}
 
 
+def symmetric_designs():
+    """Results in which many columns look alike."""
+    latin = [tuple((r + j) % 5 for j in range(5)) for r in range(5)]
+    blocks = [tuple(int(j == i or j == i + 3) for j in range(6)) for i in range(3)]
+    even = [r for r in itertools.product((0, 1), repeat=4) if sum(r) % 2 == 0]
+    odd = [r for r in itertools.product((0, 1), repeat=4) if sum(r) % 2]
+    every = list(itertools.permutations("abc"))
+    paired = [("a", "b", "x"), ("b", "a", "x"), ("a", "b", "y"), ("b", "a", "y")]
+    klein = [(0, 1, 2, 3), (1, 0, 3, 2), (2, 3, 0, 1), (3, 2, 1, 0)]
+    cycle = [(0, 1, 2, 3), (1, 2, 3, 0), (2, 3, 0, 1), (3, 0, 1, 2)]
+    return [latin, blocks, even, odd, every, paired, klein, cycle, [("q",) * 4] * 2, [tuple(int(i == j) for j in range(5)) for i in range(5)]]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_symmetric_designs_match_brute_force(spark, monkeypatch, weak):
+    """With ``weak`` all pairs of columns look alike, so that the rows must decide among all orders."""
+    rng = random.Random(4)
+    designs = symmetric_designs()
+    results, want = {}, {}
+    for a, b in [(k, k) for k in range(len(designs))] * 2 + list(itertools.combinations(range(len(designs)), 2)):
+        q, gold, pred = len(want), designs[a], designs[b]
+        perm = rng.sample(range(len(pred[0])), len(pred[0]))
+        pred = [tuple(r[j] for j in perm) for r in pred]
+        if rng.random() < 0.3:
+            r = rng.randrange(len(pred))
+            pred[r] = pred[r][::-1]
+        rng.shuffle(pred)
+        results[q, 0], results[q, 1], want[q] = gold, pred, brute(pred, gold, False)
+    res, pairs = tables(spark, results, [(q, 1, 0) for q in want])
+    if weak:
+        monkeypatch.setattr(compare, "_pair_hash", lambda *c: F.count(F.lit(1)) * 0)
+    assert verdicts(compare.permuted_equal(res, pairs)) == want
+    assert verdicts(compare.permuted_equal(res, pairs, verify=False)) == want
+    assert 10 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_canonical_order_of_matrices(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 6)
+    entries = rng.choice((1, 2, 3))
+    matrix = [[rng.randrange(entries) for _ in range(n)] for _ in range(n)]
+    if rng.random() < 0.5:
+        matrix = [[(i - j) % n in (1, n - 1) for j in range(n)] for i in range(n)]
+    face = lambda m, o: tuple(m[i][j] for i in o for j in o)
+    order, group = canonical_order(matrix)
+    perm = rng.sample(range(n), n)
+    moved = [[matrix[perm[i]][perm[j]] for j in range(n)] for i in range(n)]
+    assert face(moved, canonical_order(moved)[0]) == face(matrix, order)
+    same = {p for p in itertools.permutations(range(n)) if face(matrix, p) == face(matrix, order)}
+    assert {tuple(o) for o in every_order(order, group)} == same
+
+
+def test_wide_symmetric_results_are_quick(spark):
+    wide = [tuple(int(i == j) for j in range(40)) for i in range(40)]
+    res, pairs = tables(spark, {(0, 0): wide, (0, 1): wide[::-1], (1, 0): wide, (1, 1): wide[1:] + wide[1:2]}, [(0, 1, 0), (1, 1, 0)])
+    assert verdicts(compare.permuted_equal(res, pairs)) == {0: True, 1: False}
+
+
 def test_set_bag_ordered(spark):
     results = {
         (0, 0): [("a",), ("b",)], (0, 1): [("b",), ("a",)],
