@@ -68,6 +68,9 @@ class Vocabulary(dict):
         places = {score: n for n, score in enumerate(sorted({p.score for p in proto.pieces}, reverse=True))}
         self.merges = {p.piece: places[p.score] for p in proto.pieces if p.type == kind.NORMAL and len(p.piece) > 1}
         self.before: dict[str, tuple[int, ...]] = {}
+        #: parts encoded since the last check, and those on which the library differs
+        self.fresh: list[tuple[str, tuple[int, ...]]] = []
+        self.wrong: set[str] = set()
         self.bytes = {int(p.piece[3:-1], 16): n for n, p in enumerate(proto.pieces) if p.type == kind.BYTE}
         self.byte_of = {n: b for b, n in self.bytes.items()}
         self.high = frozenset(n for n, b in self.byte_of.items() if b > 127)
@@ -96,6 +99,7 @@ class Vocabulary(dict):
             found = tuple(map(self.known.get, symbols))
             if None in found:
                 found = tuple(chain.from_iterable(map(self._ids, symbols)))
+            self.fresh.append((part, found))
         if len(part) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:  # parts not met since the last time are forgotten
                 self.before = dict(self)
@@ -157,15 +161,42 @@ class Vocabulary(dict):
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` and the end id."""
+        ids = list(chain.from_iterable(map(self.__getitem__, self.cut(text))))
+        ids.append(self.end)
+        return ids
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of ``text`` with the space sign, which encode independently."""
         start = SPACE if self.prefix and text else ""
         if self.simple and "  " not in text and SPACE not in text and text[:1] != " ":
             # every blank begins a part and a line end is one; what lies between them may be empty
-            cut = (start + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")
-        else:
-            cut = self.parts.findall(start + text.replace(" ", SPACE))
-        ids = list(chain.from_iterable(map(self.__getitem__, cut)))
-        ids.append(self.end)
-        return ids
+            return (start + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")
+        return self.parts.findall(start + text.replace(" ", SPACE))
+
+    def agrees(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the library encodes ``texts`` the same.
+
+        Where texts are cut at blanks and line ends the library is asked about every part when it is first met, all
+        new parts as one text with a line end before each; else about every whole text.
+        """
+        if not self.simple:
+            self.fresh.clear()
+            return [i == j for i, j in zip(ids, self.library.encode(texts, add_eos=True, num_threads=1))]
+        new, self.fresh = [f for f in self.fresh if f[0]], []
+        if not self._confirmed(new):
+            self.wrong |= {part for part, found in new if not self._confirmed([(part, found)])}
+        if not self.wrong:
+            return [True] * len(texts)
+        return [self.wrong.isdisjoint(self.cut(t)) for t in texts]
+
+    def _confirmed(self, parts: list[tuple[str, tuple[int, ...]]]) -> bool:
+        end = self.encode("\n")[:-1]
+        line = self["\n"]
+        want = end[: len(end) - len(line)]
+        for _, found in parts:
+            want += line
+            want += found
+        return self.library.encode("".join(["\n" + part for part, _ in parts]).replace(SPACE, " "), num_threads=1) == want if parts else True
 
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``: control ids have none, byte pieces in a row are read as UTF-8."""
@@ -208,8 +239,9 @@ def vocabulary(model: str) -> Vocabulary:
 def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded, agrees): ids with an end id, and their text, of every row of ``docs``.
 
-    ``agrees`` tells whether the sentencepiece library gives the same ids and the same text; it is
-    asked about every text, one Arrow batch at a time.  A null text counts as empty and has the end id
+    ``agrees`` tells whether the sentencepiece library gives the same ids and the same text.  It is asked
+    once per slice of an Arrow batch: about the ids of all parts first met there (see ``Vocabulary.agrees``) and the
+    text of every list of ids.  A null text counts as empty and has the end id
     only.  Repeated rows come out as often as they occur; other columns are left out.
     """
 
@@ -219,10 +251,7 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             texts = b.column(1).to_pylist()
             ids = [known.encode(t) for t in texts]
             decoded = [known.decode(i) for i in ids]
-            same = [
-                i == j and d == e
-                for i, j, d, e in zip(ids, known.library.encode(texts, add_eos=True, num_threads=1), decoded, known.library.decode(ids, num_threads=1))
-            ]
+            same = [a and d == e for a, d, e in zip(known.agrees(texts, ids), decoded, known.library.decode(ids, num_threads=1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
                 ["doc_id", "ids", "decoded", "agrees"],

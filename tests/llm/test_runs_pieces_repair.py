@@ -119,6 +119,21 @@ def test_pieces_of_any_ids_and_whole_texts_without_cuts():
         assert known.encode(text) == library.encode(text, add_eos=True)
 
 
+def test_pieces_checked_part_by_part():
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known = pieces.Vocabulary(MODEL)
+    texts = ["one two\nthree  four", "", "▁ five", "\n\n six\t", "seven"]
+    for _ in range(2):  # the second time nothing is new
+        assert known.agrees(texts, [known.encode(t) for t in texts]) == [True] * 5
+    known["▁eight"] = (5,)
+    known.fresh.append(("▁eight", (5,)))
+    texts = ["one", "two eight", "seven"]
+    assert known.agrees(texts, [known.encode(t) for t in texts]) == [True, False, True]
+    known.simple = False
+    ids = [library.encode(t, add_eos=True) for t in texts]
+    assert known.agrees(texts, [ids[0], ids[1][:-1], ids[2]]) == [True, False, True]
+
+
 def test_pieces_query(spark, tmp_path):
     rows = [(1, "Hello  world\nnext"), (1, "Hello  world\nnext"), (None, None), (2, ""), (3, "x" * 3_000_000 + " word" * 10), (4, "\u0000漢 😀")]
     spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, ids string, agrees int").write.parquet(str(tmp_path / "documents.parquet"))
