@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -294,54 +296,84 @@ def status_counts(status: DataFrame, by: Sequence[str] = ("db_id",)) -> DataFram
     return status.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Statements that run as one job.
+SLICE = 50
+_ROWS = "question_id long, cand_id int, row_pos long, cells array<string>"
+
+
+def _slices(statements: Iterable, size: int) -> Iterator[list[tuple[int, int, str]]]:
+    """Statements in lists of ``size``; a table is read one partition at a time."""
+    rows = statements.toLocalIterator() if isinstance(statements, DataFrame) else iter(statements)
+    while part := [(r[0], r[1], r[2]) for r in islice(rows, size)]:
+        yield part
+
+
+def _branch(spark: SparkSession, question_id: int, cand_id: int, text: str) -> DataFrame | None:
+    """Rows of one statement, or None where it cannot be analysed."""
+    try:
+        df = spark.sql(f"SELECT * FROM ({text.strip().rstrip(';')}\n)")
+        named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        return named.select(
+            F.lit(question_id).cast("long").alias("question_id"), F.lit(cand_id).cast("int").alias("cand_id"),
+            F.monotonically_increasing_id().alias("row_pos"), canonical_row(named).alias("cells"),
+        )
+    except Exception:  # no query, an unknown name, a type that has no cell form
+        return None
+
+
 def run_pairs(
     spark: SparkSession,
-    statements: Iterable[tuple[int, int, str]],
+    statements: DataFrame | Iterable[tuple[int, int, str]],
     path: str,
     timeout: float | None = 30.0,
-    parallelism: int = 8,
+    parallelism: int = 4,
+    slice_size: int = SLICE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run ``(question_id, cand_id, sql)`` on the registered views; rows go to a new folder in ``path``.
+    """Run ``(question_id, cand_id, sql)`` on the registered views; tables go to a new folder in ``path``.
 
-    Only rows of statements that succeeded in this run are read back.  Each statement is wrapped as a sub-query, so only queries run and nothing is changed.  A
-    statement past ``timeout`` is interrupted by its tag.  Returns ``candidates, results``.
+    Statements are taken in slices.  Each is analysed on its own, wrapped as a sub-query so that only queries
+    run and nothing is changed; the valid ones of a slice are one union and one job, which also writes
+    a mark per statement.  A slice that fails, or that is interrupted by its tag after ``timeout``
+    seconds, is halved and run again, so in the end only the statements at fault are invalid.  Returns
+    ``candidates, results``, both read from written tables; the driver keeps a folder per slice and no outcomes.
     """
-
     path = f"{path.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-    def run(item: tuple[int, int, str]) -> tuple[int, int, str, int]:
-        question_id, cand_id, text = item
-        tag = f"pair-{uuid.uuid4().hex}"
+    names = ["question_id", "cand_id", "sql"]
+    given = statements.toDF(*names) if isinstance(statements, DataFrame) else None
+    if given is None:
+        statements = list(statements)
+        given = spark.createDataFrame(statements, "question_id long, cand_id int, sql string")
+
+    def write(branches: list[tuple[tuple, DataFrame]]) -> list[str]:
+        """Folders of the rows of all branches that can be run."""
+        folder, tag = f"{path}/rows-{uuid.uuid4().hex}", f"slice-{uuid.uuid4().hex}"
         timer = threading.Timer(timeout, spark.interruptTag, [tag]) if timeout else None
+        marks = spark.createDataFrame([(q, c, None, None) for (q, c, _), _ in branches], _ROWS)
         spark.addTag(tag)
         try:
             if timer:
                 timer.start()
-            df = spark.sql(f"SELECT * FROM ({text.strip().rstrip(';')}\n)")
-            named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-            named.select(
-                F.lit(question_id).cast("long").alias("question_id"),
-                F.lit(cand_id).cast("int").alias("cand_id"),
-                F.monotonically_increasing_id().alias("row_pos"),
-                canonical_row(named).alias("cells"),
-            ).write.mode("overwrite").parquet(f"{path}/{question_id}-{cand_id}")
-            return question_id, cand_id, text, 1
-        except Exception:  # any failure marks the statement invalid, as a timeout does
-            return question_id, cand_id, text, 0
+            reduce(DataFrame.union, [rows for _, rows in branches], marks).write.parquet(folder)
+            return [folder]
+        except Exception:  # some statement failed while it ran, or the slice took too long
+            half = len(branches) // 2
         finally:
             if timer:
                 timer.cancel()
             spark.removeTag(tag)
+        return write(branches[:half]) + write(branches[half:]) if half else []
 
-    empty = "question_id long, cand_id int, row_pos long, cells array<string>"
-    # one folder per statement: concurrent commits into one folder would collide
-    spark.createDataFrame([], empty).write.mode("overwrite").parquet(f"{path}/none")
+    def run(part: list[tuple[int, int, str]]) -> list[str]:
+        branches = [(item, rows) for item in part if (rows := _branch(spark, *item)) is not None]
+        return write(branches) if branches else []
+
+    # a folder per slice: concurrent commits into one folder would collide
+    spark.createDataFrame([], _ROWS).write.parquet(f"{path}/none")
     with ThreadPoolExecutor(parallelism) as pool:
-        outcome = list(pool.map(run, statements))
-    candidates = spark.createDataFrame(
-        outcome, "question_id long, cand_id int, sql string, valid int"
-    )
-    written = [f"{path}/{q}-{c}" for q, c, _, valid in outcome if valid]
-    rows = spark.read.schema(empty).parquet(f"{path}/none", *written)
-    ranked = with_rank(rows, ["row_pos"], ["question_id", "cand_id"], "row_ix").drop("row_pos")
-    return candidates, ranked
+        folders = [f"{path}/none", *chain.from_iterable(pool.map(run, _slices(statements, slice_size)))]
+    written = spark.read.schema(_ROWS).parquet(*folders)
+    ran = written.where("row_pos IS NULL").select("question_id", "cand_id", F.lit(1).alias("valid")).distinct()
+    marked = given.join(ran, ["question_id", "cand_id"], "left").select(*names, F.coalesce("valid", F.lit(0)).alias("valid"))
+    marked.write.parquet(f"{path}/candidates")
+    rows = with_rank(written.where("row_pos IS NOT NULL"), ["row_pos"], ["question_id", "cand_id"], "row_ix").drop("row_pos")
+    return spark.read.parquet(f"{path}/candidates"), rows

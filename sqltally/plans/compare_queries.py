@@ -144,6 +144,40 @@ def run_pairs(spark, sf):
     )
 
 
+#: statements over each nation: two that run, one that cannot be analysed, one that fails for a single nation
+NATION_SQL = (
+    "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey = {} GROUP BY c_mktsegment ORDER BY 1",
+    "SELECT c_custkey FROM customer WHERE c_nationkey = {}",
+    "SELECT no_such_column FROM customer WHERE c_nationkey = {}",
+    "SELECT CASE WHEN c_nationkey = 7 THEN raise_error('seven') ELSE c_custkey END AS x FROM customer WHERE c_nationkey = {}",
+)
+
+
+@query(
+    "cmp1_run_statements",
+    """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS question_id FROM nation),
+s AS (
+  SELECT c_nationkey AS question_id, count(*) AS rows, count(DISTINCT c_mktsegment) AS segments, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS listed
+  FROM customer GROUP BY 1)
+SELECT question_id, cand_id, CASE WHEN cand_id = 2 OR (cand_id = 3 AND question_id = 7 AND rows > 0) THEN 0 ELSE 1 END AS valid,
+  CAST(CASE WHEN cand_id = 2 OR (cand_id = 3 AND question_id = 7) THEN 0 WHEN cand_id = 0 THEN coalesce(segments, 0) ELSE coalesce(rows, 0) END AS BIGINT) AS n_rows,
+  CASE WHEN cand_id = 0 THEN listed END AS first_cells
+FROM n CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS cand_id) LEFT JOIN s USING (question_id)""",
+)
+def run_statements(spark, sf):
+    """A table of statements, four for each nation, run in slices; rows keep their order."""
+    views.table(spark, sf, "customer").createOrReplaceTempView("customer")
+    texts = F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("n_nationkey").cast("string")) for t in NATION_SQL])
+    statements = views.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("question_id"), F.posexplode(texts).alias("cand_id", "sql"))
+    cand, rows = compare.run_pairs(spark, statements, scratch_path(spark, "statements"), timeout=300)
+    label = F.when(F.col("cand_id") == 0, F.struct("row_ix", F.substring(F.col("cells")[0], 3, 100).alias("cell")))
+    per = rows.groupBy("question_id", "cand_id").agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list(label)).alias("cells"))
+    return cand.join(per, ["question_id", "cand_id"], "left").select(
+        "question_id", "cand_id", "valid", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.when(F.col("cand_id") == 0, F.array_join(F.transform("cells", lambda c: c["cell"]), ",")).alias("first_cells"),
+    )
+
+
 @query("vt1_greedy", f"WITH {views.EVENTS} SELECT question_id, sql FROM cand WHERE cand_id = 0")
 def greedy(spark, sf):
     return voting.greedy(views.candidates(spark, sf))
