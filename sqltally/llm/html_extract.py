@@ -1,11 +1,14 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host come from few templates.  Every page is parsed into a tree of blocks; runs of
-equal siblings are one node.  The most frequent tree of a host is its pivot, and the trees of its
-pages are aligned to it by simple tree matching.  Over all pages of the host, nodes whose text stays
-the same are template, nodes whose text varies are slots; the region that holds most of the varying
-text is the content.  A page keeps its blocks in that region that are neither template nor marked
-as menus, adverts, notices, forms or comments.
+equal siblings are one node.  A host's pages fall into types by the outline of their trees; the most
+frequent tree of a type is its pivot, and the trees of its pages are aligned to it by simple tree
+matching.  Nodes whose texts repeat from page to page are template, nodes whose text varies are slots; the
+region that holds most of the varying text is the content.  A page keeps its blocks in that region that are
+neither template nor marked as menus, adverts, notices, forms or comments.
+
+Pages with the same longest text count once, so reposts of one body do not make the body a template.  Names
+never mark an article, a main element, or anything that holds one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqltally.functions.skew import salted_join
@@ -39,9 +42,15 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices alert comment comments reply replies disqus sidebar side menu nav navigation navbar breadcrumb breadcrumbs footer header share sharing social related recommended subscribe newsletter popup modal widget widgets login signup search pagination pager toolbar".split()
 )
+#: Other parts of a name that is made of several, such as ``site-footer``.
+NEUTRAL_NAMES = frozenset("area bar block bottom box container entry global inner item items left link links list main page panel primary right row secondary section site thread top wrap wrapper".split())
 CONTENT_TAGS = ("article", "main")
-#: A text of one node is template from this share of the host's pages, and this many of them.
+#: A node is template if this share of its pages have a text that this many pages have there, or a text of a host's pages wherever it stands.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 4
+#: Levels of a tree that make the outline of a page type.
+OUTLINE_LEVELS = 4
+#: Wrappers up to this many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: A child that holds this share of a region's varying text is the region.
 REGION_SHARE = 0.6
 
@@ -53,12 +62,34 @@ class Node:
         self.tag, self.name, self.boiler, self.children = tag, name, boiler, []
 
 
-def _opened(tag: str, attributes: str) -> Node:
+def marks(name: str) -> bool:
+    """Whether a class, id or role names what is no article text: a listed word, or one with neutral words only."""
+    if name in BOILERPLATE_NAMES:
+        return True
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return not BOILERPLATE_NAMES.isdisjoint(parts) and all(p in BOILERPLATE_NAMES or p in NEUTRAL_NAMES for p in parts)
+
+
+@lru_cache(maxsize=4096)
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
+    """Name of an element in a signature, and whether its tag or its names mark it."""
     name, marked = tag, tag in BOILERPLATE_TAGS
     if "=" in attributes:
-        parts = sorted({p for m in ATTRIBUTE.finditer(attributes) for p in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if p})
-        marked = marked or not BOILERPLATE_NAMES.isdisjoint(parts)
-        name = ".".join([tag, *parts])
+        words = {w for m in ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
+        marked = marked or any(map(marks, words))
+        name = ".".join([tag, *sorted({p for w in words for p in re.split(r"[^a-z]+", w) if p})])
+    # a mark travels in the name, so that a tree's signature tells it
+    protected = tag in CONTENT_TAGS or tag in ("html", "body")
+    return (name, False) if protected else (name + "!" * marked, marked)
+
+
+def _opened(tag: str, attributes: str, stack: list[Node]) -> Node:
+    name, marked = _named(tag, attributes)
+    if marked and tag == "header" and any(n.tag in CONTENT_TAGS for n in stack):
+        name, marked = name.rstrip("!"), False  # the heading of an article
+    if tag in CONTENT_TAGS:
+        for n in stack:  # what holds an article is no boilerplate
+            n.name, n.boiler = n.name.rstrip("!"), False
     return Node(tag, name, marked)
 
 
@@ -111,7 +142,7 @@ def parse(html: str) -> Node:
                 break
             if stack[k].tag in SCOPES:
                 break
-        node = _opened(tag, m[3] or "")
+        node = _opened(tag, m[3] or "", stack)
         stack[-1].children.append(node)
         if not (m[3] or "").endswith("/"):
             stack.append(node)
@@ -236,9 +267,7 @@ def region(signature: str, masses: dict[int, float]) -> int:
     total = [masses.get(k, 0.0) for k in range(len(names))]
     boiler = [False] * len(names)
     for k, name in enumerate(names):
-        parts = name.split(".")
-        own = parts[0] in BOILERPLATE_TAGS or not BOILERPLATE_NAMES.isdisjoint(parts[1:])
-        boiler[k] = own or (k > 0 and boiler[parents[k]])
+        boiler[k] = name.endswith("!") or (k > 0 and boiler[parents[k]])
         if boiler[k]:
             total[k] = 0.0
     for k in range(len(names) - 1, 0, -1):
@@ -261,14 +290,26 @@ def _within(parents: tuple[int, ...], node: int, top: int) -> bool:
     return node == top
 
 
-def content(html: str, pivot: str | None, masses: dict[int, float], template: set[int]) -> str:
-    """Text of the page's blocks in the content region of its host's wrapper.
+def outline(signature: str) -> int:
+    """Page type: the names on the first levels of a tree, each with its depth."""
+    level, seen = 0, set()
+    for name, mark in re.findall(r"([^() ]+)|([()])", signature):
+        if name and level < OUTLINE_LEVELS:
+            seen.add(f"{level} {name}")
+        level += {"(": 1, ")": -1}.get(mark, 0)
+    return _digest(" ".join(sorted(seen)))
+
+
+def content(html: str, wrappers: dict[int, tuple[str, dict[int, float], frozenset[int]]], fixed: frozenset[int]) -> str:
+    """Text of the page's blocks in the content region of its page type's wrapper.
 
-    Without a wrapper, or where its region has no counterpart in the page, the page's own text
-    decides about the region.
+    ``wrappers`` has (pivot, masses, template) by page type, ``fixed`` the texts that most pages of the host have.
+    Without a wrapper, or where its region has no counterpart in the page, the page's own text decides about
+    the region.  If names and tags leave nothing, only texts of the template are taken out.
     """
     signature, blocks = blocks_of(parse(html))
     _, parents, _ = tree(signature)
+    pivot, masses, template = wrappers.get(outline(signature), (None, {}, frozenset()))
     top = -1
     if pivot is not None:
         matched = align(pivot, signature)
@@ -280,9 +321,9 @@ def content(html: str, pivot: str | None, masses: dict[int, float], template: se
             own[at] = own.get(at, 0.0) + max(0, len(text) - linked)
         top = region(signature, own)
     inside = [(at, text) for at, boiler, text, _ in blocks if not boiler and _within(parents, at, top)]
-    fixed = {at for at, digest, _ in node_texts(blocks) if digest in template}
-    kept = [text for at, text in inside if at not in fixed]
-    return "\n".join(kept or [text for _, text in inside])
+    gone = {at for at, digest, _ in node_texts(blocks) if digest in template or digest in fixed}
+    kept = [text for at, text in inside if at not in gone] or [text for _, text in inside]
+    return "\n".join(kept or [text for at, _, text, _ in blocks if at not in gone])
 
 
 def node_texts(blocks: list[tuple[int, bool, str, int]]) -> list[tuple[int, int, int]]:
@@ -306,67 +347,102 @@ def host_of(url: str = "url"):
 
 
 def _page_blocks(pages: DataFrame) -> DataFrame:
-    """(host, signature, nodes, digests, sizes) per page, the arrays over its nodes with text."""
+    """(host, type, signature, longest, nodes, digests, sizes) per page, the arrays over its nodes with text."""
+    names = ["host", "type", "signature", "longest", "nodes", "digests", "sizes"]
     kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signatures, cells = [], [[], [], []]
+            signatures, longest, cells = [], [], [[], [], []]
             for html in b.column(1):
                 signature, blocks = blocks_of(parse(html.as_py()))
                 signatures.append(signature)
-                for cell, values in zip(cells, list(zip(*node_texts(blocks))) or [(), (), ()]):
+                found = node_texts(blocks)
+                longest.append(max(found, key=lambda n: (n[2], n[1]))[1] if found else 0)
+                for cell, values in zip(cells, list(zip(*found)) or [(), (), ()]):
                     cell.append(list(values))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signatures, pa.string()), *[pa.array(c, k) for c, k in zip(cells, kinds)]], ["host", "signature", "nodes", "digests", "sizes"])
+            types = pa.array(map(outline, signatures), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), types, pa.array(signatures, pa.string()), pa.array(longest, pa.int64()), *[pa.array(c, k) for c, k in zip(cells, kinds)]], names
+            )
 
-    return pages.select("host", "html").mapInArrow(made, "host string, signature string, nodes array<int>, digests array<bigint>, sizes array<bigint>")
+    layout = "host string, type bigint, signature string, longest bigint, nodes array<int>, digests array<bigint>, sizes array<bigint>"
+    return pages.select("host", "html").mapInArrow(made, layout)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pivot, masses, template) from ``pages`` with columns host and html.
+    """(host, types, fixed) from ``pages`` with columns host and html.
 
-    ``masses`` maps pivot nodes to their varying text, ``template`` lists digests of node texts that
-    stay the same over the host's pages.
+    ``types`` lists (type, pivot, masses, template): ``masses`` maps pivot nodes to their varying text and
+    ``template`` lists digests of node texts that repeat.  ``fixed`` lists those that most pages of the host
+    have.  Pages with one longest text are counted once, by their first node texts.
     """
-    seen = cut_lineage(_page_blocks(pages))
-    per = seen.groupBy("host", "signature").agg(F.count(F.lit(1)).alias("n"))
+    seen = _page_blocks(pages)
+    one = ["host", "type", "longest"]
+    seen = cut_lineage(seen.groupBy(*one).agg(F.min(F.struct("signature", "nodes", "digests", "sizes")).alias("p")).select(*one, "p.*"))
+    group = ["host", "type"]
+    per = seen.groupBy(*group, "signature").agg(F.count(F.lit(1)).alias("n"))
     first = F.max(F.struct("n", "signature"))
-    pivots = cut_lineage(per.groupBy("host").agg(first["signature"].alias("pivot"), F.sum("n").alias("pages")))
+    pivots = cut_lineage(per.groupBy(*group).agg(first["signature"].alias("pivot"), F.sum("n").alias("pages")))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pivot, signature = b.column("pivot").to_pylist(), b.column("signature").to_pylist()
             nodes = [[align(p, s)[k] for k in own] for p, s, own in zip(pivot, signature, b.column("nodes").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("pages"), pa.array(nodes, pa.list_(pa.int32())), b.column("digests"), b.column("sizes")], ["host", "pages", "nodes", "digests", "sizes"])
-
-    joined = salted_join(seen, pivots, ["host"], spread=["signature", "digests"])
-    joined = joined.mapInArrow(aligned, "host string, pages bigint, nodes array<int>, digests array<bigint>, sizes array<bigint>")
-    cells = joined.select("host", "pages", F.explode(F.arrays_zip("nodes", "digests", "sizes")).alias("c")).select("host", "pages", "c.*").where("nodes >= 0")
-    counted = cells.groupBy("host", "pages", "nodes", "digests").agg(F.count(F.lit(1)).alias("n"), F.sum("sizes").alias("size"))
-    constant = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    node = counted.groupBy("host", "nodes").agg(
-        F.sum(F.when(constant, 0).otherwise(F.col("size"))).cast("double").alias("mass"),
-        F.collect_list(F.when(constant, F.col("digests"))).alias("fixed"),
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), b.column("type"), b.column("pages"), pa.array(nodes, pa.list_(pa.int32())), b.column("digests"), b.column("sizes")],
+                ["host", "type", "pages", "nodes", "digests", "sizes"],
+            )
+
+    joined = salted_join(seen, pivots, group, spread=["signature", "longest"])
+    joined = joined.mapInArrow(aligned, "host string, type bigint, pages bigint, nodes array<int>, digests array<bigint>, sizes array<bigint>")
+    cells = joined.select(*group, "pages", F.explode(F.arrays_zip("nodes", "digests", "sizes")).alias("c")).select(*group, "pages", "c.*").where("nodes >= 0")
+    counted = cells.groupBy(*group, "pages", "nodes", "digests").agg(F.count(F.lit(1)).alias("n"), F.sum("sizes").alias("size"))
+    # a text of nearly all pages is template; so are texts that many pages share at a node where few others stand
+    often = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") * 10 >= F.col("pages"))
+    always = often & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    mass = lambda gone: F.sum(F.when(gone, 0).otherwise(F.col("size"))).cast("double")
+    listed = lambda gone: F.collect_list(F.when(gone, F.col("digests")))
+    node = counted.groupBy(*group, "nodes").agg(
+        mass(always).alias("mass"), listed(always).alias("fixed"), mass(often).alias("rest"), listed(often).alias("shared"),
+        (F.sum(F.when(often, F.col("n")).otherwise(0)) >= TEMPLATE_SHARE * F.sum("n")).alias("repeats"),
+    )
+    either = lambda a, b: F.when(F.col("repeats"), F.col(a)).otherwise(F.col(b))
+    node = node.select(*group, "nodes", either("rest", "mass").alias("mass"), either("shared", "fixed").alias("fixed"))
+    per_type = node.groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("nodes", "mass"))).alias("masses"), F.flatten(F.collect_list("fixed")).alias("template")
     )
-    per_host = node.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("nodes", "mass"))).alias("masses"), F.flatten(F.collect_list("fixed")).alias("template"))
-    return pivots.select("host", "pivot").join(per_host, "host", "left")
+    typed = pivots.select(*group, "pivot").join(per_type, group, "left")
+    typed = typed.groupBy("host").agg(F.collect_list(F.struct("type", "pivot", "masses", "template")).alias("types"))
+    pages_of = pivots.groupBy("host").agg(F.sum("pages").alias("pages"))
+    texts = seen.select("host", F.explode(F.array_distinct("digests")).alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
+    common = texts.where(F.col("n") >= TEMPLATE_PAGES).join(pages_of, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return typed.join(common.groupBy("host").agg(F.collect_list("digest").alias("fixed")), "host", "left")
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", small: int = 10_000) -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text), one row per row of ``pages``; a null html counts as empty.
 
-    Pages without a host form one group.  Wrappers are broadcast while there are at most ``small``
-    hosts; beyond that they are joined, with hosts of many pages spread over tasks.
+    Pages without a host form one group.  Wrappers are broadcast while they take at most ``broadcast_bytes``;
+    beyond that they are joined, with hosts of many pages spread over tasks.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     known = cut_lineage(wrappers(rows))
-    joined = rows.join(F.broadcast(known), "host", "left") if known.count() <= small else salted_join(rows, known, ["host"], "left", spread=["page_id", "url"])
+    one = F.aggregate("types", F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t["pivot"]) + 16 * F.coalesce(F.cardinality(t["masses"]), F.lit(0)) + 8 * F.coalesce(F.cardinality(t["template"]), F.lit(0)))
+    size = known.agg(F.sum(one + 8 * F.coalesce(F.cardinality("fixed"), F.lit(0)) + F.octet_length("host"))).first()[0] or 0
+    joined = rows.join(F.broadcast(known), "host", "left") if size <= broadcast_bytes else salted_join(rows, known, ["host"], "left", spread=["page_id", "url"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fixed = [(p, dict(m or ()), frozenset(t or ())) for p, m, t in zip(b.column("pivot").to_pylist(), b.column("masses").to_pylist(), b.column("template").to_pylist())]
-            texts = [content(h.as_py(), *w) for h, w in zip(b.column("html"), fixed)]
+            ready: dict[str, tuple] = {}
+            texts = []
+            for n, host in enumerate(b.column("host").to_pylist()):
+                if host not in ready:
+                    types, fixed = b.column("types")[n].as_py(), b.column("fixed")[n].as_py()
+                    by_type = {t["type"]: (t["pivot"], dict(t["masses"] or ()), frozenset(t["template"] or ())) for t in types or ()}
+                    ready[host] = by_type, frozenset(fixed or ())
+                texts.append(content(b.column("html")[n].as_py(), *ready[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "pivot", "masses", "template").mapInArrow(made, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "host", "types", "fixed").mapInArrow(made, f"page_id {kind}, url string, text string")
