@@ -34,48 +34,65 @@ UNKNOWN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Values of one block of benchmark items held by every task: template tokens.
 BLOCK_TOKENS = 1_000_000
 REMEMBERED = 200_000
+#: Stands between texts that are looked at together; no window reaches over it.
+BORDER = " "
+#: Tokens of texts looked at together; a longer text is alone.
+TOGETHER = 200_000
+#: Low bits of a window hash that a table of flags tests before the hash is looked up.
+FLAG_BITS = 22
 #: Code of tokens that are in no template.
 SKIPPED = np.iinfo(np.int64).min
 _BASE = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(64)]
 
 
-class Codes:
+class Codes(dict):
     """64-bit codes of tokens: UNKNOWN outside ``words``, a placeholder, or a hash of the lower case.
 
-    Every different token is coded once, for templates and raw.  A unit word has the negated code,
-    since it is a unit only after a number.
+    Every different token is coded once, for templates and raw; the dictionary holds its row of the growing
+    table of codes, where tokens with equal codes share a row.  A unit word has the negated code, since it
+    is a unit only after a number.
     """
 
     def __init__(self, words: frozenset[str] | None = None):
-        self.words, self.places, self.pairs = words, {}, []
+        super().__init__()
+        self.words, self.table = words, np.zeros((1024, 2), np.int64)
+        self.rows: dict[tuple[int, int], int] = {}
 
     def _code(self, token: str) -> tuple[int, int]:
         low = token.lower()
-        known = self.words is None or low in self.words
-        raw = (xxhash.xxh64_intdigest(low.encode(), 1) >> 2) + 16
+        known, unit = self.words is None or low in self.words, low in UNITS
+        if token == BORDER or not (known or unit) and token == low and low[0].isalpha():
+            return UNKNOWN, UNKNOWN
+        raw = (xxhash.xxh64_intdigest(low.encode(), 1) >> 2) + 16 if known or unit else UNKNOWN
         if low[0].isdigit():
             code = NUMBER
         elif not low[0].isalpha():
             code = UNIT if low in SYMBOLS or low[0].isalnum() else SKIPPED
         elif token[0].isupper() and (len(token) == 1 or token[1:].islower()):
             code = NAME
-        elif not known and low not in UNITS:
+        elif not known and not unit:
             code = UNKNOWN
         else:
-            code = -raw if low in UNITS else raw
+            code = -raw if unit else raw
         return code, raw if known else UNKNOWN
 
+    def __missing__(self, token: str) -> int:
+        pair = self._code(token)
+        row = self.rows.get(pair)
+        if row is None:
+            row = self.rows[pair] = len(self.rows)
+            if row == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[row] = pair
+        self[token] = row
+        return row
+
     def both(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Template codes and raw codes."""
-        if len(self.places) >= REMEMBERED:
-            self.places, self.pairs = {}, []
-        places = self.places
-        for t in [t for t in {*tokens} if t not in places]:
-            places[t] = len(self.pairs)
-            self.pairs.append(self._code(t))
-        at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
-        used, back = np.unique(at, return_inverse=True)
-        codes = np.array([self.pairs[k] for k in used.tolist()], np.int64).reshape(-1, 2)[back]
+        if len(self) >= REMEMBERED:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        codes = self.table[rows]
         return codes[:, 0], codes[:, 1]
 
 
@@ -171,26 +188,48 @@ def _document_hits(docs: DataFrame, doc_id: str, text: str, words: frozenset[str
     """
     names = ["doc_id", "text_key", "raw", "width", "position", "doc_at", "hash", "doc_slots"]
 
+    low = (1 << FLAG_BITS) - 1
+
+    def search(codes_of: Codes, flags: dict, tokens: list[str], starts: np.ndarray) -> Iterator[tuple]:
+        """(text, raw, width, position, template tokens before, hash, slots) of the matching windows of texts from ``starts`` on."""
+        codes, plain = codes_of.both(tokens)
+        template = Template(tokens, codes)
+        ahead = np.searchsorted(template.places, starts)  # template tokens before each text
+        folded = np.searchsorted(template.starts, ahead)  # the same after placeholders are joined
+        for (raw, span), wanted in hashes.items():
+            at, found = window_hashes(plain, span, 0) if raw else window_hashes(template.codes, span, min(literals, span))
+            maybe = np.flatnonzero(flags[raw, span][found & low])
+            place = np.minimum(np.searchsorted(wanted, found[maybe]), len(wanted) - 1)
+            hit = maybe[wanted[place] == found[maybe]]
+            owner = np.searchsorted(starts if raw else folded, at[hit], "right") - 1
+            if raw and span < width:
+                pairs = np.stack([owner, found[hit]], 1)
+                first = np.sort(np.unique(pairs, axis=0, return_index=True)[1])
+                hit, owner = hit[first], owner[first]
+            for i, n in zip(hit.tolist(), owner.tolist()):
+                start = int(at[i])
+                if raw:
+                    before, slots = int(np.searchsorted(template.places, start)), ""
+                else:
+                    before, slots = int(template.starts[start]), template.slots(start, span)
+                yield n, raw, span, start - int((starts if raw else folded)[n]), before - int(ahead[n]), int(found[i]), slots
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_of = Codes(words)
+        flags = {key: np.bincount(wanted & low, minlength=1 << FLAG_BITS).astype(bool) for key, wanted in hashes.items()}
         for b in batches:
             row, cells = [], [[] for _ in range(6)]
+            tokens, starts, first = [], [], 0
             for n, whole in enumerate(b.column(2)):
-                tokens = TOKEN.findall(whole.as_py())
-                codes, plain = codes_of.both(tokens)
-                template = Template(tokens, codes)
-                for (raw, span), wanted in hashes.items():
-                    at, found = window_hashes(plain, span, 0) if raw else window_hashes(template.codes, span, min(literals, span))
-                    place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[place] == found)
-                    if raw and span < width:
-                        hit = hit[np.sort(np.unique(found[hit], return_index=True)[1])]
-                    for i in hit.tolist():
-                        start = int(at[i])
-                        before = int(np.searchsorted(template.places, start)) if raw else int(template.starts[start])
-                        row.append(n)
-                        for cell, value in zip(cells, (raw, span, start, before, int(found[i]), "" if raw else template.slots(start, span))):
+                tokens.append(BORDER)
+                starts.append(len(tokens))
+                tokens += TOKEN.findall(whole.as_py())
+                if len(tokens) >= TOGETHER or n + 1 == b.num_rows:
+                    for k, *values in search(codes_of, flags, tokens, np.array(starts)):
+                        row.append(first + k)
+                        for cell, value in zip(cells, values):
                             cell.append(value)
+                    tokens, starts, first = [], [], n + 1
             take = pa.array(row, pa.int64())
             kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(c, t) for c, t in zip(cells, kinds)]], names)
