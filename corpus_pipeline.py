@@ -27,8 +27,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: at least 0.8 of their different five-word shingles in common."""
-    return simhash.keep_first(docs, width=5, share=0.8)
+    """One document of each SimHash component: 4-word shingles, fingerprints that differ in 4 bits at most."""
+    return simhash.keep_one(docs, width=4, radius=4)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trees, SimHash and packing have no SQL form; a brute-force version checks the stages instead.
+#: Trees, SimHash and packing have no SQL form; ``tests/llm/test_pipeline.py`` restates the stages instead.
 ORACLE_SQL = None
 
 

@@ -457,9 +457,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return marked.join(last.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` with one row per component of ``near_copies``: smallest id, then smallest text key, then one of equal rows."""
-    found = near_copies(docs, doc_id, text, width, share)
+def _one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``docs``, one per component of ``found``: smallest id, then smallest text key, then one of equal rows."""
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
@@ -472,3 +471,16 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         .where("_copy = 1")
         .select(*[docs[c] for c in docs.columns])
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """Rows of ``docs`` with one row per component of ``near_duplicates``: smallest id, then smallest text key, then one of equal rows.
+
+    Null ids come last.  Texts without words are one component.  An empty table gives no row.
+    """
+    return _one_of_each(docs, near_duplicates(docs, doc_id, text, width, radius), doc_id, text)
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` with one row per component of ``near_copies``, chosen as by ``keep_one``."""
+    return _one_of_each(docs, near_copies(docs, doc_id, text, width, share), doc_id, text)
