@@ -396,11 +396,14 @@ def _flat_scores(components: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def nested_match(components: DataFrame, scopes: Sequence[str] = ("intersect", "except", "union")) -> DataFrame:
-    """Set operations: nested queries on each side, and how many match exactly.
+    """Set operations of the main query: nested queries on each side, and how many match exactly.
 
-    The components of a nested query carry its ``scope``; each scope is scored like a query.
+    The components of a nested query carry its ``scope``: the operation, or a path such as ``union/except``
+    for a set operation inside it.  Each scope is scored like a query.  A nested query matches exactly if
+    its own components do and each of its set operations stands on both sides and matches exactly in
+    turn, hence if that holds for all scopes that begin with its path: one grouping at any depth.
     """
-    nested = components.where(F.col("scope").isin(*scopes))
+    nested = components.where(F.forall(F.split("scope", "/"), lambda part: part.isin(*scopes)))
     ids = F.struct("question_id", "scope")
     sides = nested.groupBy("question_id", "scope").agg(
         F.max((F.col("side") == "gold").cast("int")).alias("label_n"),
@@ -412,14 +415,13 @@ def nested_match(components: DataFrame, scopes: Sequence[str] = ("intersect", "e
     scored = _flat_scores(keyed, keyed.select("question_id").distinct())
     _, exact = exact_match(scored, keyed.where(F.col("clause") == "table"))
     exact = exact.select("question_id.question_id", "question_id.scope", "exact")
+    own = (F.col("label_n") == 1) & (F.col("pred_n") == 1) & (F.coalesce("exact", F.lit(0)) == 1)
     return (
         sides.join(exact, ["question_id", "scope"], "left")
+        .groupBy("question_id", F.split_part("scope", F.lit("/"), F.lit(1)).alias("_root"))
+        .agg(F.max("label_n").alias("label_n"), F.max("pred_n").alias("pred_n"), F.bool_and(own).cast("int").alias("hit"))
         .groupBy("question_id")
-        .agg(
-            F.sum("label_n").alias("label_n"),
-            F.sum("pred_n").alias("pred_n"),
-            F.sum(F.when((F.col("label_n") == 1) & (F.col("pred_n") == 1), F.col("exact")).otherwise(0)).alias("hit"),
-        )
+        .agg(F.sum("label_n").alias("label_n"), F.sum("pred_n").alias("pred_n"), F.sum("hit").alias("hit"))
     )
 
 

@@ -291,6 +291,29 @@ def nested_match(spark, sf):
     return metrics.nested_match(nested_components(spark, sf))
 
 
+@query(
+    "mt10_nested_depth",
+    f"""WITH {COMPONENTS}, c AS (
+  SELECT question_id, scope || CASE WHEN pos >= 6 THEN '/except/union' WHEN pos >= 4 THEN '/except' ELSE '' END AS path, side,
+    CASE WHEN clause IN ('select','where','group','having','order','limit') THEN 'select' ELSE 'table' END AS clause, item_no_agg AS item FROM comp),
+ls AS (
+  SELECT question_id, path,
+         list(item ORDER BY item) FILTER (side = 'pred' AND clause = 'select') AS sp,
+         list(item ORDER BY item) FILTER (side = 'gold' AND clause = 'select') AS sg,
+         list(item ORDER BY item) FILTER (side = 'pred' AND clause = 'table') AS tp,
+         list(item ORDER BY item) FILTER (side = 'gold' AND clause = 'table') AS tg,
+         max(CAST(side = 'pred' AS INT)) AS p, max(CAST(side = 'gold' AS INT)) AS g
+  FROM c GROUP BY 1, 2),
+own AS (SELECT *, p = 1 AND g = 1 AND sp IS NOT DISTINCT FROM sg AND (tg IS NULL OR tp IS NOT DISTINCT FROM tg) AS same FROM ls),
+roots AS (SELECT question_id, split_part(path, '/', 1) AS root, max(g) AS g, max(p) AS p, bool_and(same) AS same FROM own GROUP BY 1, 2)
+SELECT question_id, CAST(sum(g) AS BIGINT) AS label_n, CAST(sum(p) AS BIGINT) AS pred_n, CAST(sum(CAST(same AS INT)) AS BIGINT) AS hit FROM roots GROUP BY 1""",
+)
+def nested_depth(spark, sf):
+    """Set operations inside set operations: later lines go one or two levels down."""
+    deeper = F.when(F.col("pos") >= 6, "/except/union").when(F.col("pos") >= 4, "/except").otherwise("")
+    return metrics.nested_match(nested_components(spark, sf).withColumn("scope", F.concat("scope", deeper)))
+
+
 def _flat_sql(source: str, tag: str, last: str = "") -> str:
     """Nine components of the queries in ``source``, as relations ending in ``tag``."""
     hits = lambda clause, item: _hits(clause, item).replace("FROM comp", f"FROM {source}")
