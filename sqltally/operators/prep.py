@@ -192,15 +192,8 @@ def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, token.alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def retrieve_topk(
-    queries: DataFrame, values: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4
-) -> DataFrame:
-    """Top ``k`` values per query by BM25; values of equal text are kept once (smallest id).
-
-    ``queries(query_id, text)``, ``values(value_id, text)``.  Postings carry their finished term
-    weight, so scoring is one join on the token and one partial sum.  Scores are rounded before
-    ranking, so equal scores tie whatever the order of summation.
-    """
+def _weighted(queries: DataFrame, values: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """(query_id, token, qtf) of the queries, and (token, value_id, weight) of the values' postings that they ask for."""
     unique = values.groupBy("text").agg(F.min("value_id").alias("value_id"))
     postings = _terms(unique, "value_id", "text")
     lengths = postings.groupBy("value_id").agg(F.sum("tf").alias("dl"))
@@ -217,15 +210,73 @@ def retrieve_topk(
         .join(lengths, "value_id")
         .select("token", "value_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
     )
-    scored = (
-        wanted.join(weights, "token")
-        .groupBy("query_id", "value_id")
-        .agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 9).alias("score"))
+    return wanted, weights
+
+
+#: What rounding may add to a sum of weights.
+SLACK = 1e-6
+
+
+def _essential(wanted: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """Query tokens with ``df``, ``floor`` (a bound of the query's k-th score from below), ``rest`` and ``essential``.
+
+    The ``k`` heaviest postings of every token give partial scores of some values; the k-th best of a query
+    is its floor.  Tokens stand in order of their postings; those at the end whose greatest weights together
+    (``rest``) stay below the floor cannot lift a value without any other token into the top ``k``.
+    """
+    by_weight = Window.partitionBy("token").orderBy(F.desc("weight"), "value_id")
+    heavy = weights.withColumn("_r", F.row_number().over(by_weight)).where(F.col("_r") <= k)
+    some = wanted.join(heavy, "token").groupBy("query_id", "value_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "value_id")
+    floors = some.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
+    tokens = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
+    asked = wanted.join(tokens, "token").join(floors, "query_id", "left")
+    onwards = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    asked = asked.withColumn("_from", F.sum(F.col("qtf") * F.col("most")).over(onwards))
+    # a query with fewer than k values has no floor and leaves nothing out
+    asked = asked.withColumn("essential", F.coalesce(F.col("_from") >= F.col("floor"), F.lit(True)))
+    whole = Window.partitionBy("query_id")
+    rest = F.coalesce(F.sum(F.when(~F.col("essential"), F.col("qtf") * F.col("most"))).over(whole), F.lit(0.0))
+    return asked.select("query_id", "token", "qtf", "df", "floor", "essential", rest.alias("rest"))
+
+
+def retrieve_topk(
+    queries: DataFrame, values: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4
+) -> DataFrame:
+    """Top ``k`` values per query by BM25; values of equal text are kept once (smallest id).
+
+    ``queries(query_id, text)``, ``values(value_id, text)``.  Postings carry their finished term
+    weight.  Only a query's essential tokens (``_essential``) are joined with all their postings; the others,
+    which stand in many values, are looked up for the pairs that can still reach the floor.  Scores are
+    rounded before ranking, so equal scores tie whatever the order of summation.
+    """
+    wanted, weights = _weighted(queries, values, k1, b)
+    # read four times by its token: one exchange serves them
+    weights = weights.repartition("token")
+    asked = _essential(wanted, weights, k)
+    met = asked.where("essential").join(weights, "token")
+    partial = met.groupBy("query_id", "value_id").agg(
+        F.sum(F.col("qtf") * F.col("weight")).alias("part"), F.first("rest").alias("rest"), F.first("floor").alias("floor")
+    )
+    reach = partial.where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor")))
+    others = asked.where("NOT essential").select("query_id", "token", "qtf")
+    # one row per pair and token left: a key of both, so no token is hot
+    added = reach.where("rest > 0").select("query_id", "value_id").join(others, "query_id").join(weights, ["token", "value_id"])
+    added = added.groupBy("query_id", "value_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("more"))
+    scored = reach.join(added, ["query_id", "value_id"], "left").select(
+        "query_id", "value_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 9).alias("score")
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "value_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def retrieval_rows(queries: DataFrame, values: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """Rows out of the token join of ``retrieve_topk`` beside those of a join on all tokens: (all_rows, joined_rows)."""
+    wanted, weights = _weighted(queries, values, k1, b)
+    asked = _essential(wanted, weights.repartition("token"), k)
+    return asked.agg(F.sum("df").alias("all_rows"), F.sum(F.when(F.col("essential"), F.col("df"))).alias("joined_rows"))
+
+
 #: gram lengths used to index text: for values with a core, and for short values without one
 CORE_GRAMS = (1, 2, 4, 8, 16)
 SHORT_GRAMS = tuple(range(1, 9))

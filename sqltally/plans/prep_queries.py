@@ -141,6 +141,13 @@ def word_ngrams(spark, sf):
     return prep.word_ngrams(table(spark, sf, "benchmark"), "item_id", "text")
 
 
+def _retrieval(spark, sf):
+    queries = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
+    )
+    return queries, table(spark, sf, "benchmark").select(F.col("item_id").alias("value_id"), "text")
+
+
 @query(
     "dp7_retrieve_topk",
     """WITH v AS (SELECT min(item_id) AS value_id, text FROM benchmark GROUP BY text),
@@ -157,11 +164,7 @@ SELECT query_id, value_id, round(score + 2e-10, 6) AS score, CAST(rank AS INTEGE
 )
 def retrieve_topk(spark, sf):
     """Conversation turns ask for benchmark passages."""
-    queries = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
-    )
-    values = table(spark, sf, "benchmark").select(F.col("item_id").alias("value_id"), "text")
-    out = prep.retrieve_topk(queries, values)
+    out = prep.retrieve_topk(*_retrieval(spark, sf))
     return out.withColumn("score", F.round(F.col("score") + 2e-10, 6))
 
 
@@ -190,6 +193,19 @@ s AS (SELECT item_id * 1000 + i - 1 AS value_id, 'col' || (item_id % 4) AS "colu
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM s0) WHERE trim(parts[i]) <> '')"""
 
 
+@query(
+    "dp7_retrieval_rows",
+    """WITH v AS (SELECT min(item_id) AS value_id, text FROM benchmark GROUP BY text),
+p AS (SELECT DISTINCT value_id, token FROM (SELECT value_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS token FROM v)),
+q AS (SELECT DISTINCT query_id, token FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS token FROM conversations))
+SELECT count(*) AS all_rows, 1 AS fewer FROM q JOIN p USING (token)""",
+)
+def retrieval_rows(spark, sf):
+    """How many rows a join on all tokens makes, and whether the pruned one makes fewer."""
+    rows = prep.retrieval_rows(*_retrieval(spark, sf))
+    return rows.select("all_rows", (F.col("joined_rows") < F.col("all_rows")).cast("int").alias("fewer"))
+
+
 @query(
     "dp8_match_values",
     f"""WITH {SENTENCES}, v AS (
