@@ -5,6 +5,7 @@ Totals are scalar sub-queries, so nothing is counted on the driver.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -102,19 +103,45 @@ def unpad(df: DataFrame) -> DataFrame:
     return df.where(~F.col("padded")).drop("padded")
 
 
+#: Rounds of the shuffle, and a prime below 2^31 for its arithmetic.
+ROUNDS, PRIME = 24, 2_147_483_647
+
+
+def shuffle_keys(seed: int, epoch: int) -> list[tuple[int, int]]:
+    """Two numbers below PRIME for every round."""
+    digest = b"".join(hashlib.sha256(f"{seed}|{epoch}|{r}".encode()).digest()[:16] for r in range(ROUNDS))
+    numbers = [int.from_bytes(digest[k : k + 8], "big") % PRIME for k in range(0, len(digest), 8)]
+    return list(zip(numbers[::2], numbers[1::2]))
+
+
+def shuffled_place(place: Column, size: Column, keys: Column) -> Column:
+    """Place of a row after a keyed shuffle of ``0 .. size - 1``: a bijection, so no rows are sorted.
+
+    In every round a place and its mirror ``(key - place) mod size`` change places or stay, as a bit of the
+    larger one says.
+    """
+
+    def step(x: Column, key: Column) -> Column:
+        mirror = F.pmod(key["a"] - x, size)
+        y = (F.greatest(x, mirror) % PRIME * 48271 + key["b"]) % PRIME
+        return F.when(F.floor(y * y % PRIME / 1024) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(keys, place.cast("bigint"), step)
+
+
 def minibatches(
     df: DataFrame, size: int, epochs: int, seed: int, key: str = "ordinal"
 ) -> DataFrame:
-    """``epoch`` and ``batch`` of a seeded shuffle per epoch; the incomplete last batch is dropped."""
-    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    shuffled = each.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", key))
-    ranked = with_rank(shuffled, ["_h", key], ["epoch"], "position")
-    full = F.floor(size_of(df) / size)
-    return (
-        ranked.withColumn("batch", F.floor(F.col("position") / size))
-        .where(F.col("batch") < full)
-        .drop("_h")
-    )
+    """``epoch``, ``position`` and ``batch`` of a seeded shuffle per epoch; the incomplete last batch is dropped.
+
+    ``key`` counts the rows from 0.  Every epoch is a projection: a row finds its position by
+    ``shuffled_place``, without sorting or moving anything.
+    """
+    keys = F.array(*[F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in shuffle_keys(seed, e)]) for e in range(epochs)])
+    total = size_of(df)
+    each = df.withColumn("_n", total).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    placed = each.withColumn("position", shuffled_place(F.col(key), F.col("_n"), F.get(keys, F.col("epoch"))))
+    return placed.withColumn("batch", F.floor(F.col("position") / size)).where(F.col("batch") < F.floor(F.col("_n") / size)).drop("_n")
 
 
 def collate(df: DataFrame, batch: str, order: str, cols: Sequence[str]) -> DataFrame:

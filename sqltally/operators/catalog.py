@@ -9,9 +9,11 @@ their size is the number of columns, not of rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,6 @@ TYPE_RULES = (
 
 #: Values longer than this are counted by digest.
 DIGEST_OVER = 64
-#: Hash classes, and first characters of a value, that bound the smallest values of a column.
-LOW_CLASSES, HEAD_CHARS = 64, 64
 
 
 def build_catalog(
@@ -112,12 +112,14 @@ def distinct_values(
 ) -> DataFrame:
     """``(table_name, column_name, value, n)`` over all plain columns, values as text.
 
-    One scan per table; equal values are combined before the shuffle.  With ``digests`` the SHA-256
-    stands for a value of more than DIGEST_OVER characters, for uses that only count.
+    One scan per table; equal values are combined before the shuffle.  With ``digests`` a mark and the SHA-256
+    stand for a value of more than DIGEST_OVER characters that is no number, for uses that only count or tell
+    kinds apart.
     """
     long = long_values(tables, columns)
     if digests:
-        short = F.when(F.length("value") > DIGEST_OVER, F.sha2("value", 256)).otherwise(F.col("value"))
+        whole = (F.length("value") <= DIGEST_OVER) | F.col("value").rlike(NUMBER)
+        short = F.when(whole, F.col("value")).otherwise(F.concat(F.lit("~"), F.sha2("value", 256)))
         long = long.withColumn("value", short)
     return long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,24 +127,41 @@ def distinct_values(
 def lowest_values(tables: Mapping[str, DataFrame], n: int, blanks: bool = False) -> DataFrame:
     """Distinct ``(table_name, column_name, value)`` with at least the ``n`` smallest values of every column.
 
-    Values fall into LOW_CLASSES classes by the hash of their first characters.  The ``n``-th
-    smallest of the classes' least beginnings has ``n`` values at or below it, so no larger
-    beginning can be among the first ``n``; only values up to it are made distinct.  A column that
-    fills fewer classes keeps all its values.  NULL and blank values are left out unless ``blanks``.
+    Each table is read once: a task keeps the ``n`` smallest different values of every column while its Arrow
+    batches go by, so ``n`` values per column and task are all that is shuffled.  NULL and blank values are
+    left out unless ``blanks``.
     """
-    long = long_values(tables, None)
-    if not blanks:
-        long = long.where("value <> ''")
-    head = F.substring("value", 1, HEAD_CHARS)
-    in_class = F.pmod(F.xxhash64(head), F.lit(LOW_CLASSES)).alias("class")
-    least = long.where("value IS NOT NULL").groupBy("table_name", "column_name", in_class).agg(F.min(head).alias("least"))
-    bounds = least.groupBy("table_name", "column_name").agg(
-        F.get(F.array_sort(F.collect_list("least")), F.lit(n - 1)).alias("bound")
-    )
-    # one row per column of the catalog
-    bounded = long.join(F.broadcast(bounds), ["table_name", "column_name"], "left")
-    kept = F.col("value").isNull() | F.col("bound").isNull() | (head <= F.col("bound"))
-    return bounded.where(kept).select("table_name", "column_name", "value").distinct()
+    parts = []
+    for name, df in tables.items():
+        cols = _atomic(df)
+        if cols:
+            text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+            found = text.mapInArrow(_smallest(cols, n, blanks), "column_name string, value string")
+            parts.append(found.select(F.lit(name).alias("table_name"), "column_name", "value"))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _smallest(cols: Sequence[str], n: int, blanks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {c: pa.array([], pa.string()) for c in cols}
+        empty = set()
+        for b in batches:
+            for c, column in zip(cols, b.columns):
+                if column.null_count:
+                    empty.add(c)
+                values = column.drop_null().cast(pa.string())
+                if not blanks:
+                    values = values.filter(pc.not_equal(values, ""))
+                if len(least[c]) >= n:  # bytes are compared, as Spark does
+                    values = values.filter(pc.less(values, least[c][-1]))
+                if len(values):
+                    new = pc.unique(pa.concat_arrays([least[c], values]))
+                    least[c] = new.take(pc.array_sort_indices(new)[:n])
+        names = [c for c in cols for _ in range(len(least[c]))] + (sorted(empty) if blanks else [])
+        cells = pa.concat_arrays([*least.values(), pa.nulls(len(empty) if blanks else 0, pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), cells], ["column_name", "value"])
+
+    return kept
 
 
 def _ranked(values: DataFrame) -> DataFrame:

@@ -99,7 +99,25 @@ def unpad(spark, sf):
     return batching.unpad(batching.pad_to(_batch(spark, sf).select("ordinal", "doc_id"), 7))
 
 
-@query("bt8_minibatches")
+def _shuffle_sql(seed: int, epochs: int) -> str:
+    """Relations s0 to s<ROUNDS>: column x is the place after that many rounds."""
+    keys = [batching.shuffle_keys(seed, e) for e in range(epochs)]
+    pick = lambda r, k: "CASE epoch " + " ".join(f"WHEN {e} THEN {keys[e][r][k]}" for e in range(epochs)) + " END"
+    steps = [f"s0 AS (SELECT epoch, ordinal, doc_id, ordinal AS x, (SELECT count(*) FROM b) AS n FROM b CROSS JOIN (SELECT unnest(range(0, {epochs})) AS epoch))"]
+    for r in range(batching.ROUNDS):
+        steps.append(
+            f"""m{r} AS (SELECT *, (({pick(r, 0)} - x) % n + n) % n AS m FROM s{r}),
+h{r} AS (SELECT *, (greatest(x, m) % {batching.PRIME} * 48271 + {pick(r, 1)}) % {batching.PRIME} AS y FROM m{r}),
+s{r + 1} AS (SELECT epoch, ordinal, doc_id, CASE WHEN y * y % {batching.PRIME} // 1024 % 2 = 1 THEN m ELSE x END AS x, n FROM h{r})"""
+        )
+    return ",\n".join(steps)
+
+
+@query(
+    "bt8_minibatches",
+    f"""WITH {BATCH}, {_shuffle_sql(42, 3)}
+SELECT ordinal, doc_id, CAST(epoch AS INTEGER) AS epoch, CAST(x AS BIGINT) AS position, CAST(x // 64 AS BIGINT) AS batch FROM s{batching.ROUNDS} WHERE x // 64 < n // 64""",
+)
 def minibatches(spark, sf):
     return batching.minibatches(_batch(spark, sf).select("ordinal", "doc_id"), 64, 3, seed=42)
 
@@ -142,7 +160,10 @@ def collate(spark, sf):
 def fold_unfold(spark, sf):
     cols = ["doc_id", "n_chars"]
     b = _batch(spark, sf).select("ordinal", *cols)
-    return batching.unfold(batching.fold(b, 40, cols), cols)
+    # about 1024 rows to an array; the size must divide the batch
+    n = b.count()
+    arrays = next((k for k in range(-(-n // 1024), n + 1) if n % k == 0), 1) if n else 1
+    return batching.unfold(batching.fold(b, arrays, cols), cols)
 
 
 RANKED = """r AS (

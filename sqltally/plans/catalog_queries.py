@@ -116,7 +116,7 @@ SELECT table_name, column_name, n AS n_distinct,
 FROM s""",
 )
 def infer_content_type(spark, sf):
-    return catalog.infer_content_type(catalog.distinct_values(_tables(spark, sf)))
+    return catalog.infer_content_type(catalog.distinct_values(_tables(spark, sf), digests=True))
 
 
 @query(

@@ -146,13 +146,20 @@ def test_content_types(spark):
     assert kinds == {"birth_year": "year", "flag": "boolean", "answer": "boolean", "day": "date", "note": "text", "amount": "number"}
 
 
-@pytest.mark.parametrize("classes, head", [(64, 64), (3, 1), (5, 2)])
-def test_lowest_values_hold_the_first_ones(spark, monkeypatch, classes, head):
-    monkeypatch.setattr(catalog, "LOW_CLASSES", classes)
-    monkeypatch.setattr(catalog, "HEAD_CHARS", head)
+@pytest.fixture(params=[10_000, 7])
+def batch_rows(spark, request):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield
+    spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_lowest_values_hold_the_first_ones(spark, batch_rows, parts):
     rng = random.Random(7)
     cells = [(rng.choice([None, "", "b", "é" * 70]), "".join(rng.choices("abé ", k=rng.randint(1, 6))), None) for _ in range(400)]
-    tables = {"t": spark.createDataFrame(cells, "few string, many string, none string"), "e": spark.createDataFrame([], "x string")}
+    tables = {"t": spark.createDataFrame(cells, "few string, many string, none string").repartition(parts), "e": spark.createDataFrame([], "x string")}
     for blanks, pick in ((False, catalog.sample_values), (True, catalog.first_values)):
         for n in (1, 3, 6):
             low = catalog.lowest_values(tables, n, blanks)
