@@ -1,9 +1,9 @@
 """Languages of a document as a mixture, inferred by expectation-maximisation.
 
 Character trigram counts per language give likelihoods; each document's language proportions are
-fitted by EM over its trigrams.  Among the sets of its 1, 2, ... most probable languages the one
-with the best penalised likelihood (half a log of the trigram count per extra language, times
-``strictness``) is kept.
+fitted by EM over its trigrams.  Among the sets of its 1, 2, ... and up to all most probable languages the
+one with the best penalised likelihood (two logs of the trigram count per extra language, times
+``strictness``) is kept.  Sizes whose penalty exceeds what any mixture could gain are not tried.
 """
 
 from __future__ import annotations
@@ -84,7 +84,13 @@ def fit_mixture(likelihood: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS
     return share, float(counts @ np.log(likelihood @ share))
 
 
-def mixture(text: str, log: np.ndarray, strictness: float = 1.0, most: int = 4) -> list[tuple[int, float]]:
+def likelihood_bound(likelihood: np.ndarray, counts: np.ndarray, share: np.ndarray, score: float) -> float:
+    """No proportions have a larger log likelihood than this, by the gradient at ``share``."""
+    gains = (counts / (likelihood @ share)) @ likelihood / counts.sum()
+    return score + float(counts.sum() * np.log(gains.max()))
+
+
+def mixture(text: str, log: np.ndarray, strictness: float = 1.0) -> list[tuple[int, float]]:
     """(language index, proportion) of the chosen set, largest first."""
     grams, counts = np.unique(trigrams(text), return_counts=True)
     counts = counts.astype(np.float64)
@@ -93,20 +99,22 @@ def mixture(text: str, log: np.ndarray, strictness: float = 1.0, most: int = 4)
     likelihood = np.exp(rows - offset[:, None])
     if likelihood.shape[1] == 1:
         return [(0, 1.0)]
-    share, _ = fit_mixture(likelihood, counts)
+    share, score = fit_mixture(likelihood, counts)
+    bound = likelihood_bound(likelihood, counts, share, score)
     ranked = np.argsort(-share, kind="stable")
     single = counts @ (rows - offset[:, None])
     if single[ranked[0]] < single.max():  # the best single language leads the nested sets
         ranked = np.concatenate([[single.argmax()], ranked[ranked != single.argmax()]])
     best, kept = float(single[ranked[0]]), [(int(ranked[0]), 1.0)]
-    fee = strictness * 0.5 * np.log(counts.sum() + 1) * 4
-    for size in range(2, min(most, len(ranked)) + 1):
+    fee = strictness * 2 * np.log(counts.sum() + 1)
+    for size in range(2, len(ranked) + 1):
+        if bound - fee * (size - 1) <= best:
+            break
         chosen = ranked[:size]
         share, score = fit_mixture(likelihood[:, chosen], counts)
-        if score - fee * (size - 1) <= best:
-            break
-        best = score - fee * (size - 1)
-        kept = sorted(zip(chosen.tolist(), share.tolist()), key=lambda x: -x[1])
+        if score - fee * (size - 1) > best:
+            best = score - fee * (size - 1)
+            kept = sorted(zip(chosen.tolist(), share.tolist()), key=lambda x: -x[1])
     return kept
 
 
