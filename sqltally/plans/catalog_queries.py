@@ -184,6 +184,22 @@ def column_contained(spark, sf):
     return out
 
 
+@query(
+    "cat8_all_contained",
+    f"""WITH {VALUES}, d AS (SELECT DISTINCT table_name || '.' || column_name AS c, value FROM dv WHERE regexp_matches(column_name, '(key|_id)$')),
+n AS (SELECT c, count(*) AS n, count(value) AS known FROM d GROUP BY c),
+common AS (SELECT x.c AS a, y.c AS b, count(*) AS common FROM d x JOIN d y ON x.value = y.value AND x.c < y.c GROUP BY 1, 2),
+p AS (SELECT x.c AS a, y.c AS b, x.n AS n_a, y.n AS n_b, CASE WHEN x.n > y.n THEN y.known ELSE x.known END - coalesce(common, 0) AS misses
+  FROM n x JOIN n y ON x.c < y.c LEFT JOIN common k ON k.a = x.c AND k.b = y.c)
+SELECT a, b, n_a, n_b, misses, CAST(misses <= 1 AS INTEGER) AS contained FROM p""",
+)
+def all_contained(spark, sf):
+    """Every pair of the key columns of all tables."""
+    named = [c for cols in SCHEMAS.values() for c in cols if c.endswith(("key", "_id"))]
+    out = catalog.columns_contained(catalog.distinct_values(_tables(spark, sf), named, digests=True))
+    return out.withColumn("contained", F.col("contained").cast("int"))
+
+
 def _keys(spark, sf, names=tuple(SCHEMAS)):
     """Primary keys found in the data (a ``...key`` column without duplicates), declared foreign keys."""
     tables = _tables(spark, sf, names)

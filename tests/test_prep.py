@@ -170,6 +170,18 @@ def test_lowest_values_hold_the_first_ones(spark, batch_rows, parts):
             assert {r.column_name for r in nulls} == ({"few", "none"} if blanks else set())
 
 
+def test_all_pairs_of_columns_equal_the_pairwise_operator(spark):
+    rng = random.Random(8)
+    cells = [(rng.choice([None, 1, 2, 3]), rng.randrange(6), rng.choice(["1", "2", "x"])) for _ in range(40)]
+    tables = {"t": spark.createDataFrame(cells, "p int, q int, r string"), "u": spark.createDataFrame([(2,), (5,)], "p int")}
+    got = {(r.a, r.b): (r.n_a, r.n_b, r.misses, r.contained) for r in catalog.columns_contained(catalog.distinct_values(tables)).collect()}
+    names = ["t.p", "t.q", "t.r", "u.p"]
+    for a, b in [(a, b) for a in names for b in names if a < b]:
+        (ta, ca), (tb, cb) = a.split("."), b.split(".")
+        assert got[a, b] == tuple(catalog.column_contained(tables[ta], ca, tables[tb], cb).first())
+    assert len(got) == 6
+
+
 def test_audit_reasons(spark):
     good = "Assistant: <think>t</think><answer>```sql\nSELECT 1\n```</answer>"
     cases = {
