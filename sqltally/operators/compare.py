@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sqltally.functions.canonical import canonical_order, every_order
 from sqltally.functions.cells import canonical_row
+from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.ordering import with_rank
 
 KEYS = ("question_id",)
@@ -204,10 +205,13 @@ def canonical_results(results: DataFrame, ordered: bool = False, keys: Sequence[
     columns = _column_colors(results, keys, ordered)
     listed = columns.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("color", "j", "content"))).alias("_c"))
     kinds = lambda field: F.size(F.array_distinct(F.transform("_c", lambda c: c[field])))
-    orders = listed.select(*one, F.transform("_c", lambda c: c["j"]).alias("perm"), (kinds("color") == kinds("content")).alias("_clear"))
-    if not ordered:
+    # one small row per result, read several times by what follows
+    orders = cut_lineage(
+        listed.select(*one, F.transform("_c", lambda c: c["j"]).alias("perm"), (kinds("color") == kinds("content")).alias("_clear"))
+    )
+    if not ordered and not orders.where(~F.col("_clear")).isEmpty():
         symmetric = _symmetric_orders(results, keys, orders.where(~F.col("_clear")))
-        orders = orders.where("_clear").select(*one, "perm").unionByName(symmetric)
+        orders = cut_lineage(orders.where("_clear").select(*one, "perm").unionByName(symmetric))
     laid = results.join(orders.select(*one, "perm"), one)
     return laid.select(*one, "row_ix", F.transform("perm", lambda j: F.get("cells", j)).alias("cells"))
 
