@@ -113,9 +113,9 @@ def better(sums: np.ndarray, sums_dealt: np.ndarray, strict: bool) -> bool:
     return sums.max() - sums.min() <= sums_dealt.max() - sums_dealt.min()
 
 
-def best_split(lengths: np.ndarray, k: int, equal: bool, strict: bool = False) -> np.ndarray:
+def best_split(lengths: np.ndarray, k: int, equal: bool, strict: bool = False, exact_rows: int = EXACT_ROWS) -> np.ndarray:
     """Groups of a whole batch: exact for a handful of rows, else the better of differencing and dealing."""
-    if len(lengths) <= EXACT_ROWS and not strict and (not equal or len(lengths) % k == 0):
+    if len(lengths) <= exact_rows and not strict and (not equal or len(lengths) % k == 0):
         return exact(lengths, k, equal)
     groups, sums, sums_dealt = split(lengths, k, equal)
     return groups if better(sums, sums_dealt, strict) else dealt(len(lengths), k)

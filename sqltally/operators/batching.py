@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqltally.functions.differencing import best_split, difference, split
+from sqltally.functions.differencing import EXACT_ROWS, best_split, difference, split
 from sqltally.functions.ordering import with_rank
 from sqltally.functions.skew import salted_join
 
@@ -177,12 +177,12 @@ RANGE_ROWS, RANGES = 32_768, 1024
 SHARD_GROUPS = 64
 
 
-def _split_ranges(lengths: pd.Series, k: pd.Series, first: pd.Series, whole: pd.Series, equal: pd.Series, strict: pd.Series) -> pd.DataFrame:
-    """Groups and sums of each range of lengths; ``whole`` ranges are a batch of their own."""
+def _split_ranges(lengths: pd.Series, k: pd.Series, first: pd.Series, whole: pd.Series, equal: pd.Series, strict: pd.Series, few: pd.Series) -> pd.DataFrame:
+    """Groups and sums of each range of lengths; ``whole`` ranges are a batch of their own, exact up to ``few`` rows."""
     out = []
-    for values, n, at, alone, same, both in zip(lengths, k, first, whole, equal, strict):
+    for values, n, at, alone, same, both, most in zip(lengths, k, first, whole, equal, strict, few):
         values = np.asarray(values, np.int64)
-        out.append((best_split(values, n, same, both), None, None) if alone else split(values, n, same, at))
+        out.append((best_split(values, n, same, both, most), None, None) if alone else split(values, n, same, at))
     return pd.DataFrame(out, columns=["slots", "sums", "dealt"])
 
 
@@ -204,7 +204,7 @@ def _merged(states: DataFrame, by: Sequence[str], part: str) -> DataFrame:
     return found.select(*by, F.col("_m.sums").alias("sums"), F.col("_m.dealt").alias("dealt"), F.inline(each))
 
 
-def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, ranges: int) -> DataFrame:
+def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, ranges: int, exact_rows: int) -> DataFrame:
     """``_group`` for rows (*by, _rank, _len, _k, _n, _strict): rank by falling length, groups and rows of the batch.
 
     Ranges of ``rows`` rows are differenced on their own, then the states of up to ``ranges`` ranges, then
@@ -218,7 +218,7 @@ def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, r
     blocks = cut.groupBy(*by, "_range").agg(listed.alias("_rows"), F.first(span).alias("_span"), *once)
     alone = F.col("_n") <= F.col("_span")
     split_up = F.pandas_udf(_split_ranges, "slots array<bigint>, sums array<bigint>, dealt array<bigint>")
-    found = split_up(F.col("_rows._len"), k, F.col("_range") * F.col("_span"), alone, F.lit(equal), F.col("_strict"))
+    found = split_up(F.col("_rows._len"), k, F.col("_range") * F.col("_span"), alone, F.lit(equal), F.col("_strict"), F.lit(exact_rows))
     blocks = blocks.withColumn("_s", found)
     done = blocks.where(alone).select(*by, "_range", F.col("_s.slots").alias("_slots"))
     # ranges of larger batches are read twice; one more exchange lets Spark run them once
@@ -241,7 +241,7 @@ def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, r
     return joined.withColumn("_group", group).drop("_range", "_at", "_slots")
 
 
-def _grouped(df: DataFrame, batch: str, length: str, k: Column, key: str, equal: bool, rows: int, ranges: int) -> DataFrame:
+def _grouped(df: DataFrame, batch: str, length: str, k: Column, key: str, equal: bool, rows: int, ranges: int, exact_rows: int) -> DataFrame:
     """``df`` with ``_group``; ``k`` is an expression over ``_n``, ``_total`` and ``_longest`` of the batch."""
     rows_of = df.withColumn("_len", F.coalesce(F.col(length).cast("long"), F.lit(0))).withColumn("_batch", F.struct(batch))
     sizes = rows_of.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_total"), F.max("_len").alias("_longest"))
@@ -264,26 +264,27 @@ def _grouped(df: DataFrame, batch: str, length: str, k: Column, key: str, equal:
             "_k": own, "_rank": lap * own + at, "_strict": groups > SHARD_GROUPS,
             "_n": full * own + F.least(F.greatest(over, F.lit(0)), own),
         })
-    found = _differenced(laid, ["_batch", "_shard"], equal, rows, ranges)
+    found = _differenced(laid, ["_batch", "_shard"], equal, rows, ranges, exact_rows)
     found = found.withColumn("_group", F.col("_group") + F.col("_shard") * SHARD_GROUPS)
     return found.select(*df.columns, "_group")
 
 
 def balanced_groups(
-    df: DataFrame, batch: str, length: str, k: int, key: str = "ordinal", equal_size: bool = True, range_rows: int = RANGE_ROWS, ranges: int = RANGES
+    df: DataFrame, batch: str, length: str, k: int, key: str = "ordinal", equal_size: bool = True, range_rows: int = RANGE_ROWS, ranges: int = RANGES,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Assign the rows of each batch to ``k`` groups of similar total length by largest differencing.
 
     With ``equal_size`` groups have equal counts, and a batch whose size does not divide is an error;
     without it counts are free.  No batch gets a larger spread than by dealing its rows, longest first, back
-    and forth, and a batch of a handful of rows gets the least spread there is.  Lengths are whole
+    and forth, and a batch of up to ``exact_rows`` rows gets the least spread there is.  Lengths are whole
     numbers of zero or more, null counts as zero; ``key`` tells the rows of a batch apart.  Ranges of
     ``range_rows`` lengths are split in one task each, and so are the states of ``ranges`` ranges.
     """
     groups = F.lit(k).cast("long")
     if equal_size:
         groups = _checked(groups, F.col("_n") % k != 0, "batch does not divide into equal groups")
-    out = _grouped(df, batch, length, groups, key, equal_size, range_rows, ranges)
+    out = _grouped(df, batch, length, groups, key, equal_size, range_rows, ranges, exact_rows)
     return out.withColumnRenamed("_group", "group")
 
 
@@ -308,7 +309,8 @@ def balance_report(grouped: DataFrame, batch: str, length: str, k: int, order: s
 
 
 def micro_batches(
-    df: DataFrame, batch: str, length: str, max_tokens: int, key: str = "ordinal", range_rows: int = RANGE_ROWS, ranges: int = RANGES
+    df: DataFrame, batch: str, length: str, max_tokens: int, key: str = "ordinal", range_rows: int = RANGE_ROWS, ranges: int = RANGES,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """``micro``: ceil(total / max_tokens) groups per batch of similar total length, counts free.
 
@@ -316,4 +318,4 @@ def micro_batches(
     many groups first.  A sequence longer than the budget is an error.
     """
     groups = _checked(F.ceil(F.col("_total") / max_tokens), F.col("_longest") > max_tokens, "a sequence is longer than the token budget")
-    return _grouped(df, batch, length, groups, key, False, range_rows, ranges).withColumnRenamed("_group", "micro")
+    return _grouped(df, batch, length, groups, key, False, range_rows, ranges, exact_rows).withColumnRenamed("_group", "micro")
