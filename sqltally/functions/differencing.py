@@ -114,8 +114,13 @@ def better(sums: np.ndarray, sums_dealt: np.ndarray, strict: bool) -> bool:
 
 
 def best_split(lengths: np.ndarray, k: int, equal: bool, strict: bool = False, exact_rows: int = EXACT_ROWS) -> np.ndarray:
-    """Groups of a whole batch: exact for a handful of rows, else the better of differencing and dealing."""
-    if len(lengths) <= exact_rows and not strict and (not equal or len(lengths) % k == 0):
+    """Groups of a whole batch: exact for a handful of rows, else the better of differencing and dealing.
+
+    With ``equal`` a batch that does not divide is dealt, so that counts differ by one at most.
+    """
+    if equal and len(lengths) % k:
+        return dealt(len(lengths), k)
+    if len(lengths) <= exact_rows and not strict:
         return exact(lengths, k, equal)
     groups, sums, sums_dealt = split(lengths, k, equal)
     return groups if better(sums, sums_dealt, strict) else dealt(len(lengths), k)

@@ -62,9 +62,15 @@ def concat_batches(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def chunk(df: DataFrame, n: int) -> DataFrame:
-    """Equal contiguous chunks; a size that does not divide is an error."""
+def chunk(df: DataFrame, n: int, strict: bool = True) -> DataFrame:
+    """Equal contiguous chunks; a size that does not divide is an error.
+
+    Without ``strict`` chunks have the whole part of a ``n``-th of the rows, and the rows left over follow in
+    chunks numbered from ``n`` on (NULL for fewer than ``n`` rows).
+    """
     total = size_of(df)
+    if not strict:
+        return df.withColumn("chunk", F.floor(F.try_divide(F.col("ordinal"), F.floor(total / n))))
     part = F.floor(F.col("ordinal") / (total / n))
     return df.withColumn("chunk", _checked(part, total % n != 0, "batch does not divide into chunks"))
 
@@ -222,16 +228,17 @@ def _differenced(ranked: DataFrame, by: Sequence[str], equal: bool, rows: int, r
     blocks = blocks.withColumn("_s", found)
     done = blocks.where(alone).select(*by, "_range", F.col("_s.slots").alias("_slots"))
     # ranges of larger batches are read twice; one more exchange lets Spark run them once
-    several = blocks.where(~alone).select(*by, "_range", "_strict", "_s.*").repartition(*by, "_range")
+    whole_rows = F.lit(not equal) | (F.col("_n") % k == 0)
+    several = blocks.where(~alone).select(*by, "_range", "_strict", whole_rows.alias("_even"), "_s.*").repartition(*by, "_range")
     first = several.withColumn("_part", F.floor(F.col("_range") / ranges))
-    strict = several.groupBy(*by).agg(F.first("_strict").alias("_strict"))
+    strict = several.groupBy(*by).agg(F.first("_strict").alias("_strict"), F.first("_even").alias("_even"))
     first = _merged(first.select(*by, "_part", "_range", "sums", "dealt"), [*by, "_part"], "_range")
     parts = first.groupBy(*by, "_part").agg(F.first("sums").alias("sums"), F.first("dealt").alias("dealt"))
     last = _merged(parts, by, "_part").join(strict, by)
     most, least = (lambda c: F.array_max(c)), (lambda c: F.array_min(c))
     ends = (most("sums") <= most("dealt")) & (least("sums") >= least("dealt"))
     keep = F.when(F.col("_strict"), ends).otherwise(most("sums") - least("sums") <= most("dealt") - least("dealt"))
-    last = last.select(*by, "_part", F.col("slots").alias("_top"), keep.alias("_keep"))
+    last = last.select(*by, "_part", F.col("slots").alias("_top"), (F.col("_even") & keep).alias("_keep"))
     path = first.select(*by, "_part", "_range", F.col("slots").alias("_middle")).join(last, [*by, "_part"])
     path = several.select(*by, "_range", F.col("slots").alias("_low")).join(path, [*by, "_range"])
     through = F.transform("_low", lambda s: F.get("_top", F.get("_middle", s.cast("int")).cast("int")))
@@ -271,29 +278,36 @@ def _grouped(df: DataFrame, batch: str, length: str, k: Column, key: str, equal:
 
 def balanced_groups(
     df: DataFrame, batch: str, length: str, k: int, key: str = "ordinal", equal_size: bool = True, range_rows: int = RANGE_ROWS, ranges: int = RANGES,
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int = EXACT_ROWS, uneven: str = "error",
 ) -> DataFrame:
     """Assign the rows of each batch to ``k`` groups of similar total length by largest differencing.
 
-    With ``equal_size`` groups have equal counts, and a batch whose size does not divide is an error;
-    without it counts are free.  No batch gets a larger spread than by dealing its rows, longest first, back
+    With ``equal_size`` groups have equal counts, and a batch whose size does not divide is an error, or with
+    ``uneven="deal"`` dealt, longest first, back and forth, so that counts differ by one;
+    without ``equal_size`` counts are free.  No batch gets a larger spread than by dealing its rows, longest first, back
     and forth, and a batch of up to ``exact_rows`` rows gets the least spread there is.  Lengths are whole
     numbers of zero or more, null counts as zero; ``key`` tells the rows of a batch apart.  Ranges of
     ``range_rows`` lengths are split in one task each, and so are the states of ``ranges`` ranges.
     """
+    if uneven not in ("error", "deal"):
+        raise ValueError(f"unknown uneven {uneven!r}")
     groups = F.lit(k).cast("long")
-    if equal_size:
+    if equal_size and uneven == "error":
         groups = _checked(groups, F.col("_n") % k != 0, "batch does not divide into equal groups")
     out = _grouped(df, batch, length, groups, key, equal_size, range_rows, ranges, exact_rows)
     return out.withColumnRenamed("_group", "group")
 
 
 def balance_report(grouped: DataFrame, batch: str, length: str, k: int, order: str) -> DataFrame:
-    """Spread of total length over contiguous chunks (before) and over ``group`` (after)."""
+    """Spread of total length over contiguous chunks (before) and over ``group`` (after).
+
+    Chunks have the whole part of a ``k``-th of the rows; rows left over are one more, and a batch of fewer than
+    ``k`` rows is a single one.
+    """
     ranked = with_rank(grouped, [order], [batch], "_at")
     sizes = grouped.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
     cut = salted_join(ranked, sizes, [batch], spread=[order]).withColumn(
-        "_part", F.floor(F.col("_at") / F.floor(F.col("_n") / k))
+        "_part", F.floor(F.try_divide(F.col("_at"), F.floor(F.col("_n") / k)))
     )
     # both spreads from one pass over (part, group) totals
     totals = cut.groupBy(batch, "_part", "group").agg(F.sum(length).alias("s"))

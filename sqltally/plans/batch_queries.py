@@ -200,9 +200,9 @@ FREE_STATES = _differencing(
 
 
 def _group_totals(grouped, group: str):
-    """Totals of the groups of each source, largest first."""
+    """Totals of the groups of each source, largest first; ``most`` is what every group has, ``n // k`` in SQL."""
     totals = grouped.groupBy("source", group).agg(F.sum("n_chars").alias("total"), F.count(F.lit(1)).alias("n"))
-    listed = totals.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("total"))).alias("sums"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    listed = totals.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list("total"))).alias("sums"), F.sum("n").alias("n"), F.min("n").alias("most"))
     each = listed.select("source", "n", "most", F.posexplode("sums").alias("place", "total"))
     return each.select("source", F.col("place").cast("long").alias("place"), "total", "n", "most")
 
@@ -213,9 +213,12 @@ def _group_totals(grouped, group: str):
 SELECT source, CAST(i - 1 AS BIGINT) AS place, CAST(sums[i] AS BIGINT) AS total, n, n // 5 AS most FROM (SELECT *, unnest(range(1, 6)) AS i FROM best) JOIN c USING (source)""",
 )
 def balanced_groups(spark, sf):
-    """Group totals of each source; every group has a fifth of the rows.  SQL has no exact split, so small sources get none."""
+    """Group totals of each source; every group has a fifth of the rows.  SQL has no exact split, so small sources get none.
+
+    Sources that do not divide are dealt, as in the statement, where a short state has no spread to compare.
+    """
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return _group_totals(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0), "group")
+    return _group_totals(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0, uneven="deal"), "group")
 
 
 @query(
