@@ -228,7 +228,7 @@ def balanced_groups(spark, sf):
 def dealt_and_differenced(spark, sf):
     """Spread of the differenced groups beside that of rows dealt back and forth."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    ranked = with_rank(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0).withColumn("neg", -F.col("n_chars")), ["neg", "doc_id"], ["source"], "rk")
+    ranked = with_rank(batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0, uneven="deal").withColumn("neg", -F.col("n_chars")), ["neg", "doc_id"], ["source"], "rk")
     lap, at = F.floor(F.col("rk") / 5), F.col("rk") % 5
     dealt = ranked.withColumn("dealt", F.when(lap % 2 == 0, at).otherwise(4 - at))
     totals = dealt.groupBy("source", "group", "dealt").agg(F.sum("n_chars").alias("s"))
