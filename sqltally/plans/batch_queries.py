@@ -245,7 +245,7 @@ SELECT source, CAST(mn AS BIGINT) AS min, CAST(mx AS BIGINT) AS max, CAST(mx - m
 )
 def balance_report(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    grouped = batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0)
+    grouped = batching.balanced_groups(d, "source", "n_chars", 5, key="doc_id", exact_rows=0, uneven="deal")
     return batching.balance_report(grouped, "source", "n_chars", 5, "doc_id")
 
 
