@@ -16,7 +16,7 @@ def documents(spark, folder, sizes):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bt10_balanced_groups", "bt10_dealt_and_differenced", "bt11_balance_report"])
+@pytest.mark.parametrize("name", ["bt10_balanced_groups", "bt10_dealt_and_differenced", "bt11_balance_report", "bt4_chunk"])
 def test_sizes_that_do_not_divide(spark, tmp_path, name):
     sf = documents(spark, tmp_path, (40, 33, 12, 7))
     con = duck(sf)
