@@ -510,6 +510,16 @@ def _schema_arrays(cat_columns: DataFrame, cat_keys: DataFrame) -> DataFrame:
     return cols.groupBy("db_id").agg(F.collect_list(F.struct("column_id", "low", "is_key")).alias("cols"))
 
 
+def _on_database(questions: DataFrame, schema: DataFrame) -> DataFrame:
+    """Every question with the row of its database.
+
+    The key is pinned on both sides: a database that is a literal would be folded out of the condition, and the
+    join become a product that computes the catalog again for every part of the questions.
+    """
+    left = pinned(questions, _db=F.col("db_id"))
+    return left.join(pinned(schema, _db=F.col("db_id")).drop("db_id"), "_db").drop("_db")
+
+
 def _choose_columns(joined: DataFrame, seed: int, cap: int) -> DataFrame:
     """``joined`` with ``_chosen``, an array of (spare, h, column_id): the columns shown for its question."""
     question = F.col("question_id").cast("string")
@@ -542,7 +552,7 @@ def training_columns(
     """
     # the catalog of a database as one array: every question reads it in place
     schema = _schema_arrays(cat_columns, cat_keys)
-    joined = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(schema, "db_id")
+    joined = _on_database(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")), schema)
     chosen = _choose_columns(joined, seed, cap).select("question_id", F.explode("_chosen").alias("c"))
     return chosen.select("question_id", "c.column_id", (~F.col("c.spare")).alias("needed"))
 
@@ -622,14 +632,40 @@ def question_schemas(
     its own text and the columns chosen for it, never a row per catalog column.  Every draw is an md5 of seed,
     question and item.
     """
+    none = F.array().cast("array<string>")
+
+    def line(c: Column, found: Column, silent: Column) -> Column:
+        """The line of a column, with the values ``found`` for it first."""
+        values = F.slice(F.array_distinct(F.concat(found, c["samples"])), 1, limit)
+        shown = F.transform(values, lambda v: F.when(c["number"], v).otherwise(_quoted_value(v)))
+        example = F.concat(F.lit("example: ["), F.array_join(shown, ", "), F.lit("]"))
+        some = F.size(values) > 0
+        quiet = F.when(some, F.concat(F.lit(" -- "), example)).otherwise("")
+        return F.concat(c["head"], F.when(silent, quiet).otherwise(F.concat(F.lit(" -- "), c["comment"], F.when(some, F.concat(F.lit(", "), example)).otherwise(""))))
+
+    def body(t: Column, cols: Column, lines: Column) -> Column:
+        """The text of a table from the lines of its columns."""
+        keyed = F.transform(F.filter(cols, lambda c: c["pk"]), lambda c: c["ident"])
+        pk = F.when(F.size(keyed) > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join(keyed, ", "), F.lit("),")))).otherwise(none)
+        whole = F.array_join(F.concat(lines, pk, F.flatten(F.transform(cols, lambda c: c["fks"]))), "\n")
+        return F.concat(F.lit("CREATE TABLE "), t["ident"], F.lit(" (\n"), F.regexp_replace(whole, ",$", ""), F.lit("\n);"))
+
+    def prepared(t: Column) -> Column:
+        """A table with what no question changes: the lines without matched values, and the text of all of them."""
+        cols = F.transform(t["columns"], lambda c: c.withField("quiet", line(c, none, F.lit(True))).withField("loud", line(c, none, F.lit(False))))
+        plain = body(t, cols, F.transform(cols, lambda c: F.when(c["silent"], c["quiet"]).otherwise(c["loud"])))
+        ids = F.transform(cols, lambda c: c["column_id"])
+        return F.struct(t["table_id"].alias("table_id"), t["ident"].alias("ident"), cols.alias("columns"), ids.alias("ids"), plain.alias("plain"))
+
+    # one row per database
     tree = _schema_tree(cat_tables, cat_columns, cat_keys, cat_values, reserved, comment)
+    tree = pinned(tree, _prepared=F.transform("tables", prepared)).select("db_id", F.col("_prepared").alias("tables"))
     if training:
-        tree = tree.join(_schema_arrays(cat_columns, cat_keys), "db_id")
-        asked = questions.select("question_id", "db_id", F.lower("sql").alias("_sql")).join(tree, "db_id")
-        asked = _choose_columns(asked, seed, cap)
-        asked = pinned(asked, _shown=F.transform("_chosen", lambda c: c["column_id"])).drop("_chosen", "cols", "_sql")
+        tree = _on_database(tree, _schema_arrays(cat_columns, cat_keys))
+        asked = questions.select("question_id", "db_id", F.lower("sql").alias("_sql"))
     else:
-        asked = questions.select("question_id", "db_id").join(tree, "db_id").withColumn("_shown", F.lit(None).cast("array<int>"))
+        asked = questions.select("question_id", "db_id")
+    # matches meet the bare questions, so that no shuffle carries the catalog of a question
     if matches is not None:
         per_column = matches.groupBy("question_id", "column_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda m: m["value"]).alias("values")
@@ -638,30 +674,31 @@ def question_schemas(
         asked = asked.join(found, "question_id", "left")
     else:
         asked = asked.withColumn("_found", F.lit(None).cast("map<int, array<string>>"))
+    asked = _on_database(asked, tree)
+    if training:
+        asked = _choose_columns(asked, seed, cap)
+        asked = pinned(asked, _shown=F.transform("_chosen", lambda c: c["column_id"])).drop("_chosen", "cols", "_sql")
+    else:
+        asked = asked.withColumn("_shown", F.lit(None).cast("array<int>"))
     question = F.col("question_id").cast("string")
-    none = F.array().cast("array<string>")
 
     def written(c: Column, share: Column) -> Column:
-        """The line of a column."""
-        values = F.slice(F.array_distinct(F.concat(F.coalesce(F.try_element_at("_found", c["column_id"]), none), c["samples"])), 1, limit)
-        shown = F.transform(values, lambda v: F.when(c["number"], v).otherwise(_quoted_value(v)))
-        example = F.concat(F.lit("example: ["), F.array_join(shown, ", "), F.lit("]"))
-        some = F.size(values) > 0
+        """The line of a column as the question needs it."""
         if hide_comments:
             silent = _below(_draw(seed, question, F.lit("comment"), c["column_id"].cast("string")), 1000) >= share * 100
         else:
             silent = c["silent"]
-        quiet = F.when(some, F.concat(F.lit(" -- "), example)).otherwise("")
-        return F.concat(c["head"], F.when(silent, quiet).otherwise(F.concat(F.lit(" -- "), c["comment"], F.when(some, F.concat(F.lit(", "), example)).otherwise(""))))
+        matched = F.try_element_at("_found", c["column_id"])
+        plain = F.when(silent, c["quiet"]).otherwise(c["loud"])
+        return F.when(matched.isNull(), plain).otherwise(line(c, matched, silent))
 
     def table_text(t: Column) -> Column:
         share = _below(_draw(seed, question, F.lit("share of"), t["table_id"].cast("string")), 11)
         cols = F.filter(t["columns"], lambda c: F.coalesce(F.array_contains("_shown", c["column_id"]), F.lit(True)))
-        keyed = F.transform(F.filter(cols, lambda c: c["pk"]), lambda c: c["ident"])
-        pk = F.when(F.size(keyed) > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join(keyed, ", "), F.lit("),")))).otherwise(none)
-        lines = F.concat(F.transform(cols, lambda c: written(c, share)), pk, F.flatten(F.transform(cols, lambda c: c["fks"])))
-        body = F.regexp_replace(F.array_join(lines, "\n"), ",$", "")
-        text = F.concat(F.lit("CREATE TABLE "), t["ident"], F.lit(" (\n"), body, F.lit("\n);"))
+        text = body(t, cols, F.transform(cols, lambda c: written(c, share)))
+        if not training and not hide_comments:
+            matched = F.coalesce(F.arrays_overlap(F.map_keys("_found"), t["ids"]), F.lit(False))
+            text = F.when(matched, text).otherwise(t["plain"])
         order = _draw(seed, question, F.lit("table"), t["table_id"].cast("string")) if training else F.lit("")
         return F.struct(order.alias("order"), t["table_id"].alias("table_id"), F.when(F.size(cols) > 0, text).alias("text"))
 

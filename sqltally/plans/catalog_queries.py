@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sqltally.functions.once import pinned
 from sqltally.operators import catalog, prep
 from sqltally.plans.registry import query
 from sqltally.plans.views import SQL_LOG, sql_log, table
@@ -378,7 +379,8 @@ def _question_schemas(spark, sf, **how):
     cat_tables, _ = catalog.build_catalog(spark, tables)
     questions = sql_log(spark, sf).select(F.col("o_orderkey").alias("question_id"), F.lit("db").alias("db_id"), "sql")
     stored = catalog.picklist(table(spark, sf, "orders"), "o_orderpriority")
-    stored = stored.select(F.xxhash64("value").alias("value_id"), F.lit("o_orderpriority").alias("column"), "value")
+    # pinned: a literal would be folded out of the join with the catalog and leave a product that matches anew for each of its parts
+    stored = pinned(stored.select(F.xxhash64("value").alias("value_id"), "value"), column=F.lit("o_orderpriority"))
     found = prep.match_values(questions.withColumnRenamed("sql", "question"), stored)
     matches = found.join(columns.select("column_id", F.col("column_name").alias("column")), "column").select("question_id", "column_id", "rank", "value")
     values = catalog.sample_values(catalog.lowest_values(tables, 3), 3)
