@@ -514,10 +514,19 @@ def _on_database(questions: DataFrame, schema: DataFrame) -> DataFrame:
     """Every question with the row of its database.
 
     The key is pinned on both sides: a database that is a literal would be folded out of the condition, and the
-    join become a product that computes the catalog again for every part of the questions.
+    join become a product that computes the catalog again for every part of the questions.  The row is metadata
+    and goes to the questions: dealt by the key, all questions of a database would meet in one task.
     """
     left = pinned(questions, _db=F.col("db_id"))
-    return left.join(pinned(schema, _db=F.col("db_id")).drop("db_id"), "_db").drop("_db")
+    return left.join(F.broadcast(pinned(schema, _db=F.col("db_id")).drop("db_id")), "_db").drop("_db")
+
+
+def _dealt(questions: DataFrame) -> DataFrame:
+    """Questions over all shuffle partitions: their rows are small, but each is widened to the text of a database.
+
+    The number is named, as small rows would be put together into a few tasks otherwise.
+    """
+    return questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
 
 
 def _choose_columns(joined: DataFrame, seed: int, cap: int) -> DataFrame:
@@ -552,7 +561,7 @@ def training_columns(
     """
     # the catalog of a database as one array: every question reads it in place
     schema = _schema_arrays(cat_columns, cat_keys)
-    joined = _on_database(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")), schema)
+    joined = _on_database(_dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql"))), schema)
     chosen = _choose_columns(joined, seed, cap).select("question_id", F.explode("_chosen").alias("c"))
     return chosen.select("question_id", "c.column_id", (~F.col("c.spare")).alias("needed"))
 
@@ -662,9 +671,9 @@ def question_schemas(
     tree = pinned(tree, _prepared=F.transform("tables", prepared)).select("db_id", F.col("_prepared").alias("tables"))
     if training:
         tree = _on_database(tree, _schema_arrays(cat_columns, cat_keys))
-        asked = questions.select("question_id", "db_id", F.lower("sql").alias("_sql"))
+        asked = _dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")))
     else:
-        asked = questions.select("question_id", "db_id")
+        asked = _dealt(questions.select("question_id", "db_id"))
     # matches meet the bare questions, so that no shuffle carries the catalog of a question
     if matches is not None:
         per_column = matches.groupBy("question_id", "column_id").agg(

@@ -32,3 +32,10 @@ def test_texts_with_and_without_matched_values(spark):
         "CREATE TABLE u (\n    u_id bigint,\n    CONSTRAINT fk_u_u_id FOREIGN KEY (u_id) REFERENCES t (t_id)\n);"
     )
     assert got == {k: text.format("'y', 'z', 'x'" if k == 1 else "'x', 'y'") for k in range(4)}
+
+
+def test_questions_of_one_database_do_not_meet_in_one_task(spark):
+    for training in (False, True):
+        many = made(spark, training)
+        assert "hashpartitioning(_db" not in plan(many)
+        assert many.select(F.spark_partition_id().alias("p")).distinct().count() > 1
