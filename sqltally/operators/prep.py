@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sqltally.functions.once import pinned
 from sqltally.functions.text import outside_quotes
@@ -277,15 +280,14 @@ def retrieval_rows(queries: DataFrame, values: DataFrame, k: int = 10, k1: float
     return asked.agg(F.sum("df").alias("all_rows"), F.sum(F.when(F.col("essential"), F.col("df"))).alias("joined_rows"))
 
 
-#: gram lengths used to index text: for values with a core, and for short values without one
+#: gram lengths used to index text for values with a core
 CORE_GRAMS = (1, 2, 4, 8, 16)
-SHORT_GRAMS = tuple(range(1, 9))
 
 
-def _gram_size(room: Column, sizes: Sequence[int] = CORE_GRAMS) -> Column:
-    """The largest of ``sizes`` that fits."""
+def _gram_size(room: Column) -> Column:
+    """The largest gram length that fits."""
     size = F.lit(None).cast("int")
-    for g in sizes:
+    for g in CORE_GRAMS:
         size = F.when(room >= g, g).otherwise(size)
     return size
 
@@ -295,30 +297,112 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _block_pairs(asked: DataFrame, values: DataFrame, every: Column | None = None) -> DataFrame:
+#: Bits of the hash by which a table of flags tells whether any value may have a gram.
+FLAG_BITS = 22
+#: Hits handed on at once by a task.
+HITS_AT_ONCE = 100_000
+
+
+def _rolled(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes from one to ``most`` that fit, each with a hash of the gram at every place."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    h = codes
+    for size in range(1, min(most, len(codes)) + 1):
+        if size > 1:
+            h = h[:-1] * np.uint64(0x100000001B3) + codes[size - 1 :]
+        yield size, h
+
+
+def _flag(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FLAG_BITS)
+
+
+@F.pandas_udf(T.IntegerType())
+def _gram_flag(grams: pd.Series) -> pd.Series:
+    last = (list(_rolled(g, len(g)))[-1][1] for g in grams)
+    return pd.Series([int(_flag(h)[0]) for h in last], dtype="int32")
+
+
+def _gram_hits(asked: DataFrame, keys: DataFrame, beyond: int = 0) -> DataFrame:
+    """``(question_id, asked_hash, gram, at, near)``: grams of ``keys`` in each ``low_q``, at their first places (from 1).
+
+    A text is rolled through once per gram size.  Flags of the hashes of all keys, 2 ** FLAG_BITS at most, drop nearly
+    all other grams in place; the join by the gram itself decides.  With ``beyond``, ``near`` is ``question`` from the
+    character before the gram to as many after it.
+    """
+    known = keys.select(F.length("gram").alias("size"), _gram_flag("gram").alias("flag")).distinct().toArrow()
+    sizes = frozenset(known["size"].to_pylist())
+    wanted = np.zeros(1 << FLAG_BITS, bool)
+    wanted[known["flag"].to_numpy()] = True
+    packed, most = np.packbits(wanted), max(sizes, default=0)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(packed).astype(bool)
+        rows: list[tuple] = []
+        for b in batches:
+            shown = b["question"] if beyond else b["low_q"]
+            for key, mark, low, text in zip(b["question_id"], b["asked_hash"], b["low_q"], shown):
+                if not low.is_valid or not key.is_valid:
+                    continue
+                key, mark, low, text = key.as_py(), mark.as_py(), low.as_py(), text.as_py()
+                for size, h in _rolled(low, most):
+                    if size in sizes:
+                        places = np.flatnonzero(flags[_flag(h)])
+                        first = places[np.unique(h[places], return_index=True)[1]]
+                        rows += [(key, mark, low[i : i + size], i + 1, text[max(i - 1, 0) : i + size + beyond] if beyond else None) for i in first.tolist()]
+                if len(rows) >= HITS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    names = ["question_id", "asked_hash", "gram", "at", "near"]
+    key_type = asked.schema["question_id"].dataType
+    kinds = [to_arrow_type(key_type), pa.int64(), pa.string(), pa.int32(), pa.string()]
+    read = asked.select("question_id", F.xxhash64("low_q").alias("asked_hash"), "low_q", *["question"] * bool(beyond))
+    hits = read.mapInArrow(found, f"question_id {key_type.simpleString()}, asked_hash long, gram string, at int, near string")
+    return hits.join(keys, "gram")
+
+
+def _block_pairs(asked: DataFrame, values: DataFrame) -> DataFrame:
     """Candidate (question_id, value_id) pairs by a shared gram of the value's ``core``.
 
     A match must contain the whole core, hence each of its grams; one of them (the smallest by
-    hash) is the value's only join key.  Values flagged by ``every`` have no such core: any one of
-    their grams may be the shared one, so all are keys.  The texts are read once.
+    hash) is the value's only join key.  The texts are read once.
     """
     grams = F.lit(None).cast("array<string>")
-    for g in sorted({*CORE_GRAMS, *SHORT_GRAMS}):
+    for g in CORE_GRAMS:
         grams = F.when(F.col("q") == g, _grams(F.col("core"), g)).otherwise(grams)
     listed = pinned(values.where("q IS NOT NULL"), _all=grams)
     least = F.array_min(F.transform("_all", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    chosen = F.array(least["g"])
-    if every is not None:
-        chosen = F.when(every, F.col("_all")).otherwise(chosen)
-    keys = listed.select("value_id", F.explode(chosen).alias("gram"))
-    # gram sizes in use (nine at most)
-    sizes = [r["q"] for r in values.select("q").distinct().where("q IS NOT NULL").collect()]
-    if not sizes:
-        return asked.sparkSession.createDataFrame([], "question_id long, value_id long")
-    found = asked.select(
-        "question_id", F.explode(F.concat(*[_grams(F.col("low_q"), q) for q in sizes])).alias("gram")
-    )
-    return found.join(keys, "gram").select("question_id", "value_id").distinct()
+    keys = listed.select("value_id", least["g"].alias("gram"))
+    return _gram_hits(asked, keys).select("question_id", "value_id").distinct()
+
+
+def _round_core(df: DataFrame) -> DataFrame:
+    """``df`` with ``_near``: what of ``low_q`` may hold a shared substring of ``need`` characters of ``low``.
+
+    Such a substring contains the whole core, so the text is cut at the occurrences of the core from left to right;
+    one that overlaps an earlier one ends at most the length of the core after it.  Of what lies between, only the ends
+    within reach are kept, with a character between them that the value does not have.
+    """
+    reach = F.length("low") - F.col("need")
+    after = F.length("core") + reach
+    quoted = F.concat(F.lit(r"\Q"), F.replace("core", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    absent = lambda c: F.when(~F.contains("low", F.lit(c)), F.lit(c))
+    # the value itself is all there is to find where it stands as a whole
+    parts = F.when(~F.contains("low_q", F.col("low")), F.split("low_q", quoted, -1))
+    cut = pinned(df, _parts=parts, _gap=F.coalesce(*[absent(chr(c)) for c in (0, 1, 2)]))
+
+    def ends(part: Column, i: Column) -> Column:
+        last = i == F.size("_parts") - 1
+        between = F.concat(F.left(part, after), F.col("_gap"), F.right(part, reach))
+        kept = F.when(F.col("_gap").isNull(), part).when(i == 0, F.right(part, reach)).when(last, F.left(part, after))
+        kept = kept.when(F.length(part) > after + reach, between).otherwise(part)
+        return F.concat(kept, F.when(last, "").otherwise(F.col("core")))
+
+    near = F.when(F.col("_parts").isNull(), F.col("low")).otherwise(F.array_join(F.transform("_parts", ends), ""))
+    return pinned(cut, _near=near).drop("_parts", "_gap")
 
 
 def _longest_shared(value: Column, text: Column, least: Column) -> Column:
@@ -361,13 +445,13 @@ def match_values(
         "question_id", F.lower("question").alias("low_q")
     )
     pairs = _block_pairs(asked, cored)
-    size = _longest_shared(F.col("low"), F.col("low_q"), F.col("need"))
     scored = (
         pairs.join(cored.select("value_id", "column", "value", "low", "need", "core"), "value_id")
         .join(asked, "question_id")
         .where(F.contains("low_q", F.col("core")))
     )
-    scored = pinned(scored, _size=size).where("_size > 0").withColumn(
+    size = _longest_shared(F.col("low"), F.col("_near"), F.col("need"))
+    scored = pinned(_round_core(scored), _size=size).where("_size > 0").withColumn(
         "score", F.col("_size") / F.length("low")
     )
     w = Window.partitionBy("question_id").orderBy(
@@ -485,35 +569,49 @@ def fuzzy_link(
     ).cast("int")
     trimmed = values.withColumn("low", F.lower(F.trim("value"))).where("low != ''")
     sized = trimmed.withColumn("need", need)
-    # a block of at least `need` covers the middle when 2 * need > n; shorter values use any gram
+    # a block of at least `need` covers the middle when 2 * need > n
     mid = 2 * F.col("need") - n
     has_core = mid >= 4
-    cored = sized.withColumn(
-        "core", F.when(has_core, F.substring("low", n - F.col("need") + 1, mid)).otherwise(F.col("low"))
-    ).withColumn("q", F.when(has_core, _gram_size(mid)).otherwise(_gram_size(F.col("need"), SHORT_GRAMS)))
+    cored = sized.withColumn("core", F.substring("low", n - F.col("need") + 1, mid)).withColumn("q", _gram_size(mid))
     spread = questions.repartition("question_id")
     asked = spread.select("question_id", F.trim("question").alias("question")).withColumn(
         "low_q", F.lower("question")
     )
-    pairs = _block_pairs(asked, cored, every=~has_core)
-    text = F.col("low_q")
+    pairs = _block_pairs(asked, cored.where(has_core))
     found = (
-        pairs.join(cored.select("value_id", "column", "value", "low", "need", "core"), "value_id")
+        pairs.join(cored.where(has_core).select("value_id", "column", "value", "low", "need", "core"), "value_id")
         .join(asked, "question_id")
-        .where(~has_core | F.contains("low_q", F.col("core")))
+        .where(F.contains("low_q", F.col("core")))
     )
-    found = pinned(found, size=_longest_shared(F.col("low"), text, F.col("need"))).where("size > 0")
+    found = pinned(_round_core(found), size=_longest_shared(F.col("low"), F.col("_near"), F.col("need"))).where("size > 0")
     # earliest block in the question, then in the value
     spots = F.transform(
         F.sequence(F.lit(1), n - F.col("size") + 1),
         lambda s: F.struct(
-            F.position(F.substring("low", s, F.col("size")), text).alias("at"), s.alias("s")
+            F.position(F.substring("low", s, F.col("size")), F.col("low_q")).alias("at"), s.alias("s")
         ),
     )
     best = F.array_min(F.filter(spots, lambda p: p["at"] > 0))
-    placed = pinned(found, best=best).withColumn("block", F.substring(F.trim("value"), F.col("best.s"), F.col("size")))
-    placed = pinned(placed, span=word_span(F.col("question"), F.col("best.at"), F.col("size")))
+    placed = pinned(found, best=best).select("question_id", "value_id", "column", "value", "size", "best.at", "best.s", F.col("question").alias("near"))
+    # values without a core may share any of their substrings: all are looked up, so a hit is the block itself
+    short = cored.where(~has_core)
+    sizes = F.sequence("need", n)
+    parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.struct(F.substring("low", s, k).alias("gram"), s.alias("s")))))
+    keys = short.select("value_id", "column", "value", F.inline(parts))
+    hits = _gram_hits(asked, keys, beyond=BEYOND)
+    first = F.max(F.struct(F.length("gram").alias("size"), (-F.col("at")).alias("at"), (-F.col("s")).alias("s"), "near"))
+    blocks = hits.groupBy("question_id", "asked_hash", "value_id", "column", "value").agg(first.alias("b"))
+    at = F.when(F.col("b.at") == -1, 1).otherwise(2)
+    short_placed = blocks.select("question_id", "value_id", "column", "value", "b.size", at.alias("at"), (-F.col("b.s")).alias("s"), "b.near")
+    placed = placed.unionByName(short_placed)
+    placed = placed.withColumn("block", F.substring(F.trim("value"), F.col("s"), F.col("size")))
+    placed = pinned(placed, span=word_span(F.col("near"), F.col("at"), F.col("size")))
     allowed = placed.where(link_allowed(F.col("value"), F.col("block"), F.col("span")))
+    # similar texts begin alike and have similar lengths; the others need no comparison
+    low, src = F.lower(F.trim("value")), F.lower(F.trim("span"))
+    bare = [F.substr(F.ltrim(c, F.lit(SEPARATORS)), F.lit(1), F.lit(1)) for c in (low, src)]
+    close = 2 * F.least(F.length(low), F.length(src)) >= (theta - 1e-9) * (F.length(low) + F.length(src))
+    allowed = allowed.where((bare[0] == bare[1]) & close)
     scored = allowed.withColumn("score", link_score(F.col("value"), F.col("block"), F.col("span"))).where(F.col("score") >= theta)
     # name columns take exact matches only; one value per block text
     scored = scored.where(~(F.contains("column", F.lit("name")) & (F.col("score") < 1)))
