@@ -33,6 +33,14 @@ def heavy_hashes(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return [r["h"] for r in counted.where(F.col("n") >= heavy_floor(df)).select("h").collect()]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions by ``keys``, for rows that are small but cost much.
+
+    The number is named: Spark would put small rows together into a few tasks otherwise.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

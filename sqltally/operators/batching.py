@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sqltally.functions.differencing import EXACT_ROWS, best_split, difference, split
 from sqltally.functions.ordering import with_rank
-from sqltally.functions.skew import salted_join
+from sqltally.functions.skew import dealt, salted_join
 
 
 def size_of(df: DataFrame) -> Column:
@@ -141,11 +141,12 @@ def minibatches(
     """``epoch``, ``position`` and ``batch`` of a seeded shuffle per epoch; the incomplete last batch is dropped.
 
     ``key`` counts the rows from 0.  Every epoch is a projection: a row finds its position by
-    ``shuffled_place``, without sorting or moving anything.
+    ``shuffled_place``, without sorting anything.  The rows are dealt over all tasks before: counted rows come in few
+    large ranges, and the rounds of all epochs are the work.
     """
     keys = F.array(*[F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in shuffle_keys(seed, e)]) for e in range(epochs)])
     total = size_of(df)
-    each = df.withColumn("_n", total).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    each = dealt(df, key).withColumn("_n", total).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     placed = each.withColumn("position", shuffled_place(F.col(key), F.col("_n"), F.get(keys, F.col("epoch"))))
     return placed.withColumn("batch", F.floor(F.col("position") / size)).where(F.col("batch") < F.floor(F.col("_n") / size)).drop("_n")
 

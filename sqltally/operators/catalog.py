@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.once import pinned
+from sqltally.functions.skew import dealt
 
 #: Spark type -> declared SQL type name
 DECLARED = {
@@ -521,14 +522,6 @@ def _on_database(questions: DataFrame, schema: DataFrame) -> DataFrame:
     return left.join(F.broadcast(pinned(schema, _db=F.col("db_id")).drop("db_id")), "_db").drop("_db")
 
 
-def _dealt(questions: DataFrame) -> DataFrame:
-    """Questions over all shuffle partitions: their rows are small, but each is widened to the text of a database.
-
-    The number is named, as small rows would be put together into a few tasks otherwise.
-    """
-    return questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
-
-
 def _choose_columns(joined: DataFrame, seed: int, cap: int) -> DataFrame:
     """``joined`` with ``_chosen``, an array of (spare, h, column_id): the columns shown for its question."""
     question = F.col("question_id").cast("string")
@@ -561,7 +554,7 @@ def training_columns(
     """
     # the catalog of a database as one array: every question reads it in place
     schema = _schema_arrays(cat_columns, cat_keys)
-    joined = _on_database(_dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql"))), schema)
+    joined = _on_database(dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")), "question_id"), schema)
     chosen = _choose_columns(joined, seed, cap).select("question_id", F.explode("_chosen").alias("c"))
     return chosen.select("question_id", "c.column_id", (~F.col("c.spare")).alias("needed"))
 
@@ -671,9 +664,9 @@ def question_schemas(
     tree = pinned(tree, _prepared=F.transform("tables", prepared)).select("db_id", F.col("_prepared").alias("tables"))
     if training:
         tree = _on_database(tree, _schema_arrays(cat_columns, cat_keys))
-        asked = _dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")))
+        asked = dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")), "question_id")
     else:
-        asked = _dealt(questions.select("question_id", "db_id"))
+        asked = dealt(questions.select("question_id", "db_id"), "question_id")
     # matches meet the bare questions, so that no shuffle carries the catalog of a question
     if matches is not None:
         per_column = matches.groupBy("question_id", "column_id").agg(

@@ -28,3 +28,9 @@ def test_shuffles_mix_and_differ(spark):
         related = sum((k - mean) * (p - mean) for k, p in enumerate(places)) / sum((k - mean) ** 2 for k in range(n))
         assert abs(related) < 0.05
     assert sum(wide[0, k] == wide[1, k] for k in range(n)) < 20
+
+
+def test_rounds_run_in_many_tasks(spark):
+    df = spark.range(2000).withColumnRenamed("id", "ordinal").coalesce(1)
+    parts = batching.minibatches(df, 10, 3, seed=5).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 4 and max(p["count"] for p in parts) < 3000
