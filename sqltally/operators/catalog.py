@@ -40,6 +40,8 @@ TYPE_RULES = (
 
 #: Values longer than this are counted by digest.
 DIGEST_OVER = 64
+#: Rows of a batch that are looked through at once for the lowest values.
+ROWS_AT_ONCE = 256
 
 
 def build_catalog(
@@ -146,8 +148,9 @@ def _smallest(cols: Sequence[str], n: int, blanks: bool) -> Callable[[Iterator[p
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = {c: pa.array([], pa.string()) for c in cols}
         empty = set()
-        for b in batches:
-            for c, column in zip(cols, b.columns):
+        # a part of a batch at a time, so that no copies of a whole column of long texts are made
+        for part in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+            for c, column in zip(cols, part.columns):
                 if column.null_count:
                     empty.add(c)
                 values = column.drop_null().cast(pa.string())
