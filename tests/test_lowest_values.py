@@ -8,7 +8,7 @@ from sqltally.operators.catalog import _smallest
 def test_a_batch_of_long_texts_is_not_copied():
     texts = [f"{(k * 7919) % 4001:05d}" + "x" * 10_000 for k in range(4000)] + [None, ""]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
-    plain, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    plain, pool = pa.default_memory_pool(), pa.system_memory_pool()
     pa.set_memory_pool(pool)
     try:
         (got,) = _smallest(["t"], 3, True)(iter([batch]))
