@@ -304,12 +304,22 @@ def main_scope(components: DataFrame) -> DataFrame:
     return components.where(F.coalesce(F.col("scope"), F.lit("main")) == "main")
 
 
+#: Component rows that are scored in one task.
+TASK_ROWS = 50_000
+
+
+def _in_tasks(df: DataFrame) -> int:
+    """Tasks for the rows of ``df``, so that the groups and sorts of one task stay as large on any input."""
+    return max(1, -(-df.count() // TASK_ROWS))
+
+
 def component_scores(components: DataFrame, questions: DataFrame) -> DataFrame:
     """Label/pred/hit per question for every component of the main query, set operations included.
 
     Components of nested scopes count as set operations (``IUEN``) and nowhere else.
     """
-    flat = _flat_scores(main_scope(components), questions)
+    tasks = _in_tasks(components)
+    flat = _flat_scores(main_scope(components).repartition(tasks, "question_id"), questions.repartition(tasks, "question_id"))
     zero = F.lit(0).cast("long")
     if "scope" not in components.columns:
         none = questions.select("question_id", F.lit("IUEN").alias("component"), zero.alias("label_n"), zero.alias("pred_n"), zero.alias("hit"))
@@ -405,20 +415,20 @@ def nested_match(components: DataFrame, scopes: Sequence[str] = ("intersect", "e
     """
     nested = components.where(F.forall(F.split("scope", "/"), lambda part: part.isin(*scopes)))
     ids = F.struct("question_id", "scope")
-    sides = nested.groupBy("question_id", "scope").agg(
-        F.max((F.col("side") == "gold").cast("int")).alias("label_n"),
-        F.max((F.col("side") == "pred").cast("int")).alias("pred_n"),
-    )
+    # dealt once: all groups and joins of the scores are by this key
     keyed = nested.select(
         ids.alias("question_id"), "side", "clause", "pos", "item", "item_no_agg"
+    ).repartition(_in_tasks(nested), "question_id")
+    sides = keyed.groupBy("question_id").agg(
+        F.max((F.col("side") == "gold").cast("int")).alias("label_n"),
+        F.max((F.col("side") == "pred").cast("int")).alias("pred_n"),
     )
     scored = _flat_scores(keyed, keyed.select("question_id").distinct())
     _, exact = exact_match(scored, keyed.where(F.col("clause") == "table"))
-    exact = exact.select("question_id.question_id", "question_id.scope", "exact")
     own = (F.col("label_n") == 1) & (F.col("pred_n") == 1) & (F.coalesce("exact", F.lit(0)) == 1)
     return (
-        sides.join(exact, ["question_id", "scope"], "left")
-        .groupBy("question_id", F.split_part("scope", F.lit("/"), F.lit(1)).alias("_root"))
+        sides.join(exact, "question_id", "left")
+        .groupBy("question_id.question_id", F.split_part("question_id.scope", F.lit("/"), F.lit(1)).alias("_root"))
         .agg(F.max("label_n").alias("label_n"), F.max("pred_n").alias("pred_n"), F.bool_and(own).cast("int").alias("hit"))
         .groupBy("question_id")
         .agg(F.sum("label_n").alias("label_n"), F.sum("pred_n").alias("pred_n"), F.sum("hit").alias("hit"))
