@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from sqltally.llm.common import cut_lineage, raw_text, text_key
+from sqltally.llm.common import cut_lineage, raw_text, tasks_for, text_key
 
 SECOND_PERSON = frozenset(
     w.encode()
@@ -30,6 +30,8 @@ SECOND_PERSON = frozenset(
 )
 #: Hits this many words from a second-person word count as aimed at the reader.
 REACH = 5
+#: Sampled rows of one task of the trees, which are grown in many short rounds: trees times depth.
+ROUND_ROWS = 4_000
 FEATURES = (
     "hit_rate", "hits", "distinct_hits", "weight_rate", "top_weight", "disguised_rate", "disguised", "mask_rate",
     "second_person_rate", "aimed_share", "capital_share", "punctuation_share", "shout_share", "digit_share", "symbol_share", "words",
@@ -142,7 +144,10 @@ class Model:
         self.lexicon = learn_lexicon(sample)
         rows = cut_lineage(with_features(sample, self.lexicon)).withColumn("label", F.col("label").cast("double"))
         rows = rows.withColumn("vector", array_to_vector("features"))
-        self.rate = rows.agg(F.avg("label")).first()[0] or 0.0
+        rate, count = rows.agg(F.avg("label"), F.count(F.lit(1))).first()
+        self.rate = rate or 0.0
+        # every round runs as many tasks as there are partitions, so these follow the rows and not the shuffle
+        rows = rows.coalesce(tasks_for(count, ROUND_ROWS))
         fit, held = rows.where("part > 0"), rows.where("part = 0")
         if fit.select("label").distinct().count() < 2 or held.select("label").distinct().count() < 2:
             return
