@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sqltally.functions.lineage import cut_lineage
 from sqltally.functions.once import pinned
+from sqltally.functions.schema_text import schema_texts
 from sqltally.functions.skew import dealt
 
 #: Spark type -> declared SQL type name
@@ -40,8 +41,9 @@ TYPE_RULES = (
 
 #: Values longer than this are counted by digest.
 DIGEST_OVER = 64
-#: Rows of a batch that are looked through at once for the lowest values.
+#: Rows of a batch that are looked through at once for the lowest values, or more as long as they are no more than so many bytes.
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 20
 
 
 def build_catalog(
@@ -79,6 +81,11 @@ def normalize_types(cat_columns: DataFrame) -> DataFrame:
     return cat_columns.withColumn("kind", kind.otherwise("others"))
 
 
+def _whole(df: DataFrame) -> set[str]:
+    """Columns of whole numbers, whose text is the same in Spark and Arrow and different for different numbers."""
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))}
+
+
 def _atomic(df: DataFrame) -> list[str]:
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
@@ -115,16 +122,31 @@ def distinct_values(
 ) -> DataFrame:
     """``(table_name, column_name, value, n)`` over all plain columns, values as text.
 
-    One scan per table; equal values are combined before the shuffle.  With ``digests`` a mark and the SHA-256
-    stand for a value of more than DIGEST_OVER characters that is no number, for uses that only count or tell
-    kinds apart.
+    One scan per table and kind; equal values are combined before the shuffle, whole numbers as numbers with the
+    place of their column in a list.  With ``digests`` a mark and the SHA-256 stand for a value of more than
+    DIGEST_OVER characters that is no number, for uses that only count or tell kinds apart.
     """
-    long = long_values(tables, columns)
-    if digests:
-        whole = (F.length("value") <= DIGEST_OVER) | F.col("value").rlike(NUMBER)
-        short = F.when(whole, F.col("value")).otherwise(F.concat(F.lit("~"), F.sha2("value", 256)))
-        long = long.withColumn("value", short)
-    return long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    read = {name: [c for c in _atomic(df) if columns is None or c in columns] for name, df in tables.items()}
+    others = {name: df.drop(*_whole(df)) for name, df in tables.items()}
+    parts = []
+    if any(_atomic(df) and (columns is None or set(_atomic(df)) & set(columns)) for df in others.values()):
+        long = long_values(others, columns)
+        if digests:
+            whole = (F.length("value") <= DIGEST_OVER) | F.col("value").rlike(NUMBER)
+            short = F.when(whole, F.col("value")).otherwise(F.concat(F.lit("~"), F.sha2("value", 256)))
+            long = long.withColumn("value", short)
+        parts.append(long.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    numbers = [(name, c) for name, cols in read.items() for c in cols if c in _whole(tables[name])]
+    if numbers:
+        cells = []
+        for name, df in tables.items():
+            own = [(F.lit(i + 1), F.col(f"`{c}`").cast("long")) for i, (t, c) in enumerate(numbers) if t == name]
+            if own:
+                cells.append(df.select(F.stack(F.lit(len(own)), *[x for pair in own for x in pair]).alias("at", "value")))
+        counted = reduce(DataFrame.unionByName, cells).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+        named = (F.element_at(F.array(*[F.lit(x) for x in names]), F.col("at")) for names in zip(*numbers))
+        parts.append(counted.select(*[x.alias(c) for x, c in zip(named, ("table_name", "column_name"))], F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lowest_values(tables: Mapping[str, DataFrame], n: int, blanks: bool = False) -> DataFrame:
@@ -138,7 +160,8 @@ def lowest_values(tables: Mapping[str, DataFrame], n: int, blanks: bool = False)
     for name, df in tables.items():
         cols = _atomic(df)
         if cols:
-            text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+            # whole numbers become text in Arrow
+            text = df.select(*[F.col(f"`{c}`") if c in _whole(df) else F.col(f"`{c}`").cast("string").alias(c) for c in cols])
             found = text.mapInArrow(_smallest(cols, n, blanks), "column_name string, value string")
             parts.append(found.select(F.lit(name).alias("table_name"), "column_name", "value"))
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -149,7 +172,8 @@ def _smallest(cols: Sequence[str], n: int, blanks: bool) -> Callable[[Iterator[p
         least = {c: pa.array([], pa.string()) for c in cols}
         empty = set()
         # a part of a batch at a time, so that no copies of a whole column of long texts are made
-        for part in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+        steps = ((b, max(ROWS_AT_ONCE, BYTES_AT_ONCE * b.num_rows // (b.nbytes + 1))) for b in batches)
+        for part in (b.slice(at, step) for b, step in steps for at in range(0, b.num_rows, step)):
             for c, column in zip(cols, part.columns):
                 if column.null_count:
                     empty.add(c)
@@ -633,83 +657,26 @@ def question_schemas(
     value)`` before the sampled ones.  With ``hide_comments`` each table draws a share of 0 %..100 % per
     question, and that share of its columns shows the comment; else it shows unless it repeats the name.
 
-    The catalog is one nested value per database and is written out in place, so a question's row carries
-    its own text and the columns chosen for it, never a row per catalog column.  Every draw is an md5 of seed,
-    question and item.
+    The catalog is metadata: one nested value per database goes to the tasks, which write the texts of an Arrow
+    batch at once, so a question's row carries its own text, never a row per catalog column.  Every draw is an
+    md5 of seed, question and item.
     """
-    none = F.array().cast("array<string>")
-
-    def line(c: Column, found: Column, silent: Column) -> Column:
-        """The line of a column, with the values ``found`` for it first."""
-        values = F.slice(F.array_distinct(F.concat(found, c["samples"])), 1, limit)
-        shown = F.transform(values, lambda v: F.when(c["number"], v).otherwise(_quoted_value(v)))
-        example = F.concat(F.lit("example: ["), F.array_join(shown, ", "), F.lit("]"))
-        some = F.size(values) > 0
-        quiet = F.when(some, F.concat(F.lit(" -- "), example)).otherwise("")
-        return F.concat(c["head"], F.when(silent, quiet).otherwise(F.concat(F.lit(" -- "), c["comment"], F.when(some, F.concat(F.lit(", "), example)).otherwise(""))))
-
-    def body(t: Column, cols: Column, lines: Column) -> Column:
-        """The text of a table from the lines of its columns."""
-        keyed = F.transform(F.filter(cols, lambda c: c["pk"]), lambda c: c["ident"])
-        pk = F.when(F.size(keyed) > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join(keyed, ", "), F.lit("),")))).otherwise(none)
-        whole = F.array_join(F.concat(lines, pk, F.flatten(F.transform(cols, lambda c: c["fks"]))), "\n")
-        return F.concat(F.lit("CREATE TABLE "), t["ident"], F.lit(" (\n"), F.regexp_replace(whole, ",$", ""), F.lit("\n);"))
-
-    def prepared(t: Column) -> Column:
-        """A table with what no question changes: the lines without matched values, and the text of all of them."""
-        cols = F.transform(t["columns"], lambda c: c.withField("quiet", line(c, none, F.lit(True))).withField("loud", line(c, none, F.lit(False))))
-        plain = body(t, cols, F.transform(cols, lambda c: F.when(c["silent"], c["quiet"]).otherwise(c["loud"])))
-        ids = F.transform(cols, lambda c: c["column_id"])
-        return F.struct(t["table_id"].alias("table_id"), t["ident"].alias("ident"), cols.alias("columns"), ids.alias("ids"), plain.alias("plain"))
-
     # one row per database
     tree = _schema_tree(cat_tables, cat_columns, cat_keys, cat_values, reserved, comment)
-    tree = pinned(tree, _prepared=F.transform("tables", prepared)).select("db_id", F.col("_prepared").alias("tables"))
     if training:
         tree = _on_database(tree, _schema_arrays(cat_columns, cat_keys))
-        asked = dealt(questions.select("question_id", "db_id", F.lower("sql").alias("_sql")), "question_id")
-    else:
-        asked = dealt(questions.select("question_id", "db_id"), "question_id")
-    # matches meet the bare questions, so that no shuffle carries the catalog of a question
+    catalogs = {row["db_id"]: row for row in tree.toArrow().to_pylist()}
+    read = ["question_id", "db_id", F.col("question_id").cast("string").alias("_id"), *[F.lower("sql").alias("_sql")] * training]
+    asked = dealt(questions.select(*read), "question_id")
     if matches is not None:
         per_column = matches.groupBy("question_id", "column_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda m: m["value"]).alias("values")
         )
-        found = per_column.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("column_id", "values"))).alias("_found"))
+        found = per_column.groupBy("question_id").agg(F.collect_list(F.struct("column_id", "values")).alias("_found"))
         asked = asked.join(found, "question_id", "left")
-    else:
-        asked = asked.withColumn("_found", F.lit(None).cast("map<int, array<string>>"))
-    asked = _on_database(asked, tree)
-    if training:
-        asked = _choose_columns(asked, seed, cap)
-        asked = pinned(asked, _shown=F.transform("_chosen", lambda c: c["column_id"])).drop("_chosen", "cols", "_sql")
-    else:
-        asked = asked.withColumn("_shown", F.lit(None).cast("array<int>"))
-    question = F.col("question_id").cast("string")
-
-    def written(c: Column, share: Column) -> Column:
-        """The line of a column as the question needs it."""
-        if hide_comments:
-            silent = _below(_draw(seed, question, F.lit("comment"), c["column_id"].cast("string")), 1000) >= share * 100
-        else:
-            silent = c["silent"]
-        matched = F.try_element_at("_found", c["column_id"])
-        plain = F.when(silent, c["quiet"]).otherwise(c["loud"])
-        return F.when(matched.isNull(), plain).otherwise(line(c, matched, silent))
-
-    def table_text(t: Column) -> Column:
-        share = _below(_draw(seed, question, F.lit("share of"), t["table_id"].cast("string")), 11)
-        cols = F.filter(t["columns"], lambda c: F.coalesce(F.array_contains("_shown", c["column_id"]), F.lit(True)))
-        text = body(t, cols, F.transform(cols, lambda c: written(c, share)))
-        if not training and not hide_comments:
-            matched = F.coalesce(F.arrays_overlap(F.map_keys("_found"), t["ids"]), F.lit(False))
-            text = F.when(matched, text).otherwise(t["plain"])
-        order = _draw(seed, question, F.lit("table"), t["table_id"].cast("string")) if training else F.lit("")
-        return F.struct(order.alias("order"), t["table_id"].alias("table_id"), F.when(F.size(cols) > 0, text).alias("text"))
-
-    made = pinned(asked, _tables=F.transform("tables", table_text))
-    texts = F.transform(F.array_sort("_tables"), lambda t: t["text"])
-    return made.select("question_id", "db_id", F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n").alias("ddl"))
+    key = asked.schema["question_id"].dataType.simpleString()
+    write = schema_texts(catalogs, training, hide_comments, seed, cap, limit)
+    return asked.mapInArrow(write, f"question_id {key}, db_id string, ddl string")
 
 
 # fixed values: layout of the two schema-text styles

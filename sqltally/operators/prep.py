@@ -8,12 +8,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sqltally.functions.once import pinned
+from sqltally.functions.skew import dealt
 from sqltally.functions.text import outside_quotes
 
 # --- splits and records -------------------------------------------------------------------------
@@ -301,6 +303,8 @@ def _grams(text: Column, size: int) -> Column:
 FLAG_BITS = 22
 #: Hits handed on at once by a task.
 HITS_AT_ONCE = 100_000
+#: Characters of texts that are rolled through together.
+CHARS_AT_ONCE = 200_000
 
 
 def _rolled(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -326,7 +330,7 @@ def _gram_flag(grams: pd.Series) -> pd.Series:
 def _gram_hits(asked: DataFrame, keys: DataFrame, beyond: int = 0) -> DataFrame:
     """``(question_id, asked_hash, gram, at, near)``: grams of ``keys`` in each ``low_q``, at their first places (from 1).
 
-    A text is rolled through once per gram size.  Flags of the hashes of all keys, 2 ** FLAG_BITS at most, drop nearly
+    Texts are rolled through together, once per gram size.  Flags of the hashes of all keys, 2 ** FLAG_BITS at most, drop nearly
     all other grams in place; the join by the gram itself decides.  With ``beyond``, ``near`` is ``question`` from the
     character before the gram to as many after it.
     """
@@ -336,25 +340,47 @@ def _gram_hits(asked: DataFrame, keys: DataFrame, beyond: int = 0) -> DataFrame:
     wanted[known["flag"].to_numpy()] = True
     packed, most = np.packbits(wanted), max(sizes, default=0)
 
+    def hits_of(part: pa.RecordBatch, ends: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The hits in texts that end at ``ends`` when written one after another."""
+        text, starts = "".join(part["low_q"].to_pylist()), np.concatenate([[0], ends[:-1]])
+        shown = part["question"].to_pylist() if beyond else None
+        for size, h in _rolled(text, most):
+            if size not in sizes:
+                continue
+            places = np.flatnonzero(flags[_flag(h)])
+            rows = np.searchsorted(starts, places, side="right") - 1
+            inside = places + size <= ends[rows]  # not from one text into the next
+            places, rows = places[inside], rows[inside]
+            order = np.lexsort((h[places], rows))
+            places, rows = places[order], rows[order]
+            first = np.ones(len(places), bool)
+            first[1:] = (rows[1:] != rows[:-1]) | (h[places[1:]] != h[places[:-1]])
+            places, rows = places[first], rows[first]
+            at = places - starts[rows]
+            grams = [text[i : i + size] for i in places.tolist()]
+            near = [shown[r][max(i - 1, 0) : i + size + beyond] for r, i in zip(rows.tolist(), at.tolist())] if beyond else [None] * len(rows)
+            own = (pc.take(part[c], pa.array(rows)).cast(t) for c, t in zip(names, kinds[:2]))
+            yield pa.RecordBatch.from_arrays([*own, pa.array(grams, pa.string()), pa.array(at + 1, pa.int32()), pa.array(near, pa.string())], names)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(packed).astype(bool)
-        rows: list[tuple] = []
+        held, n_held = [], 0
         for b in batches:
-            shown = b["question"] if beyond else b["low_q"]
-            for key, mark, low, text in zip(b["question_id"], b["asked_hash"], b["low_q"], shown):
-                if not low.is_valid or not key.is_valid:
-                    continue
-                key, mark, low, text = key.as_py(), mark.as_py(), low.as_py(), text.as_py()
-                for size, h in _rolled(low, most):
-                    if size in sizes:
-                        places = np.flatnonzero(flags[_flag(h)])
-                        first = places[np.unique(h[places], return_index=True)[1]]
-                        rows += [(key, mark, low[i : i + size], i + 1, text[max(i - 1, 0) : i + size + beyond] if beyond else None) for i in first.tolist()]
-                if len(rows) >= HITS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            b = b.filter(pc.and_(pc.is_valid(b["question_id"]), pc.is_valid(b["low_q"])))
+            ends, at = np.cumsum(pc.utf8_length(b["low_q"]).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + CHARS_AT_ONCE, side="right")))
+                for hits in hits_of(b.slice(at, to - at), ends[at:to] - before, flags):
+                    if hits.num_rows:
+                        held.append(hits)
+                        n_held += hits.num_rows
+                    if n_held >= HITS_AT_ONCE:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, n_held = [], 0
+                at = to
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     names = ["question_id", "asked_hash", "gram", "at", "near"]
     key_type = asked.schema["question_id"].dataType
@@ -441,7 +467,7 @@ def match_values(
     )
     # lower case once, below the joins, so that the search loops do not repeat it; one shuffle of
     # the texts serves the gram index and the final check
-    asked = questions.repartition("question_id").select(
+    asked = dealt(questions, "question_id").select(
         "question_id", F.lower("question").alias("low_q")
     )
     pairs = _block_pairs(asked, cored)
