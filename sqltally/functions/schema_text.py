@@ -163,7 +163,7 @@ def _texts(catalog: Mapping[str, Any], asked: pa.RecordBatch, training: bool, hi
 
 
 def schema_texts(catalogs: Mapping[str, Mapping[str, Any]], training: bool, hide_comments: bool, seed: int, cap: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(question_id, db_id, ddl)`` from batches of ``question_id, db_id, _id`` (as text), ``_sql`` for training and ``_found``, if any."""
+    """``(question_id, db_id, ddl, n_chars)`` from batches of ``question_id, db_id, _id`` (as text), ``_sql`` for training and ``_found``, if any."""
     sizes = {db: sum(len(column_line(c, (), False, limit) or "") + sum(map(len, c["fks"])) + 40 for t in one["tables"] for c in t["columns"]) for db, one in catalogs.items()}
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +176,7 @@ def schema_texts(catalogs: Mapping[str, Mapping[str, Any]], training: bool, hide
                 step = max(1, TEXT_AT_ONCE // (sizes[db] + own + 1))
                 for part in (mine.slice(at, step) for at in range(0, mine.num_rows, step)):
                     ddl = _texts(catalogs[db], part, training, hide_comments, seed, cap, limit)
-                    yield pa.RecordBatch.from_arrays([part["question_id"], part["db_id"], ddl], ["question_id", "db_id", "ddl"])
+                    n_chars = pc.utf8_length(ddl).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([part["question_id"], part["db_id"], ddl, n_chars], ["question_id", "db_id", "ddl", "n_chars"])
 
     return written

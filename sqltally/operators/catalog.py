@@ -649,7 +649,7 @@ def question_schemas(
     comment: str = "display",
     hide_comments: bool = False,
 ) -> DataFrame:
-    """``(question_id, db_id, ddl)``: CREATE TABLE text of a question's database as the question needs it.
+    """``(question_id, db_id, ddl, n_chars)``: CREATE TABLE text of a question's database as the question needs it, and its length.
 
     For ``training`` a question (with its ``sql``) gets the columns of ``training_columns`` and its tables in
     seeded order; otherwise it gets all of them in order.  Tables without a column are left out.  Up to
@@ -676,7 +676,7 @@ def question_schemas(
         asked = asked.join(found, "question_id", "left")
     key = asked.schema["question_id"].dataType.simpleString()
     write = schema_texts(catalogs, training, hide_comments, seed, cap, limit)
-    return asked.mapInArrow(write, f"question_id {key}, db_id string, ddl string")
+    return asked.mapInArrow(write, f"question_id {key}, db_id string, ddl string, n_chars bigint")
 
 
 # fixed values: layout of the two schema-text styles

@@ -366,7 +366,8 @@ def _gram_hits(asked: DataFrame, keys: DataFrame, beyond: int = 0) -> DataFrame:
         flags = np.unpackbits(packed).astype(bool)
         held, n_held = [], 0
         for b in batches:
-            b = b.filter(pc.and_(pc.is_valid(b["question_id"]), pc.is_valid(b["low_q"])))
+            if b["question_id"].null_count or b["low_q"].null_count:
+                b = b.filter(pc.and_(pc.is_valid(b["question_id"]), pc.is_valid(b["low_q"])))
             ends, at = np.cumsum(pc.utf8_length(b["low_q"]).to_numpy(zero_copy_only=False), dtype=np.int64), 0
             while at < len(ends):
                 before = ends[at - 1] if at else 0

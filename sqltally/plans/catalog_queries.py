@@ -385,7 +385,7 @@ def _question_schemas(spark, sf, **how):
     matches = found.join(columns.select("column_id", F.col("column_name").alias("column")), "column").select("question_id", "column_id", "rank", "value")
     values = catalog.sample_values(catalog.lowest_values(tables, 3), 3)
     out = catalog.question_schemas(questions, cat_tables, columns, keys, values, RESERVED, matches, **how)
-    return out.select("question_id", F.md5(F.col("ddl").cast("binary")).alias("ddl_md5"), F.length("ddl").cast("long").alias("n_chars"))
+    return out.select("question_id", F.md5(F.col("ddl").cast("binary")).alias("ddl_md5"), "n_chars")
 
 
 STAR_KEYS = KEYS.replace(" FROM meta m JOIN (", f" FROM {STAR_META} m JOIN (")

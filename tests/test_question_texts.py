@@ -77,6 +77,7 @@ def test_a_question_without_columns_has_an_empty_text():
     (got,) = schema_texts(known, True, False, SEED, 0, 6)(iter([asked]))
     # a cap of 0 leaves what the query names; a comma before the last line break goes, as the end of a text does in Java
     assert got["ddl"].to_pylist() == ["CREATE TABLE t (\n    x text, -- x\n\n);", ""]
+    assert got["n_chars"].to_pylist() == [len(t) for t in got["ddl"].to_pylist()]
 
 
 def test_texts_are_written_in_batches_over_all_tasks(spark):
